@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import table
+from loomspark.llm.chat_format import canonical, chat_format, learned_text, read_back
+from loomspark.llm.common import held_out, table
+from loomspark.llm.language_id import language_id
 from loomspark.llm.quality_rules import quality_rules
+from loomspark.llm.token_counts import token_counts
+from loomspark.llm.url_filters import url_filters
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +42,74 @@ FROM m
 """
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+j AS (SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+               WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+               WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+               WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+               WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
+         array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM p),
+v AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS v FROM j),
+h AS (SELECT host, domain, suffix, count(*) AS n, sum((v = 'allow')::INT) AS good FROM v WHERE v IS NOT NULL GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL),
+g AS (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(good), 0) AS good FROM s),
+u AS (SELECT 'h' AS lv, n, good FROM h UNION ALL SELECT 'd', n, good FROM d UNION ALL SELECT 's', n, good FROM s),
+a AS (SELECT lv, count(*) AS k, sum(n)::DOUBLE AS n, sum(good)::DOUBLE AS y, sum(n * n)::DOUBLE AS n2, sum(good * good / n) AS yy FROM u GROUP BY lv),
+b AS (SELECT *, y / n * (1 - y / n) AS var, n - n2 / n - (k - 1) AS free FROM a),
+r AS (SELECT lv, CASE WHEN k >= 2 AND y > 0 AND y < n AND free > 0 THEN ((yy - n * (y / n) * (y / n)) - var * (k - 1)) / (var * free) END AS rho FROM b),
+c AS (SELECT lv, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 1000) ELSE 1000 END AS k FROM r),
+ks AS (SELECT max(k) FILTER (lv = 'h') AS kh, max(k) FILTER (lv = 'd') AS kd, max(k) FILTER (lv = 's') AS ks FROM c),
+m AS (SELECT (good + 1) / (n + 2) AS mean FROM g),
+sm AS (SELECT suffix, (good + ks * mean) / (n + ks) AS suffix_mean FROM s, m, ks),
+dm AS (SELECT domain, (good + kd * suffix_mean) / (n + kd) AS domain_mean FROM d JOIN sm USING (suffix), ks),
+post AS (SELECT host, coalesce(hh.good, 0) + pr * kh AS a, coalesce(hh.n, 0) - coalesce(hh.good, 0) + (1 - pr) * kh AS b
+  FROM (SELECT DISTINCT v.host, coalesce(domain_mean, suffix_mean, mean) AS pr FROM v LEFT JOIN dm USING (domain) LEFT JOIN sm USING (suffix), m) LEFT JOIN h hh USING (host), ks)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN post USING (host)
+"""
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    return language_id(docs.select("doc_id", "text", "held_out"), docs.filter("not held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    out = chat_format(canonical(rows.unionByName(odd)))
+    read = out.select("conv_id", "formatted", "loss", read_back(F.col("formatted")).alias("read"), learned_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    every = F.concat_ws("", F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return read.select("conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+                       F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP7_SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?(?:INST|SYS|TURN)\])', '\1\\\2\3', 'g'))
+         + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 13
+           ELSE 16 + length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?(?:INST|SYS|TURN)\])', '\1\\\2\3', 'g')) END AS size FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, path="byte_bpe_50k.json", limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -45,4 +117,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from loomspark.llm.quality_rules import STOP_WORDS
 
-    return {"op2_quality_rules": OP2_SQL.replace("{stop}", " ".join(sorted(set(STOP_WORDS))))}
+    return {"op4_url_filters": OP4_SQL, "op7_chat_format": OP7_SQL, "op2_quality_rules": OP2_SQL.replace("{stop}", " ".join(sorted(set(STOP_WORDS))))}
