@@ -10,11 +10,24 @@ from pyspark.sql import functions as F
 from loomspark.llm.chat_format import canonical, chat_format, learned_text, read_back
 from loomspark.llm.common import held_out, table
 from loomspark.llm.language_id import language_id
+from loomspark.llm.packing import packing
 from loomspark.llm.quality_rules import quality_rules
 from loomspark.llm.token_counts import token_counts
+from loomspark.llm.toxicity import toxicity
 from loomspark.llm.url_filters import url_filters
 
 
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, toxic) of the labelled documents that are not held out."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    return toxicity(docs, training_labels(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -77,6 +90,10 @@ FROM v LEFT JOIN post USING (host)
 """
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing(table(spark, sf_dir, "documents").select("doc_id", "text"), path="word_bpe_49k.json")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     return language_id(docs.select("doc_id", "text", "held_out"), docs.filter("not held_out")).select("doc_id", "held_out", "lang_pred", "score")

@@ -6,6 +6,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from operator import mul
 
 import pandas as pd
@@ -66,6 +67,12 @@ class PieceCounter:
         return [n + sum(map(mul, f.values(), map(look, f))) for f, n in rows]
 
 
+@lru_cache(maxsize=2)
+def worker_counter(path: str) -> PieceCounter:
+    """One for all tasks of a Python worker, as they share most pre-tokens."""
+    return PieceCounter(path)
+
+
 def in_chunks(texts: Iterable[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """Runs of texts of about `most` characters, so that what is kept of them at once stays small."""
     held, size = [], 0
@@ -82,7 +89,7 @@ def in_chunks(texts: Iterable[str], most: int = CHUNK_CHARS) -> Iterator[list[st
 def n_tokens(text: Column, path: str) -> Column:
     @F.pandas_udf("long")
     def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = PieceCounter(path)
+        counter = worker_counter(path)
         for s in parts:
             yield pd.Series([n for c in in_chunks(s) for n in counter.count(c)], dtype="int64")
 
