@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.chat_format import canonical, chat_format, learned_text, read_back
 from loomspark.llm.common import held_out, table
+from loomspark.llm.html_extract import html_extract
 from loomspark.llm.language_id import language_id
 from loomspark.llm.packing import packing
 from loomspark.llm.quality_rules import quality_rules
@@ -122,6 +123,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, path="byte_bpe_50k.json", limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
