@@ -20,9 +20,8 @@ from loomspark.llm.url_filters import url_filters
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled documents that are not held out."""
-    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    """The labels of documents that are not held out."""
+    return table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

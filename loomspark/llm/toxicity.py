@@ -276,18 +276,21 @@ class Scorer:
         np.maximum.at(out, [i for i, _, _ in held], best)
 
 
-def sample(labelled: DataFrame, text: str, label: str, p: Parameters) -> list[tuple[str, int]]:
-    """About most_documents distinct texts of a class at most, chosen by a hash of the text; a tie of labels goes to toxic."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), (F.col(label) > 0).cast("int").alias("y"))
-    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    part = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
-    bound = F.lit(0)
-    for y, n in counts.items():
-        bound = F.when(F.col("y") == y, int(1_000_003 * min(1.0, p.most_documents[y] / n))).otherwise(bound)
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, p: Parameters) -> list[tuple[str, int]]:
+    """Labelled texts: of either class the most_documents ids that come first by a hash; a tie of labels goes to toxic.
+
+    The ids are chosen on the labels alone.  They are bounded, so they are broadcast and no text is shuffled.
+    """
+    rows = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max((F.col(label) > 0).cast("int")).alias("__y"))
+    chosen = None
+    for y in (0, 1):
+        part = rows.filter(F.col("__y") == y).orderBy(F.xxhash64(key), key).limit(p.most_documents[y])
+        chosen = part if chosen is None else chosen.unionByName(part)
+    # A text's first most_words words are all that a pass reads.
+    found = docs.filter(F.col(text).isNotNull()).select(key, F.substring(text, 1, 40 * p.most_words).alias("__t")).join(F.broadcast(chosen), key)
     seen: dict[str, int] = {}
-    # Copies of one text share its hash; the cut is by class and text, and a text's first most_words words are all that counts.
-    for r in rows.filter(part <= bound).select(F.substring("text", 1, 40 * p.most_words).alias("text"), "y").toLocalIterator():
-        seen[r.text] = max(r.y, seen.get(r.text, 0))
+    for r in found.select("__t", "__y").toLocalIterator():
+        seen[r["__t"]] = max(r["__y"], seen.get(r["__t"], 0))
     return sorted(seen.items())
 
 
@@ -304,12 +307,12 @@ def scored(text: Column, network: Network, spark) -> Column:
     return score(text)
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "toxic", threshold: float = THRESHOLD, p: Parameters = Parameters()) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD, p: Parameters = Parameters()) -> DataFrame:
     """docs with score, the highest probability over all overlapping windows of the whole text, and predicted (1 from threshold on).
 
-    labelled has (text, 0/1 label) rows; those with nulls are left out, and without any the untrained network still gives a
-    score.  Null, empty and wordless texts score 0.  Equal texts get equal scores, repeated rows stay, and columns of docs
+    labels has (key, 0/1 label) rows, of which those on rows of docs train the network; rows with nulls are left out, and
+    without any the untrained network still gives a score.  Null, empty and wordless texts score 0.  Equal texts get equal scores, repeated rows stay, and columns of docs
     named score or predicted are replaced.
     """
-    network = train(sample(labelled, text, label, p), p)
+    network = train(sample(docs, labels, key, text, label, p), p)
     return docs.withColumn("score", scored(docs[text], network, docs.sparkSession)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
