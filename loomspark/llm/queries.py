@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.chat_format import canonical, chat_format, learned_text, read_back
 from loomspark.llm.common import held_out, table
+from loomspark.llm.decontamination import decontamination
 from loomspark.llm.html_extract import html_extract
 from loomspark.llm.language_id import language_id
 from loomspark.llm.ngram_join import ngram_join
@@ -144,6 +145,32 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"))
+
+
+#: Every window that a shared shingle anchors, verified without fingerprints.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT item_id, iw, len(iw) AS m FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS iw FROM benchmark) WHERE len(iw) > 0),
+di AS (SELECT doc_id, len(w) AS n, p, array_to_string(w[p:p+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+ii AS (SELECT item_id, m, p, array_to_string(iw[p:p+4], ' ') AS g FROM (SELECT item_id, iw, m, unnest(range(1, greatest(m - 3, 2))) AS p FROM i)),
+nn AS (SELECT count(*) AS n_items FROM i),
+wt AS (SELECT g, ln(1 + n_items / count(DISTINCT item_id)) AS weight FROM ii, nn GROUP BY g, n_items),
+iw AS (SELECT item_id, m, g, weight FROM (SELECT DISTINCT item_id, m, g FROM ii) JOIN wt USING (g)),
+it AS (SELECT item_id, sum(weight) AS total FROM iw GROUP BY item_id),
+win AS (SELECT DISTINCT doc_id, m, least(greatest(di.p - ii.p, 0), greatest(n - m, 0)) AS start FROM di JOIN ii USING (g)),
+ws AS (SELECT DISTINCT doc_id, win.m, start, array_to_string(w[q:least(q + 4, start + win.m)], ' ') AS g
+  FROM (SELECT doc_id, m, start, w, unnest(range(start + 1, greatest(least(start + m, len(w)) - 3, start + 2))) AS q FROM win JOIN d USING (doc_id)) win),
+wn AS (SELECT doc_id, m, start, count(*) AS n FROM ws GROUP BY ALL),
+sh AS (SELECT doc_id, ws.m, start, item_id, count(*) AS k, sum(weight) AS shared FROM ws JOIN iw ON iw.g = ws.g AND iw.m = ws.m GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, start, shared / (total + ln(1 + n_items) * (n - k)) AS similarity FROM sh JOIN wn USING (doc_id, m, start) JOIN it USING (item_id), nn),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS k FROM sim WHERE similarity >= 0.75)
+SELECT doc_id, item_id, start::BIGINT AS start, round(similarity, 6) AS similarity FROM r WHERE k = 1
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, path="byte_bpe_50k.json", limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -156,4 +183,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from loomspark.llm.quality_rules import STOP_WORDS
 
-    return {"op4_url_filters": OP4_SQL, "op3_ngram_join": OP3_SQL, "op7_chat_format": OP7_SQL, "op2_quality_rules": OP2_SQL.replace("{stop}", " ".join(sorted(set(STOP_WORDS))))}
+    return {"op4_url_filters": OP4_SQL, "op3_ngram_join": OP3_SQL, "op9_decontamination": OP9_SQL, "op7_chat_format": OP7_SQL, "op2_quality_rules": OP2_SQL.replace("{stop}", " ".join(sorted(set(STOP_WORDS))))}
