@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -18,12 +19,23 @@ from loomspark.llm.common import store
 from loomspark.llm.token_counts import SPACE, in_chunks, load
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Pieces that never cross a cut of the library's own: Latin words before a blank, stop or end, stops before a blank or such a
+#: Pieces that never cross a cut of the library's own: Latin words before a blank, mark or end, marks before a blank or such a
 #: word, else all up to the next blank.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-CUT = re.compile(f"[{_LETTERS}]+(?=[ \n.,!]|$)|[.,!]+(?=[ \n{_LETTERS}]|$)|[^{SPACE}]+")
-_BEYOND = re.compile("[^\x00-įı-ɏ]|<\\|")
-MOST_KNOWN = 400_000
+_MARKS = ".,!#*$%&|?:;()"
+CUT = re.compile(f"[{_LETTERS}]+(?=[ \n{_MARKS}]|$)|[{_MARKS}]+(?=[ \n{_LETTERS}]|$)|[^{SPACE}]+")
+_BEYOND = re.compile("[^\x00-įı-ɏ]")
+_PLAIN = re.compile(f"[{_LETTERS}]+").fullmatch
+#: Distinct pieces that a worker remembers.
+MOST_KNOWN = 1_000_000
+
+
+def cuts(text: str) -> list[str]:
+    """A text in pieces whose ids are independent of each other."""
+    # Lower case is what the tokenizer makes of these letters anyway, and leaves fewer distinct pieces.
+    if "<|" not in text and (text.isascii() or not _BEYOND.search(text)):
+        text = text.lower()
+    return CUT.findall(text)
 
 
 @dataclass(frozen=True)
@@ -42,17 +54,41 @@ class Ids:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes pieces; plain words go through together, as the ids show where each of them ends."""
+        plain: list[str] = []
+        other: list[str] = []
+        for w in pieces:
+            (plain if _PLAIN(w) else other).append(w)
+        for i in range(0, len(plain), 200):
+            part = plain[i : i + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cut) != len(part):
+                self.one_by_one(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, to in zip(part, cut.tolist(), strict=True):
+                self.known[w] = raw[at:to]
+                at = to
+        self.one_by_one(other)
+
+    def one_by_one(self, pieces: list[str]) -> None:
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i : i + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
-        # Lower case is what the tokenizer makes of these letters anyway, and leaves fewer distinct pieces.
-        rows = [CUT.findall(t if _BEYOND.search(t) else t.lower()) for t in texts]
+        rows = [cuts(t) for t in texts]
+        words = set().union(*rows)
         if len(self.known) > MOST_KNOWN:
-            self.known.clear()
-        new = [w for w in set().union(*rows) if w not in self.known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        self.learn([w for w in words if w not in self.known])
         look = self.known.__getitem__
         return [b"".join(map(look, r)) for r in rows]
 
