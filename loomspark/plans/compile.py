@@ -12,6 +12,7 @@ from loomspark.functions.tokens import content_tokens, reduction_pct, token_coun
 from loomspark.operators import hints, ranking
 from loomspark.operators.chunking import chunk_markdown
 from loomspark.operators.selection import Section, assemble, content_count, found, rare_terms, select, truncate
+from loomspark.sources.shared import store
 
 _SECTION = "id string, ord int, section string, tokens int, relevance int, truncated boolean, full_tokens int, matched_queries array<int>, text string"
 _STRUCT = "struct<" + ",".join(f"{n}:{t}" for n, t in (c.strip().split(" ") for c in _SECTION.split(", "))) + ">"
@@ -26,7 +27,8 @@ def aspect_rows(tasks: DataFrame) -> DataFrame:
 
 def scored_sections(chunks: DataFrame, aspects: DataFrame) -> DataFrame:
     """(task_id, file_id, ord, score, pos, matched_queries, best): the ranking that the selection walks."""
-    raw = ranking.bm25(chunks, aspects)
+    # Scores are read by four aggregates and the ranking.
+    raw = store(ranking.bm25(chunks, aspects), "scores")
     multi = aspects.groupBy("task_id").agg((F.count("*") > 1).alias("multi"), F.first("task").alias("task"))
     rows = ranking.normalized(raw.join(multi.filter("multi").select("task_id"), "task_id", "left_semi"))
     single = raw.join(multi.filter("not multi").select("task_id"), "task_id", "left_semi").select("task_id", "file_id", "ord", F.col("s").alias("score"))
@@ -85,12 +87,12 @@ def compile_context(docs: DataFrame, tasks: DataFrame, chunks: DataFrame | None
     docs: (file_id, name, markdown); tasks: (task_id, file_id, task, token_budget).  A file's sections meet in one task, and
     a file is at most some tens of MB.  Tasks on files without sections give no row.
     """
-    chunks = chunk_markdown(docs) if chunks is None else chunks
+    chunks = store(chunk_markdown(docs), "chunks") if chunks is None else chunks
     tasks = tasks.withColumn("task_id", F.col("task_id").cast("string"))
-    aspects = aspect_rows(tasks)
+    aspects = store(aspect_rows(tasks), "aspects")
     named = docs.select("file_id", source_name(F.col("name")).alias("name"), token_count(F.col("markdown")).alias("raw_tokens"))
     full = scored_sections(chunks, aspects).join(chunks, ["file_id", "ord"]).join(tasks.select("task_id", "task", "token_budget"), "task_id").join(named.select("file_id", "name"), "file_id")
-    packed = full.groupBy("task_id").applyInPandas(pack_group, PACKED)
+    packed = store(full.groupBy("task_id").applyInPandas(pack_group, PACKED), "packed")
     queries = aspects.groupBy("task_id").agg(F.first("queries").alias("queries"), F.first("token_budget").alias("token_budget"))
     out = packed.join(queries, "task_id").join(named.select("file_id", "raw_tokens"), "file_id")
     budget, used, chosen, omitted = F.col("token_budget"), F.col("tokens_used"), F.col("selected_sections"), F.col("omitted_sections")

@@ -17,6 +17,7 @@ from loomspark.operators import hints, ranking
 from loomspark.operators.chunking import blocks, chunk_markdown, lines, outline, sections
 from loomspark.plans import compile as C
 from loomspark.sources.files import cache_rows, cache_valid, html_to_markdown
+from loomspark.sources.shared import store
 from loomspark.streaming import state as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,11 @@ def _raw(spark, sf_dir):
     return ranking.bm25(document_chunks(spark, sf_dir), benchmark_aspects(spark, sf_dir))
 
 
+def _stored_rows(spark, sf_dir):
+    """Normalised scores that several steps read."""
+    return store(_rows(spark, sf_dir).withColumn("s", F.round("s", 6)), "rows")
+
+
 def _rows(spark, sf_dir):
     return ranking.normalized(_raw(spark, sf_dir))
 
@@ -162,17 +168,17 @@ def topk_sections(spark, sf_dir):
 
 
 def best_id(spark, sf_dir):
-    rows = _rows(spark, sf_dir).withColumn("s", F.round("s", 6))
+    rows = _stored_rows(spark, sf_dir)
     return ranking.best_ids(rows, document_chunks(spark, sf_dir), benchmark_aspects(spark, sf_dir))
 
 
 def attribution(spark, sf_dir):
-    rows = _rows(spark, sf_dir).withColumn("s", F.round("s", 6))
+    rows = _stored_rows(spark, sf_dir)
     return ranking.attribution(rows).select("task_id", "ord", F.array_join(F.transform("matched_queries", lambda q: q.cast("string")), ",").alias("queries"))
 
 
 def round_robin(spark, sf_dir):
-    rows = _rows(spark, sf_dir).withColumn("s", F.round("s", 6))
+    rows = _stored_rows(spark, sf_dir)
     best = ranking.best_ids(rows, document_chunks(spark, sf_dir), benchmark_aspects(spark, sf_dir))
     return ranking.round_robin(rows, best).select("task_id", "pos", "ord")
 

@@ -57,9 +57,12 @@ def rate_limit(requests: DataFrame, points: int = POINTS, window: int = WINDOW_S
     return rows.groupBy("key").applyInPandas(walk, schema)
 
 
-def rate_limit_stream(requests: DataFrame, points: int = POINTS, window: int = WINDOW_SECONDS) -> DataFrame:
-    """rate_limit over a stream; a key's log is kept as state and goes when the key is silent for a window."""
-    rows = requests.select("key", F.col("ts").cast("timestamp").alias("ts"), "route").withColumn("cost", request_cost(F.col("route")))
+def rate_limit_stream(requests: DataFrame, points: int = POINTS, window: int = WINDOW_SECONDS, late: str = "1 hour") -> DataFrame:
+    """rate_limit over a stream; a key's log is kept as state and goes when the watermark is a window past its last request.
+
+    Requests that come more than `late` behind the newest are left out.
+    """
+    rows = requests.select("key", F.col("ts").cast("timestamp").alias("ts"), "route").withWatermark("ts", late).withColumn("cost", request_cost(F.col("route")))
     out = "key string, ts timestamp, route string, cost int, allowed boolean, used int"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -73,10 +76,10 @@ def rate_limit_stream(requests: DataFrame, points: int = POINTS, window: int = W
         seconds = (pdf["ts"] - pd.Timestamp(0)).dt.total_seconds()
         got = [log.ask(t, int(c)) for t, c in zip(seconds, pdf["cost"], strict=True)]
         state.update(([t for t, _ in log.entries], [c for _, c in log.entries]))
-        state.setTimeoutDuration(window * 1000)
+        state.setTimeoutTimestamp(max(int(seconds.max() * 1000), state.getCurrentWatermarkMs()) + window * 1000)
         yield pdf.assign(key=str(key[0]), allowed=[a for a, _ in got], used=pd.array([u for _, u in got], "int32"))[["key", "ts", "route", "cost", "allowed", "used"]]
 
-    return rows.groupBy("key").applyInPandasWithState(step, out, "times array<double>, costs array<int>", "append", "ProcessingTimeTimeout")
+    return rows.groupBy("key").applyInPandasWithState(step, out, "times array<double>, costs array<int>", "append", "EventTimeTimeout")
 
 
 def live_handles(events: DataFrame, now: Column, seconds: int = HANDLE_SECONDS) -> DataFrame:
