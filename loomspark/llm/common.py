@@ -61,6 +61,11 @@ def store(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables made by store() that no later step reads."""
     for df in frames:

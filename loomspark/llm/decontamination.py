@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import let, store, words
+from loomspark.llm.common import checked_broadcast, let, store, words
 
 
 @dataclass(frozen=True)
@@ -30,11 +30,6 @@ class Parameters:
     most_broadcast: int = 1_000_000
 
 
-def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def shingle_hashes(w: Column, k: int) -> Column:
     """Hashes of the k-word shingles in order; of all words as one where there are fewer; none without words."""
     starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))

@@ -17,10 +17,9 @@ different components after that are compared with each other, so a large group o
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,11 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import WORD, drop_stored, store
+from loomspark.llm.common import checked_broadcast, drop_stored, store
 from loomspark.llm.graph import components
 
-_WORD = re.compile(WORD)
-_LOWER = {i: i + 32 for i in range(65, 91)}
 _U = np.uint64
 MIX = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -48,45 +45,81 @@ class Parameters:
     frequent: int = 30
     most_frequent: int = 200_000
     #: Keys a task sorts at once, and sets of one key that are all compared with each other.
-    keys_a_task: int = 1_500_000
-    most_pairs_of: int = 64
+    keys_a_task: int = 500_000
+    most_pairs_of: int = 8
+    #: A candidate pair costs as much as so many keys.
+    pair_cost: float = 20.0
     #: Ids of documents to verify that are broadcast at most; more are joined by a shuffle.
     most_broadcast: int = 2_000_000
-    star_rounds: int = 2
+    star_rounds: int = 1
+    #: Shingles that a verifying task keeps for the next pair.
+    most_held: int = 100_000
+    #: Lists of up to so many sets are compared in one task, longer ones by a join of their rows; and entries of such a task.
+    most_listed: int = 4096
+    entries_a_task: int = 100_000
 
 
 # --- sets ------------------------------------------------------------------------------------------------------------
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+def words_of(text: str | None) -> list[bytes]:
+    """Words as UTF-8; bytes.lower and bytes.split know A-Z and the ASCII blanks only, which is what is wanted."""
+    return text.encode().lower().split() if text else []
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-
-@lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
+#: A word's hash is the sum of its bytes' random numbers times powers of an odd base, modulo 2**64.
+_BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=_U)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_SEGMENT = 1 << 16
+_BLANKS = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER)) if text else []
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and their inverses."""
+    steps = lambda x: np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, x, _U)]), dtype=_U)
+    return steps(_U(_BASE)), steps(_U(pow(_BASE, -1, 1 << 64)))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a lower-cased text."""
+    out = []
+    at = 0
+    while at < len(raw):
+        stop = len(raw)
+        if stop - at > _SEGMENT:
+            # A segment ends at a blank; a word longer than a segment is one of its own.
+            cut = max(raw.rfind(c, at, at + _SEGMENT) for c in _BLANKS)
+            if cut <= at:
+                cut = min((k for c in _BLANKS if (k := raw.find(c, at + 1)) >= 0), default=len(raw))
+            stop = cut
+        b = np.frombuffer(raw, np.uint8, stop - at, at)
+        at = stop
+        power, inverse = _powers(max(_SEGMENT, 1 << (len(b) - 1).bit_length()))
+        letter = np.concatenate([[False], ~_BLANK[b], [False]])
+        edges = np.flatnonzero(letter[1:] != letter[:-1])
+        sums = np.concatenate([[_U(0)], np.cumsum(_BYTE[b] * power[: len(b)], dtype=_U)])
+        starts = edges[::2]
+        out.append((sums[edges[1::2]] - sums[starts]) * inverse[starts])
+    return np.concatenate(out) if out else np.zeros(0, _U)
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
 
 
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct k-word shingles; of all words as one where there are fewer than k."""
-    w = words_of(text)
-    if not w:
-        return np.zeros(0, _U)
-    if len(w) < k:
-        return np.array([xxhash.xxh3_64_intdigest("\n".join(w))], _U)
-    a = np.fromiter(map(_hashes().__getitem__, w), _U, len(w))
-    n = len(w) - k + 1
-    h = a[:n] * MIX[0]
+    a = word_hashes(text.encode().lower()) if text else np.zeros(0, _U)
+    if not len(a):
+        return a
+    k = min(k, len(a))
+    n = len(a) - k + 1
+    # The number of words goes in, so that fewer words make another shingle.
+    h = a[:n] * MIX[0] + _U(k)
     for i in range(1, k):
         h ^= h >> _U(31)
         h += a[i : n + i]
@@ -94,16 +127,20 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     h ^= h >> _U(29)
     h *= MIX[0]
     h ^= h >> _U(32)
-    return np.unique(h)
+    return distinct(h)
 
 
-def exact_shingles(text: str | None, k: int = 5) -> set[tuple[str, ...]]:
+def exact_shingles(text: str | None, k: int = 5) -> set[tuple[bytes, ...]]:
     w = words_of(text)
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
+#: Words of 64 bits that every bitmap has at least, and that bitmaps are folded to where lists are compared.
+SKETCH = 16
+
+
 def bitmap_bits(n: int) -> int:
-    return max(64, 1 << (2 * n - 1).bit_length())
+    return max(64 * SKETCH, 1 << (2 * n - 1).bit_length())
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -142,7 +179,7 @@ def sets_of(parts: Iterator[pd.DataFrame], p: Parameters) -> Iterator[pd.DataFra
             many = n > 1
             for h, k in zip(seen[many].tolist(), n[many].tolist(), strict=True):
                 counts[h] = counts.get(h, 0) + k
-            if len(counts) > 1_000_000:
+            if len(counts) > 250_000:
                 # What stays rare in the task goes, with an error of one for each time.
                 counts = {h: k - 2 for h, k in counts.items() if k > 2}
     if counts:
@@ -194,12 +231,12 @@ class Frequent:
         return out
 
 
-def keys_of(s: np.ndarray, frequent: Frequent, bound: int, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set, and which are of frequent shingles only."""
+def keys_of(s: np.ndarray, frequent: Frequent, bound: int, p: Parameters) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys of a set, which are of frequent shingles only, and how many of its shingles are rare."""
     n = len(s)
     if n < 3:
         # Such sets are linked with copies of themselves only.
-        return np.zeros(0, _U), np.zeros(0, bool)
+        return np.zeros(0, _U), np.zeros(0, bool), n
     often = frequent.of(s)
     order = np.concatenate([s[~often], s[often]])
     n_rare, a = n - int(often.sum()), needed(n, p.percent)
@@ -212,10 +249,10 @@ def keys_of(s: np.ndarray, frequent: Frequent, bound: int, p: Parameters) -> tup
     if 100 * n >= p.percent * (bound + 1):
         keys.append(order[: n - a + 1])
         hot.append(np.arange(n - a + 1) >= n_rare)
-    return np.concatenate(keys), np.concatenate(hot)
+    return np.concatenate(keys), np.concatenate(hot), n_rare
 
 
-RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4")])
+RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("rare", "<i4")])
 
 
 def packed_keys(parts: Iterator[pd.DataFrame], frequent: Frequent, bound: int, n_buckets: int, p: Parameters) -> Iterator[pd.DataFrame]:
@@ -242,15 +279,15 @@ def packed_keys(parts: Iterator[pd.DataFrame], frequent: Frequent, bound: int, n
             node = xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63)
             if node in seen:
                 continue
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             seen.add(node)
-            keys, hot = keys_of(s, frequent, bound, p)
+            keys, hot, rare = keys_of(s, frequent, bound, p)
             r = np.empty(len(keys), RECORD)
-            r["key"], r["node"], r["n"] = keys, node, len(s)
+            r["key"], r["node"], r["n"], r["rare"] = keys, node, len(s), rare
             held.append((r, hot))
             size += len(r)
-            if size > 2_000_000:
+            if size > 500_000:
                 yield flush()
                 held, size = [], 0
     if held:
@@ -262,10 +299,10 @@ PAIR, LISTED = 0, 1
 
 
 def candidates(bucket: pd.DataFrame, p: Parameters) -> pd.DataFrame:
-    """Pairs (a < b) of a bucket's lists by kind PAIR; entries (key, a) of lists that are too long for that by kind LISTED."""
+    """Pairs (a < b) of a bucket's lists by kind PAIR; entries (key, a, b: rare shingles) of lists that are too long for that by kind LISTED."""
     r = np.unique(np.frombuffer(b"".join(bucket["records"]), RECORD))
     if bucket["bucket"].iloc[0] < 0:
-        return pd.DataFrame({"kind": LISTED, "key": r["key"].view(np.int64), "a": r["node"], "b": 0})
+        return pd.DataFrame({"kind": LISTED, "key": r["key"].view(np.int64), "a": r["node"], "b": r["rare"]})
     edges = np.flatnonzero(np.concatenate([[True], r["key"][1:] != r["key"][:-1], [True]]))
     sizes = np.diff(edges)
     pairs: list[np.ndarray] = []
@@ -277,9 +314,9 @@ def candidates(bucket: pd.DataFrame, p: Parameters) -> pd.DataFrame:
             continue
         i, j = np.triu_indices(k, 1)
         # In blocks, so that lists of many entries don't make all their pairs at once.
-        for at in range(0, len(starts), max(1, 2_000_000 // len(i))):
-            x = r[starts[at : at + max(1, 2_000_000 // len(i)), None] + i]
-            y = r[starts[at : at + max(1, 2_000_000 // len(i)), None] + j]
+        for at in range(0, len(starts), max(1, 500_000 // len(i))):
+            x = r[starts[at : at + max(1, 500_000 // len(i)), None] + i]
+            y = r[starts[at : at + max(1, 500_000 // len(i)), None] + j]
             near = 100 * np.minimum(x["n"], y["n"]).astype(np.int64) >= p.percent * np.maximum(x["n"], y["n"]).astype(np.int64)
             a, b = x["node"][near], y["node"][near]
             pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
@@ -287,7 +324,7 @@ def candidates(bucket: pd.DataFrame, p: Parameters) -> pd.DataFrame:
     out = [pd.DataFrame({"kind": PAIR, "key": 0, "a": found[:, 0], "b": found[:, 1]})]
     if long:
         rest = np.concatenate(long)
-        out.append(pd.DataFrame({"kind": LISTED, "key": rest["key"].view(np.int64), "a": rest["node"], "b": 0}))
+        out.append(pd.DataFrame({"kind": LISTED, "key": rest["key"].view(np.int64), "a": rest["node"], "b": rest["rare"]}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -306,20 +343,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Paramete
         return pd.Series([(100 + p.percent) * least_difference(x, y) <= (100 - p.percent) * (i + j) for i, j, x, y in zip(n_a, n_b, m_a, m_b, strict=True)], dtype=bool)
 
     left = store(sized.filter(may_link("n_a", "n_b", "m_a", "m_b")).select("a", "b", "rep_a", "rep_b"), "pairs")
-    ids = left.select(F.col("rep_a").alias("rep")).union(left.select("rep_b")).distinct()
-    if ids.count() <= p.most_broadcast:
-        ids = F.broadcast(ids)
+    ids = checked_broadcast(left.select(F.col("rep_a").alias("rep")).union(left.select("rep_b")).distinct(), p.most_broadcast)
     texts = store(docs.join(ids, docs["doc_id"] == ids["rep"]).groupBy("rep").agg(F.collect_set("text").alias("texts")), "texts")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         held: dict[str, set] = {}
+        size = 0
 
         def of(t: str) -> set:
-            if len(held) > 2000:
-                held.clear()
+            nonlocal size
             if t not in held:
+                if size > p.most_held:
+                    held.clear()
+                    size = 0
                 held[t] = exact_shingles(t, p.words)
+                size += len(held[t])
             return held[t]
 
         def one(x: str, y: str) -> bool:
@@ -337,23 +376,89 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Paramete
 
 
 def _stars(listed: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs of each list's first set with its others; given labels, of the first set of another component with all of others."""
+    """Pairs of each list's middle with its others; given labels, of the middle of all but the first's component with the others.
+
+    The middle is the set with the fewest rare shingles: copies are changed here and there, which makes new shingles, and what
+    they were made from has none of these.
+    """
     if labels is None:
-        first = listed.groupBy("key").agg(F.min("a").alias("b"))
-        return listed.join(first, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rows = listed.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    lists = rows.groupBy("key").agg(F.min("label").alias("l0"), F.max(F.struct("label", "a")).alias("last")).filter("last.label != l0")
-    other = rows.join(lists, "key").filter("label != last.label").select("a", F.col("last.a").alias("b"))
+        middle = listed.groupBy("key").agg(F.min(F.struct("rare", "a")).alias("m")).select("key", F.col("m.a").alias("b"))
+        other = listed.join(middle, "key").filter("a != b")
+    else:
+        rows = listed.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+        first = rows.groupBy("key").agg(F.min(F.struct("rare", "a", "label")).alias("m")).select("key", F.col("m.label").alias("l0"))
+        apart = rows.join(first, "key").filter("label != l0")
+        middle = apart.groupBy("key").agg(F.min(F.struct("rare", "a", "label")).alias("m")).select("key", F.col("m.a").alias("b"), F.col("m.label").alias("l1"))
+        other = rows.join(middle, "key").filter("label != l1")
     return other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rest(listed: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of a list's sets that are in different components."""
-    rows = listed.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    rows = rows.join(mixed, "key").select("key", "a", "label")
-    other = rows.select("key", F.col("a").alias("b"), F.col("label").alias("label_b"))
-    return rows.join(other, "key").filter("label < label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _members(listed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, n, sketch) of the listed sets: size, and the bitmap folded to 1024 bits."""
+
+    @F.pandas_udf("binary")
+    def folded(bitmaps: pd.Series) -> pd.Series:
+        out = []
+        for raw in bitmaps:
+            x = np.frombuffer(raw, np.uint64)
+            while len(x) > SKETCH:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            out.append(x.tobytes())
+        return pd.Series(out, dtype="object")
+
+    nodes = listed.select("a").distinct().join(classes.select(F.col("node").alias("a"), "n", "bitmap"), "a")
+    return nodes.select("a", "n", folded("bitmap").alias("sketch"))
+
+
+def _pairs_of_lists(pdf: pd.DataFrame, p: Parameters) -> pd.DataFrame:
+    """Pairs (a < b) of different components in one list (key), but for those that sizes or sketches rule out."""
+    pdf = pdf.sort_values(["key", "a"], kind="stable")
+    key, node, label, n = (pdf[c].to_numpy(np.int64) for c in ("key", "a", "label", "n"))
+    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, SKETCH)
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    sizes = np.diff(edges)
+    found = [np.zeros((0, 2), np.int64)]
+
+    def judge(i: np.ndarray, j: np.ndarray) -> None:
+        keep = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= p.percent * np.maximum(n[i], n[j]))
+        i, j = i[keep], j[keep]
+        differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        may = (100 + p.percent) * differ <= (100 - p.percent) * (n[i] + n[j])
+        if may.any():
+            found.append(np.unique(np.stack([node[i[may]], node[j[may]]], axis=1), axis=0))
+
+    for k in np.unique(sizes[sizes > 1]).tolist():
+        starts = edges[:-1][sizes == k]
+        for row in range(k - 1):
+            # One set of each list of this size against those behind it: memory grows with the lists, not with their squares.
+            step = max(1, 200_000 // (k - 1 - row))
+            for at in range(0, len(starts), step):
+                s = starts[at : at + step, None]
+                j = s + np.arange(row + 1, k)
+                judge(np.broadcast_to(s + row, j.shape).ravel(), j.ravel())
+    out = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+
+def _rest(listed: DataFrame, labels: DataFrame, members: DataFrame, p: Parameters) -> DataFrame:
+    """All pairs of a list's sets that are in different components, but for those that sizes or sketches rule out."""
+    rows = listed.select("key", "a").join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key", "k")
+    full = rows.join(sizes, "key").join(members, "a")
+    n_tasks = 1 + listed.count() // p.entries_a_task
+    short = full.filter(F.col("k") <= p.most_listed).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(n_tasks)))
+    pairs = short.groupBy("g").applyInPandas(lambda pdf: _pairs_of_lists(pdf, p), "a long, b long")
+    # A list without end is never brought together: its rows are joined, and large partitions of a join can be split.
+    words = [F.call_function("conv", F.hex(F.substring("sketch", 8 * i + 1, 8)), F.lit(16), F.lit(-10)).cast("long").alias(f"x{i}") for i in range(SKETCH)]
+    long = full.filter(F.col("k") > p.most_listed).select("key", "a", "label", "n", *words)
+    other = long.select("key", *[F.col(c).alias(f"{c}_b") for c in long.columns if c != "key"])
+    differ = F.lit(0)
+    for i in range(SKETCH):
+        differ = differ + F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"x{i}_b")))
+    may = (100 + p.percent) * differ <= (100 - p.percent) * (F.col("n") + F.col("n_b"))
+    near = 100 * F.least("n", "n_b") >= p.percent * F.greatest("n", "n_b")
+    joined = long.join(other, (long["key"] == other["key"]) & (F.col("label") < F.col("label_b")) & near & may)
+    return pairs.union(joined.select(F.least("a", "a_b").alias("a"), F.greatest("a", "a_b").alias("b"))).distinct()
 
 
 def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: Parameters = Parameters()) -> DataFrame:
@@ -378,31 +483,46 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: P
     if not total.k:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     repeated = sets.agg(F.sum("found")).first()[0] or 0
-    bound = boundary(sizes, 2 * repeated / max(1, total.n), p)
+    bound = boundary(sizes, p.pair_cost * 2 * repeated / max(1, total.n), p)
     n_buckets = max(spark.sparkContext.defaultParallelism, math.ceil(total.keys / p.keys_a_task))
 
     shared = spark.sparkContext.broadcast(frequent)
     keys = docs.select("text").mapInPandas(lambda parts: packed_keys(parts, shared.value, bound, n_buckets, p), "bucket long, records binary")
     found = store(keys.groupBy("bucket").applyInPandas(lambda pdf: candidates(pdf, p), FOUND), "candidates")
-    listed = found.filter(F.col("kind") == LISTED).select("key", "a")
-    links = _verified(found.filter(F.col("kind") == PAIR).select("a", "b").union(_stars(listed, None)), classes, docs, p)
-    labels = components(links)
+    listed = found.filter(F.col("kind") == LISTED).select("key", "a", F.col("b").alias("rare"))
+    linked = [_verified(found.filter(F.col("kind") == PAIR).select("a", "b").union(_stars(listed, None)), classes, docs, p)]
+    labels = components(linked[0])
+    held = [sets, classes, found]
     if not listed.isEmpty():
+        members = store(_members(listed, classes), "members")
+        held.append(members)
         for step in range(p.star_rounds + 1):
-            more = store(_stars(listed, labels) if step < p.star_rounds else _rest(listed, labels), "more")
-            if more.isEmpty():
-                break
-            links = links.union(_verified(more, classes, docs, p))
-            labels = components(links)
+            more = store(_stars(listed, labels) if step < p.star_rounds else _rest(listed, labels, members, p), "more")
+            new = _verified(more, classes, docs, p)
+            drop_stored(spark, more)
+            linked.append(new)
+            if not new.isEmpty():
+                drop_stored(spark, labels)
+                labels = components(reduce(DataFrame.union, linked))
     reached = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = reached.groupBy("label").agg(F.min("rep").alias("component_id"))
     of = reached.join(smallest, "label").select("node", "component_id")
     out = rows.join(of, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    done = store(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")), "joined")
+    drop_stored(spark, *held, *linked, labels)
+    return done
 
 
 def near_duplicates(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """docs without all but one document of each component: the one with the smallest doc_id; repeated rows become one."""
-    keep = ngram_join(docs, p=p).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    joined = ngram_join(docs, p=p)
+    ids = joined.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count("*").alias("k"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    left = docs.join(checked_broadcast(ids.filter("not kept").select("__id"), p.most_broadcast), same, "left_anti")
+    repeated = ids.filter("kept and k > 1").select("__id")
+    if repeated.isEmpty():
+        return left
+    repeated = checked_broadcast(repeated, p.most_broadcast)
+    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, same, "left_anti").unionByName(once)
