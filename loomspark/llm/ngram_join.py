@@ -162,7 +162,8 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(_ONES[x ^ y].sum())
 
 
-SETS = "doc_id {id}, n long, node long, bitmap binary, shingle long, found long"
+#: The id goes through Python as text, so that nulls don't turn whole numbers into floats.
+SETS = "doc_id string, n long, node long, bitmap binary, shingle long, found long"
 
 
 def sets_of(parts: Iterator[pd.DataFrame], p: Parameters) -> Iterator[pd.DataFrame]:
@@ -173,8 +174,10 @@ def sets_of(parts: Iterator[pd.DataFrame], p: Parameters) -> Iterator[pd.DataFra
         for at in range(0, len(pdf), 1000):
             part = pdf.iloc[at : at + 1000]
             sets = [shingles(t, p.words) for t in part["text"]]
-            rows = [(i, len(s), xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63) if len(s) else None, parity(s) if len(s) else None, None, None) for i, s in zip(part["doc_id"], sets, strict=True)]
-            yield pd.DataFrame(rows, columns=names).astype({"node": "Int64", "shingle": "Int64", "found": "Int64"})
+            # Nullable integers from the start: through floats the hashes would lose bits.
+            node = pd.array([xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63) if len(s) else None for s in sets], dtype="Int64")
+            none = pd.array([None] * len(sets), dtype="Int64")
+            yield pd.DataFrame({"doc_id": list(part["doc_id"]), "n": [len(s) for s in sets], "node": node, "bitmap": [parity(s) if len(s) else None for s in sets], "shingle": none, "found": none}, columns=names)
             seen, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, _U), return_counts=True)
             many = n > 1
             for h, k in zip(seen[many].tolist(), n[many].tolist(), strict=True):
@@ -184,7 +187,8 @@ def sets_of(parts: Iterator[pd.DataFrame], p: Parameters) -> Iterator[pd.DataFra
                 counts = {h: k - 2 for h, k in counts.items() if k > 2}
     if counts:
         order = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: p.most_frequent]
-        yield pd.DataFrame({"doc_id": None, "n": 0, "node": None, "bitmap": None, "shingle": [h - (1 << 63) for h, _ in order], "found": [k for _, k in order]}, columns=names).astype({"node": "Int64", "shingle": "Int64", "found": "Int64"})
+        none = pd.array([None] * len(order), dtype="Int64")
+        yield pd.DataFrame({"doc_id": None, "n": 0, "node": none, "bitmap": None, "shingle": pd.array([h - (1 << 63) for h, _ in order], dtype="Int64"), "found": pd.array([k for _, k in order], dtype="Int64")}, columns=names)
 
 
 # --- keys ------------------------------------------------------------------------------------------------------------
@@ -471,7 +475,8 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: P
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = store(docs.mapInPandas(lambda parts: sets_of(parts, p), SETS.format(id=kind)), "sets")
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    sets = store(named.mapInPandas(lambda parts: sets_of(parts, p), SETS).withColumn("doc_id", F.col("doc_id").cast(kind)), "sets")
     rows = sets.filter("shingle is null")
     classes = store(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "classes")
     often = sets.filter("shingle is not null").groupBy("shingle").agg(F.sum("found").alias("found")).filter(F.col("found") >= p.frequent)

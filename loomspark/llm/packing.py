@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import store
 from loomspark.llm.token_counts import SPACE, in_chunks, load
 
-PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: The id goes through Python as text, so that nulls don't turn whole numbers into floats.
+PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces that never cross a cut of the library's own: Latin words before a blank, mark or end, marks before a blank or such a
 #: word, else all up to the next blank.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -193,14 +194,13 @@ def packing(docs: DataFrame, path: str = "word_bpe_49k.json", p: Parameters = Pa
     table has no pieces.  The pieces are written to the shared folder once, so a lost executor doesn't number them anew.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def partition(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pack_partition(parts, path, p, TaskContext.get().partitionId())
 
-    columns = PIECE.format(id=kind)
-    made = store(rows.mapInPandas(partition, columns + ", ids binary, number long"), "packing")
-    names = [c.split()[0] for c in columns.split(", ")]
+    made = store(rows.mapInPandas(partition, PIECE + ", ids binary, number long"), "packing")
+    names = [c.split()[0] for c in PIECE.split(", ")]
     left = made.filter("sequence_id is null").withColumn("g", F.floor(F.col("number") / p.merged_partitions))
-    merged = left.groupBy("g").applyInPandas(lambda key, pdf: merge(key, pdf, p), columns)
-    return made.filter("sequence_id is not null").select(names).unionByName(merged)
+    merged = left.groupBy("g").applyInPandas(lambda key, pdf: merge(key, pdf, p), PIECE)
+    return made.filter("sequence_id is not null").select(names).unionByName(merged).withColumn("doc_id", F.col("doc_id").cast(kind))
