@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.common import small_batches
+
 UNKNOWN = "und"
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -163,6 +165,7 @@ def language_id(docs: DataFrame, train: DataFrame, text: str = "text", lang: str
     Ties go to the first language by name.  Nothing but the text decides, so equal texts get equal results; docs' columns
     named like the new ones are replaced.
     """
+    small_batches(docs.sparkSession)
     model = fit(train, lang, text, p)
     scored = docs.withColumn("__p", predicted(docs[text], model, docs.sparkSession))
     return scored.withColumn("lang_pred", F.col("__p.lang_pred")).withColumn("score", F.col("__p.score")).drop("__p")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import checked_broadcast, drop_stored, store
+from loomspark.llm.common import checked_broadcast, drop_stored, small_batches, store
 from loomspark.llm.graph import components
 
 _U = np.uint64
@@ -182,7 +182,7 @@ def sets_of(parts: Iterator[pd.DataFrame], p: Parameters) -> Iterator[pd.DataFra
             many = n > 1
             for h, k in zip(seen[many].tolist(), n[many].tolist(), strict=True):
                 counts[h] = counts.get(h, 0) + k
-            if len(counts) > 250_000:
+            if len(counts) > 150_000:
                 # What stays rare in the task goes, with an error of one for each time.
                 counts = {h: k - 2 for h, k in counts.items() if k > 2}
     if counts:
@@ -291,7 +291,7 @@ def packed_keys(parts: Iterator[pd.DataFrame], frequent: Frequent, bound: int, n
             r["key"], r["node"], r["n"], r["rare"] = keys, node, len(s), rare
             held.append((r, hot))
             size += len(r)
-            if size > 500_000:
+            if size > 250_000:
                 yield flush()
                 held, size = [], 0
     if held:
@@ -318,9 +318,9 @@ def candidates(bucket: pd.DataFrame, p: Parameters) -> pd.DataFrame:
             continue
         i, j = np.triu_indices(k, 1)
         # In blocks, so that lists of many entries don't make all their pairs at once.
-        for at in range(0, len(starts), max(1, 500_000 // len(i))):
-            x = r[starts[at : at + max(1, 500_000 // len(i)), None] + i]
-            y = r[starts[at : at + max(1, 500_000 // len(i)), None] + j]
+        for at in range(0, len(starts), max(1, 100_000 // len(i))):
+            x = r[starts[at : at + max(1, 100_000 // len(i)), None] + i]
+            y = r[starts[at : at + max(1, 100_000 // len(i)), None] + j]
             near = 100 * np.minimum(x["n"], y["n"]).astype(np.int64) >= p.percent * np.maximum(x["n"], y["n"]).astype(np.int64)
             a, b = x["node"][near], y["node"][near]
             pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
@@ -435,7 +435,7 @@ def _pairs_of_lists(pdf: pd.DataFrame, p: Parameters) -> pd.DataFrame:
         starts = edges[:-1][sizes == k]
         for row in range(k - 1):
             # One set of each list of this size against those behind it: memory grows with the lists, not with their squares.
-            step = max(1, 200_000 // (k - 1 - row))
+            step = max(1, 50_000 // (k - 1 - row))
             for at in range(0, len(starts), step):
                 s = starts[at : at + step, None]
                 j = s + np.arange(row + 1, k)
@@ -473,6 +473,7 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: P
     are copies and stay; a null doc_id is left out of the minimum.  Other columns don't matter.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")

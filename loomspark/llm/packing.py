@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import store
+from loomspark.llm.common import small_batches, store
 from loomspark.llm.token_counts import SPACE, in_chunks, load
 
 #: The id goes through Python as text, so that nulls don't turn whole numbers into floats.
@@ -193,6 +193,7 @@ def packing(docs: DataFrame, path: str = "word_bpe_49k.json", p: Parameters = Pa
     empty text is end_id alone, repeated rows are packed as often as they occur, other columns don't matter, and an empty
     table has no pieces.  The pieces are written to the shared folder once, so a lost executor doesn't number them anew.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 

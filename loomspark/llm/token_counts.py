@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.common import small_batches
+
 #: What the byte-level pre-tokenizer takes for blanks (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A blank goes with the word behind it and the blanks before that stand alone: no pre-token of the library crosses these cuts.
@@ -103,5 +105,6 @@ def token_counts(docs: DataFrame, path: str = "byte_bpe_50k.json", limit: int =
     machines and no ids are kept.  Null counts as empty, an empty text has 0 of each; rows are counted one by one, so
     repeated rows stay and other columns don't matter.
     """
+    small_batches(docs.sparkSession)
     counted = docs.withColumn("n_bytes", F.octet_length(F.coalesce(docs[text], F.lit(""))).cast("long"))
     return counted.withColumn("n_tokens", n_tokens(F.col(text), path)).withColumn("over_limit", F.col("n_tokens") > limit)

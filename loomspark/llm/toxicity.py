@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import nn
+from loomspark.llm.common import small_batches
 
 TOKEN = re.compile(r"[^\W_]+")
 THRESHOLD = 0.3
@@ -314,5 +315,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     without any the untrained network still gives a score.  Null, empty and wordless texts score 0.  Equal texts get equal scores, repeated rows stay, and columns of docs
     named score or predicted are replaced.
     """
+    small_batches(docs.sparkSession)
     network = train(sample(docs, labels, key, text, label, p), p)
     return docs.withColumn("score", scored(docs[text], network, docs.sparkSession)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
