@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -72,6 +73,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def release_memory() -> None:
+    """Hands freed memory back to the system: a Python worker lives on after its task, beside those of later stages."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else as it is, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import checked_broadcast, drop_stored, small_batches, store
+from loomspark.llm.common import checked_broadcast, drop_stored, release_memory, small_batches, store
 from loomspark.llm.graph import components
 
 _U = np.uint64
@@ -189,6 +189,8 @@ def sets_of(parts: Iterator[pd.DataFrame], p: Parameters) -> Iterator[pd.DataFra
         order = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: p.most_frequent]
         none = pd.array([None] * len(order), dtype="Int64")
         yield pd.DataFrame({"doc_id": None, "n": 0, "node": none, "bitmap": None, "shingle": pd.array([h - (1 << 63) for h, _ in order], dtype="Int64"), "found": pd.array([k for _, k in order], dtype="Int64")}, columns=names)
+    counts.clear()
+    release_memory()
 
 
 # --- keys ------------------------------------------------------------------------------------------------------------
@@ -296,6 +298,8 @@ def packed_keys(parts: Iterator[pd.DataFrame], frequent: Frequent, bound: int, n
                 held, size = [], 0
     if held:
         yield flush()
+    held.clear()
+    release_memory()
 
 
 FOUND = "kind int, key long, a long, b long"

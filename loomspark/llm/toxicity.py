@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import nn
-from loomspark.llm.common import small_batches
+from loomspark.llm.common import release_memory, small_batches
 
 TOKEN = re.compile(r"[^\W_]+")
 THRESHOLD = 0.3
@@ -228,7 +228,7 @@ def _gradients(network: Network, at: np.ndarray, chars: nn.Runs, ids: np.ndarray
 class Scorer:
     """Scores whole texts; the projected words are kept up to a bound."""
 
-    MOST = 200_000
+    MOST = 120_000
 
     def __init__(self, network: Network):
         self.network, self.at = network, {}
@@ -260,7 +260,7 @@ class Scorer:
                 held.append((i, size, len(part)))
                 words += part
                 size += len(part)
-                if size > 200_000:
+                if size > 100_000:
                     self._flush(out, held, words)
                     held, words, size = [], [], 0
         if held:
@@ -303,7 +303,9 @@ def scored(text: Column, network: Network, spark) -> Column:
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for s in parts:
-            yield pd.Series([x for i in range(0, len(s), 500) for x in scorer.score(s.iloc[i : i + 500].tolist())], dtype="float64")
+            yield pd.Series([x for i in range(0, len(s), 250) for x in scorer.score(s.iloc[i : i + 250].tolist())], dtype="float64")
+        del scorer
+        release_memory()
 
     return score(text)
 
