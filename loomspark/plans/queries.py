@@ -207,15 +207,18 @@ def discriminative_terms(spark, sf_dir):
 
 
 def _picked(spark, sf_dir):
-    """Task, budget 1000, the ranking's first three sections as selected and the next twenty as left out."""
-    pos = ranking.ranked(_scores(spark, sf_dir).withColumn("score", F.round("score", 6)))
+    """Task, budget 1000, the ranking's first three sections as selected and all others as left out, with the aspects they match and each aspect's best id."""
+    scored, chunks = _stored_rows(spark, sf_dir), document_chunks(spark, sf_dir)
+    pos = ranking.ranked(ranking.merged(scored))
     top = pos.groupBy("task_id").agg(F.max("score").alias("top"))
-    rows = pos.filter("pos < 23").join(top, "task_id").join(document_chunks(spark, sf_dir).drop("text"), ["file_id", "ord"])
+    rows = pos.join(top, "task_id").join(chunks.drop("text"), ["file_id", "ord"]).join(ranking.attribution(scored).drop("file_id"), ["task_id", "ord"], "left")
     rel = ranking.relevance(F.col("score"), F.col("top"))
-    entry = F.struct("id", F.col("breadcrumb").alias("section"), "tokens", rel.alias("relevance"), F.lit(False).alias("truncated"), F.lit(None).cast("int").alias("full_tokens"), F.lit(None).cast("array<int>").alias("matched_queries"))
+    entry = F.struct("id", F.col("breadcrumb").alias("section"), "tokens", rel.alias("relevance"), F.lit(False).alias("truncated"), F.lit(None).cast("int").alias("full_tokens"), "matched_queries")
     listed = rows.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("s")))).alias("l"))
+    best = ranking.best_ids(scored, chunks, benchmark_aspects(spark, sf_dir))
+    lead = best.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("qi", "ord"))), lambda x: F.concat(F.lit("s"), x["ord"])).alias("best"))
     part = lambda keep: F.transform(F.filter("l", keep), lambda x: x["s"])
-    out = listed.select("task_id", part(lambda x: x["pos"] < 3).alias("selected"), part(lambda x: x["pos"] >= 3).alias("omitted"))
+    out = listed.join(lead, "task_id", "left").select("task_id", part(lambda x: x["pos"] < 3).alias("selected"), part(lambda x: x["pos"] >= 3).alias("omitted"), "best")
     used = F.aggregate("selected", F.lit(0), lambda a, s: a + s["tokens"])
     return out.withColumn("used", used).withColumn("budget", F.greatest(F.lit(1000), used + 20))
 
@@ -227,7 +230,7 @@ def next_hint(spark, sf_dir):
 
 def omit_buckets(spark, sf_dir):
     p = _picked(spark, sf_dir).withColumn("h", hints.next_section_hint(F.col("budget"), F.col("used"), F.col("omitted"), F.col("selected")))
-    b = hints.omit_buckets(F.col("budget"), F.col("used"), F.col("selected"), F.col("omitted"), F.col("h"), F.array().cast("array<string>"))
+    b = hints.omit_buckets(F.col("budget"), F.col("used"), F.col("selected"), F.col("omitted"), F.col("h"), F.col("best"))
     return p.withColumn("b", b).select("task_id", F.array_join(hints.ids(F.col("b.budget")), ",").alias("for_budget"), F.size("b.relevance").alias("n_for_relevance"))
 
 
