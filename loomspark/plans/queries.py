@@ -287,6 +287,39 @@ def pack_matrix(spark, sf_dir):
     return cum.join(F.broadcast(budgets), F.col("spent") <= F.col("budget")).groupBy("file_id", "budget").agg(F.count("*").alias("n"), F.max("spent").alias("tokens"))
 
 
+def recall_cases(spark, sf_dir):
+    """Each conversation's last turn asked by how its first line begins: whether the packed text holds the line's end under each budget, and if not, whether a section that was left out gives it back."""
+    docs = conversation_docs(spark, sf_dir)
+    chunks = store(chunk_markdown(docs), "chunks")
+    last = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by(F.struct("text"), "turn")["text"].alias("text"))
+    line = F.regexp_extract("text", r"\S[^\r\n]*", 0)
+    cases = last.select(F.concat(F.lit("conv"), "conv_id").alias("file_id"), F.concat(F.lit("What about "), F.substring(line, 1, 60), F.lit("?")).alias("task"), F.regexp_extract(line, r"\S.{0,39}$", 0).alias("needle")).filter("needle <> ''")
+    budgets = spark.createDataFrame([(b,) for b in (40, 250, 1000)], "token_budget int")
+    tasks = cases.crossJoin(F.broadcast(budgets)).withColumn("task_id", F.concat_ws("-", "file_id", "token_budget"))
+    holders = cases.join(chunks, "file_id").filter(F.contains("text", "needle")).groupBy("file_id").agg(F.collect_set("id").alias("holders"))
+    packed = C.compile_context(docs, tasks.drop("needle"), chunks).select("task_id", "markdown", "tokens_used", "selected_sections", "omitted_sections")
+    done = tasks.select("task_id", "file_id", "token_budget", "needle").join(packed, "task_id").join(holders, "file_id", "left")
+    done = done.withColumn("found", F.contains("markdown", "needle")).withColumn("expand_ok", F.when(~F.col("found"), F.coalesce(F.arrays_overlap(hints.ids(F.col("omitted_sections")), "holders"), F.lit(False))))
+    return done.select("task_id", "token_budget", "found", "expand_ok", (F.col("found") | F.col("expand_ok")).alias("ok"), "tokens_used", F.size("selected_sections").alias("selected"))
+
+
+def pack_cases(spark, sf_dir):
+    """Conversations by a pointed and a vague question by budgets: what is packed, whole-document flags, and whether a larger budget keeps to the selection at 1000."""
+    docs = conversation_docs(spark, sf_dir)
+    pointed = F.concat(F.lit("What about "), F.substring(F.regexp_replace("markdown", r"[#\n]+", " "), 40, 60), F.lit("?"))
+    asked = docs.select("file_id", F.explode(F.array(F.struct(F.lit("pointed").alias("kind"), pointed.alias("task")), F.struct(F.lit("vague").alias("kind"), F.lit("What is this conversation about?").alias("task")))).alias("q"))
+    budgets = spark.createDataFrame([(b,) for b in (400, 1000, 4000, 8000)], "token_budget int")
+    tasks = asked.select("file_id", "q.kind", "q.task").crossJoin(F.broadcast(budgets)).withColumn("task_id", F.concat_ws("-", "file_id", "kind", "token_budget"))
+    out = C.compile_context(docs, tasks.drop("kind")).select("task_id", "raw_tokens", "tokens_used", "reduction_pct", F.size("selected_sections").alias("selected"), F.size("omitted_sections").alias("omitted"),
+                                                             F.array_join(hints.ids(F.col("selected_sections")), ",").alias("ids"), F.col("compile_hints.early_stopped").alias("early_stopped"))
+    cells = tasks.select("task_id", "file_id", "kind", "token_budget").join(out, "task_id").withColumn("whole_doc", (F.col("selected") + F.col("omitted") > 0) & (F.col("omitted") == 0))
+    w = Window.partitionBy("file_id", "kind")
+    base = F.max(F.when(F.col("token_budget") == 1000, F.struct("ids", "selected"))).over(w)
+    kept = (F.col("token_budget") <= 1000) | (F.col("ids") == F.col("base.ids")) | (F.col("selected") <= F.col("base.selected") + 2)
+    flagged = cells.withColumn("base", base).withColumn("stable_ids", F.min(kept).over(w)).withColumn("short_circuit", (F.col("raw_tokens") <= F.col("token_budget")) & (F.col("reduction_pct") == 0) & F.col("whole_doc"))
+    return flagged.select("file_id", "kind", "token_budget", "raw_tokens", "tokens_used", "selected", (F.col("selected") + F.col("omitted")).alias("total_sections"), "ids", "whole_doc", "early_stopped", "short_circuit", "stable_ids")
+
+
 # --- cache and state -------------------------------------------------------------------------------------------------
 
 
@@ -335,7 +368,7 @@ def event_windows(spark, sf_dir):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     bm25_single, token_count, content_tokens, clamp_budget, token_savings, tokenize_freq, light_stem, cjk_ngrams, names_and_ids, section_labels, chunk_conversations, section_outline, block_split,
     html_markdown, bm25_heading_boost, per_query_norm, multi_score, relevance_pct, topk_sections, best_id, attribution, round_robin, score_shape, relevance_floor, top_cluster, discriminative_terms,
-    next_hint, omit_buckets, compile_hints, omitted_sections, compile_context, expand_section, prove_context, measure, recall_at_budget, pack_matrix, cache_lookup, dedupe_by_hash, rate_limit,
+    next_hint, omit_buckets, compile_hints, omitted_sections, compile_context, expand_section, prove_context, measure, recall_at_budget, pack_matrix, recall_cases, pack_cases, cache_lookup, dedupe_by_hash, rate_limit,
     request_costs, counters, session_totals, live_handles, event_windows,
 )}
 
