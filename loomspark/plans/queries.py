@@ -1,6 +1,6 @@
 """The registered queries over the data folder's tables.
 
-A file is a source of documents and a section is a document; tasks are texts of benchmark, two aspects of eight words each.
+A file is a source of documents and a section is a document; tasks are whole texts of benchmark in up to six aspects, of eight words or of a sixth of a longer text.
 """
 
 from __future__ import annotations
@@ -29,13 +29,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return docs.select(F.col("source").alias("file_id"), (F.row_number().over(order) - 1).alias("ord"), F.concat_ws(" > ", "source", "lang").alias("breadcrumb"), "text", K.token_count(F.col("text")).alias("tokens")).withColumn("id", F.concat(F.lit("s"), "ord"))
+    file_id = F.coalesce("source", F.lit(""))
+    order = Window.partitionBy(file_id).orderBy("doc_id")
+    return docs.select(file_id.alias("file_id"), (F.row_number().over(order) - 1).alias("ord"), F.concat_ws(" > ", "source", "lang").alias("breadcrumb"), "text", K.token_count(F.col("text")).alias("tokens")).withColumn("id", F.concat(F.lit("s"), "ord"))
 
 
 def benchmark_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.split(F.lower(F.regexp_replace("text", r"[ \t\r\n]+", " ")), " ").alias("w"))
-    parts = items.select(F.col("item_id").alias("task_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("file_id"), F.posexplode(F.array(F.slice("w", 1, 8), F.slice("w", 9, 8))).alias("qi", "w"))
+    source = F.coalesce("source", F.lit(""))
+    files = read(spark, sf_dir, "documents").agg(F.array_sort(F.collect_set(F.struct(F.length(source), source.alias("file_id")))).alias("files"))
+    words = F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\r\n]+", " ")), " ")
+    items = read(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).withColumn("each", F.greatest(F.lit(8), F.ceil(F.size("w") / Q.MOST_ASPECTS)).cast("int")).crossJoin(F.broadcast(files))
+    slices = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / F.col("each")).cast("int") - 1), lambda i: F.slice("w", i * F.col("each") + 1, F.col("each")))
+    file_id = F.get("files", F.pmod("item_id", F.size("files")).cast("int"))["file_id"]
+    parts = items.select(F.col("item_id").alias("task_id"), file_id.alias("file_id"), F.posexplode(slices).alias("qi", "w"))
     return parts.select("task_id", "file_id", "qi", F.concat_ws(" ", "w").alias("query")).withColumn("terms", Q.terms(F.col("query")))
 
 
@@ -198,7 +204,7 @@ def top_cluster(spark, sf_dir):
 
 
 def discriminative_terms(spark, sf_dir):
-    asked = benchmark_aspects(spark, sf_dir).groupBy("file_id").agg(F.array_sort(F.collect_set(F.element_at("terms", 1))).alias("terms"))
+    asked = benchmark_aspects(spark, sf_dir).groupBy("file_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
     texts = document_chunks(spark, sf_dir).join(asked, "file_id")
     return texts.select("file_id", "ord", F.array_join(ranking.discriminative(F.col("text"), F.col("terms")), ",").alias("terms"))
 
@@ -236,7 +242,7 @@ def omit_buckets(spark, sf_dir):
 
 def compile_hints(spark, sf_dir):
     p = _picked(spark, sf_dir).withColumn("h", hints.next_section_hint(F.col("budget"), F.col("used"), F.col("omitted"), F.col("selected")))
-    notes = hints.compile_hints(F.lit(2), F.lit(50.0), F.lit(False), F.col("budget"), F.col("used"), F.col("selected"), F.col("omitted"), F.col("h"))
+    notes = hints.compile_hints(F.size("best"), F.lit(50.0), F.lit(False), F.col("budget"), F.col("used"), F.col("selected"), F.col("omitted"), F.col("h"))
     return p.withColumn("n", notes).select("task_id", "n.multi_part_nudge", "n.omit_action", "n.named_omit", "n.early_stopped")
 
 

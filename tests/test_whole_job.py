@@ -1,9 +1,10 @@
 """Queries over all their rows, against the SQL twins without the twins' cuts."""
 
 import duckdb
+import pytest
 
 from loomspark.plans import oracle
-from loomspark.plans.queries import QUERIES
+from loomspark.plans.queries import QUERIES, benchmark_aspects, document_chunks
 
 from .test_engine import _same
 
@@ -12,7 +13,28 @@ def _duck(data, sql):
     db = duckdb.connect()
     for t in ("documents", "benchmark", "labels"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
-    return db.execute(sql).df()
+    return db.execute(sql.replace(oracle._ASPECTS, ASPECTS).replace("list(DISTINCT terms[1])", "list_distinct(flatten(list(terms)))")).df()
+
+
+#: The twins' tasks from whole texts: up to six aspects, of eight words or of a sixth of a longer text.
+ASPECTS = f"""bw AS (SELECT item_id AS task_id, 'src' || (item_id % 20) AS file_id, string_split(lower(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), ' ') AS w, greatest(8, (len(w) + 5) // 6) AS k FROM benchmark),
+aq AS (SELECT task_id, file_id, qi, array_to_string(w[qi * k + 1:qi * k + k], ' ') AS query FROM bw, range(6) r(qi) WHERE qi * k < len(w)),
+""" + oracle._ASPECTS[oracle._ASPECTS.index("asp AS") :]
+ASKED = sorted(n for n, sql in oracle.ORACLE.items() if oracle._ASPECTS in sql and n != "omit_buckets")
+
+
+@pytest.mark.parametrize("name", ASKED)
+def test_whole_tasks(spark, data, name):
+    assert _same(QUERIES[name](spark, data).toPandas()) == _same(_duck(data, oracle.ORACLE[name]))
+
+
+def test_tasks_keep_all_words_and_meet_any_source(spark, tmp_path):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (3, 17, 48, 100)]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, "w1", "en", "books"), (1, "w2", "en", None)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = benchmark_aspects(spark, str(tmp_path)).orderBy("task_id", "qi").toPandas()
+    assert got.groupby("task_id")["query"].agg(" ".join).tolist() == texts and got.groupby("task_id").size().tolist() == [1, 3, 6, 6]
+    assert set(got.file_id) == {"books", ""} == {r.file_id for r in document_chunks(spark, str(tmp_path)).collect()}
 
 
 #: The twin of omit_buckets over all sections that were left out; those that match an aspect without its best section go to the budget bucket.
