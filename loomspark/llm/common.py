@@ -42,6 +42,27 @@ def words(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(c for c in (f"{name}_{i}" for i in range(len(taken) + 1)) if c not in taken)
+
+
+def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the highest counts, at most so many, cut where a step of an eighth of a doubling ends; all if there are no more.
+
+    A histogram of counts finds the cut, so nothing is sorted and only that comes to the driver.
+    """
+    step = F.floor(F.log2(F.greatest(F.col(count), F.lit(1))) * 8)
+    found = sorted(((r["step"], r["k"]) for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    total, least = 0, None
+    for at, k in found:
+        if total + k > most:
+            break
+        total, least = total + k, at
+    return rows.filter(F.lit(False)) if least is None else rows.filter(step >= least)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a temporary one only where it is unset (local runs and tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -153,7 +153,7 @@ def pack_partition(parts: Iterator[pd.DataFrame], path: str, p: Parameters, numb
 
     for pdf in parts:
         rows = zip(pdf["doc_id"], pdf["text"], strict=True)
-        ids_of = (x for c in in_chunks(pdf["text"]) for x in tokens.of(c))
+        ids_of = (x for c in in_chunks(pdf["text"], 2_000_000) for x in tokens.of(c))
         for (doc_id, _), ids in zip(rows, ids_of, strict=True):
             ids += end
             total = len(ids) // 4

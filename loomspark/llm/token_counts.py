@@ -1,4 +1,11 @@
-"""Token counts: each distinct pre-token is counted once, then joined to every document's pre-token frequencies."""
+"""Token counts: each distinct pre-token is counted once, then joined to every document's pre-token frequencies.
+
+1. Tasks collect the pre-tokens of their texts; one aggregate makes them distinct and the tokenizer counts each of them once,
+   into a stored table.
+2. The texts are read again for their pre-token frequencies.  The table's most frequent pre-tokens, a bounded number of bounded
+   length, are known to every task and summed there; only the frequencies of the others are joined to the table by a shuffle,
+   so a pre-token that is everywhere moves no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +13,34 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 from operator import mul
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import small_batches
+from loomspark.llm.common import drop_stored, free_name, most_frequent, release_memory, small_batches, store
 
 #: What the byte-level pre-tokenizer takes for blanks (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A blank goes with the word behind it and the blanks before that stand alone: no pre-token of the library crosses these cuts.
-PRE_TOKEN = re.compile(f"[{SPACE}]?[^{SPACE}]+|[{SPACE}]+(?=[{SPACE}][^{SPACE}])|[{SPACE}]+")
-#: Distinct pre-tokens a worker remembers before it starts anew, and the characters it takes up between two lookups.
-MOST_KNOWN, CHUNK_CHARS = 400_000, 2_000_000
+_LATIN, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+#: A blank goes with the word behind it and the blanks before that stand alone; marks that end a word of Latin letters stand
+#: alone.  No pre-token of the library crosses these cuts.
+PRE_TOKEN = re.compile(
+    f"[{SPACE}]?[{_LATIN}]+(?=[{_MARKS}]+(?:[{SPACE}]|\\Z))|(?<=[{_LATIN}])[{_MARKS}]+(?=[{SPACE}]|\\Z)"
+    f"|[{SPACE}]?[^{SPACE}]+|[{SPACE}]+(?=[{SPACE}][^{SPACE}])|[{SPACE}]+"
+)
+
+
+@dataclass(frozen=True)
+class Parameters:
+    #: Pre-tokens that every task knows, and their greatest length.
+    most_known: int = 200_000
+    longest_known: int = 64
+    #: What a task keeps of distinct pre-tokens, and of texts, at once: pre-tokens and characters.
+    most_held: int = 200_000
+    most_chars: int = 2_000_000
 
 
 def load(path: str):
@@ -35,47 +55,22 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-class PieceCounter:
-    """Counts tokens of whole texts; equals the library's own count without added tokens."""
+class PreTokens:
+    """Cuts texts into pre-tokens and the added tokens between them."""
 
     def __init__(self, path: str):
-        self.tokenizer = load(path)
-        self.known: dict[str, int] = {}
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in load(path).get_added_tokens_decoder().values()]
         #: An added token inside a text is one token by the library's default and splits what surrounds it.
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
-    def frequencies(self, text: str) -> tuple[Counter, int]:
-        """Pre-token frequencies of a text, and the added tokens in it."""
+    def cut(self, text: str) -> tuple[list[str], int]:
+        """Pre-tokens of a text in order, and the added tokens in it."""
         if self.special and (n := len(self.special.findall(text))):
-            found: Counter = Counter()
-            for part in self.special.split(text):
-                found.update(PRE_TOKEN.findall(part))
-            return found, n
-        return Counter(PRE_TOKEN.findall(text)), 0
-
-    def learn(self, wanted: Iterable[str]) -> None:
-        new = [w for w in wanted if w not in self.known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.known.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-
-    def count(self, texts: list[str]) -> list[int]:
-        rows = [self.frequencies(t) for t in texts]
-        if len(self.known) > MOST_KNOWN:
-            self.known.clear()
-        self.learn(set().union(*(f for f, _ in rows)))
-        look = self.known.__getitem__
-        return [n + sum(map(mul, f.values(), map(look, f))) for f, n in rows]
-
-
-@lru_cache(maxsize=2)
-def worker_counter(path: str) -> PieceCounter:
-    """One for all tasks of a Python worker, as they share most pre-tokens."""
-    return PieceCounter(path)
-
-
-def in_chunks(texts: Iterable[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
+            return [w for part in self.special.split(text) for w in PRE_TOKEN.findall(part)], n
+        return PRE_TOKEN.findall(text), 0
+
+
+def in_chunks(texts: Iterable[str], most: int) -> Iterator[list[str]]:
     """Runs of texts of about `most` characters, so that what is kept of them at once stays small."""
     held, size = [], 0
     for t in texts:
@@ -88,23 +83,87 @@ def in_chunks(texts: Iterable[str], most: int = CHUNK_CHARS) -> Iterator[list[st
         yield held
 
 
-def n_tokens(text: Column, path: str) -> Column:
-    @F.pandas_udf("long")
-    def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = worker_counter(path)
-        for s in parts:
-            yield pd.Series([n for c in in_chunks(s) for n in counter.count(c)], dtype="int64")
-
-    return counted(F.coalesce(text, F.lit("")))
-
-
-def token_counts(docs: DataFrame, path: str = "byte_bpe_50k.json", limit: int = 1024, text: str = "text") -> DataFrame:
-    """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
-
-    The pre-tokens of a run of texts are counted in one lookup table of the worker, so the join moves no rows between
-    machines and no ids are kept.  Null counts as empty, an empty text has 0 of each; rows are counted one by one, so
-    repeated rows stay and other columns don't matter.
+def distinct(parts: Iterator[pd.DataFrame], path: str, p: Parameters) -> Iterator[pd.DataFrame]:
+    """(piece, runs): the pre-tokens of a task's texts, with the number of runs of texts that have them."""
+    found: Counter = Counter()
+    pre, size = PreTokens(path), 0
+
+    def flush() -> pd.DataFrame:
+        return pd.DataFrame({"piece": list(found), "runs": list(found.values())})
+
+    for pdf in parts:
+        for texts in in_chunks(pdf["text"], p.most_chars):
+            new = set().union(*(pre.cut(t)[0] for t in texts))
+            size += sum(map(len, new))
+            found.update(new)
+            # Characters are counted once a run, so long pre-tokens fill what a task may hold as many short ones do.
+            if len(found) > p.most_held or size > 8 * p.most_chars:
+                yield flush()
+                found.clear()
+                size = 0
+    if found:
+        yield flush()
+        found.clear()
+    release_memory()
+
+
+def sizes(parts: Iterator[pd.DataFrame], path: str, p: Parameters) -> Iterator[pd.DataFrame]:
+    """(piece, runs, n): the tokens of each pre-token."""
+    tokenizer = load(path)
+    for pdf in parts:
+        # The ids of a piece live as long as its run of pieces; those of a document are never made.
+        n = [len(e) for c in in_chunks(pdf["piece"], p.most_chars // 8) for e in tokenizer.encode_batch_fast(c, add_special_tokens=False)]
+        yield pdf.assign(n=pd.Series(n, dtype="int64", index=pdf.index))
+    release_memory()
+
+
+def piece_table(docs: DataFrame, path: str, text: str, p: Parameters) -> DataFrame:
+    """(piece, runs, n): every distinct pre-token of the texts, counted once."""
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    every = texts.mapInPandas(lambda parts: distinct(parts, path, p), "piece string, runs long").groupBy("piece").agg(F.sum("runs").alias("runs"))
+    return store(every.mapInPandas(lambda parts: sizes(parts, path, p), "piece string, runs long, n long"), "pieces")
+
+
+def token_counts(docs: DataFrame, path: str = "byte_bpe_50k.json", limit: int = 1024, text: str = "text", p: Parameters = Parameters()) -> DataFrame:
+    """docs, but for the text, with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
+
+    Null counts as empty, an empty text has 0 of each, and an empty table gives an empty table.  Rows are numbered when they
+    are written, so repeated rows and null ids stay and are counted one by one; a very long text is one row like others.
+    Columns of docs named like the new ones are replaced, others of any name don't matter.
     """
-    small_batches(docs.sparkSession)
-    counted = docs.withColumn("n_bytes", F.octet_length(F.coalesce(docs[text], F.lit(""))).cast("long"))
-    return counted.withColumn("n_tokens", n_tokens(F.col(text), path)).withColumn("over_limit", F.col("n_tokens") > limit)
+    spark = docs.sparkSession
+    small_batches(spark)
+    pieces = piece_table(docs, path, text, p)
+    known = most_frequent(pieces.filter(F.length("piece") <= p.longest_known), "runs", p.most_known).select("piece", "n").toArrow()
+    shared = spark.sparkContext.broadcast(dict(zip(known["piece"].to_pylist(), known["n"].to_pylist(), strict=True)))
+
+    @F.pandas_udf("n long, others array<struct<piece:string,f:long>>")
+    def summed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pre, look = PreTokens(path), shared.value.get
+        for s in parts:
+            rows = []
+            for t in s:
+                found, n = pre.cut(t)
+                f = Counter(found)
+                n_of = list(map(look, f))
+                others = []
+                if None in n_of:
+                    others = [{"piece": w, "f": k} for (w, k), x in zip(f.items(), n_of, strict=True) if x is None]
+                    n_of = [x or 0 for x in n_of]
+                rows.append((n + sum(map(mul, f.values(), n_of)), others))
+            yield pd.DataFrame(rows, columns=["n", "others"])
+        release_memory()
+
+    new = ("n_bytes", "n_tokens", "over_limit")
+    row, counted = free_name(docs, "row"), free_name(docs, "counted")
+    kept = [c for c in docs.columns if c not in (text, *new)]
+    read = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(counted, summed(F.coalesce(F.col(text), F.lit(""))))
+    n_bytes = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes")
+    rows = store(read.select(*kept, n_bytes, row, F.col(f"{counted}.n").alias("n_tokens"), F.col(f"{counted}.others").alias(counted)), "counts")
+    drop = [counted, row]
+    if pieces.count() > len(known):
+        other = rows.select(row, F.explode(counted).alias("o")).select(row, "o.piece", "o.f")
+        sums = other.join(pieces.select("piece", "n"), "piece").groupBy(row).agg(F.sum(F.col("f") * F.col("n")).alias(counted))
+        rows = store(rows.drop(counted).join(sums, row, "left").withColumn("n_tokens", F.col("n_tokens") + F.coalesce(counted, F.lit(0))).drop(*drop), "summed")
+    drop_stored(spark, pieces)
+    return rows.drop(*drop).withColumn("over_limit", F.col("n_tokens") > limit)

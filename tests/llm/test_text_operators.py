@@ -13,11 +13,13 @@ from loomspark.llm.language_id import language_id
 from loomspark.llm.packing import Ids, Packer, packing
 from loomspark.llm.packing import Parameters as PackParameters
 from loomspark.llm.quality_rules import quality_rules
-from loomspark.llm.token_counts import load, token_counts
+from loomspark.llm.token_counts import Parameters as CountParameters
+from loomspark.llm.token_counts import PreTokens, load, token_counts
 from loomspark.llm.url_filters import url_filters
 from pyspark.sql import functions as F
 
 ODD = [None, "", " \n\t ", "one", "a b c d e " * 40, "x" * 30_000, "the cat <|endoftext|> sat\n\n on É 你好 it's 12", "the cat <|endoftext|> sat\n\n on É 你好 it's 12", "a\rb\fc\vd"]
+PRE = PreTokens("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, quality string, n_tokens int"
 
 
@@ -56,16 +58,37 @@ def test_quality_rules_verdicts(spark):
     assert "symbols" in got[2].failed and "dup_lines" in got[3].failed and got[4].failed == ["stop_words"]
 
 
-def test_token_counts(odd):
+@pytest.mark.parametrize("p", [CountParameters(), CountParameters(most_known=3, longest_known=4, most_held=2, most_chars=20)])
+def test_token_counts(odd, p):
     tokenizer = load("byte_bpe_50k.json")
-    got = token_counts(odd).collect()
-    assert len(got) == len(ODD) + 2
+    rows = odd.repartition(3).withColumn("row_0", F.col("text")).withColumn("counted_0", F.lit(1))
+    got = token_counts(rows, p=p).collect()
+    assert len(got) == len(ODD) + 2 and "text" not in got[0].asDict() and {r.counted_0 for r in got} == {1}
     for r in got:
-        want = len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
-        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((r.text or "").encode()), want, want > 1024)
+        text = r.row_0 or ""
+        want = len(tokenizer.encode(text, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), want, want > 1024)
     assert token_counts(odd.limit(0)).count() == 0
 
 
+def test_pre_tokens_keep_the_library_counts():
+    tokenizer, r = load("byte_bpe_50k.json"), np.random.default_rng(3)
+    parts = ["a", "Don't", "it's,", "...", "x.", ",,", "é", "ﬁn.", "你好,", "12.5,", "#,", "\n", "  ", "\t", "\u3000", "ab!?", "'s", "'", "_x_.", "!", "<|endoftext|>", "\u0301"]
+    for _ in range(3000):
+        text = "".join(parts[int(i)] + " " * int(r.integers(3) == 0) for i in r.integers(len(parts), size=12))
+        found, n = PRE.cut(text)
+        assert n + sum(len(e.ids) for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
+
+
+def test_token_counts_of_a_table(spark, data):
+    from loomspark.llm.queries import op10_token_counts
+
+    tokenizer = load("byte_bpe_50k.json")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    got = op10_token_counts(spark, data).collect()
+    assert len(got) == len(texts) and all(r.n_tokens == len(tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids) for r in got)
+
+
 @pytest.mark.parametrize("p", [PackParameters(), PackParameters(size=16, open_windows=2, merged_partitions=1)])
 def test_packing(odd, p):
     texts = {}
