@@ -103,9 +103,10 @@ def release_memory() -> None:
         libc.malloc_trim(0)
 
 
-def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def checked_broadcast(df: DataFrame, most_bytes: int = 64_000_000) -> DataFrame:
+    """df with a broadcast hint if its rows, written as JSON, have at most so many bytes; else as it is, to be joined by a shuffle."""
+    size = F.octet_length(F.to_json(F.struct("*"))) + 16
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most_bytes else df
 
 
 def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.common import drop_stored, free_name, most_frequent, store
+
 
 @dataclass(frozen=True)
 class UrlRule:
@@ -31,11 +33,14 @@ RULES = (
     UrlRule("allow", "com", "/fr/"),
     UrlRule("block", "com", "/de/"),
 )
-#: Suffixes of two labels under which domains are registered; any other suffix has one label.
+#: Suffixes of two labels under which domains are registered, the usual ones; any other suffix has one label.
+#: A longer list is handed in as `suffixes`.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za", "com.cn")
 #: A prior's strength, in pages, is held between these.
 STRENGTH = (1.0, 1000.0)
 LEVELS = ("suffix", "domain", "host")
+#: Hosts with the most pages that every task knows, and their greatest length; pages of other hosts are joined by a shuffle.
+MOST_KNOWN, LONGEST_KNOWN = 20_000, 255
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -44,13 +49,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(part(1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), part(2)
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def domain_of(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
+    return F.when(F.substring_index(host, ".", -2).isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def matched(host: Column, path: Column, rules: tuple[UrlRule, ...], field: str) -> Column:
@@ -72,48 +77,61 @@ def strength(groups: DataFrame) -> float:
     return min(max(1 / rho - 1, STRENGTH[0]), STRENGTH[1]) if rho > 0 else STRENGTH[1]
 
 
-def reputation(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
-    """Posteriors from labelled pages (host, good 0/1): frames of hosts, domains and suffixes, and the scalars.
+def posteriors(hosts: DataFrame) -> DataFrame:
+    """hosts (host, domain, suffix, n, good, …) with a and b of each host's beta posterior; n and good may be 0.
 
     Each level's counts shrink towards the mean of the level above with that level's own prior strength: all pages, suffix,
-    registered domain, host.  The counts are sums, so a host with most of the pages is added up before it is moved.
+    registered domain, host.  Only levels with labelled pages say how strong a prior is.
     """
-    hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").cast("long").alias("good")).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     add = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    domains = add(hosts, "suffix", "domain")
+    labelled = hosts.filter("n > 0")
+    domains = add(labelled, "suffix", "domain")
     suffixes = add(domains, "suffix")
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
-    k = dict(zip(LEVELS, map(strength, (suffixes, domains, hosts)), strict=True)) | {"mean": (total.good + 1) / (total.n + 2)}
+    k = dict(zip(LEVELS, map(strength, (suffixes, domains, labelled)), strict=True))
     shrunk = lambda level, above: (F.col("good") + F.lit(k[level]) * above) / (F.col("n") + k[level])
-    s = suffixes.select("suffix", shrunk("suffix", F.lit(k["mean"])).alias("suffix_mean"))
+    s = suffixes.select("suffix", shrunk("suffix", F.lit((total.good + 1) / (total.n + 2))).alias("suffix_mean"))
     d = domains.join(s, "suffix").select("domain", shrunk("domain", F.col("suffix_mean")).alias("domain_mean"))
-    return hosts.select("host", "n", "good"), d, s, k
+    prior = F.coalesce("domain_mean", F.coalesce(F.col("suffix_mean"), F.lit((total.good + 1) / (total.n + 2))))
+    a, b = F.col("good") + prior * k["host"], F.col("n") - F.col("good") + (1 - prior) * k["host"]
+    return hosts.join(d, "domain", "left").join(s, "suffix", "left").withColumn("a", a).withColumn("b", b)
 
 
-def url_filters(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple[UrlRule, ...] = RULES, z: float = 1.645, least: float = 0.5, url: str = "url") -> DataFrame:
+def url_filters(
+    pages: DataFrame, labelled: DataFrame | None = None, rules: tuple[UrlRule, ...] = RULES, z: float = 1.645, least: float = 0.5, url: str = "url",
+    suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES, most_known: int = MOST_KNOWN,
+) -> DataFrame:
     """pages with host, path, rule (text of the longest rule that fits, else null) and verdict, besides the posterior's mean and upper bound.
 
     labelled has (host, good 0/1) rows; without it the pages that a rule decides are the labelled outcomes.  A page that no
     rule fits is blocked where even the upper bound of its host's posterior (mean + z standard deviations) is below least.
-    Null urls and those without :// have an empty host and path and are judged by the reputation of the empty host.
-    Repeated rows stay and count as often as they occur; columns of pages named like the new ones are replaced.
+    Null urls and those without :// have an empty host and path and are judged by the reputation of the empty host; a very
+    long url is read to its end, and an empty table gives an empty table.  Repeated rows stay and count as often as they
+    occur; columns of pages named like the new ones are replaced, others of any name don't matter.
     """
+    spark = pages.sparkSession
     host, path = host_and_path(pages[url])
     new = ("host", "path", "rule", "verdict", "mean", "upper")
     kept = pages.drop(*[c for c in new if c != url])
-    parsed = kept.withColumn("host", host).withColumn("path", path)
-    judged = parsed.withColumn("rule", matched(F.col("host"), F.col("path"), rules, "text")).withColumn("__v", matched(F.col("host"), F.col("path"), rules, "verdict"))
-    if labelled is None:
-        labelled = judged.filter("__v is not null").select("host", (F.col("__v") == "allow").cast("int").alias("good"))
-    hosts, domains, suffixes, k = reputation(labelled)
-    # One row a host, labelled or not, so that the pages are joined once.
-    every = judged.filter("__v is null").select("host").distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    prior = F.coalesce("domain_mean", F.coalesce(F.col("suffix_mean"), F.lit(k["mean"])))
-    n, good, kh = F.coalesce("n", F.lit(0)), F.coalesce("good", F.lit(0)), k["host"]
-    a, b = good + prior * kh, n - good + (1 - prior) * kh
-    posterior = every.join(domains, "domain", "left").join(suffixes, "suffix", "left").join(hosts, "host", "left").select("host", a.alias("a"), b.alias("b"))
+    ruled = free_name(pages, "ruled")
+    judged = kept.withColumn("host", host).withColumn("path", path)
+    judged = judged.withColumn("rule", matched(F.col("host"), F.col("path"), rules, "text")).withColumn(ruled, matched(F.col("host"), F.col("path"), rules, "verdict"))
+    # A host with most of the pages is added up before it is moved; all that follows reads these sums.
+    own = labelled is None
+    n = F.sum(F.col(ruled).isNotNull().cast("long")) if own else F.lit(0).cast("long")
+    good = F.sum((F.coalesce(F.col(ruled), F.lit("")) == "allow").cast("long")) if own else F.lit(0).cast("long")
+    sums = judged.groupBy("host").agg(F.count("*").alias("pages"), n.alias("n"), good.alias("good"))
+    if labelled is not None:
+        also = labelled.groupBy("host").agg(F.lit(0).cast("long").alias("pages"), F.count("*").alias("n"), F.sum("good").cast("long").alias("good"))
+        sums = sums.unionByName(also).groupBy("host").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("good").alias("good"))
+    hosts = store(sums.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)), "hosts")
     mean = F.col("a") / (F.col("a") + F.col("b"))
     spread = F.sqrt(F.col("a") * F.col("b") / ((F.col("a") + F.col("b")) * (F.col("a") + F.col("b")) * (F.col("a") + F.col("b") + 1)))
-    bounds = posterior.select("host", mean.alias("mean"), (mean + z * spread).alias("upper"))
-    out = judged.join(bounds, "host", "left")
-    return out.withColumn("verdict", F.coalesce("__v", F.when(F.col("upper") < least, "block").otherwise("allow"))).select(*kept.columns, *new)
+    bounds = store(posteriors(hosts).filter("pages > 0").select("host", "pages", mean.alias("mean"), (mean + z * spread).alias("upper")), "bounds")
+    drop_stored(spark, hosts)
+    # Pages of large hosts stay where they are; these hosts are bounded in number and length.
+    known = F.broadcast(most_frequent(bounds.filter(F.length("host") <= LONGEST_KNOWN), "pages", most_known).drop("pages"))
+    large = judged.join(known, "host")
+    small = judged.join(known.select("host"), "host", "left_anti").join(bounds.drop("pages"), "host", "left")
+    verdict = F.coalesce(ruled, F.when(F.col("upper") < least, "block").otherwise("allow"))
+    return large.unionByName(small).withColumn("verdict", verdict).select(*kept.columns, *new)
