@@ -26,9 +26,8 @@ class Parameters:
     word_size: int = 8
     char_size: int = 12
     hidden: int = 8
-    #: Most labelled documents, not toxic and toxic, that the network is trained on, and most words of each that a pass reads.
+    #: Most labelled documents, not toxic and toxic, that the network is trained on; of these every word is read.
     most_documents: tuple[int, int] = (3000, 1500)
-    most_words: int = 1200
     vocabulary: int = 20_000
     ngrams: int = 60_000
     #: Words and n-grams in fewer labelled documents are unknown.
@@ -73,9 +72,9 @@ class Encoder:
         return cls({w: i + 1 for i, w in enumerate(words)}, {g: i for i, g in enumerate(ngrams)}), word_odds, ngram_odds
 
     @staticmethod
-    def pieces(word: str) -> list[str]:
-        w = f"<{word[:40]}>"
-        return [w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
+    def pieces(word: str) -> Iterator[str]:
+        w = f"<{word}>"
+        return (w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1))
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, nn.Runs]:
         get, flat, sizes = self.ngrams.get, [], []
@@ -171,7 +170,7 @@ class Network:
 
 def train(rows: list[tuple[str, int]], p: Parameters = Parameters()) -> Network:
     """Multi-instance training: a document is as toxic as its worst window, so only that window is corrected."""
-    docs = [(tokens(t)[: p.most_words], y) for t, y in rows]
+    docs = [(tokens(t), y) for t, y in rows]
     docs = [(t, y) for t, y in docs if t]
     encoder, *odds = Encoder.learn(docs, p)
     network = Network(encoder, p, *odds)
@@ -278,20 +277,21 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, p: Parameters) -> list[tuple[str, int]]:
-    """Labelled texts: of either class the most_documents ids that come first by a hash; a tie of labels goes to toxic.
+    """Whole labelled texts: of either class the most_documents ids that come first by a hash; a tie of labels goes to toxic.
 
-    The ids are chosen on the labels alone.  They are bounded, so they are broadcast and no text is shuffled.
+    The ids are chosen on the labels alone.  They are bounded, so they are broadcast; rows of one id with one text become one
+    before they are moved.
     """
-    rows = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max((F.col(label) > 0).cast("int")).alias("__y"))
+    rows = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("y")).groupBy("k").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
     chosen = None
     for y in (0, 1):
-        part = rows.filter(F.col("__y") == y).orderBy(F.xxhash64(key), key).limit(p.most_documents[y])
+        part = rows.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(p.most_documents[y])
         chosen = part if chosen is None else chosen.unionByName(part)
-    # A text's first most_words words are all that a pass reads.
-    found = docs.filter(F.col(text).isNotNull()).select(key, F.substring(text, 1, 40 * p.most_words).alias("__t")).join(F.broadcast(chosen), key)
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
+    found = texts.groupBy("k", "y", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"))
     seen: dict[str, int] = {}
-    for r in found.select("__t", "__y").toLocalIterator():
-        seen[r["__t"]] = max(r["__y"], seen.get(r["__t"], 0))
+    for r in found.select("t", "y").toLocalIterator():
+        seen[r["t"]] = max(r["y"], seen.get(r["t"], 0))
     return sorted(seen.items())
 
 
@@ -314,8 +314,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """docs with score, the highest probability over all overlapping windows of the whole text, and predicted (1 from threshold on).
 
     labels has (key, 0/1 label) rows, of which those on rows of docs train the network; rows with nulls are left out, and
-    without any the untrained network still gives a score.  Null, empty and wordless texts score 0.  Equal texts get equal scores, repeated rows stay, and columns of docs
-    named score or predicted are replaced.
+    without any the untrained network still gives a score.  Null, empty and wordless texts score 0, and an empty table gives
+    an empty table.  A very long text is scored window by window to its end, in parts of bounded size; a training text is
+    held whole by the driver.  Equal texts get equal scores, repeated rows stay, and columns of docs named score or predicted
+    are replaced.
     """
     small_batches(docs.sparkSession)
     network = train(sample(docs, labels, key, text, label, p), p)
