@@ -5,7 +5,8 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import nn
 from loomspark.llm.common import small_batches
+from loomspark.llm.token_counts import in_chunks
 
 # --- blocks ----------------------------------------------------------------------------------------------------------
 
@@ -38,22 +40,46 @@ _TOKEN = re.compile(r"[^\W_]+")
 _BLANKS = re.compile(r"[ \t\n\r\f\v\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+class Path:
+    """An open element: its tag and class tokens, and the one around it.  Blocks share these, so depth costs nothing twice."""
+
+    __slots__ = ("above", "depth", "marks", "_known")
+
+    def __init__(self, marks: tuple[str, ...], above: Path | None):
+        self.marks, self.above, self.depth = marks, above, (above.depth if above else 0) + 1
+        self._known: frozenset[int] | None = None
+
+    def __iter__(self) -> Iterator[tuple[str, ...]]:
+        """Marks from the innermost element outwards."""
+        at: Path | None = self
+        while at:
+            yield at.marks
+            at = at.above
+
+    def known(self, n: int) -> frozenset[int]:
+        """Buckets of the marks of this and all elements around it; an element that adds none shares the set of the one around it."""
+        todo: list[Path] = []
+        at: Path | None = self
+        while at and at._known is None:
+            todo.append(at)
+            at = at.above
+        found = at._known if at else frozenset()
+        for x in reversed(todo):
+            own = _buckets("", x.marks, n)
+            found = found if own <= found else found | own
+            x._known = found
+        return found
+
+
 @dataclass
 class Block:
     text: str
-    #: From the root: tag and class tokens of each open element.
-    path: tuple[tuple[str, ...], ...]
+    #: The innermost open element, None outside of all.
+    path: Path | None
     #: Share of the characters that stand in links.
     linked: float
 
 
-@dataclass
-class _Open:
-    tag: str
-    marks: tuple[str, ...]
-    seen: bool
-
-
 def _marks(tag: str, rest: str) -> tuple[str, ...]:
     found = [tag]
     if rest and "=" in rest or "hidden" in rest:
@@ -64,35 +90,70 @@ def _marks(tag: str, rest: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class _Stack:
+    """Open elements from the root, with the places of each tag, so that no question walks through all of them."""
+
+    def __init__(self) -> None:
+        self.paths: list[Path] = []
+        self.seen: list[bool] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, tag: str, marks: tuple[str, ...], seen: bool) -> None:
+        self.at[tag].append(len(self.paths))
+        self.paths.append(Path(marks, self.paths[-1] if self.paths else None))
+        self.seen.append(seen)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags, -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def cut(self, i: int) -> bool:
+        """Closes the element at i and all inside it; whether one of them was a block."""
+        block = False
+        for x in self.paths[i:]:
+            block |= x.marks[0] in BLOCK
+            self.at[x.marks[0]].pop()
+        del self.paths[i:], self.seen[i:]
+        return block
+
+    @property
+    def path(self) -> Path | None:
+        return self.paths[-1] if self.paths else None
+
+    @property
+    def shows(self) -> bool:
+        return not self.seen or self.seen[-1]
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks with text, in page order: references decoded, white space made one space, trimmed."""
     page = page or ""
     out: list[Block] = []
-    stack: list[_Open] = []
+    stack = _Stack()
     held: list[str] = []
     linked = 0
 
-    def flush() -> None:
+    def flush(path: Path | None) -> None:
         nonlocal linked
         if held:
             text = _BLANKS.sub(" ", "".join(held)).strip(" ")
             if text:
-                out.append(Block(text, tuple(x.marks for x in stack), min(1.0, linked / max(1, len(text)))))
+                out.append(Block(text, path, min(1.0, linked / max(1, len(text)))))
             held.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
-        if text and (not stack or stack[-1].seen):
+        if text and stack.shows:
             text = html_lib.unescape(text)
             held.append(text)
-            if any(x.tag == "a" for x in stack):
+            if stack.at.get("a"):
                 linked += len(text.strip())
 
     def close(i: int) -> None:
-        if any(x.tag in BLOCK for x in stack[i:]):
-            flush()
-        del stack[i:]
+        path = stack.path
+        if stack.cut(i):
+            flush(path)
 
     at = 0
     while at < len(page):
@@ -109,37 +170,31 @@ def blocks(page: str | None) -> list[Block]:
                 continue
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in HOLDS and tag not in HOLDS and tag in BLOCK:
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            i = stack.last((tag,))
+            # An end tag of a block that holds no others doesn't reach out of the container it stands in.
+            if i >= 0 and (tag in HOLDS or tag not in BLOCK or i > stack.last(HOLDS)):
+                close(i)
+            elif i < 0 and tag in BLOCK and (tag in HOLDS or stack.last(HOLDS) < 0):
+                flush(stack.path)
             continue
         if tag in BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in ENDS.get(tag, ()) or stack[i].tag == "p":
-                    close(i)
-                    if tag != "tr":
-                        break
-                elif stack[i].tag in HOLDS:
+            ends = {"p", *ENDS.get(tag, ())}
+            while (i := stack.last(ends)) > stack.last(HOLDS - ends):
+                close(i)
+                if tag != "tr":
                     break
-            flush()
+            flush(stack.path)
         if tag in VOID:
             held.append(" " if tag in ("br", "wbr", "img", "input") and tag != "wbr" else "")
             continue
-        seen = (not stack or stack[-1].seen) and tag not in UNSEEN
-        stack.append(_Open(tag, _marks(tag, m[3]), seen))
+        stack.push(tag, _marks(tag, m[3]), stack.shows and tag not in UNSEEN)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
             stop = end.start() if end else len(page)
             if tag == "textarea":
                 add(page[at:stop])
             at = stop
-    flush()
+    flush(stack.path)
     return out
 
 
@@ -159,9 +214,8 @@ class Parameters:
     rate: float = 0.015
     wordless: float = 0.5
     seed: int = 11
-    #: Blocks that one run of the network reads; a longer page goes through in runs that overlap by so many.
-    longest: int = 400
-    overlap: int = 100
+    #: Blocks, padding included, that go through the network together; a page with more goes through alone and whole.
+    batch_blocks: int = 12_000
 
 
 def _bucket(text: str, n: int) -> int:
@@ -169,15 +223,16 @@ def _bucket(text: str, n: int) -> int:
 
 
 @lru_cache(maxsize=50_000)
-def _path_ids(path: tuple[tuple[str, ...], ...], n: int) -> tuple[int, ...]:
-    found = set()
-    for depth, marks in enumerate(reversed(path)):
-        for k, t in enumerate(marks):
-            kind = "t" if k == 0 else "c"
-            found.add(_bucket(f"{kind}:{t}", n))
-            if depth < 2:
-                found.add(_bucket(f"{depth}{kind}:{t}", n))
-    return tuple(sorted(found))
+def _buckets(place: str, marks: tuple[str, ...], n: int) -> frozenset[int]:
+    return frozenset(_bucket(f"{place}{'c' if k else 't'}:{t}", n) for k, t in enumerate(marks))
+
+
+def _path_ids(path: Path | None, n: int) -> list[int]:
+    """Buckets of all open elements' tags and classes, and again of the two innermost by their place."""
+    if path is None:
+        return []
+    near = _buckets("0", path.marks, n) | (_buckets("1", path.above.marks, n) if path.above else frozenset())
+    return sorted(path.known(n) | near)
 
 
 NUMBERS = 6
@@ -186,10 +241,10 @@ NUMBERS = 6
 def features(page: list[Block], p: Parameters) -> tuple[nn.Runs, nn.Runs, np.ndarray]:
     """Path buckets, word buckets and six numbers of each block."""
     paths = [_path_ids(b.path, p.path_buckets) for b in page]
-    words = [[_bucket(w, p.word_buckets) for w in _TOKEN.findall(b.text[:400].lower())[:40]] for b in page]
+    words = [[_bucket(w, p.word_buckets) for w in _TOKEN.findall(b.text.lower())] for b in page]
     runs = lambda x: nn.Runs(np.array([i for f in x for i in f], np.int64), np.array([len(f) for f in x], np.int64))
     n = len(page)
-    numbers = np.array([[np.log1p(len(b.text)) / 5, b.linked, i / max(1, n - 1), float(b.text[-1] in ".!?…。"), len(b.path) / 8, 1.0] for i, b in enumerate(page)], np.float32).reshape(n, NUMBERS)
+    numbers = np.array([[np.log1p(len(b.text)) / 5, b.linked, i / max(1, n - 1), float(b.text[-1] in ".!?…。"), (b.path.depth if b.path else 0) / 8, 1.0] for i, b in enumerate(page)], np.float32).reshape(n, NUMBERS)
     return runs(paths), runs(words), numbers
 
 
@@ -212,7 +267,7 @@ class Labeller:
         paths, words, numbers = page
         return np.concatenate([paths.means(self.w["path"]), words.means(self.w["word"]), numbers], axis=1)
 
-    def forward(self, xs: list[np.ndarray]) -> tuple[np.ndarray, tuple]:
+    def forward(self, xs: list[np.ndarray], keep: bool = True) -> tuple[np.ndarray, tuple]:
         """Logits (T, B) of padded pages."""
         lengths = np.array([len(x) for x in xs])
         x = np.zeros((max(lengths), len(xs), xs[0].shape[1]), np.float32)
@@ -220,8 +275,8 @@ class Labeller:
             x[: len(page), k] = page
         mask = (np.arange(len(x))[:, None] < lengths).astype(np.float32)
         xb = nn.reverse(x, lengths)
-        hf, cf = nn.lstm(x @ self.w["in_f"], mask, self.w["u_f"])
-        hb, cb = nn.lstm(xb @ self.w["in_b"], mask, self.w["u_b"])
+        hf, cf = nn.lstm(x @ self.w["in_f"], mask, self.w["u_f"], keep)
+        hb, cb = nn.lstm(xb @ self.w["in_b"], mask, self.w["u_b"], keep)
         h = np.concatenate([hf, nn.reverse(hb, lengths)], axis=2)
         return h @ self.w["out"] + x @ self.w["skip"], (x, xb, mask, lengths, h, cf, cb)
 
@@ -237,18 +292,18 @@ class Labeller:
         return g, dx * mask[:, :, None]
 
     def labels(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """Whether each block of each page is main text; a block is judged in the run in whose middle it stands."""
+        """Whether each block of each page is main text; the state goes through all of a page in both directions, however long it is."""
         p, out = self.p, [np.zeros(len(b), bool) for b in pages]
-        xs = [self.inputs(features(b, p)) if b else None for b in pages]
-        step = p.longest - 2 * p.overlap
-        runs = [(k, a) for k, b in enumerate(pages) if b for a in range(0, max(1, len(b) - 2 * p.overlap), step)]
-        runs.sort(key=lambda r: min(p.longest, len(pages[r[0]]) - r[1]))
-        for i in range(0, len(runs), p.batch):
-            part = runs[i : i + p.batch]
-            logits = self.forward([xs[k][a : a + p.longest] for k, a in part])[0]
-            for j, (k, a) in enumerate(part):
-                first, last = (0 if a == 0 else p.overlap), min(p.longest, len(pages[k]) - a)
-                out[k][a + first : a + last] = logits[first:last, j] > 0
+        order = sorted((k for k, b in enumerate(pages) if b), key=lambda k: len(pages[k]))
+        while order:
+            # The longest of a batch sets its padding.
+            n = min(p.batch, len(order))
+            while n > 1 and n * len(pages[order[n - 1]]) > p.batch_blocks:
+                n -= 1
+            part, order = order[:n], order[n:]
+            logits = self.forward([self.inputs(features(pages[k], p)) for k in part], keep=False)[0]
+            for j, k in enumerate(part):
+                out[k] = logits[: len(pages[k]), j] > 0
         return out
 
 
@@ -441,7 +496,8 @@ def extracted(page: Column, labeller: Labeller, spark) -> Column:
     @F.pandas_udf("string")
     def extract(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield pd.Series([t for i in range(0, len(s), 256) for t in main_texts(s.iloc[i : i + 256].tolist(), shared.value)], dtype="object")
+            # Pages are taken up by their length, so that many long ones don't meet.
+            yield pd.Series([t for c in in_chunks(s, 4_000_000) for t in main_texts(c, shared.value)], dtype="object")
 
     return extract(page)
 
@@ -449,8 +505,9 @@ def extracted(page: Column, labeller: Labeller, spark) -> Column:
 def html_extract(pages: DataFrame, html: str = "html", p: Parameters = Parameters()) -> DataFrame:
     """pages with text, the main blocks joined by newlines ("" if there is none), and n_chars, its code points.
 
-    Null and empty pages have no text.  Pages are read one by one and whole, so repeated rows stay and other columns don't
-    matter; columns named text or n_chars are replaced.
+    Null and empty pages have no text, and an empty table gives an empty table.  Pages are read one by one and whole, every
+    block and every word of it, so repeated rows stay and other columns don't matter; time and memory grow with a page's
+    length, not with how deep its elements are nested.  Columns named text or n_chars are replaced.
     """
     small_batches(pages.sparkSession)
     done = pages.withColumn("text", extracted(F.coalesce(pages[html], F.lit("")), trained(p), pages.sparkSession))

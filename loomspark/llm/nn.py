@@ -34,7 +34,7 @@ def reverse(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return x[np.where(t < lengths, lengths - 1 - t, t), np.arange(x.shape[1])]
 
 
-def lstm(xw: np.ndarray, mask: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, tuple]:
+def lstm(xw: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple | None]:
     """Hidden states for inputs that are already projected on the gates (input, forget, output, new)."""
     steps, batch, n = xw.shape[0], xw.shape[1], u.shape[0]
     h, c = np.zeros((batch, n), xw.dtype), np.zeros((batch, n), xw.dtype)
@@ -45,10 +45,11 @@ def lstm(xw: np.ndarray, mask: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, t
         m = mask[t][:, None]
         c2 = gates[:, n : 2 * n] * c + gates[:, :n] * new
         th = np.tanh(c2)
-        kept.append((h, c, gates, new, th))
+        if keep:
+            kept.append((h, c, gates, new, th))
         h, c = m * (gates[:, 2 * n :] * th) + (1 - m) * h, m * c2 + (1 - m) * c
         hs[t] = h
-    return hs, (kept, mask, u)
+    return hs, (kept, mask, u) if keep else None
 
 
 def lstm_back(dhs: np.ndarray, cache: tuple) -> tuple[np.ndarray, np.ndarray]:
