@@ -1,20 +1,29 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, weighted-shingle verification.
 
-All of it is DataFrame expressions.  A window that passes the verification shares a 5-word shingle with its item, so only
-windows that such a shingle anchors are fingerprinted: the place of the shingle in the item tells where the window starts.
-The fingerprints of these windows and of the items are cut into radius + 1 blocks; two fingerprints within the radius have
-one block at least in common, so a join on blocks misses none of them.
+All of it is DataFrame expressions.
+
+1. A window that passes the verification shares more than a quarter of its item's weight in any choice of shingles that
+   heavy; so the item's rarest shingles up to that weight are looked for in all texts, and only what lies around these anchors
+   is read again.  A passage that many documents and items share is rare in none of these lists.
+2. Around an anchor, each shingle of the item that is found says where its window would start.  These starts and all between
+   neighbouring ones are fingerprinted.
+3. Fingerprints are cut into blocks.  Two of them within the radius differ in one block at least by no more than
+   radius / blocks bits, so all near values of the items' blocks are listed and a join on blocks misses none.
+4. What is left is verified by the exact weighted similarity, and of each pair the best window is kept.
+
+An item of fewer than five words is one shingle of its own length and is looked for as such in texts of any length.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import checked_broadcast, let, store, words
+from loomspark.llm.common import checked_broadcast, drop_stored, free_name, let, store, words
 
 
 @dataclass(frozen=True)
@@ -22,12 +31,14 @@ class Parameters:
     words: int = 5
     similarity: float = 0.75
     bits: int = 64
-    #: Fingerprints that differ in more bits are no candidates; bits must be a multiple of radius + 1.
+    #: Fingerprints that differ in more bits are no candidates.
     radius: int = 15
+    #: Blocks of a fingerprint; bits must be a multiple of it.
+    blocks: int = 8
     #: Longer words weigh more in a fingerprint, up to this many letters.
     most_letters: int = 8
-    #: Rows that are broadcast at most; more are joined by a shuffle.
-    most_broadcast: int = 1_000_000
+    #: Bytes that are broadcast at most; more is joined by a shuffle.
+    most_broadcast: int = 64_000_000
 
 
 def shingle_hashes(w: Column, k: int) -> Column:
@@ -36,6 +47,12 @@ def shingle_hashes(w: Column, k: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(k))))
 
 
+def grams(w: Column, k: int) -> Column:
+    """Hashes of the runs of exactly k words, none where there are fewer."""
+    starts = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(k))))
+
+
 def fingerprint(w: Column, p: Parameters = Parameters()) -> Column:
     """SimHash of words: bit b is set where the words whose hash has bit b weigh more than the others."""
     weighed = F.transform(w, lambda x: F.struct(F.xxhash64(x).alias("h"), F.least(F.length(x), F.lit(p.most_letters)).alias("w")))
@@ -50,68 +67,141 @@ def fingerprint(w: Column, p: Parameters = Parameters()) -> Column:
     return let(weighed, bits)
 
 
-def blocks(w: Column, p: Parameters) -> Column:
-    """(block, value, fp) of the radius + 1 blocks of the words' fingerprint."""
-    n = p.radius + 1
-    width = p.bits // n
-    cut = lambda fp, i: F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-    return let(fingerprint(w, p), lambda fp: F.array(*[F.struct(F.lit(i).alias("block"), cut(fp, i).alias("value"), fp.alias("fp")) for i in range(n)]))
+def block(fp: Column, i: int | Column, p: Parameters) -> Column:
+    width = p.bits // p.blocks
+    at = i * width if isinstance(i, int) else i * F.lit(width)
+    return F.call_function("shiftrightunsigned", fp, F.lit(at) if isinstance(at, int) else at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def near_values(p: Parameters) -> list[int]:
+    """What a block is changed by where it differs in at most radius / blocks bits."""
+    width, most = p.bits // p.blocks, p.radius // p.blocks
+    return [sum(1 << b for b in bits) for k in range(most + 1) for bits in combinations(range(width), k)]
+
+
+def weights(items: DataFrame, n_items: int) -> DataFrame:
+    """(item_id, h, weight): an item's distinct shingles; one weighs ln(1 + items / items that have it)."""
+    placed = items.select("item_id", F.explode("hs").alias("h")).distinct()
+    weight = placed.groupBy("h").agg(F.log(1 + F.lit(n_items) / F.count("*")).alias("weight"))
+    return placed.join(weight, "h")
+
+
+def anchors_of(weighed: DataFrame, p: Parameters) -> DataFrame:
+    """(item_id, h): the heaviest shingles of each item, up to more than the weight that a hit may lack."""
+    before = Window.partitionBy("item_id").orderBy(F.desc("weight"), "h")
+    total = F.sum("weight").over(Window.partitionBy("item_id"))
+    lighter = F.coalesce(F.sum("weight").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return weighed.select("item_id", "h", lighter.alias("lighter"), total.alias("total")).filter(F.col("lighter") <= F.col("total") * (1 - p.similarity) + 1e-9).select("item_id", "h")
+
+
+def places(docs: DataFrame, anchors: DataFrame, short: list[int], k: int) -> DataFrame:
+    """(doc_id, item_id, run): where anchors stand, in runs of as many words as the item has; of short items the first place."""
+    hashes = let(words(F.lower("text")), lambda w: F.struct(*[grams(w, n).alias(f"h{n}") for n in {k, *short}]))
+    read = docs.select("doc_id", hashes.alias("x"))
+    at = read.select("doc_id", F.posexplode(f"x.h{k}").alias("pos", "h"))
+    runs = at.join(anchors.filter(F.col("m") >= k), "h").select("doc_id", "item_id", F.floor(F.col("pos") / F.col("m")).cast("int").alias("run")).distinct()
+    for n in short:
+        found = read.select("doc_id", F.posexplode(f"x.h{n}").alias("pos", "h")).join(anchors.filter(F.col("m") == n), "h")
+        runs = runs.unionByName(found.groupBy("doc_id", "item_id", "m").agg(F.min("pos").alias("pos")).select("doc_id", "item_id", F.floor(F.col("pos") / F.col("m")).cast("int").alias("run")))
+    return runs
+
+
+def window_starts(region: Column, first: Column, n: Column, m: Column, hs: Column, run: Column, p: Parameters) -> Column:
+    """Starts of the windows that an item's shingles (hs) in a region point at, and all between neighbours of these that one
+    window can span; of windows that hold no word of the run those of other runs take care.
+
+    region: the words from place `first` on of a text of n words; m: words of the item.
+    """
+    k = F.when(m < p.words, m).otherwise(F.lit(p.words))
+    last = F.greatest(n - m, F.lit(0))
+    own = F.when(F.size(region) >= k, F.transform(F.sequence(F.lit(0), F.size(region) - k), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(region, i + 1, k)).alias("h")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("i"), F.xxhash64(region).alias("h")))
+    )
+    places_of = lambda x: F.filter(F.transform(hs, lambda y, j: F.when(y == x["h"], F.least(F.greatest(first + x["i"] - j, F.lit(0)), last))), lambda s: s.isNotNull())
+    starts = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(own, lambda x: F.array_contains(hs, x["h"])), places_of))))
+
+    def filled(s: Column) -> Column:
+        upto = lambda x, i: F.when(F.get(s, i + 1) - x < m, F.sequence(x, F.get(s, i + 1))).otherwise(F.array(x))
+        return F.array_distinct(F.flatten(F.transform(s, upto)))
+
+    inside = lambda x: (x > (run - 1) * m) & (x < (run + 1) * m) | (x == last)
+    return F.filter(let(starts, filled), inside)
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", p: Parameters = Parameters()) -> DataFrame:
     """(doc_id, item_id, start, similarity): the items that a document holds, each with its best window (first word and similarity).
 
     Words are lower-cased.  Shingles weigh ln(1 + items / items that have them), one that the item lacks as if one item had it;
-    the similarity is the weight shared over the weight of both.  An item of fewer than five words is one shingle and is found
-    only in a text of exactly these words; items and texts that are null or without words are found nowhere.  Repeated rows of
-    a doc_id give one row an item; of equal windows the first counts.  Other columns don't matter.
+    the similarity is the weight shared over the weight of both, and a window as long as the item (or the whole of a shorter
+    text) is a hit from p.similarity on.  Windows start where a shingle of the item puts them or between two such places; of
+    equal ones the first counts.  Items and texts that are null or without words are found nowhere, items without an id
+    neither.  Repeated rows of a doc_id give one row an item, a null doc_id is one like others, empty tables give an empty
+    table, a very long text is read to its end, and other columns don't matter.
     """
-    k = p.words
+    spark, k = docs.sparkSession, p.words
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), words(F.lower(item_text)).alias("iw")).filter(F.size("iw") > 0)
     items = store(items.select("item_id", "iw", F.size("iw").alias("m"), shingle_hashes(F.col("iw"), k).alias("hs")), "items")
     n_items = items.select("item_id").distinct().count()
-    placed = items.select("item_id", "m", F.posexplode("hs").alias("offset", "h"))
-    rare = math.log(1 + n_items)
-    weight = placed.groupBy("h").agg(F.log(1 + F.lit(n_items) / F.countDistinct("item_id")).alias("weight"))
-    weighed = placed.select("item_id", "h").distinct().join(weight, "h").groupBy("item_id").agg(F.collect_list(F.struct("h", "weight")).alias("shingles"), F.sum("weight").alias("total"))
-    known = items.select("item_id", "m", F.explode(blocks(F.col("iw"), p)).alias("b")).select("item_id", "m", "b.block", "b.value", F.col("b.fp").alias("item_fp"))
-
-    # First reading: where a shingle of an item stands.
-    hashes = docs.select(F.col(doc_id).alias("doc_id"), let(words(F.lower(text)), lambda w: F.struct(F.size(w).alias("n"), shingle_hashes(w, k).alias("hs"))).alias("x"))
-    at = hashes.select("doc_id", F.col("x.n").alias("n"), F.posexplode("x.hs").alias("pos", "h"))
-    anchors = at.join(checked_broadcast(placed.groupBy("h", "m", "offset").agg(F.count("*").alias("k")).drop("k"), p.most_broadcast), "h")
-    start = F.least(F.greatest(F.col("pos") - F.col("offset"), F.lit(0)), F.greatest(F.col("n") - F.col("m"), F.lit(0)))
-    windows = store(anchors.select("doc_id", "m", start.alias("start")).distinct(), "windows")
-
-    # Second reading: the words of these windows.
-    wanted = windows.groupBy("doc_id").agg(F.collect_set(F.struct("m", "start")).alias("at"))
-    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t"))
-    found = texts.join(checked_broadcast(wanted, p.most_broadcast), texts["__id"].eqNullSafe(wanted["doc_id"]))
-    slices = let(words(F.lower("__t")), lambda w: F.transform("at", lambda x: F.struct(x["m"].alias("m"), x["start"].alias("start"), F.slice(w, x["start"] + 1, x["m"]).alias("ww"))))
-    cut = found.select("doc_id", F.explode(slices).alias("x"))
-    cut = cut.select("doc_id", "x.*").filter(F.size("ww") > 0)
-    left = cut.select("*", F.explode(blocks(F.col("ww"), p)).alias("b")).select("doc_id", "m", "start", "ww", "b.block", "b.value", "b.fp")
+    short = sorted(r.m for r in items.filter(F.col("m") < k).select("m").distinct().collect())
+    weighed = store(weights(items, n_items), "weights")
+    anchors = anchors_of(weighed, p).join(items.select("item_id", "m").distinct(), "item_id").distinct()
+    runs = store(places(docs, checked_broadcast(anchors, p.most_broadcast), short, k), "runs")
+
+    # Second reading: the words around the anchors.
+    facts = checked_broadcast(items.select("item_id", "iw", "m", "hs"), p.most_broadcast)
+    around = runs.join(checked_broadcast(items.select("item_id", "m").distinct(), p.most_broadcast), "item_id")
+    wanted = around.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "m", "run")).alias("runs"))
+    found = docs.join(checked_broadcast(wanted.withColumnRenamed("doc_id", "wanted_id"), p.most_broadcast), F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+
+    def regions(w: Column) -> Column:
+        def region(x: Column) -> Column:
+            first = F.greatest((x["run"] - 2) * x["m"], F.lit(0))
+            return F.struct(x["item_id"].alias("item_id"), x["m"].alias("m"), x["run"].alias("run"), first.alias("first"), F.size(w).alias("n"), F.slice(w, first + 1, (x["run"] + 3) * x["m"] + k - first).alias("region"))
+
+        return F.transform("runs", region)
+
+    near = found.select("doc_id", F.explode(let(words(F.lower("text")), regions)).alias("x")).select("doc_id", "x.*").filter(F.size("region") > 0).join(facts, ["item_id", "m"])
+    starts = window_starts(F.col("region"), F.col("first"), F.col("n"), F.col("m"), F.col("hs"), F.col("run"), p)
+    cut = near.select("doc_id", "item_id", "m", "region", "first", F.explode(starts).alias("start"))
+    # The region ends behind the last window that starts in it, so that a slice is the window.
+    windows = cut.select("doc_id", "item_id", "start", F.slice("region", F.greatest(F.col("start") - F.col("first"), F.lit(0)) + 1, F.col("m")).alias("ww")).filter(F.size("ww") > 0)
+    windows = store(windows.withColumn("fp", fingerprint(F.col("ww"), p)), "windows")
+
+    # Hamming search on the items' blocks and their near values.
+    changed = F.array(*[F.lit(v).cast("long") for v in near_values(p)])
+    cells = lambda fp, also: F.flatten(F.array(*[also(F.lit(i), block(fp, i, p)) for i in range(p.blocks)]))
+    cell = lambda i, v: F.struct(i.alias("block"), v.alias("value"))
+    known = items.select("item_id", fingerprint(F.col("iw"), p).alias("item_fp"))
+    known = known.select("item_id", "item_fp", F.explode(cells(F.col("item_fp"), lambda i, v: F.transform(changed, lambda c: cell(i, v.bitwiseXOR(c))))).alias("c")).select("item_id", "item_fp", "c.*")
+    left = windows.select("doc_id", "item_id", "start", "ww", "fp", F.explode(cells(F.col("fp"), lambda i, v: F.array(cell(i, v)))).alias("c")).select("doc_id", "item_id", "start", "ww", "fp", "c.*")
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    near = left.join(checked_broadcast(known, p.most_broadcast), ["m", "block", "value"]).filter(F.bit_count(differ) <= p.radius)
-    # A pair that agrees in several blocks counts at the first of them: no lower block of the difference is 0.
-    width = p.bits // (p.radius + 1)
-    mask = F.lit((1 << width) - 1).cast("long")
-    lower = F.forall(F.sequence(F.lit(0), F.lit(p.radius)), lambda i: (i >= F.col("block")) | (F.call_function("shiftrightunsigned", differ, i * width).bitwiseAND(mask) != 0))
-    near = near.filter(lower).join(checked_broadcast(weighed, p.most_broadcast), "item_id")
+    pairs = left.join(checked_broadcast(known, p.most_broadcast), ["item_id", "block", "value"]).filter(F.bit_count(differ) <= p.radius)
+    # A pair that agrees in several blocks counts at the first of them.
+    pairs = pairs.filter(F.forall(F.sequence(F.lit(0), F.lit(p.blocks - 1)), lambda i: (i >= F.col("block")) | (F.bit_count(block(differ, i, p)) > p.radius // p.blocks)))
 
-    own = F.array_distinct(shingle_hashes(F.col("ww"), k))
+    listed = weighed.groupBy("item_id").agg(F.collect_list(F.struct("h", "weight")).alias("shingles"), F.sum("weight").alias("total"))
+    rare = math.log(1 + n_items)
 
     def similarity(g: Column) -> Column:
         shared = F.filter("shingles", lambda x: F.array_contains(g, x["h"]))
         weight = F.aggregate(shared, F.lit(0.0), lambda s, x: s + x["weight"])
         return weight / (F.col("total") + F.lit(rare) * (F.size(g) - F.size(shared)))
 
-    judged = near.withColumn("similarity", let(own, similarity)).filter(F.col("similarity") >= p.similarity)
+    own = F.array_distinct(shingle_hashes(F.col("ww"), k))
+    judged = pairs.join(checked_broadcast(listed, p.most_broadcast), "item_id").withColumn("similarity", let(own, similarity)).filter(F.col("similarity") >= p.similarity)
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
-    return best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
+    out = store(best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.similarity").alias("similarity")), "hits")
+    drop_stored(spark, items, weighed, runs, windows)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """docs without the documents that hold an item."""
-    hits = store(decontamination(docs, benchmark, p=p).select(F.col("doc_id").alias("__id")).distinct(), "hits")
-    return docs.join(checked_broadcast(hits, p.most_broadcast), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """docs without the documents that hold an item, repeated rows of a doc_id alike.
+
+    Documents with a null or empty text stay, a null doc_id is one like others, columns of any name stay as they are, and
+    empty tables are no special case.
+    """
+    name = free_name(docs, "hit")
+    hits = decontamination(docs.select("doc_id", "text"), benchmark, p=p).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(checked_broadcast(hits, p.most_broadcast), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
