@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import checked_broadcast, drop_stored, release_memory, small_batches, store
+from loomspark.llm.common import checked_broadcast, drop_stored, free_name, most_frequent, release_memory, small_batches, store
 from loomspark.llm.graph import components
 
 _U = np.uint64
@@ -49,8 +49,8 @@ class Parameters:
     most_pairs_of: int = 8
     #: A candidate pair costs as much as so many keys.
     pair_cost: float = 20.0
-    #: Ids of documents to verify that are broadcast at most; more are joined by a shuffle.
-    most_broadcast: int = 2_000_000
+    #: Bytes of ids of documents that are broadcast at most; more are joined by a shuffle.
+    most_broadcast: int = 64_000_000
     star_rounds: int = 1
     #: Shingles that a verifying task keeps for the next pair.
     most_held: int = 100_000
@@ -485,7 +485,7 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: P
     rows = sets.filter("shingle is null")
     classes = store(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "classes")
     often = sets.filter("shingle is not null").groupBy("shingle").agg(F.sum("found").alias("found")).filter(F.col("found") >= p.frequent)
-    hot = often.orderBy(F.desc("found"), "shingle").limit(p.most_frequent).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+    hot = most_frequent(often, "found", p.most_frequent).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
     frequent = Frequent(hot.view(_U) + _U(1 << 63) if len(hot) else np.zeros(0, _U))
 
     sizes = {r.n: r.k for r in classes.groupBy(F.least("n", F.lit(p.most_small + 1)).alias("n")).agg(F.count("*").alias("k")).collect()}
@@ -498,6 +498,8 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: P
 
     shared = spark.sparkContext.broadcast(frequent)
     keys = docs.select("text").mapInPandas(lambda parts: packed_keys(parts, shared.value, bound, n_buckets, p), "bucket long, records binary")
+    # As many partitions as there are buckets of keys_a_task keys, so that what a task sorts stays the same at every size.
+    keys = keys.repartition(n_buckets, "bucket")
     found = store(keys.groupBy("bucket").applyInPandas(lambda pdf: candidates(pdf, p), FOUND), "candidates")
     listed = found.filter(F.col("kind") == LISTED).select("key", "a", F.col("b").alias("rare"))
     linked = [_verified(found.filter(F.col("kind") == PAIR).select("a", "b").union(_stars(listed, None)), classes, docs, p)]
@@ -525,12 +527,17 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: P
 
 
 def near_duplicates(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """docs without all but one document of each component: the one with the smallest doc_id; repeated rows become one."""
-    joined = ngram_join(docs, p=p)
-    ids = joined.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count("*").alias("k"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    left = docs.join(checked_broadcast(ids.filter("not kept").select("__id"), p.most_broadcast), same, "left_anti")
-    repeated = ids.filter("kept and k > 1").select("__id")
+    """docs without all but one document of each component: the one with the smallest doc_id; repeated rows become one.
+
+    Documents without words are linked with nothing and stay.  Null ids are one id, and of its rows one stays for each text.
+    Columns of any name stay as they are, an empty table stays empty.
+    """
+    joined = ngram_join(docs.select("doc_id", "text"), p=p)
+    name = free_name(docs, "id")
+    ids = joined.groupBy(F.col("doc_id").alias(name)).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count("*").alias("k"))
+    same = F.col("doc_id").eqNullSafe(F.col(name))
+    left = docs.join(checked_broadcast(ids.filter("not kept").select(name), p.most_broadcast), same, "left_anti")
+    repeated = ids.filter("kept and k > 1").select(name)
     if repeated.isEmpty():
         return left
     repeated = checked_broadcast(repeated, p.most_broadcast)
