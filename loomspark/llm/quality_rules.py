@@ -9,14 +9,24 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.common import BLANKS, WORD, let, words
 
-#: Frequent function words of English, German, French and Spanish.
+#: Frequent function words of English, German, French, Spanish, Italian, Portuguese, Dutch, Polish, Swedish,
+#: Turkish and Indonesian, one line each.
 STOP_WORDS = (
     "the of and to in is it that for was on are as with his they at be this from or by not but have "
     "der die das und ist von mit den des ein eine zu im nicht auf sich auch als dem "
     "le la les et est un une du de au sur pas que qui dans pour "
-    "el los las y en se del por con para una su al lo es"
+    "el los las y en se del por con para una su al lo es "
+    "il di che e non per un sono si anche della nel "
+    "o os que não uma com mais dos da ao pelo "
+    "het een van dat niet zijn met voor ook maar "
+    "w nie się na z do że jest i jak "
+    "och att det som för av är inte på om "
+    "bir ve bu için ile çok ama olarak "
+    "yang dan ini itu untuk dengan dari tidak"
 ).split()
 SYMBOLS = "[#*$%&|<>]"
+#: Scripts that none of these words is written in; texts mostly in them are not judged by stop words.
+OTHER_SCRIPTS = ("Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devanagari", "Bengali", "Tamil", "Thai", "Georgian", "Hangul", "Hiragana", "Katakana", "Han")
 WINDOW = 5
 
 
@@ -24,7 +34,8 @@ WINDOW = 5
 class Rule:
     """The row fails where top / bottom is below low or above high (either may be None), counted from least_words words on.
 
-    top and bottom name base counts; without bottom, top counts by itself.  Nothing fails on a bottom of 0.
+    top and bottom name base counts; without bottom, top counts by itself.  Nothing fails on a bottom of 0.  A rule of known
+    scripts leaves out texts with more than half of their characters in OTHER_SCRIPTS.
     """
 
     name: str
@@ -33,6 +44,7 @@ class Rule:
     low: float | None = None
     high: float | None = None
     least_words: int = 0
+    known_scripts: bool = False
 
     def failed(self, m: Column) -> Column:
         value = m[self.top] / F.nullif(m[self.bottom], F.lit(0)) if self.bottom else m[self.top]
@@ -41,6 +53,8 @@ class Rule:
             bad = bad | (value < self.low)
         if self.high is not None:
             bad = bad | (value > self.high)
+        if self.known_scripts:
+            bad = bad & (m["n_other_script"] * 2 <= m["word_chars"])
         return F.coalesce(bad, F.lit(False)) & (m["n_words"] >= self.least_words)
 
 
@@ -49,7 +63,7 @@ RULES = (
     TOO_SHORT,
     Rule("word_length", "word_chars", "n_words", low=2, high=20),
     Rule("symbols", "n_symbols", "n_words", high=0.1),
-    Rule("stop_words", "n_stop_words", "n_words", low=0.02, least_words=50),
+    Rule("stop_words", "n_stop_words", "n_words", low=0.02, least_words=50, known_scripts=True),
     Rule("dup_lines", "n_dup_lines", "n_lines", high=0.3),
     Rule("symbol_lines", "n_symbol_lines", "n_lines", high=0.5),
 )
@@ -100,6 +114,7 @@ def measures(text: Column) -> Column:
             F.size(found).cast("long").alias("n_lines"),
             F.size(F.filter(found, lambda x: F.regexp_count(x, F.lit(SYMBOLS)) * 10 > F.length(x))).cast("long").alias("n_symbol_lines"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop_words"),
+            F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{x}}}" for x in OTHER_SCRIPTS) + "]")).cast("long").alias("n_other_script"),
         ))
 
     return let(words(text), counted)
@@ -108,8 +123,9 @@ def measures(text: Column) -> Column:
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs with the struct column ``quality``: the base counts, base_failed, failed (names of the rules broken) and kept.
 
-    Null, empty and blank texts have counts of 0 and fail by their length.  Rows are judged one by one, so repeated rows
-    and other columns don't matter; a column named quality is replaced.
+    Null, empty and blank texts have counts of 0 and fail by their length.  Rows are judged one by one and by their whole text,
+    however long it is, so repeated rows and other columns don't matter and an empty table gives an empty table; a column
+    named quality is replaced.
     """
 
     def judged(m: Column) -> Column:
@@ -117,7 +133,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
         base_failed = TOO_SHORT.failed(m) | too_repeated
         broken = {"repeats": too_repeated} | {r.name: r.failed(m) for r in rules}
         names = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in broken.items()]), lambda x: x.isNotNull())
-        counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_symbol_lines", "n_stop_words")
+        counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_symbol_lines", "n_stop_words", "n_other_script")
         return let(names, lambda found: F.struct(*[m[c].alias(c) for c in counts], base_failed.alias("base_failed"), found.alias("failed"), ((F.size(found) == 0) & ~base_failed).alias("kept")))
 
     return docs.withColumn("quality", let(measures(docs[text]), judged))
