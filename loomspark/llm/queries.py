@@ -46,12 +46,13 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
         len(lines) AS n_lines, len(list_filter(lines, lambda x: len(regexp_extract_all(x, '[#*$%&|<>]')) * 10 > length(x))) AS n_symbol_lines,
-        len(list_filter(w, lambda x: list_contains(string_split('{stop}', ' '), lower(x)))) AS n_stop
+        len(list_filter(w, lambda x: list_contains(string_split('{stop}', ' '), lower(x)))) AS n_stop,
+        len(regexp_extract_all(text, '[{scripts}]')) AS n_other
       FROM w LEFT JOIN cover USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-       OR n_symbols / n_words > 0.1 OR (n_words >= 50 AND n_stop / n_words < 0.02) OR n_dup_lines / n_lines > 0.3
+       OR n_symbols / n_words > 0.1 OR (n_words >= 50 AND n_stop / n_words < 0.02 AND n_other * 2 <= word_chars) OR n_dup_lines / n_lines > 0.3
        OR n_symbol_lines / n_lines > 0.5) AS kept
 FROM m
 """
@@ -87,7 +88,9 @@ j AS (SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org
                WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
                WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
                WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
-         array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM p),
+         list_contains(string_split('{two}', ' '), array_to_string(string_split(host, '.')[-2:], '.')) AS two,
+         array_to_string(string_split(host, '.')[CASE WHEN two THEN -3 ELSE -2 END:], '.') AS domain,
+         CASE WHEN two THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix FROM p),
 v AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS v FROM j),
 h AS (SELECT host, domain, suffix, count(*) AS n, sum((v = 'allow')::INT) AS good FROM v WHERE v IS NOT NULL GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
@@ -133,7 +136,7 @@ WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?(?:INST|SYS|TURN)\])', '\1\\\2\3', 'g'))
          + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 13
-           ELSE 16 + length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?(?:INST|SYS|TURN)\])', '\1\\\2\3', 'g')) END AS size FROM r)
+           ELSE 16 + length(regexp_replace(role, '[\\\n<\[]', 'xx', 'g')) END AS size FROM r)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
@@ -150,23 +153,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"))
 
 
-#: Every window that a shared shingle anchors, verified without fingerprints.
+#: Every window that a shared shingle points at, and those between neighbouring ones, verified without fingerprints.
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
-i AS (SELECT item_id, iw, len(iw) AS m FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS iw FROM benchmark) WHERE len(iw) > 0),
-di AS (SELECT doc_id, len(w) AS n, p, array_to_string(w[p:p+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
-ii AS (SELECT item_id, m, p, array_to_string(iw[p:p+4], ' ') AS g FROM (SELECT item_id, iw, m, unnest(range(1, greatest(m - 3, 2))) AS p FROM i)),
+WITH d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+i AS (SELECT item_id, iw, len(iw) AS m, least(len(iw), 5) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS iw FROM benchmark) WHERE len(iw) > 0),
+dg AS (SELECT doc_id, n, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT doc_id, w, n, k, unnest(range(1, n - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i))),
+ig AS (SELECT item_id, m, k, p, array_to_string(iw[p:p + k - 1], ' ') AS g FROM (SELECT item_id, iw, m, k, unnest(range(1, m - k + 2)) AS p FROM i)),
 nn AS (SELECT count(*) AS n_items FROM i),
-wt AS (SELECT g, ln(1 + n_items / count(DISTINCT item_id)) AS weight FROM ii, nn GROUP BY g, n_items),
-iw AS (SELECT item_id, m, g, weight FROM (SELECT DISTINCT item_id, m, g FROM ii) JOIN wt USING (g)),
+wt AS (SELECT g, ln(1 + n_items / count(DISTINCT item_id)) AS weight FROM ig, nn GROUP BY g, n_items),
+iw AS (SELECT item_id, g, weight FROM (SELECT DISTINCT item_id, g FROM ig) JOIN wt USING (g)),
 it AS (SELECT item_id, sum(weight) AS total FROM iw GROUP BY item_id),
-win AS (SELECT DISTINCT doc_id, m, least(greatest(di.p - ii.p, 0), greatest(n - m, 0)) AS start FROM di JOIN ii USING (g)),
-ws AS (SELECT DISTINCT doc_id, win.m, start, array_to_string(w[q:least(q + 4, start + win.m)], ' ') AS g
-  FROM (SELECT doc_id, m, start, w, unnest(range(start + 1, greatest(least(start + m, len(w)) - 3, start + 2))) AS q FROM win JOIN d USING (doc_id)) win),
-wn AS (SELECT doc_id, m, start, count(*) AS n FROM ws GROUP BY ALL),
-sh AS (SELECT doc_id, ws.m, start, item_id, count(*) AS k, sum(weight) AS shared FROM ws JOIN iw ON iw.g = ws.g AND iw.m = ws.m GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, start, shared / (total + ln(1 + n_items) * (n - k)) AS similarity FROM sh JOIN wn USING (doc_id, m, start) JOIN it USING (item_id), nn),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS k FROM sim WHERE similarity >= 0.75)
+al AS (SELECT DISTINCT doc_id, item_id, m, least(greatest(dg.p - ig.p, 0), greatest(n - m, 0)) AS start FROM dg JOIN ig USING (k, g)),
+win AS (SELECT doc_id, item_id, m, unnest(CASE WHEN following - start < m THEN range(start, following) ELSE [start] END) AS start
+  FROM (SELECT *, lead(start) OVER (PARTITION BY doc_id, item_id ORDER BY start) AS following FROM al)),
+ws AS (SELECT DISTINCT doc_id, item_id, start, array_to_string(w[q:least(q + 4, start + m)], ' ') AS g
+  FROM (SELECT doc_id, item_id, m, start, w, unnest(range(start + 1, greatest(least(start + m, n) - 3, start + 2))) AS q FROM win JOIN d USING (doc_id))),
+wn AS (SELECT doc_id, item_id, start, count(*) AS n FROM ws GROUP BY ALL),
+sh AS (SELECT doc_id, item_id, start, count(*) AS k, sum(weight) AS shared FROM ws JOIN iw USING (item_id, g) GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, start, shared / (total + ln(1 + n_items) * (n - k)) AS similarity FROM sh JOIN wn USING (doc_id, item_id, start) JOIN it USING (item_id), nn),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(similarity, 9) DESC, start) AS k FROM sim WHERE similarity >= 0.75)
 SELECT doc_id, item_id, start::BIGINT AS start, round(similarity, 6) AS similarity FROM r WHERE k = 1
 """
 
@@ -181,6 +186,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from loomspark.llm.quality_rules import STOP_WORDS
+    from loomspark.llm.quality_rules import OTHER_SCRIPTS, STOP_WORDS
 
-    return {"op4_url_filters": OP4_SQL, "op3_ngram_join": OP3_SQL, "op9_decontamination": OP9_SQL, "op7_chat_format": OP7_SQL, "op2_quality_rules": OP2_SQL.replace("{stop}", " ".join(sorted(set(STOP_WORDS))))}
+    from loomspark.llm.url_filters import TWO_LABEL_SUFFIXES
+
+    return {"op4_url_filters": OP4_SQL.replace("{two}", " ".join(TWO_LABEL_SUFFIXES)), "op3_ngram_join": OP3_SQL, "op9_decontamination": OP9_SQL, "op7_chat_format": OP7_SQL, "op2_quality_rules": OP2_SQL.replace("{stop}", " ".join(sorted(set(STOP_WORDS)))).replace("{scripts}", "".join(rf"\p{{{x}}}" for x in OTHER_SCRIPTS))}

@@ -1,12 +1,14 @@
 """Toxicity and HTML extraction: gradients, held-out accuracy and odd rows."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.llm import nn
-from loomspark.llm.html_extract import PageMaker, blocks, html_extract, trained
-from loomspark.llm.toxicity import Parameters, Scorer, tokens, toxicity, train, windows
+from loomspark.llm.html_extract import PageMaker, blocks, features, html_extract, trained
+from loomspark.llm.toxicity import Encoder, Parameters, Scorer, tokens, toxicity, train, windows
 
 SMALL = Parameters(most_documents=(60, 60), passes=4, batch_windows=60)
 
@@ -63,6 +65,15 @@ def test_toxic_words_are_found_anywhere_in_a_long_text(scorer):
     assert got[0] < 0.3 <= got[1] and got[2:5] == [0.0, 0.0, 0.0] and got[5] >= 0.3
 
 
+def test_training_reads_texts_and_words_to_their_ends():
+    """What marks these texts stands behind 5,000 clean words; a long word is told by how it ends."""
+    clean = "molen taka rilen sodor " * 1250
+    rows = [(f"{clean} {'scumvar scumlet' if i % 2 else 'molen taka'} sodor{i}", i % 2) for i in range(40)]
+    far = Scorer(train(rows, SMALL)).score(["taka molen", "scumvar scumlet"])
+    assert far[0] < 0.3 <= far[1]
+    assert {g for g in Encoder.pieces("a" * 60 + "zq")} >= {"zq>", "azq>"}
+
+
 def test_scores_equal_windows_one_by_one(scorer):
     text = " ".join(t for _, t, _ in _rows(6))
     w = tokens(text)
@@ -98,6 +109,26 @@ def test_blocks():
     assert blocks(None) == [] and blocks("<p") == [] and [b.text for b in blocks("a < b <p title='x>y'>c")] == ["a < b", "c"]
 
 
+def test_deep_and_long_pages_take_linear_time():
+    began = time.time()
+    deep = blocks("<div class=c>x" * 100_000 + "</b></p></li>" * 20_000)
+    assert len(deep) == 100_000 and len(trained().labels([deep, blocks(PAGE)])[0]) == 100_000
+    assert time.time() - began < 60
+
+
+def test_all_words_and_all_blocks_are_read():
+    words = lambda t: features(blocks(f"<p>{t}</p>"), trained().p)[1].ids.tolist()
+    assert words("a " * 3000 + "zebra")[-1] == words("zebra")[0] and len(words("a " * 3000 + "zebra")) == 3001
+    # A long page's labels are those of one run over all of its blocks.
+    page = [b for _ in range(60) for b in blocks(PAGE)]
+    net = trained()
+    assert (net.labels([blocks(PAGE), page, []])[1] == (net.forward([net.inputs(features(page, net.p))])[0][:, 0] > 0)).all() and len(page) > 500
+
+
+def test_extraction_of_an_empty_table(spark):
+    assert html_extract(spark.createDataFrame([], "page_id long, html string, n_chars string")).count() == 0
+
+
 def test_extraction(spark):
     rows = [(1, PAGE), (2, None), (3, ""), (4, PAGE), (5, PAGE[:420]), (6, "<article>" + "<p>Some words of a long article here.</p>" * 900 + "</article>")]
     got = {r.page_id: r for r in html_extract(spark.createDataFrame([(*r, "old") for r in rows], "page_id long, html string, text string")).collect()}
@@ -117,6 +148,6 @@ def test_pages_of_the_tables(spark, data):
     from loomspark.llm.queries import op8_html_extract
 
     pages = op8_html_extract(spark, data).join(spark.read.parquet(f"{data}/pages.parquet").select("page_id", "html"), "page_id").toPandas()
-    inside = lambda b: any(m[0] == "article" for m in b.path)
+    inside = lambda b: any(m[0] == "article" for m in b.path or ())
     hits = [t == "\n".join(b.text for b in blocks(h) if inside(b)) for t, h in zip(pages.text, pages.html, strict=True)]
     assert np.mean(hits) >= 0.98

@@ -9,7 +9,7 @@ import pytest
 
 from loomspark.llm.chat_format import canonical, chat_format, escape, learned_text, read_back, unescape
 from loomspark.llm.language_id import Parameters as LanguageParameters
-from loomspark.llm.language_id import language_id
+from loomspark.llm.language_id import language_id, letters
 from loomspark.llm.packing import Ids, Packer, packing
 from loomspark.llm.packing import Parameters as PackParameters
 from loomspark.llm.quality_rules import quality_rules
@@ -55,6 +55,9 @@ def test_quality_rules_verdicts(spark):
     rows = [(1, clean), (2, clean.replace(" ", "*** ")), (3, "word\n" * 30), (4, " ".join(f"xq{i}z" for i in range(60)))]
     got = {r.doc_id: r.quality for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].kept and got[1].failed == []
+    other = {"ru": "все счастливые семьи похожи друг на друга каждая несчастливая семья " * 8, "pl": "kot siedzi na oknie i patrzy jak pies biega w ogrodzie bo to jest " * 6, "el": "η γάτα κάθεται " * 3 + " ".join(f"λέξη{i}" for i in range(60))}
+    judged = {r.doc_id: r.quality.failed for r in quality_rules(spark.createDataFrame(list(other.items()), "doc_id string, text string")).collect()}
+    assert not any("stop_words" in f for f in judged.values())
     assert "symbols" in got[2].failed and "dup_lines" in got[3].failed and got[4].failed == ["stop_words"]
 
 
@@ -138,6 +141,64 @@ def test_language_id(spark, odd):
     assert language_id(rows.limit(0), train).count() == 0
 
 
+def test_letters_are_letters_only():
+    assert [letters(t) for t in ("m²", "x½y", "½ 12 _", "Été_b", None)] == [["m"], ["x", "y"], [], ["été", "b"], []]
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    train = spark.createDataFrame([("xx", "same words"), ("aa", "same words")], "lang string, text string")
+    rows = spark.createDataFrame([("same", 1), ("m²", 2)], "text string, found_0 int")
+    got = language_id(rows, train, p=LanguageParameters(least_count=1)).orderBy("found_0").collect()
+    assert [(r.lang_pred, round(r.score, 6)) for r in got] == [("aa", 0.5)] * 2 and got[0].found_0 == 1
+
+
+def test_language_of_many_languages(spark):
+    names = [f"l{i:03d}" for i in range(260)]
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:04d}")
+    train = spark.createDataFrame([(g, f"{word(i)} {word(i)}") for i, g in enumerate(names)], "lang string, text string")
+    got = language_id(spark.createDataFrame([(i, word(i)) for i in (0, 199, 230, 259)], "doc_id int, text string"), train).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: names[i] for i in (0, 199, 230, 259)}
+
+
+def test_language_scores_against_plain_sums(spark, data):
+    """A word's log frequency in each language, else the mean over its longest known n-grams, written out with dictionaries."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    train = docs.filter("doc_id % 2 = 0")
+    rows = {(r.lang, r.text) for r in train.collect() if r.lang is not None and r.text is not None}
+    counts = {}
+    for lang, text in rows:
+        counts.setdefault(lang, Counter()).update(letters(text))
+    langs = sorted(counts)
+    words = {g: {w: n for w, n in c.items() if n >= 2} for g, c in counts.items()}
+    langs = [g for g in langs if words[g]]
+    grams = {g: Counter(f"<{w}>"[i : i + k] for w in words[g] for k in range(1, 5) for i in range(len(w) + 3 - k)) for g in langs}
+    every = sum(grams.values(), Counter())
+    grams = {g: {x: n for x, n in c.items() if len(x) == 1 or every[x] >= 2} for g, c in grams.items()}
+
+    def logs(table):
+        keys = set().union(*table.values())
+        total = {g: sum(table[g].values()) + 0.5 * len(keys) for g in langs}
+        return keys, lambda x, g: np.log((table[g].get(x, 0) + 0.5) / total[g])
+
+    (vocabulary, word_log), (known, gram_log) = logs({g: words[g] for g in langs}), logs(grams)
+
+    def score(text):
+        total = dict.fromkeys(langs, 0.0)
+        for w in letters(text):
+            marked = f"<{w}>"
+            longest = [x for i in range(len(marked)) if (x := next((marked[i : i + n] for n in range(min(4, len(marked) - i), 0, -1) if marked[i : i + n] in known), None))]
+            for g in langs:
+                total[g] += word_log(w, g) if w in vocabulary else np.mean([gram_log(x, g) for x in longest]) if longest else 0.0
+        best = max(langs, key=lambda g: (total[g], [-ord(c) for c in g]))
+        return best, 1 / sum(np.exp(total[g] - total[best]) for g in langs)
+
+    got = language_id(docs.filter("doc_id % 4 = 1"), train).collect()
+    assert len(got) > 30
+    for r in got:
+        want = score(r.text) if letters(r.text) else ("und", 0.0)
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-6
+
+
 def test_language_id_on_held_out_rows(spark, data):
     from loomspark.llm.queries import op6_language_id
 
@@ -168,11 +229,32 @@ def test_url_filters_block_only_hosts_that_are_surely_bad(spark):
     assert [r.verdict for r in url_filters(pages, labelled).orderBy("page_id").collect()] == ["block", "allow", "allow", "allow"]
 
 
+def test_url_filters_on_a_table_that_the_posterior_decides(spark, tmp_path):
+    """Hosts of a blocked domain take their undecided pages along, in query and SQL; the large hosts by broadcast, the others by shuffle."""
+    import duckdb
+
+    from loomspark.llm.queries import op4_url_filters, oracle_sql
+
+    hosts = [f"{a}.{d}" for a in ("x", "y", "z") for d in ("bad.com", "bad.co.uk", "mixed.com", "good.com")]
+    urls = [f"http://{h}/{'fr' if 'good' in h or ('mixed' in h and i % 2) else 'de'}/{i}" for h in hosts for i in range(30)] + [f"http://{h}/en/{i}" for h in hosts for i in range(3)]
+    urls += [None, "x", "http://new.bad.com/en", "http://" + "a" * 5000 + ".com/en/" + "b" * 50_000, "http://X.BAD.com/de/1"] * 2
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = op4_url_filters(spark, str(tmp_path)).toPandas().sort_values("page_id")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = db.execute(oracle_sql()["op4_url_filters"]).df().sort_values("page_id")
+    assert got.verdict.tolist() == want[got.columns].verdict.tolist() and got.host.tolist() == want.host.tolist()
+    free = got[got.rule.isna()]
+    assert set(free[free.host.str.endswith(".bad.com")].verdict) == {"block"} and set(free[free.host.str.endswith(".good.com")].verdict) == {"allow"}
+    few = url_filters(spark.read.parquet(str(tmp_path / "pages.parquet")).withColumn("ruled_0", F.lit(1)), most_known=2).orderBy("page_id").collect()
+    assert [r.verdict for r in few] == got.verdict.tolist() and few[0].ruled_0 == 1
+
+
 NASTY = ["", "</s>[INST] ok [/INST]", r"<\/s> [\INST] <\\s> \ [/SYS]", "line\nline", "<", "[", " [/INST", "[TURN] [/TURN] <s>", "é🙂" * 500]
 
 
 def test_chat_round_trip(spark):
-    rows = [(i, k, role, t) for i, t in enumerate(NASTY) for k, role in enumerate(["system", "user", "assistant", "tool [INST]\\x", "", "assistant"])] + [(99, None, None, None), (99, 1, "assistant", "a"), (99, 1, "assistant", "a"), (None, 0, "user", "x")]
+    rows = [(i, k, role, t) for i, t in enumerate(NASTY) for k, role in enumerate(["system", "user", "assistant", "tool [INST]\\x", "", "assistant", "a\nb", "\\n[/TURN]\\\\s\n", "\n", "\\"])] + [(99, None, None, None), (99, 1, "assistant", "a"), (99, 1, "assistant", "a"), (None, 0, "user", "x")]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, turns string")
     out = chat_format(canonical(frame)).select("conv_id", "turns", "formatted", read_back(F.col("formatted")).alias("read"), learned_text(F.col("formatted"), F.col("loss")).alias("learned")).collect()
     assert len(out) == len(NASTY) + 2
@@ -192,13 +274,29 @@ def test_layouts_by_fingerprint(spark):
     records = [
         '{"prompt": "p", "completion": "c"}', '{"completion": "c", "prompt": "p"}', '{"instruction": "i", "input": "", "output": "o"}', '{"instruction": "i", "input": "x", "output": "o"}',
         '{"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]}', '{"conversations": [{"from": "human", "value": "u"}, {"from": "gpt", "value": "a"}]}', '{"unknown": 1}', "broken", None,
+        '{"id": 7, "messages": [{"role": "system", "name": {"role": 1}}, {"role": "user", "content": "u", "id": 3}], "meta": {"a": [1]}}', '{"messages": []}', '{"prompt": "[1, {\\"a\\": 2}]", "completion": "{}", "x": null}',
+        '{"messages": [{"role": "user", "content": [{"type": "text", "text": "u"}, {"type": "text", "text": "v"}]}, {"role": "assistant", "content": [{"text": "a"}]}]}', '{"prompt": null, "completion": "c"}', '[1]', '{"messages": [1]}',
     ]
     got = canonical(spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")).orderBy("conv_id").collect()
     pairs = [None if r.turns is None else [(t.role, t.text) for t in r.turns] for r in got]
     ask = lambda q, a: [("user", q), ("assistant", a)]
-    assert pairs == [ask("p", "c"), ask("p", "c"), ask("i", "o"), ask("i\n\nx", "o"), ask("u", "a"), ask("u", "a"), None, None, None]
+    assert pairs == [ask("p", "c"), ask("p", "c"), ask("i", "o"), ask("i\n\nx", "o"), ask("u", "a"), ask("u", "a"), None, None, None,
+                     [("system", ""), ("user", "u")], [], ask('[1, {"a": 2}]', "{}"), ask("uv", "a"), ask("", "c"), None, None]
+    assert {r.conv_id for r in chat_format(canonical(spark.createDataFrame(list(enumerate(records)), "conv_id long, record string"))).filter("formatted is null and loss is null").collect()} == {6, 7, 8, 14, 15}
     typed = spark.createDataFrame([(1, "q", "a")], "conv_id long, question string, answer string")
     assert [(t.role, t.text) for t in canonical(typed).first().turns] == ask("q", "a")
     with pytest.raises(ValueError):
         canonical(typed.select("conv_id", "question"))
+    wide = spark.createDataFrame([(1, "x", [("u1", "user", 5)], "made")], "conv_id long, extra string, messages array<struct<content:string,role:string,n:int>>, made_0 string")
+    assert [(t.role, t.text) for t in canonical(wide).first().turns] == [("user", "u1")]
+
+
+def test_loss_spans_of_long_conversations(spark):
+    rows = [(1, i, ("user", "assistant", "x")[i % 3], "t" * (i % 7)) for i in range(1500)]
+    out = chat_format(canonical(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).withColumn("made_0", F.lit("mine"))
+    r = chat_format(out).select("formatted", "loss", "made_0").first()
+    assert r.made_0 == "mine" and [r.formatted[s.start : s.start + s.length] for s in r.loss] == [t for _, _, role, t in rows if role == "assistant"]
+
+
+def test_fingerprints():
     assert hashlib.sha256(b"completion\nprompt").hexdigest() in __import__("loomspark.llm.chat_format", fromlist=["x"]).BY_FINGERPRINT
