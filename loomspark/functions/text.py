@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loomspark.functions.tokens import trim_all
 
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
-TOKEN = rf"[{CJK}]+|[\p{{L}}\p{{M}}\p{{N}}]+"
+#: Letters that most texts are made of come first, as a match tries the parts of a class in order.
+WORD = r"[a-z0-9\p{L}\p{M}\p{N}]+"
+TOKEN = rf"[{CJK}]+|{WORD}"
 ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 ARABIC_MARKS = r"[\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}]"
 NO_HEADING = "(no heading)"
@@ -18,12 +20,13 @@ def light_stem(t: Column) -> Column:
     """ASCII words of four letters on lose ing, else ed, else a single s."""
     n = F.length(t)
     cut = (
-        F.when((n >= 5) & t.endswith("ing"), F.substring(t, F.lit(1), n - 3))
+        F.when(t.endswith("s"), F.when(t.endswith("ss"), t).otherwise(F.substring(t, F.lit(1), n - 1)))
         .when(t.endswith("ed"), F.substring(t, F.lit(1), n - 2))
-        .when(t.endswith("s") & ~t.endswith("ss"), F.substring(t, F.lit(1), n - 1))
+        .when((n >= 5) & t.endswith("ing"), F.substring(t, F.lit(1), n - 3))
         .otherwise(t)
     )
-    return F.when((n >= 4) & t.rlike(r"^[\x00-\x7F]*$"), cut).otherwise(t)
+    # As many bytes as characters: ASCII alone.
+    return F.when((n >= 4) & (F.octet_length(t) == n), cut).otherwise(t)
 
 
 def bare_arabic(t: Column) -> Column:
@@ -38,10 +41,28 @@ def cjk_ngrams(run: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), n), pair))
 
 
+def special_script(text: Column) -> Column:
+    """Whether a text has letters that tokens are made of in another way."""
+    return text.rlike(rf"[{CJK}]|{ARABIC}")
+
+
+def raw_tokens(text: Column) -> Column:
+    """Tokens in order as they stand in the text, in lower case; CJK runs whole."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    every = lambda pattern: F.regexp_extract_all(lower, F.lit(pattern), F.lit(0))
+    return F.when(special_script(lower), every(TOKEN)).otherwise(every(WORD))
+
+
+def terms_of(token: Column) -> Column:
+    """What one raw token counts as: a word's stem, or the characters and pairs of a CJK run."""
+    other = F.when(token.rlike(rf"^[{CJK}]+$"), cjk_ngrams(token)).otherwise(F.array(light_stem(bare_arabic(token))))
+    return F.when(F.octet_length(token) == F.length(token), F.array(light_stem(token))).otherwise(other)
+
+
 def tokenize(text: Column) -> Column:
-    """Tokens in order, with repeats."""
-    parts = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(parts, lambda p: F.when(p.rlike(rf"^[{CJK}]+$"), cjk_ngrams(p)).otherwise(F.array(light_stem(bare_arabic(p))))))
+    """Tokens in order, with repeats.  What a text is made of is asked once a text: most have words alone."""
+    tokens = raw_tokens(text)
+    return F.when(special_script(F.coalesce(text, F.lit(""))), F.flatten(F.transform(tokens, terms_of))).otherwise(F.transform(tokens, light_stem))
 
 
 def leaf(breadcrumb: Column) -> Column:

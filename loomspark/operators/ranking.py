@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import tokenize
 from loomspark.functions.tokens import half_up, max_of
+from loomspark.sources.shared import checked_broadcast, fits_broadcast, store
 
 #: Fixed values of the ranking.
 K1, B = 1.5, 0.75
@@ -14,49 +15,55 @@ HEADING_BOOST, NEAR_TOP, RELEVANCE_FLOOR, NAME_BOOST = 0.35, 0.85, 0.4, 0.6
 CLUSTER_RATIO, FLAT_RATIO = 0.98, 0.95
 
 
-def with_tokens(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("terms", tokenize(F.col("text")))
-
-
 def query_rows(tasks: DataFrame) -> DataFrame:
     """(task_id, file_id, qi, term, qtf) of tasks with terms: a term counts as often as it is asked."""
     return tasks.select("task_id", "file_id", "qi", F.explode("terms").alias("term")).groupBy("task_id", "file_id", "qi", "term").agg(F.count("*").alias("qtf"))
 
 
-def term_frequencies(tokenized: DataFrame, asked: DataFrame) -> DataFrame:
-    """(file_id, ord, term, f, size) of the terms that some task on the file asks; others are dropped before the explode."""
-    wanted = asked.groupBy("file_id").agg(F.collect_set("term").alias("wanted"))
-    kept = tokenized.join(wanted, "file_id").select("file_id", "ord", F.size("terms").alias("size"), F.filter("terms", lambda t: F.array_contains("wanted", t)).alias("t"))
-    return kept.select("file_id", "ord", "size", F.explode("t").alias("term")).groupBy("file_id", "ord", "term", "size").agg(F.count("*").alias("f"))
+def term_frequencies(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(file_id, ord, term, f): how often a section has the terms that tasks on its file ask; all its other tokens under null.
 
-
-def file_stats(tokenized: DataFrame) -> DataFrame:
-    """(file_id, n, mean): sections of a file and their mean number of tokens (1 where that is 0)."""
-    mean = F.avg(F.size("terms"))
-    return tokenized.groupBy("file_id").agg(F.count("*").alias("n"), F.when(mean == 0, 1.0).otherwise(mean).alias("mean"))
+    Texts are tokenized once.  Where the asked terms are few, tokens meet them before anything is moved, so what is moved is
+    what is asked for and a row a section; where they are not, tokens are counted by section before they are joined.
+    """
+    wanted = asked.select("file_id", F.col("term").alias("wanted")).distinct()
+    tokens = chunks.select("file_id", "ord", F.explode_outer(tokenize(F.col("text"))).alias("token"))
+    if fits_broadcast(wanted):
+        counted, wanted = tokens.withColumn("k", F.col("token").isNotNull().cast("long")), F.broadcast(wanted)
+    else:
+        counted = tokens.groupBy("file_id", "ord", "token").agg(F.count("token").alias("k"))
+    on = (counted["file_id"] == wanted["file_id"]) & (counted["token"] == wanted["wanted"])
+    return counted.join(wanted, on, "left").groupBy(counted["file_id"], "ord", F.col("wanted").alias("term")).agg(F.sum("k").alias("f"))
 
 
-def bm25(chunks: DataFrame, tasks: DataFrame, boost: bool = True) -> DataFrame:
-    """(task_id, file_id, qi, ord, s) for every section of the task's file, zeros included.
+def bm25(chunks: DataFrame, tasks: DataFrame, boost: bool = True, zeros: bool = True) -> DataFrame:
+    """(task_id, file_id, qi, ord, s) for the sections of the task's file; with zeros also for those that score nothing.
 
     tasks: (task_id, file_id, qi, terms).  A section whose breadcrumb has a term gets a share of the best score on top.
     """
-    tokenized = with_tokens(chunks).select("file_id", "ord", "breadcrumb", "terms")
     asked = query_rows(tasks)
-    tf = term_frequencies(tokenized, asked)
+    found = store(term_frequencies(chunks, asked), "terms")
+    sizes = found.groupBy("file_id", "ord").agg(F.sum("f").alias("size"))
+    mean = F.avg("size")
+    stats = sizes.groupBy("file_id").agg(F.count("*").alias("n"), F.when(mean == 0, 1.0).otherwise(mean).alias("mean"))
+    tf = found.filter("term is not null")
     df = tf.groupBy("file_id", "term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weigh = F.col("qtf") * idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    terms = asked.join(df, ["file_id", "term"]).join(file_stats(tokenized), "file_id")
-    base = terms.join(tf, ["file_id", "term"]).groupBy("task_id", "file_id", "qi", "ord").agg(F.sum(weigh).alias("base"))
-    heads = tokenized.select("file_id", "ord", tokenize(F.col("breadcrumb")).alias("head"))
-    every = tasks.select("task_id", "file_id", "qi", "terms").join(heads, "file_id")
-    scored = every.join(base, ["task_id", "file_id", "qi", "ord"], "left").withColumn("base", F.coalesce("base", F.lit(0.0)))
-    if not boost:
-        return scored.select("task_id", "file_id", "qi", "ord", F.col("base").alias("s"))
-    top = scored.groupBy("task_id", "qi").agg(max_of(F.col("base")).alias("top"))
-    boosted = F.col("base") + F.when(F.arrays_overlap("head", "terms"), F.col("top") * HEADING_BOOST).otherwise(0.0)
-    return scored.join(top, ["task_id", "qi"]).select("task_id", "file_id", "qi", "ord", boosted.alias("s"))
+    terms = asked.join(df, ["file_id", "term"]).join(stats, "file_id").select("task_id", "file_id", "qi", "term", "mean", (F.col("qtf") * idf).alias("idf"))
+    weigh = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    keys = ["task_id", "file_id", "qi", "ord"]
+    scores = tf.join(sizes, ["file_id", "ord"]).join(checked_broadcast(terms), ["file_id", "term"]).groupBy(*keys).agg(F.sum(weigh).alias("s"))
+    if boost:
+        top = scores.groupBy("task_id", "qi").agg(max_of(F.col("s")).alias("top")).filter("top > 0")
+        # Sections share breadcrumbs, so these are tokenized once each.
+        crumbs = chunks.select("file_id", "breadcrumb").distinct().select("file_id", "breadcrumb", F.explode(F.array_distinct(tokenize(F.col("breadcrumb")))).alias("term"))
+        headed = crumbs.join(asked, ["file_id", "term"]).select("task_id", "file_id", "qi", "breadcrumb").distinct().join(top, ["task_id", "qi"])
+        more = chunks.select("file_id", "ord", "breadcrumb").join(headed, ["file_id", "breadcrumb"]).select(*keys, (F.col("top") * HEADING_BOOST).alias("s"))
+        scores = scores.unionByName(more).groupBy(*keys).agg(F.sum("s").alias("s"))
+    if zeros:
+        every = tasks.select("task_id", "file_id", "qi").join(sizes.select("file_id", "ord"), "file_id")
+        scores = every.join(scores, keys, "left").select(*keys, F.coalesce("s", F.lit(0.0)).alias("s"))
+    return scores
 
 
 def normalized(scores: DataFrame) -> DataFrame:

@@ -17,10 +17,12 @@ def _tokens(text: str) -> str:
 
 
 _COUNT = "greatest(1, length({0}) // 4)::INT"
-_CHUNKS = """ch AS (SELECT source AS file_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS ord, source || ' > ' || lang AS breadcrumb, text,
+_CHUNKS = """ch AS (SELECT source AS file_id, doc_id AS ord, source || ' > ' || lang AS breadcrumb, text,
   greatest(1, length(text) // 4)::INT AS tokens FROM documents)"""
-_ASPECTS = f"""bw AS (SELECT item_id AS task_id, 'src' || (item_id % 20) AS file_id, string_split(lower(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), ' ') AS w FROM benchmark),
-aq AS (SELECT task_id, file_id, 0 AS qi, array_to_string(w[1:8], ' ') AS query FROM bw UNION ALL SELECT task_id, file_id, 1, array_to_string(w[9:16], ' ') FROM bw),
+#: Tasks are whole texts in up to six aspects, of eight words or of a sixth of a longer text; each on one of the sources that occur.
+_ASPECTS = f"""fl AS (SELECT list(source ORDER BY length(source), source) AS files FROM (SELECT DISTINCT coalesce(source, '') AS source FROM documents)),
+bw AS (SELECT item_id AS task_id, files[1 + item_id % len(files)] AS file_id, string_split(lower(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', ' ', 'g')), ' ') AS w, greatest(8, (len(w) + 5) // 6) AS k FROM benchmark, fl),
+aq AS (SELECT task_id, file_id, qi, array_to_string(w[qi * k + 1:qi * k + k], ' ') AS query FROM bw, range(6) r(qi) WHERE qi * k < len(w)),
 asp AS (SELECT task_id, file_id, qi, list_filter({_tokens('query')}, lambda t: length(t) > 1 AND t NOT IN ({_STOP})) AS terms FROM aq)"""
 
 
@@ -51,14 +53,16 @@ ol AS (SELECT task_id, qi, list(term) AS own FROM ow GROUP BY ALL),
 tp AS (SELECT task_id, qi, greatest(0, max(s)) AS top FROM r6 GROUP BY ALL),
 be AS (SELECT r6.task_id, r6.qi, r6.ord, row_number() OVER (PARTITION BY r6.task_id, r6.qi ORDER BY CASE WHEN top > 0 AND own IS NOT NULL THEN len(list_filter(own, lambda t: contains(lower(text), t))) ELSE 0 END DESC, s DESC, r6.ord) AS k
   FROM r6 JOIN tp USING (task_id, qi) LEFT JOIN ol USING (task_id, qi) JOIN ch ON ch.file_id = r6.file_id AND ch.ord = r6.ord WHERE top <= 0 OR s >= 0.85 * top)"""
-_PICKED = _ROWS + """,
+_PICKED = _BEST + """,
 tops AS (SELECT task_id, max(score) AS top FROM m6 GROUP BY ALL),
-pk AS (SELECT rk.task_id, pos, 's' || rk.ord AS id, tokens, CASE WHEN top > 0 THEN floor(score * 100 / top + 0.5)::INT END AS relevance FROM rk JOIN tops USING (task_id) JOIN ch ON ch.file_id = rk.file_id AND ch.ord = rk.ord WHERE pos < 23),
+pk AS (SELECT rk.task_id, pos, 's' || rk.ord AS id, tokens, CASE WHEN top > 0 THEN floor(score * 100 / top + 0.5)::INT END AS relevance FROM rk JOIN tops USING (task_id) JOIN ch ON ch.file_id = rk.file_id AND ch.ord = rk.ord),
 us AS (SELECT task_id, sum(tokens) FILTER (pos < 3) AS used, greatest(1000, sum(tokens) FILTER (pos < 3) + 20) AS budget FROM pk GROUP BY ALL),
 nx AS (SELECT task_id, arg_min(id, (-relevance, pos)) AS id, arg_min(tokens, (-relevance, pos)) AS tokens, min_by(relevance, (-relevance, pos)) AS relevance FROM pk WHERE pos >= 3 AND relevance >= 40 GROUP BY ALL),
 hi AS (SELECT us.task_id, used, budget, CASE WHEN budget - used < budget * 0.12 AND nx.tokens + 20 > budget - used THEN nx.id END AS id, nx.tokens, nx.relevance, (ceil((used + nx.tokens + 40) / 100) * 100)::INT AS suggested FROM us LEFT JOIN nx USING (task_id)),
 tm AS (SELECT task_id, arg_min(id, (-relevance, pos)) AS id, arg_min(tokens, (-relevance, pos)) AS tokens, max(relevance) AS relevance FROM pk WHERE pos >= 3 AND relevance > 0 GROUP BY ALL),
-br AS (SELECT task_id, max(coalesce(relevance, 0)) AS best FROM pk WHERE pos < 3 GROUP BY ALL)"""
+br AS (SELECT task_id, max(coalesce(relevance, 0)) AS best FROM pk WHERE pos < 3 GROUP BY ALL),
+un AS (SELECT be.task_id, be.qi FROM be JOIN rk USING (task_id, ord) WHERE k = 1 AND pos >= 3),
+ga AS (SELECT DISTINCT r6.task_id, 's' || r6.ord AS id FROM r6 JOIN un USING (task_id, qi) JOIN tp USING (task_id, qi) WHERE top > 0 AND s >= greatest(0.4, 0.85 * top))"""
 _CONV = """turns AS (SELECT conv_id, turn, role, text, '## ' || role || ' ' || turn AS head FROM conversations),
 sec AS (SELECT 'conv' || conv_id AS file_id, -1 AS turn, 0 AS part, 'Conversation ' || conv_id AS breadcrumb, '# Conversation ' || conv_id AS text FROM (SELECT DISTINCT conv_id FROM turns)
   UNION ALL SELECT 'conv' || conv_id, turn, p, 'Conversation ' || conv_id || ' > ' || role || ' ' || turn,
@@ -103,13 +107,13 @@ ORACLE = {
     "relevance_floor": _ROWS + ", tp AS (SELECT task_id, max(score) AS top FROM me GROUP BY ALL) SELECT task_id, count(*) AS n FROM m6 JOIN tp USING (task_id) WHERE top <= 0 OR score >= 0.4 * top GROUP BY task_id",
     "top_cluster": _ROWS + """, sh AS (SELECT task_id, max(score) AS top, coalesce(min(score) FILTER (score > 0), 0) >= 0.95 * max(score) AS flat FROM m6 GROUP BY ALL)
         SELECT task_id, ord FROM rk JOIN sh USING (task_id) WHERE top > 0 AND CASE WHEN flat THEN pos = 0 ELSE score >= 0.98 * top END""",
-    "discriminative_terms": f"""WITH {_CHUNKS}, {_ASPECTS}, tl AS (SELECT file_id, list_sort(list(DISTINCT terms[1])) AS terms FROM asp WHERE len(terms) > 0 GROUP BY file_id),
+    "discriminative_terms": f"""WITH {_CHUNKS}, {_ASPECTS}, tl AS (SELECT file_id, list_sort(list_distinct(flatten(list(terms)))) AS terms FROM asp GROUP BY file_id),
         x AS (SELECT file_id, ord, terms, list_filter(terms, lambda t: len(list_filter(string_split(lower(text), chr(10)), lambda l: contains(l, t))) BETWEEN 1 AND 3) AS rare FROM ch JOIN tl USING (file_id))
         SELECT file_id, ord, array_to_string(CASE WHEN len(rare) > 0 THEN rare ELSE terms END, ',') AS terms FROM x""",
     "next_hint": _PICKED + " SELECT task_id, id, CASE WHEN id IS NOT NULL THEN tokens END AS tokens, CASE WHEN id IS NOT NULL THEN relevance END AS relevance, CASE WHEN id IS NOT NULL THEN suggested END AS suggested_budget FROM hi",
-    "omit_buckets": _PICKED + """, bu AS (SELECT pk.task_id, pk.id, pk.relevance, pk.pos, coalesce(pk.id = hi.id, false) OR coalesce(pk.id = tm.id AND coalesce(tm.relevance, 0) > best
+    "omit_buckets": _PICKED + """, bu AS (SELECT pk.task_id, pk.id, pk.relevance, pk.pos, ga.id IS NOT NULL OR coalesce(pk.id = hi.id, false) OR coalesce(pk.id = tm.id AND coalesce(tm.relevance, 0) > best
             AND (tm.tokens + 80 > budget OR (budget - used < budget * 0.12 AND tm.tokens + 20 > budget - used)), false) AS b
-          FROM pk JOIN hi USING (task_id) LEFT JOIN tm USING (task_id) LEFT JOIN br USING (task_id) WHERE pos >= 3)
+          FROM pk JOIN hi USING (task_id) LEFT JOIN tm USING (task_id) LEFT JOIN br USING (task_id) LEFT JOIN ga ON ga.task_id = pk.task_id AND ga.id = pk.id WHERE pos >= 3)
         SELECT task_id, coalesce(string_agg(id, ',' ORDER BY coalesce(relevance, 0) DESC, pos) FILTER (b), '') AS for_budget, count(*) FILTER (NOT b)::INT AS n_for_relevance FROM bu GROUP BY task_id""",
     "compile_hints": _PICKED + """ SELECT us.task_id, true AS multi_part_nudge, true AS omit_action, coalesce(tm.id, hi.id) AS named_omit, hi.id IS NULL AND us.budget - us.used > us.budget * 0.22 AS early_stopped
         FROM us JOIN hi USING (task_id) LEFT JOIN tm USING (task_id)""",

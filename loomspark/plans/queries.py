@@ -28,10 +28,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections are numbered by doc_id, which orders them within their file."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     file_id = F.coalesce("source", F.lit(""))
-    order = Window.partitionBy(file_id).orderBy("doc_id")
-    return docs.select(file_id.alias("file_id"), (F.row_number().over(order) - 1).alias("ord"), F.concat_ws(" > ", "source", "lang").alias("breadcrumb"), "text", K.token_count(F.col("text")).alias("tokens")).withColumn("id", F.concat(F.lit("s"), "ord"))
+    return docs.select(file_id.alias("file_id"), F.col("doc_id").alias("ord"), F.concat_ws(" > ", "source", "lang").alias("breadcrumb"), "text", K.token_count(F.col("text")).alias("tokens"), F.concat(F.lit("s"), "doc_id").alias("id"))
 
 
 def benchmark_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def benchmark_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("task_id", "file_id", "qi", F.concat_ws(" ", "w").alias("query")).withColumn("terms", Q.terms(F.col("query")))
 
 
-def _raw(spark, sf_dir):
-    return ranking.bm25(document_chunks(spark, sf_dir), benchmark_aspects(spark, sf_dir))
+def _raw(spark, sf_dir, **how):
+    return ranking.bm25(document_chunks(spark, sf_dir), store(benchmark_aspects(spark, sf_dir), "aspects"), **how)
 
 
 def _stored_rows(spark, sf_dir):
@@ -54,8 +54,8 @@ def _stored_rows(spark, sf_dir):
     return store(_rows(spark, sf_dir).withColumn("s", F.round("s", 6)), "rows")
 
 
-def _rows(spark, sf_dir):
-    return ranking.normalized(_raw(spark, sf_dir))
+def _rows(spark, sf_dir, **how):
+    return ranking.normalized(store(_raw(spark, sf_dir, **how), "scores"))
 
 
 def _scores(spark, sf_dir):
@@ -93,13 +93,15 @@ def token_savings(spark, sf_dir):
 
 
 def tokenize_freq(spark, sf_dir):
-    terms = read(spark, sf_dir, "documents").select("lang", F.explode(X.tokenize(F.col("text"))).alias("term"))
-    return terms.groupBy("lang", "term").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_terms"), F.max("n").alias("most"))
+    """Raw tokens are counted first, so each distinct one is stemmed once."""
+    raw = read(spark, sf_dir, "documents").select("lang", F.explode(X.raw_tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+    terms = raw.select("lang", F.explode(X.terms_of(F.col("token"))).alias("term"), "n")
+    return terms.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_terms"), F.max("n").alias("most"))
 
 
 def light_stem(spark, sf_dir):
     words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    return words.groupBy(X.light_stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
+    return words.groupBy("w").agg(F.count("*").alias("n")).groupBy(X.light_stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 def cjk_ngrams(spark, sf_dir):
@@ -146,17 +148,17 @@ def html_markdown(spark, sf_dir):
 
 
 def bm25_single(spark, sf_dir):
-    return ranking.bm25(document_chunks(spark, sf_dir), benchmark_aspects(spark, sf_dir), boost=False).filter("s > 0").select("task_id", "qi", "ord", F.round("s", 4).alias("s"))
+    return _raw(spark, sf_dir, boost=False, zeros=False).filter("s > 0").select("task_id", "qi", "ord", F.round("s", 4).alias("s"))
 
 
 def bm25_heading_boost(spark, sf_dir):
     # Headings here are source and language; the language is asked as a term.
-    asked = benchmark_aspects(spark, sf_dir).withColumn("terms", F.array_append("terms", F.lit("de")))
-    return ranking.bm25(document_chunks(spark, sf_dir), asked).filter("s > 0").select("task_id", "qi", "ord", F.round("s", 4).alias("s"))
+    asked = store(benchmark_aspects(spark, sf_dir).withColumn("terms", F.array_append("terms", F.lit("de"))), "aspects")
+    return ranking.bm25(document_chunks(spark, sf_dir), asked, zeros=False).filter("s > 0").select("task_id", "qi", "ord", F.round("s", 4).alias("s"))
 
 
 def per_query_norm(spark, sf_dir):
-    return _rows(spark, sf_dir).filter("s > 0").select("task_id", "qi", "ord", F.round("s", 4).alias("s"))
+    return _rows(spark, sf_dir, zeros=False).filter("s > 0").select("task_id", "qi", "ord", F.round("s", 4).alias("s"))
 
 
 def multi_score(spark, sf_dir):

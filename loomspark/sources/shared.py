@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of rows, written as JSON, that are broadcast at most.
+MOST_BROADCAST = 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +37,13 @@ def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
         for f in df.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fits_broadcast(df: DataFrame, most_bytes: int = MOST_BROADCAST) -> bool:
+    size = F.octet_length(F.to_json(F.struct("*"))) + 16
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most_bytes
+
+
+def checked_broadcast(df: DataFrame, most_bytes: int = MOST_BROADCAST) -> DataFrame:
+    """df with a broadcast hint if its rows have at most so many bytes; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if fits_broadcast(df, most_bytes) else df
