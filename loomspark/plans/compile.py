@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import query as Q
@@ -11,7 +11,7 @@ from loomspark.functions.text import source_name
 from loomspark.functions.tokens import content_tokens, reduction_pct, token_count, tokens_saved
 from loomspark.operators import hints, ranking
 from loomspark.operators.chunking import chunk_markdown
-from loomspark.operators.selection import Section, assemble, content_count, found, rare_terms, select, truncate
+from loomspark.operators.selection import END, NOTE, Section, assemble, content_count, count_tokens, found, rare_terms, select, truncate
 from loomspark.sources.shared import store
 
 _SECTION = "id string, ord int, section string, tokens int, relevance int, truncated boolean, full_tokens int, matched_queries array<int>, text string"
@@ -27,8 +27,9 @@ def aspect_rows(tasks: DataFrame) -> DataFrame:
 
 def scored_sections(chunks: DataFrame, aspects: DataFrame) -> DataFrame:
     """(task_id, file_id, ord, score, pos, matched_queries, best): the ranking that the selection walks."""
-    # Scores are read by four aggregates and the ranking.
-    raw = store(ranking.bm25(chunks, aspects), "scores")
+    # Scores are read by four aggregates and the ranking.  Sums come in any order, so their last digits are cut off: equal
+    # sections stay equal, whichever task is run again.
+    raw = store(ranking.bm25(chunks, aspects).withColumn("s", F.round("s", 9)), "scores")
     multi = aspects.groupBy("task_id").agg((F.count("*") > 1).alias("multi"), F.first("task").alias("task"))
     rows = ranking.normalized(raw.join(multi.filter("multi").select("task_id"), "task_id", "left_semi"))
     single = raw.join(multi.filter("not multi").select("task_id"), "task_id", "left_semi").select("task_id", "file_id", "ord", F.col("s").alias("score"))
@@ -61,40 +62,66 @@ def _named(sections: list[dict], task: str) -> list[dict]:
     return [by_ord[o] for o in order]
 
 
-def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One task's sections to its selection."""
-    head = pdf.iloc[0]
-    rows = pdf.to_dict("records")
+#: Tasks on one file that are packed together; the file's sections are brought to each such lot once.
+TASKS_A_LOT = 200
+
+
+def pack_task(rows: list[dict], of: dict[int, dict], task: dict) -> tuple:
+    """One task's ranked sections to its selection.  rows: score and order of the sections; of: the sections by ord."""
+    rows = [r | of[r["ord"]] for r in rows]
     # One aspect: by score; several: in turns.
     rows.sort(key=lambda r: (r["turn"], r["ord"]) if r["multi"] else (-r["score"], r["ord"]))
-    rows = _named(rows, head["task"])
+    rows = _named(rows, task["task"])
     lists = lambda x: tuple(int(q) for q in x) if x is not None and not isinstance(x, float) else ()
     ranked = [Section(r["id"], int(r["ord"]), r["breadcrumb"], r["text"], int(r["tokens"]), float(r["score"]), lists(r["matched_queries"])) for r in rows]
-    best = list(head["best"]) if head["best"] is not None and not isinstance(head["best"], float) else []
+    texts = lambda x: list(x) if x is not None and not isinstance(x, float) else []
+    best, forced = texts(rows[0]["best"]), texts(task.get("forced"))
     top = max([0.0, *(s.score for s in ranked)])
-    done = select(ranked, int(head["token_budget"]), head["name"], Q.query_terms(head["task"]), best, head["task"], content=True)
+    done = select(ranked, int(task["token_budget"]), task["name"], Q.query_terms(task["task"]), best, task["task"], forced, content=True)
     rel = lambda s: int(100 * s.score / top + 0.5) if top > 0 else None
     info = lambda s, text: {"id": s.id, "ord": s.ord, "section": s.breadcrumb, "tokens": s.tokens, "relevance": rel(s), "truncated": s.truncated, "full_tokens": s.full_tokens,
-                            "matched_queries": list(s.matched) if head["multi"] else None, "text": s.text if text else None}
-    used = content_count(assemble(head["name"], done.selected))
-    row = (str(head["task_id"]), head["file_id"], done.text, used, done.stopped_early, [info(s, True) for s in done.selected], [info(s, False) for s in done.omitted], best)
-    return pd.DataFrame([row], columns=["task_id", "file_id", "markdown", "tokens_used", "stopped_early", "selected_sections", "omitted_sections", "best"])
+                            "matched_queries": list(s.matched) if rows[0]["multi"] else None, "text": s.text if text else None}
+    used = content_count(assemble(task["name"], done.selected))
+    return str(task["task_id"]), task["file_id"], done.text, used, done.stopped_early, [info(s, True) for s in done.selected], [info(s, False) for s in done.omitted], best
+
+
+def packed(scored: DataFrame, chunks: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The selection of each task (PACKED).  scored: as scored_sections gives it; tasks: (task_id, file_id, task, token_budget,
+    name of the source, and optionally forced, an array of section ids).
+
+    A file's sections, at most some tens of MB, meet a lot of its tasks in one group, so texts move once a lot and not once a
+    task; many tasks on one file make many lots.
+    """
+    sizes = tasks.groupBy("file_id").agg(F.count("*").alias("k"))
+    lot = F.pmod(F.xxhash64("task_id"), F.ceil(F.col("k") / TASKS_A_LOT)).alias("lot")
+    dealt = tasks.join(sizes, "file_id").select(*tasks.columns, lot)
+    texts = chunks.select(*[F.col(c).alias(c) for c in ("file_id", "id", "ord", "breadcrumb", "text", "tokens")]).join(dealt.select("file_id", F.col("lot").alias("of_lot")).distinct(), "file_id")
+    rows = scored.drop("file_id").join(dealt, "task_id")
+    extra = [c for c in ("forced",) if c in tasks.columns]
+
+    def pack_lot(sections: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        of = {r["ord"]: r for r in sections[["id", "ord", "breadcrumb", "text", "tokens"]].to_dict("records")}
+        out = []
+        for _, pdf in found.groupby("task_id", sort=True):
+            task = pdf.iloc[0][["task_id", "file_id", "task", "token_budget", "name", *extra]].to_dict()
+            out.append(pack_task(pdf[["ord", "score", "turn", "matched_queries", "best", "multi"]].to_dict("records"), of, task))
+        return pd.DataFrame(out, columns=["task_id", "file_id", "markdown", "tokens_used", "stopped_early", "selected_sections", "omitted_sections", "best"])
+
+    return texts.groupBy("file_id", "of_lot").cogroup(rows.groupBy("file_id", "lot")).applyInPandas(pack_lot, PACKED)
 
 
 def compile_context(docs: DataFrame, tasks: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """One row a task: the artifact, what is in it and what was left out, meters, hint, buckets and notes.
 
-    docs: (file_id, name, markdown); tasks: (task_id, file_id, task, token_budget).  A file's sections meet in one task, and
-    a file is at most some tens of MB.  Tasks on files without sections give no row.
+    docs: (file_id, name, markdown); tasks: (task_id, file_id, task, token_budget).  Tasks on files without sections give no row.
     """
     chunks = store(chunk_markdown(docs), "chunks") if chunks is None else chunks
     tasks = tasks.withColumn("task_id", F.col("task_id").cast("string"))
     aspects = store(aspect_rows(tasks), "aspects")
     named = docs.select("file_id", source_name(F.col("name")).alias("name"), token_count(F.col("markdown")).alias("raw_tokens"))
-    full = scored_sections(chunks, aspects).join(chunks, ["file_id", "ord"]).join(tasks.select("task_id", "task", "token_budget"), "task_id").join(named.select("file_id", "name"), "file_id")
-    packed = store(full.groupBy("task_id").applyInPandas(pack_group, PACKED), "packed")
+    done = store(packed(scored_sections(chunks, aspects), chunks, tasks.join(named.select("file_id", "name"), "file_id")), "packed")
     queries = aspects.groupBy("task_id").agg(F.first("queries").alias("queries"), F.first("token_budget").alias("token_budget"))
-    out = packed.join(queries, "task_id").join(named.select("file_id", "raw_tokens"), "file_id")
+    out = done.join(queries, "task_id").join(named.select("file_id", "raw_tokens"), "file_id")
     budget, used, chosen, omitted = F.col("token_budget"), F.col("tokens_used"), F.col("selected_sections"), F.col("omitted_sections")
     out = out.withColumn("reduction_pct", reduction_pct(F.col("raw_tokens"), used)).withColumn("tokens_saved", tokens_saved(F.col("raw_tokens"), used))
     out = out.withColumn("next_section_hint", hints.next_section_hint(budget, used, omitted, chosen))
@@ -107,6 +134,32 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.select("file_id", "name", token_count(F.col("markdown")).alias("raw_tokens"))
 
 
+def truncated(text: Column, most: Column, terms: Column) -> Column:
+    """struct<text, tokens>: a text in at most so many tokens, around terms if there are any; nulls where nothing useful is left."""
+
+    @F.pandas_udf("text string, tokens int")
+    def cut(texts: pd.Series, sizes: pd.Series, asked: pd.Series) -> pd.DataFrame:
+        rows = [truncate(t, count_tokens(t), int(n), list(q)) or (None, None) for t, n, q in zip(texts, sizes, asked, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "tokens"]).astype({"tokens": "Int32"})
+
+    return cut(text, most, terms)
+
+
+def assembled(sections: DataFrame) -> DataFrame:
+    """(key, markdown): the artifact of each key's sections (key, name, ord, breadcrumb, text), without a manifest.
+
+    Expressions alone: a breadcrumb is told where it changes, so each section looks at the one before it in its list.
+    """
+    listed = sections.groupBy("key", "name").agg(F.array_sort(F.collect_list(F.struct("ord", "breadcrumb", "text"))).alias("l"))
+    head = F.concat(F.lit("<!-- Compiled context from: "), "name", F.lit(f" -->\n{NOTE}\n\n"))
+
+    def one(s: Column, i: Column) -> Column:
+        same = F.get("l", i - 1)["breadcrumb"].eqNullSafe(s["breadcrumb"]) & (i > 0)
+        return F.concat(F.when(same, "").otherwise(F.concat(F.lit("<!-- section: "), s["breadcrumb"], F.lit(" -->\n"))), s["text"], F.lit("\n\n"))
+
+    return listed.select("key", F.concat(head, F.array_join(F.transform("l", one), ""), F.lit(END)).alias("markdown"))
+
+
 EXPANDED = "text string, tokens int, truncated boolean, query_miss boolean"
 
 

@@ -253,25 +253,144 @@ def omitted_sections(spark, sf_dir):
     return pos.join(pos.filter("pos < 3").select("task_id", "ord"), ["task_id", "ord"], "left_anti").groupBy("task_id").agg(F.count("*").alias("n"), F.min_by("ord", "pos").alias("first_ord"))
 
 
+def _selected(out: DataFrame, *more) -> DataFrame:
+    """What a selection comes to: ids in document order, tokens of the packed text, and how many were left out."""
+    picked = F.array_join(hints.ids(F.col("selected_sections")), ",").alias("selected")
+    return out.select(F.col("task_id"), picked, "tokens_used", "stopped_early", F.size("omitted_sections").alias("n_omitted"), *more)
+
+
+def _benchmark_tasks(spark, sf_dir):
+    """(aspects, tasks): whole benchmark texts on one file each, and room for all that they need."""
+    aspects = benchmark_aspects(spark, sf_dir).withColumn("task_id", F.col("task_id").cast("string"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("qi", "query"))), lambda x: x["query"]), " ")
+    tasks = store(aspects.groupBy("task_id", "file_id").agg(whole.alias("task")), "tasks")
+    return store(aspects.join(tasks, ["task_id", "file_id"]), "aspects"), tasks.withColumns({"token_budget": F.lit(1_000_000), "name": F.lit("corpus")})
+
+
+def _select(spark, sf_dir, forced: bool):
+    chunks = document_chunks(spark, sf_dir)
+    aspects, tasks = _benchmark_tasks(spark, sf_dir)
+    scored = store(C.scored_sections(chunks, aspects).withColumn("score", F.round("score", 6)), "scored")
+    if forced:
+        # The section that ranks last for every second task.
+        last = scored.groupBy("task_id").agg(F.max_by("ord", F.when(F.col("multi"), F.col("turn") * 1.0).otherwise(-F.col("score") + F.col("ord") / 1e9)).alias("ord"))
+        tasks = tasks.join(last, "task_id").withColumn("forced", F.when(F.col("task_id").cast("long") % 2 == 0, F.array(F.concat(F.lit("s"), "ord")))).drop("ord")
+    return _selected(C.packed(scored, chunks, tasks)).withColumn("task_id", F.col("task_id").cast("long"))
+
+
+def select_sections(spark, sf_dir):
+    """Coverage first, under a ceiling that all of it fits: open aspects, then rare terms, an end when all is covered."""
+    return _select(spark, sf_dir, False)
+
+
+def select_forced(spark, sf_dir):
+    """The same with a section that must be in."""
+    return _select(spark, sf_dir, True)
+
+
+def _vague(spark, sf_dir, budgets: tuple[int, ...]):
+    """Tasks that say nothing, one a file and budget; scores come from the sections' numbers: all alike in every third file, one on top in the next, seven steps else."""
+    chunks = document_chunks(spark, sf_dir)
+    first = chunks.groupBy("file_id").agg(F.min("ord").alias("first"))
+    kind = F.pmod(F.ascii(F.substring("file_id", -1, 1)), F.lit(3))
+    score = F.when(kind == 0, F.lit(1.0)).when(kind == 1, F.when(F.col("ord") == F.col("first"), 1.0).otherwise(0.5)).otherwise((F.col("ord") % 7) / 6.0)
+    asked = chunks.select("file_id").distinct().select("file_id", F.explode(F.array(*map(F.lit, budgets))).alias("token_budget")).withColumn("task_id", F.concat_ws("@", "file_id", "token_budget"))
+    tasks = store(asked.select("task_id", "file_id", F.lit("").alias("task"), "token_budget", F.lit("corpus").alias("name")), "tasks")
+    scored = chunks.join(first, "file_id").join(tasks.select("file_id", "task_id"), "file_id").select(
+        "task_id", "file_id", "ord", F.round(score, 6).alias("score"), F.lit(None).cast("int").alias("turn"), F.lit(None).cast("array<int>").alias("matched_queries"), F.lit(None).cast("array<string>").alias("best"), F.lit(False).alias("multi"))
+    return C.packed(scored, chunks, tasks)
+
+
+def select_vague(spark, sf_dir):
+    """Of the sections on top of the ranking two at most; one where all scores are alike."""
+    return _selected(_vague(spark, sf_dir, (1_000_000,)))
+
+
+def select_partial(spark, sf_dir):
+    """The same under ceilings that the best section mostly exceeds: what of it fits, and another only if it fits as well."""
+    cut = F.array_join(F.transform("selected_sections", lambda x: F.concat_ws(":", x["tokens"], F.coalesce(x["full_tokens"], F.lit(0)), F.md5(x["text"]))), ",").alias("parts")
+    return _selected(_vague(spark, sf_dir, (60, 150, 400, 900)), cut)
+
+
+def truncate_prefix(spark, sf_dir):
+    """Documents cut to three sizes without a task."""
+    return _cuts(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.array(F.lit(39), F.lit(60), F.lit(200), F.lit(700))).alias("most"), F.array().cast("array<string>").alias("terms")))
+
+
+def truncate_around(spark, sf_dir):
+    """Documents cut around the lines that hold terms: their own tenth word from the end and a word that many have."""
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    terms = F.filter(F.array(F.element_at(F.reverse(w), 10), F.lit("der")), lambda x: x.isNotNull())
+    return _cuts(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.array(F.lit(60), F.lit(200))).alias("most"), F.when(F.size(w) >= 10, terms).otherwise(F.array(F.lit("der"))).alias("terms")))
+
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    part = C.truncated(F.col("text"), F.col("most"), F.col("terms"))
+    return rows.withColumn("x", part).select("doc_id", "most", F.col("x.tokens").alias("tokens"), F.md5("x.text").alias("text_md5"))
+
+
+def assemble_files(spark, sf_dir):
+    """The artifact of every file with all of its sections."""
+    texts = C.assembled(document_chunks(spark, sf_dir).select(F.col("file_id").alias("key"), F.col("file_id").alias("name"), "ord", "breadcrumb", "text"))
+    return texts.select("key", F.md5("markdown").alias("text_md5"), F.length("markdown").alias("n_chars"))
+
+
+def manifest_lines(spark, sf_dir):
+    """The manifest of what each task leaves out, with as many lines as fit in 1,200 tokens."""
+    pos = ranking.ranked(_scores(spark, sf_dir).withColumn("score", F.round("score", 6))).filter("pos >= 3")
+    listed = pos.join(document_chunks(spark, sf_dir), ["file_id", "ord"]).withColumn("label", X.section_label(F.col("breadcrumb"), F.col("text")))
+    lines = listed.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", "label", "tokens"))), lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["tokens"].alias("tokens"))).alias("omitted"))
+    return lines.withColumn("m", hints.manifest_text(F.col("omitted"), F.lit(1200))).select("task_id", F.col("m.most").alias("most"), F.md5("m.text").alias("text_md5"))
+
+
 def _compiled(spark, sf_dir, budget=1200):
     docs = conversation_docs(spark, sf_dir)
     tasks = docs.select(F.concat(F.lit("t-"), "file_id").alias("task_id"), "file_id", F.concat(F.lit("What about "), F.substring(F.regexp_replace("markdown", r"[#\n]+", " "), 40, 60), F.lit("? And where is "), F.substring("markdown", 200, 40)).alias("task"), F.lit(budget).alias("token_budget"))
     return C.compile_context(docs, tasks), docs, tasks
 
 
-def compile_context(spark, sf_dir):
+def compile_tight(spark, sf_dir):
+    """Whole conversations for two questions under a ceiling of 1,200 tokens, with all that compile gives."""
     return _compiled(spark, sf_dir)[0]
 
 
+def _two_questions(spark, sf_dir):
+    """Each conversation asked by the first and the last four long words of its last turn, with room for all of it."""
+    last = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by(F.struct("text"), "turn")["text"].alias("text"))
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{5,}"), F.lit(0))
+    four = lambda a: F.array_join(a, " ")
+    ask = F.concat(F.lit("What about "), four(F.slice(w, 1, 4)), F.lit("? Where is "), four(F.reverse(F.slice(F.reverse(w), 1, 4))), F.lit("?"))
+    return last.select(F.concat(F.lit("conv"), "conv_id").alias("task_id"), F.concat(F.lit("conv"), "conv_id").alias("file_id"), ask.alias("task"), F.lit(100_000).alias("token_budget"))
+
+
+def compile_context(spark, sf_dir):
+    out = C.compile_context(conversation_docs(spark, sf_dir), _two_questions(spark, sf_dir))
+    rel = F.array_join(F.transform("selected_sections", lambda x: F.coalesce(x["relevance"].cast("string"), F.lit("-"))), ",").alias("relevance")
+    return _selected(out, rel, "raw_tokens", "reduction_pct", "tokens_saved", F.col("next_section_hint.id").alias("hint"), F.col("compile_hints.named_omit").alias("named_omit"), F.col("compile_hints.early_stopped").alias("early_stopped"))
+
+
 def expand_section(spark, sf_dir):
+    """The second section of every conversation in 120 tokens, or what there is instead of one that is missing."""
+    docs = conversation_docs(spark, sf_dir)
+    wanted = docs.select("file_id", F.explode(F.array(F.lit("s1"), F.lit("s99999"))).alias("section_id"), F.lit(120).alias("token_budget"), F.lit(None).cast("string").alias("task"))
+    out = C.expand_sections(store(chunk_markdown(docs), "chunks"), wanted)
+    listed = F.array_join(F.transform("outline", lambda x: F.concat_ws("|", x["id"], x["section"], x["tokens"])), ",")
+    return out.select("file_id", "section_id", F.md5("markdown").alias("text_md5"), "tokens_used", "truncated", "full_tokens", "query_miss", "error", F.md5(listed).alias("outline_md5"))
+
+
+def expand_query(spark, sf_dir):
+    """Sections in 120 tokens around a task."""
     docs = conversation_docs(spark, sf_dir)
     wanted = docs.select("file_id", F.when(F.length("file_id") % 2 == 0, "s1").otherwise("s99").alias("section_id"), F.lit(120).alias("token_budget"), F.substring("markdown", 60, 40).alias("task"))
     return C.expand_sections(chunk_markdown(docs), wanted)
 
 
 def prove_context(spark, sf_dir):
-    compiled, docs, tasks = _compiled(spark, sf_dir)
-    return C.prove_context(compiled, chunk_markdown(docs), tasks.select("task_id", F.lit("s1").alias("section_id")))
+    """The selections of compile_context with the second section of the file on top."""
+    docs, tasks = conversation_docs(spark, sf_dir), _two_questions(spark, sf_dir)
+    chunks = store(chunk_markdown(docs), "chunks")
+    out = C.prove_context(C.compile_context(docs, tasks, chunks), chunks, tasks.select("task_id", F.lit("s1").alias("section_id")))
+    return out.select("task_id", F.md5("markdown").alias("text_md5"), F.array_join("expanded_applied", ",").alias("expanded"), "expand_content_tokens")
 
 
 def measure(spark, sf_dir):
@@ -279,23 +398,6 @@ def measure(spark, sf_dir):
 
 
 def recall_at_budget(spark, sf_dir):
-    """Share of labelled good sections of each file within the first 20,000 tokens of the file."""
-    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cum = docs.withColumn("spent", F.sum(K.token_count(F.col("text"))).over(w))
-    good = F.col("quality") == 1
-    return cum.groupBy("source").agg(F.sum(good.cast("int")).alias("good"), F.sum((good & (F.col("spent") <= 20_000)).cast("int")).alias("packed"))
-
-
-def pack_matrix(spark, sf_dir):
-    """Files by budgets: how many of a file's first sections a whole-section fill would take."""
-    budgets = spark.createDataFrame([(b,) for b in (400, 1000, 4000, 8000)], "budget int")
-    w = Window.partitionBy("file_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    cum = document_chunks(spark, sf_dir).withColumn("spent", F.sum("tokens").over(w))
-    return cum.join(F.broadcast(budgets), F.col("spent") <= F.col("budget")).groupBy("file_id", "budget").agg(F.count("*").alias("n"), F.max("spent").alias("tokens"))
-
-
-def recall_cases(spark, sf_dir):
     """Each conversation's last turn asked by how its first line begins: whether the packed text holds the line's end under each budget, and if not, whether a section that was left out gives it back."""
     docs = conversation_docs(spark, sf_dir)
     chunks = store(chunk_markdown(docs), "chunks")
@@ -311,7 +413,7 @@ def recall_cases(spark, sf_dir):
     return done.select("task_id", "token_budget", "found", "expand_ok", (F.col("found") | F.col("expand_ok")).alias("ok"), "tokens_used", F.size("selected_sections").alias("selected"))
 
 
-def pack_cases(spark, sf_dir):
+def pack_matrix(spark, sf_dir):
     """Conversations by a pointed and a vague question by budgets: what is packed, whole-document flags, and whether a larger budget keeps to the selection at 1000."""
     docs = conversation_docs(spark, sf_dir)
     pointed = F.concat(F.lit("What about "), F.substring(F.regexp_replace("markdown", r"[#\n]+", " "), 40, 60), F.lit("?"))
@@ -376,7 +478,8 @@ def event_windows(spark, sf_dir):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     bm25_single, token_count, content_tokens, clamp_budget, token_savings, tokenize_freq, light_stem, cjk_ngrams, names_and_ids, section_labels, chunk_conversations, section_outline, block_split,
     html_markdown, bm25_heading_boost, per_query_norm, multi_score, relevance_pct, topk_sections, best_id, attribution, round_robin, score_shape, relevance_floor, top_cluster, discriminative_terms,
-    next_hint, omit_buckets, compile_hints, omitted_sections, compile_context, expand_section, prove_context, measure, recall_at_budget, pack_matrix, recall_cases, pack_cases, cache_lookup, dedupe_by_hash, rate_limit,
+    next_hint, omit_buckets, compile_hints, omitted_sections, select_sections, select_forced, select_vague, select_partial, truncate_prefix, truncate_around, assemble_files, manifest_lines,
+    compile_context, compile_tight, expand_section, expand_query, prove_context, measure, recall_at_budget, pack_matrix, cache_lookup, dedupe_by_hash, rate_limit,
     request_costs, counters, session_totals, live_handles, event_windows,
 )}
 
