@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
+#: Scripts that are read by characters, letters of Arabic, and the signs its words are read without.
 _CJK = r"\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Hangul}"
 _TOKEN = regex.compile(rf"[{_CJK}]+|[\p{{L}}\p{{M}}\p{{N}}]+")
 _RUN = regex.compile(rf"[{_CJK}]+")
@@ -87,6 +88,7 @@ def query_terms(task: str) -> list[str]:
 # --- aspects ---------------------------------------------------------------------------------------------------------
 
 MOST_ASPECTS, LEAST_LETTERS = 6, 3
+#: Words that may join two asks.
 _JOIN = regex.compile(r"\s+(?:and|also|y|и|und|et|और)\s+|،\s*و", regex.I)
 #: What a question begins with.
 _ASKS = regex.compile(
@@ -183,6 +185,16 @@ def terms(task: Column) -> Column:
     return read(task)
 
 
+def given_name(text: Column, name: Column) -> Column:
+    """Whether a text has the surname behind a given name; false for null."""
+
+    @F.pandas_udf("boolean")
+    def read(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([bool(t and n) and has_given_name(t, n) for t, n in zip(texts, names, strict=True)], dtype=bool)
+
+    return read(text, name)
+
+
 def surname(task: Column) -> Column:
     @F.pandas_udf("string")
     def read(s: pd.Series) -> pd.Series:

@@ -57,14 +57,34 @@ def cost_usd(tokens: Column, per_million: float = PRICE_PER_MILLION) -> Column:
     return tokens / 1e6 * per_million
 
 
-def budget_preset(raw: Column, share: float, low: int, high: int, step: int = 50) -> Column:
-    """A share of the source's tokens, rounded to steps and held between low and high."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), half_up(raw * share / step) * step)).cast("int")
-
-
-def packaging_gap(wire: Column, content: Column, over: float = 0.10) -> Column:
-    """Whether the tokens sent exceed the content by more than `over`."""
-    return wire > content * (1 + over)
+#: Budgets offered where a source's size is unknown or large, and the bounds and shares of the smaller ones.
+PRESETS, PRESET_LOW, PRESET_HIGH, HALF, FIFTH = (1000, 4000, 8000), 100, 20_000, 0.5, 0.2
+
+
+def budget_presets(raw: Column) -> Column:
+    """struct<quick, standard, deep>: for a small source all, half and a fifth of its tokens, in steps of 50, each below the next."""
+    step = lambda x: F.greatest(F.lit(PRESET_LOW), F.least(F.lit(PRESET_HIGH), half_up(x / 50) * 50))
+    deep = step(F.greatest(raw, F.lit(PRESET_LOW)))
+    standard = step(F.least(deep, F.greatest(F.lit(2 * PRESET_LOW), raw * HALF)))
+    quick = step(F.least(standard - 50, F.greatest(F.lit(PRESET_LOW), raw * FIFTH)))
+    large = raw.isNull() | (raw == 0) | (raw >= PRESETS[2])
+    pick = lambda fixed, own, name: F.when(large, F.lit(fixed)).otherwise(own).cast("int").alias(name)
+    return F.struct(pick(PRESETS[0], F.least(quick, standard), "quick"), pick(PRESETS[1], F.least(standard, deep), "standard"), pick(PRESETS[2], deep, "deep"))
+
+
+def packaging_note(content: Column, wire: Column, over: float = 0.1) -> Column:
+    """What is sent beside the content where that is more than `over` of it, else null."""
+    note = F.concat(F.format_number(content, 0), F.lit(" content, about "), F.format_number(wire, 0), F.lit(" as sent"))
+    return F.when((content > 0) & (wire > content) & ((wire - content) / content > over), note)
+
+
+def setting(value: Column, default: float, low: float, high: float, whole: bool = True) -> Column:
+    """A number from a setting's text within its bounds; the default where there is none or it is no finite number."""
+    number = F.trim(value).try_cast("double")
+    good = F.coalesce(~F.isnan(number) & (F.abs(number) < float("inf")), F.lit(False))
+    number = F.when(good, number).otherwise(F.lit(float(default)))
+    number = F.signum(number) * F.floor(F.abs(number)) if whole else number
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), number))
 
 
 def max_of(x: Column) -> Column:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import query as Q
 from loomspark.functions.text import source_name
-from loomspark.functions.tokens import content_tokens, reduction_pct, token_count, tokens_saved
+from loomspark.functions.tokens import PRICE_PER_MILLION, content_tokens, cost_usd, reduction_pct, token_count, tokens_saved
 from loomspark.operators import hints, ranking
 from loomspark.operators.chunking import chunk_markdown
-from loomspark.operators.selection import END, NOTE, Section, assemble, content_count, count_tokens, found, rare_terms, select, truncate
+from loomspark.operators.selection import CAP_MARK, END, NOTE, Section, assemble, content_count, count_tokens, found, rare_terms, select, truncate
 from loomspark.sources.shared import store
 
 _SECTION = "id string, ord int, section string, tokens int, relevance int, truncated boolean, full_tokens int, matched_queries array<int>, text string"
@@ -160,6 +160,29 @@ def assembled(sections: DataFrame) -> DataFrame:
     return listed.select("key", F.concat(head, F.array_join(F.transform("l", one), ""), F.lit(END)).alias("markdown"))
 
 
+def parity_contexts(proved: DataFrame, docs: DataFrame, cap: int = 60_000) -> DataFrame:
+    """(task_id, full, context, full_tokens, context_tokens, reduction_pct): what the same question is asked of, whole file and selection.
+
+    proved: (task_id, file_id, markdown); docs: (file_id, markdown).  A file of more than `cap` tokens is read up to that.
+    """
+    n = token_count(F.col("markdown"))
+    head = F.concat(F.substring("markdown", F.lit(1), F.floor(F.length("markdown") * F.lit(cap) / n).cast("int")), F.lit(CAP_MARK))
+    full = docs.select("file_id", F.when(n <= cap, F.col("markdown")).otherwise(head).alias("full"))
+    both = proved.select("task_id", "file_id", F.col("markdown").alias("context")).join(full, "file_id")
+    both = both.withColumn("full_tokens", content_tokens(F.col("full"))).withColumn("context_tokens", content_tokens(F.col("context")))
+    return both.withColumn("reduction_pct", F.greatest(F.lit(0.0), reduction_pct(F.col("full_tokens"), F.col("context_tokens"))))
+
+
+def responses(compiled: DataFrame, texts: bool = False, price: float = PRICE_PER_MILLION) -> DataFrame:
+    """(task_id, json): each row of compile_context as one JSON object, without the sections' texts (they stand in markdown), or with them and the costs."""
+    bare = F.transform("selected_sections", lambda s: s.dropFields("text"))
+    out = compiled if texts else compiled.withColumn("selected_sections", bare)
+    out = out.withColumn("omitted_sections", F.transform("omitted_sections", lambda s: s.dropFields("text")))
+    if texts:
+        out = out.withColumns({"cost_raw_usd": cost_usd(F.col("raw_tokens"), price), "cost_compiled_usd": cost_usd(F.col("tokens_used"), price), "price_per_mtok": F.lit(price)})
+    return out.select("task_id", F.to_json(F.struct(*[c for c in out.columns if c != "best"])).alias("json"))
+
+
 EXPANDED = "text string, tokens int, truncated boolean, query_miss boolean"
 
 

@@ -161,17 +161,62 @@ k AS (SELECT *, list_reduce(tried, lambda a, j: CASE WHEN NOT list_contains(a.k,
 b AS (SELECT *, CASE WHEN len(hits) = 0 THEN {_head('text', 'full_', 'most')} ELSE array_to_string(list_transform(list_sort(kept), lambda i: lines[i + 1]), chr(10)) END AS body FROM k)
 SELECT doc_id, most, c.tokens AS tokens, md5(c.text) AS text_md5 FROM (SELECT doc_id, most, {_cut('body', 'text', 'full_', 'most')} AS c FROM b)"""
 
+#: The workspaces of sessions, each field by its last writer.
+_WORKSPACE = """WITH e AS (SELECT (user_id % 200)::VARCHAR AS session, event_id AS seq, ['WORKSPACE_HYDRATED', 'DOCUMENT_SELECTED', 'DOCUMENT_RESTORED', 'TASK_CHANGED', 'BUDGET_CHANGED', 'PRESETS_CHANGED', 'DOC_SIZE_NOTE_CHANGED', 'COMPILE_SUCCEEDED',
+    'COMPILE_CLEARED', 'COMPILE_FAILED', 'PROVE_INCLUDE_CHANGED', 'PROVE_INCLUDE_CHANGED', 'PROVE_INCLUDE_CHANGED', 'PROVE_INCLUDE_CLEARED', 'RUN_INTENT_CREATED', 'RUN_INTENT_CLAIMED', 'COMPILE_SUCCEEDED', 'TASK_CHANGED', 'PROVE_INCLUDE_CHANGED'][1 + event_id % 19] AS type,
+    event_type || (event_id % 3) AS task, (event_id % 7 * 100)::INT AS budget, CASE WHEN event_id % 2 = 0 THEN 'f' || (event_id % 4) END AS file, CASE WHEN event_id % 5 = 0 THEN 'k' || (event_id % 3) END AS sample_key,
+    CASE event_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 400 WHEN 2 THEN event_id % 10 + 800 END AS tier, 's' || (event_id % 4) AS id, CASE WHEN (event_id // 4) % 2 = 0 THEN 'agent' ELSE 'prove' END AS kind, event_id % 3 <> 0 AS included,
+    floor(value)::BIGINT - 20 AS tokens_saved, round(floor(value) / 1000 - 0.02, 4) AS usd_saved, 'n' || (event_id % 11) AS note FROM events),
+f AS (SELECT *, type = 'WORKSPACE_HYDRATED' AS hy, type IN ('DOCUMENT_SELECTED', 'COMPILE_CLEARED') AS cl, type = 'COMPILE_SUCCEEDED' AS co, type = 'PRESETS_CHANGED' AND tier IS NOT NULL AS pi FROM e),
+m AS (SELECT session, max(seq) FILTER (hy) AS h, max(seq) FILTER (co) AS c, max(seq) FILTER (cl) AS x, max(seq) FILTER (co OR cl OR hy OR type = 'PROVE_INCLUDE_CLEARED') AS reset,
+    arg_max(task, seq) FILTER (hy OR type = 'TASK_CHANGED') AS task, arg_max(CASE WHEN pi THEN tier ELSE budget END, seq) FILTER (hy OR pi OR type = 'BUDGET_CHANGED')::INT AS budget,
+    arg_max(coalesce(file, '-'), seq) FILTER (hy OR type = 'DOCUMENT_RESTORED' OR (type = 'DOCUMENT_SELECTED' AND file IS NOT NULL)) AS file, arg_max(coalesce(sample_key, '-'), seq) FILTER (hy OR (type = 'DOCUMENT_SELECTED' AND sample_key IS NOT NULL)) AS sample_key,
+    arg_max(task, seq) FILTER (co) AS ct, arg_max(budget, seq) FILTER (co) AS cb, arg_max(id, seq) FILTER (type = 'RUN_INTENT_CREATED') AS ai, arg_max(kind, seq) FILTER (type = 'RUN_INTENT_CREATED') AS ak, max(seq) FILTER (type = 'RUN_INTENT_CREATED') AS aa,
+    arg_max(note, seq) FILTER (hy OR type = 'DOC_SIZE_NOTE_CHANGED') AS note,
+    count(*) FILTER (cl OR co OR pi OR type IN ('DOCUMENT_RESTORED', 'TASK_CHANGED', 'BUDGET_CHANGED', 'PROVE_INCLUDE_CHANGED', 'PROVE_INCLUDE_CLEARED')) AS revision FROM f GROUP BY session),
+r AS (SELECT f.session, coalesce(sum(greatest(tokens_saved, 0)) FILTER (co AND seq > coalesce(h, -1)), 0) + coalesce(sum(tokens_saved) FILTER (seq = h), 0) AS saved_tokens,
+    coalesce(sum(greatest(usd_saved, 0)) FILTER (co AND seq > coalesce(h, -1)), 0) + coalesce(sum(usd_saved) FILTER (seq = h), 0) AS saved_usd,
+    count(*) FILTER (type = 'RUN_INTENT_CLAIMED' AND seq > aa AND f.id = ai AND f.kind = ak) AS taken,
+    arg_max(coalesce(f.file, '-'), seq) FILTER ((type = 'DOCUMENT_RESTORED' OR (type = 'DOCUMENT_SELECTED' AND f.file IS NOT NULL)) AND seq < c) AS hf, arg_max(coalesce(f.sample_key, '-'), seq) FILTER ((hy OR (type = 'DOCUMENT_SELECTED' AND f.sample_key IS NOT NULL)) AND seq < c) AS hs
+  FROM f JOIN m USING (session) GROUP BY f.session),
+p AS (SELECT session, string_agg(id, ',' ORDER BY id) AS expanded FROM (SELECT f.session, f.id, arg_max(included, seq) AS put FROM f JOIN m USING (session) WHERE type = 'PROVE_INCLUDE_CHANGED' AND seq > coalesce(reset, -1) GROUP BY ALL) WHERE put GROUP BY session),
+ws AS (SELECT session, task, budget, nullif(file, '-') AS file, nullif(sample_key, '-') AS sample_key, c IS NOT NULL AND c > greatest(coalesce(x, -1), coalesce(h, -1)) AS live, CASE WHEN live THEN ct END AS compiled_task, CASE WHEN live THEN cb END AS compiled_budget,
+    CASE WHEN live THEN CASE WHEN hf <> '-' THEN 'available' WHEN hs <> '-' THEN 'restorable' ELSE 'missing' END END AS source, coalesce(expanded, '') AS expanded, saved_tokens::BIGINT AS saved_tokens, saved_usd::DOUBLE AS saved_usd,
+    CASE WHEN ai IS NOT NULL AND taken = 0 AND aa > coalesce(h, -1) THEN ai END AS intent, note, h IS NOT NULL AS hydrated, revision FROM m JOIN r USING (session) LEFT JOIN p USING (session))"""
+
 ORACLE = {
     "token_count": f"SELECT doc_id, {_COUNT.format('text')} AS tokens FROM documents",
     "content_tokens": f"SELECT doc_id, {_COUNT.format('trim(text, chr(32) || chr(10) || chr(9) || chr(13))')} AS tokens FROM documents",
     "clamp_budget": """SELECT doc_id, greatest(100, least(v, 200000))::INT AS web, greatest(500, least(v, 200000))::INT AS compile, greatest(200, least(v, 200000))::INT AS expand
         FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 4000 ELSE n_chars * 37 - 9000 END AS v FROM documents)""",
     "token_savings": """SELECT doc_id, greatest(0, raw - used)::INT AS saved, floor((raw - used) * 1000 / raw + 0.5) / 10 AS pct, round(raw / 1e6 * 3.0, 8) AS usd,
-        greatest(500, least(4000, floor(raw * 0.25 / 50 + 0.5) * 50))::INT AS preset, used > raw * 1.1 AS gap FROM (SELECT doc_id, greatest(1, length(text) // 4) AS raw, n_chars % 997 AS used FROM documents)""",
+        used > raw AND (used - raw) / raw > 0.1 AS gap FROM (SELECT doc_id, greatest(1, length(text) // 4) AS raw, n_chars % 997 AS used FROM documents)""",
     "tokenize_freq": f"""WITH t AS (SELECT lang, unnest({_tokens('text')}) AS term FROM documents), c AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL)
         SELECT lang, sum(n)::BIGINT AS n_tokens, count(*) AS n_terms, max(n) AS most FROM c GROUP BY lang""",
     "light_stem": f"SELECT {_stem('w')} AS stem, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY ALL",
-    "cjk_ngrams": "SELECT * FROM (VALUES (1, '保 保修 修 修条 条 条款 款'), (2, '雨'), (3, '飞 飞行 行 abc 規 規則 則')) t(id, tokens)",
+    "cjk_ngrams": f"""WITH t AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(translate(lower(coalesce(text, '')), 'abcdefghijklmnopqrst', '保修条款雨飞行規則山川日月木水火土金人大'), '\\p{{Han}}+|[\\p{{L}}\\p{{M}}\\p{{N}}]+'),
+          lambda r: CASE WHEN regexp_full_match(r, '\\p{{Han}}+') THEN flatten(list_transform(range(1, length(r) + 1), lambda i: CASE WHEN i < length(r) THEN [r[i:i], r[i:i + 1]] ELSE [r[i:i]] END)) ELSE [{_stem('r')}] END)) AS t FROM documents)
+        SELECT doc_id, len(t)::INT AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t""",
+    "arabic_terms": f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(lower(coalesce(text, '') || ' كِتَابٌ ـالخبّاز cafés كتب'), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'),
+          lambda r: CASE WHEN regexp_matches(r, '\\p{{Arabic}}') THEN regexp_replace(r, '[\\x{{064B}}-\\x{{065F}}\\x{{0670}}\\x{{06D6}}-\\x{{06ED}}\\x{{0640}}]', '', 'g') ELSE {_stem('r')} END) AS t FROM documents)
+        SELECT doc_id, len(t)::INT AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t""",
+    "budget_presets": """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 50 > 0 THEN greatest(1, length(text) // 4) * 3 END AS raw FROM documents),
+        d AS (SELECT *, greatest(100, least(20000, floor(greatest(raw, 100) / 50 + 0.5) * 50)) AS deep FROM r),
+        s AS (SELECT *, greatest(100, least(20000, floor(least(deep, greatest(200, raw * 0.5)) / 50 + 0.5) * 50)) AS standard FROM d),
+        q AS (SELECT *, greatest(100, least(20000, floor(least(standard - 50, greatest(100, raw * 0.2)) / 50 + 0.5) * 50)) AS quick FROM s)
+        SELECT doc_id, CASE WHEN raw IS NULL OR raw >= 8000 THEN 1000 ELSE least(quick, standard) END::INT AS quick, CASE WHEN raw IS NULL OR raw >= 8000 THEN 4000 ELSE least(standard, deep) END::INT AS standard,
+          CASE WHEN raw IS NULL OR raw >= 8000 THEN 8000 ELSE deep END::INT AS deep FROM q""",
+    "packaging_note": """SELECT doc_id, CASE WHEN more / n > 0.1 THEN format('{:,}', n) || ' content, about ' || format('{:,}', n + more) || ' as sent' END AS note FROM (SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS n, n_chars % 300 AS more FROM documents)""",
+    "settings": """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 12 WHEN 3 THEN 2 WHEN 4 THEN 500 WHEN 5 THEN 70 ELSE 30 END::DOUBLE AS whole, CASE doc_id % 9 WHEN 0 THEN 12.9 WHEN 3 THEN 0 WHEN 4 THEN 80 WHEN 5 THEN 70 ELSE 0.5 END::DOUBLE AS number FROM documents""",
+    "query_terms": f"""WITH q AS (SELECT item_id, list_filter({_tokens("regexp_replace('What did Jane Bennet say early on about Red Headed mr Smith ' || lower(coalesce(text, '')), '(?i)(^|[^a-z0-9_])(early\\s+on|at\\s+first|at\\s+the\\s+(?:start|beginning)|in\\s+the\\s+(?:beginning|end)|to\\s+begin\\s+with)([^a-z0-9_]|$)', '\\1 \\3', 'g')")},
+          lambda t: length(t) > 1 AND t NOT IN ({_STOP}) AND t <> 'jane') AS terms FROM benchmark) SELECT item_id, array_to_string(list_concat(terms, list_filter(['miss', 'mr', 'mrs', 'bennet'], lambda t: NOT list_contains(terms, t))), ' ') AS terms FROM q""",
+    "split_aspects": """WITH l AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{5,}') AS w FROM documents),
+        a AS (SELECT doc_id, [array_to_string(w[1:2], ' ') || '?', array_to_string(w[3:4], ' '), array_to_string(w[5:6], ' '), 'which ' || array_to_string(w[7:8], ' ')] AS a FROM l WHERE len(w) >= 8)
+        SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|') AS aspects FROM a""",
+    "name_intent": """WITH l AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{5,}')[1] AS w FROM documents),
+        n AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN w END AS surname, upper(w[1]) || w[2:] AS t, text || CASE doc_id % 3 WHEN 0 THEN ' Anna ' || upper(w[1]) || w[2:] WHEN 1 THEN ' Miss ' || upper(w[1]) || w[2:] ELSE ' ANNA ' || upper(w) END AS x FROM l WHERE w IS NOT NULL)
+        SELECT doc_id, surname, surname IS NOT NULL AND (regexp_matches(x, '\\b[A-Z]{2,30}\\s+' || upper(surname) || '\\b') OR len(list_filter(regexp_extract_all(x, '\\b([A-Z][a-z]{1,30})\\s+' || t || '\\b', 1),
+          lambda g: NOT list_contains(string_split('mr mrs ms miss dr sir lady lord dame rev capt col the a an young elder older old little dear poor good late new', ' '), lower(g)))) > 0) AS named FROM n""",
     "names_and_ids": """SELECT doc_id, source || ' _' || lang || '_(1).md' AS name, array_to_string(list_distinct_ordered, ',') AS ids,
         CASE WHEN doc_id = doc_id % 9 THEN 's' || doc_id ELSE 's' || (doc_id % 9) || '–s' || doc_id END AS span
         FROM (SELECT doc_id, source, lang, CASE WHEN doc_id = doc_id % 5 THEN CASE WHEN doc_id = 2 THEN ['s2'] ELSE ['s' || doc_id, 's2'] END
@@ -180,6 +225,15 @@ ORACLE = {
           trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#+\\s*', '', 'g'), '[`*_>#|]', '', 'g'), '\\s+', ' ', 'g'))[:44] AS p FROM ch)
         SELECT file_id, ord, CASE WHEN p <> '' THEN h || ' — “' || p || '…”' ELSE h END AS label FROM p""",
     "chunk_conversations": f"WITH {_CONV} SELECT file_id, 's' || ord AS id, ord, breadcrumb, md5(text) AS text_md5, tokens FROM cs",
+    "chunk_oversize": """WITH t AS (SELECT conv_id, list(text || ' ' || repeat('word ', 60) || turn ORDER BY turn) AS texts, string_agg('| ' || role || ' | ' || turn || ' |', chr(10) ORDER BY turn) AS tab FROM conversations GROUP BY conv_id),
+        b AS (SELECT conv_id, list_concat(['# All'], list_transform(texts, lambda x: regexp_replace(x, '^\\s+', '')), [tab, 'end']) AS b, '# All' || chr(10) || array_to_string(texts, chr(10) || chr(10)) || chr(10) || tab || chr(10) || 'end' AS whole FROM t),
+        p AS (SELECT conv_id, CASE WHEN length(whole) // 4 <= 800 THEN [whole] ELSE list_append(list_reduce(b, lambda a, x: CASE WHEN a.n < 0 THEN {'d': a.d, 'o': x, 'n': greatest(1, length(x) // 4)} WHEN a.n + greatest(1, length(x) // 4) > 800
+            THEN {'d': list_append(a.d, a.o), 'o': x, 'n': greatest(1, length(x) // 4)} ELSE {'d': a.d, 'o': a.o || chr(10) || chr(10) || x, 'n': a.n + greatest(1, length(x) // 4)} END, {'d': []::VARCHAR[], 'o': '', 'n': -1::BIGINT}).d, list_reduce(b, lambda a, x: CASE WHEN a.n < 0 OR a.n + greatest(1, length(x) // 4) > 800 THEN {'o': x, 'n': greatest(1, length(x) // 4)} ELSE {'o': a.o || chr(10) || chr(10) || x, 'n': a.n + greatest(1, length(x) // 4)} END, {'o': '', 'n': -1::BIGINT}).o) END AS r FROM b)
+        SELECT conv_id::VARCHAR AS file_id, 's' || (i - 1) AS id, (i - 1)::INT AS ord, 'All' AS breadcrumb, md5(x) AS text_md5, greatest(1, length(x) // 4)::INT AS tokens FROM (SELECT conv_id, unnest(r) AS x, generate_subscripts(r, 1) AS i FROM p)""",
+    "full_markdown": """WITH m AS (SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS md FROM conversations GROUP BY conv_id)
+        SELECT 'conv' || conv_id AS file_id, 'conv' || conv_id || '.md' AS name, md5(md) AS text_md5, length(md)::INT AS n_chars FROM m""",
+    "sample_catalog": f"""WITH m AS (SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS md FROM conversations GROUP BY conv_id)
+        SELECT 'conv' || conv_id || '.md' AS name, 'CONV' || conv_id AS title, CASE WHEN length('conv' || conv_id || '.md') % 2 = 0 THEN {_COUNT.format('md')} END AS raw_tokens FROM m""",
     "section_outline": f"WITH {_CONV} SELECT file_id, count(*) AS n, sum(tokens)::BIGINT AS tokens, max(breadcrumb) AS last_section FROM cs GROUP BY file_id",
     "block_split": """SELECT 'conv' || conv_id AS file_id, 1 + 2 * count(*) AS n_blocks, (1 + count(*) + sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))))::BIGINT AS n_lines FROM conversations GROUP BY conv_id""",
     "bm25_single": _bm25(boost=False) + " SELECT task_id, qi, ord, round(s, 4) AS s FROM sc WHERE s > 0",
@@ -203,6 +257,11 @@ ORACLE = {
         x AS (SELECT file_id, ord, terms, list_filter(terms, lambda t: len(list_filter(string_split(lower(text), chr(10)), lambda l: contains(l, t))) BETWEEN 1 AND 3) AS rare FROM ch JOIN tl USING (file_id))
         SELECT file_id, ord, array_to_string(CASE WHEN len(rare) > 0 THEN rare ELSE terms END, ',') AS terms FROM x""",
     "next_hint": _PICKED + " SELECT task_id, id, CASE WHEN id IS NOT NULL THEN tokens END AS tokens, CASE WHEN id IS NOT NULL THEN relevance END AS relevance, CASE WHEN id IS NOT NULL THEN suggested END AS suggested_budget FROM hi",
+    "bound_hint": _PICKED + """, fo AS (SELECT task_id, min(pos) AS first FROM pk WHERE pos >= 3 GROUP BY task_id),
+        x AS (SELECT hi.*, string_split(breadcrumb, ' > ')[-1] AS leaf, pk.pos = fo.first AS shown FROM hi JOIN fo USING (task_id) LEFT JOIN pk ON pk.task_id = hi.task_id AND pk.id = hi.id LEFT JOIN ch ON 's' || ch.ord = hi.id)
+        SELECT task_id, CASE WHEN id IS NOT NULL THEN CASE WHEN shown THEN 'omitted_with_chip' ELSE 'omitted_no_chip' END END AS kind,
+          'The budget of ' || format('{:,}', budget::BIGINT) || ' tokens is used up. Next would come "' || leaf || '" (' || relevance || '% relevant, ' || format('{:,}', tokens::BIGINT) || ' tokens); about ' || format('{:,}', suggested::BIGINT) || ' tokens hold it as well'
+            || CASE WHEN shown THEN ', or expand_section gives it (' || id || ').' ELSE '.' END AS text FROM x""",
     "omit_buckets": _PICKED + """, bu AS (SELECT pk.task_id, pk.id, pk.relevance, pk.pos, ga.id IS NOT NULL OR coalesce(pk.id = hi.id, false) OR coalesce(pk.id = tm.id AND coalesce(tm.relevance, 0) > best
             AND (tm.tokens + 80 > budget OR (budget - used < budget * 0.12 AND tm.tokens + 20 > budget - used)), false) AS b
           FROM pk JOIN hi USING (task_id) LEFT JOIN tm USING (task_id) LEFT JOIN br USING (task_id) LEFT JOIN ga ON ga.task_id = pk.task_id AND ga.id = pk.id WHERE pos >= 3)
@@ -248,7 +307,34 @@ ORACLE = {
         SELECT task_id, md5(x) AS text_md5, CASE WHEN has IS NULL OR list_contains(sel, 1) THEN '' ELSE 's1' END AS expanded, CASE WHEN has IS NULL OR list_contains(sel, 1) THEN 0 ELSE {_METER.format('has')} END AS expand_content_tokens
         FROM pa JOIN fin USING (task_id) LEFT JOIN (SELECT file_id, text AS has FROM ch WHERE ord = 1) USING (file_id)""",
     "cache_lookup": f"SELECT DISTINCT sha256(text) AS key, {_COUNT.format('text')} AS tokens FROM documents",
+    "parity_contexts": _CONV_FOLD + f""", un AS (SELECT task_id, file_id, unnest(list_distinct(list_append(sel, 1))) AS ord FROM fin),
+        pr AS (SELECT task_id, un.file_id, ch.ord, breadcrumb, text, lag(breadcrumb) OVER (PARTITION BY task_id ORDER BY ch.ord) AS prev FROM un JOIN ch USING (file_id, ord)),
+        pa AS (SELECT task_id, any_value(file_id) AS file_id, {_OPEN.format('any_value(file_id)')} || string_agg({_PART}, '' ORDER BY ord) || {_END} AS x FROM pr GROUP BY task_id),
+        md AS (SELECT 'conv' || conv_id AS file_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS md FROM conversations GROUP BY conv_id),
+        fu AS (SELECT file_id, CASE WHEN length(md) // 4 <= 300 THEN md ELSE md[:floor(length(md) * 300 / (length(md) // 4))::BIGINT] || chr(10) || chr(10) || '<!-- cut at the cap -->' END AS full_x FROM md),
+        me2 AS (SELECT task_id, full_x, x, {_METER.format('full_x')} AS nf, {_METER.format('x')} AS nc FROM pa JOIN fu USING (file_id))
+        SELECT task_id, md5(full_x) AS full_md5, md5(x) AS context_md5, nf AS full_tokens, nc AS context_tokens, greatest(0, floor((nf - nc) * 1000 / nf + 0.5) / 10) AS reduction_pct FROM me2""",
+    "cache_damage": """WITH d AS (SELECT doc_id, sha256(text) AS key, text, TIMESTAMP '2024-02-01' - to_days((doc_id % 40)::INT) AS made FROM documents),
+        e AS (SELECT key, text, made - INTERVAL 1 HOUR AS made FROM d UNION ALL SELECT key, text, made FROM d WHERE doc_id % 10 <> 0)
+        SELECT key, md5(arg_max(text, made)) AS text_md5, strftime(max(made), '%Y-%m-%d %H') AS stored FROM e WHERE made >= TIMESTAMP '2024-02-01' - INTERVAL 20 DAY GROUP BY key""",
+    "upload_guard": """WITH d AS (SELECT doc_id, doc_id % 10 AS k, coalesce(text, '') AS t FROM documents),
+        g AS (SELECT doc_id, CASE WHEN k IN (4, 5) THEN 415 WHEN k = 6 OR (k NOT IN (8, 1, 9) AND t = '') THEN 400 WHEN k IN (2, 3, 9) THEN 415 WHEN k = 1 THEN 415 ELSE 200 END AS status FROM d) SELECT doc_id, status = 200 AS ok, status::INT AS status FROM g""",
     "dedupe_by_hash": "SELECT sha256(text) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY ALL HAVING count(*) > 1",
+    "rate_limit": """WITH RECURSIVE r AS (SELECT (user_id % 3)::VARCHAR AS key, ts, CASE event_type WHEN 'purchase' THEN '/api/agent' WHEN 'click' THEN '/api/answer' ELSE '/api/compile' END AS route FROM events),
+        n AS (SELECT *, CASE route WHEN '/api/agent' THEN 12 WHEN '/api/answer' THEN 4 ELSE 1 END AS cost, row_number() OVER (PARTITION BY key ORDER BY ts, route) AS i FROM r),
+        w AS (SELECT key, 0::BIGINT AS i, []::STRUCT(t TIMESTAMP, c INT)[] AS log, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS route, 0 AS cost, false AS allowed, 0 AS used FROM (SELECT DISTINCT key FROM r)
+          UNION ALL SELECT key, i, CASE WHEN ok THEN list_append(live, {'t': ts, 'c': cost}) ELSE live END, ts, route, cost, ok, CASE WHEN ok THEN sum_ + cost ELSE sum_ END
+          FROM (SELECT *, sum_ + cost <= 20 AS ok FROM (SELECT *, coalesce(list_sum(list_transform(live, lambda x: x.c)), 0)::INT AS sum_ FROM (SELECT n.*, list_filter(w.log, lambda x: x.t > n.ts - INTERVAL 3600 SECOND) AS live FROM w JOIN n ON n.key = w.key AND n.i = w.i + 1))))
+        SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, route, cost::INT AS cost, allowed, used::INT AS used FROM w WHERE i > 0""",
+    "one_shot": """WITH e AS (SELECT user_id % 100 AS handle, CASE event_type WHEN 'purchase' THEN 'store' WHEN 'click' THEN 'use' END AS kind, ts + to_seconds(event_id % 60) AS ts FROM events),
+        o AS (SELECT handle, ts, min(kind) AS kind FROM e WHERE kind IS NOT NULL GROUP BY ALL),
+        s AS (SELECT *, max(ts) FILTER (kind = 'store') OVER (PARTITION BY handle ORDER BY ts) AS stored FROM o),
+        u AS (SELECT *, row_number() OVER (PARTITION BY handle, stored ORDER BY ts) AS k FROM s WHERE kind = 'use'),
+        x AS (SELECT handle, ts, CASE WHEN stored IS NOT NULL AND k = 1 AND ts - stored <= INTERVAL 2 DAY THEN 'ok' ELSE 'gone' END AS outcome FROM u)
+        SELECT handle, outcome, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM x GROUP BY ALL""",
+    "workspace_states": _WORKSPACE + """ SELECT session, task, budget, file, sample_key, compiled_task, compiled_budget, source, expanded, saved_tokens, round(saved_usd, 4) AS saved_usd, intent, note, hydrated, revision FROM ws""",
+    "workspace_status": _WORKSPACE + """, st AS (SELECT *, compiled_task IS NOT NULL AND compiled_task <> task AS q, compiled_task IS NOT NULL AND compiled_budget <> budget AS b FROM ws)
+        SELECT session, q AS question_stale, b AS budget_stale, q OR b AS prove_stale, q AS agent_stale, file IS NULL AS source_unavailable, file IS NOT NULL AND length(task) % 2 = 0 AND revision % 5 <> 0 AS compile_available FROM st""",
     "request_costs": """SELECT route, count(*) AS n, (count(*) * CASE route WHEN '/api/agent' THEN 12 WHEN '/api/answer' THEN 4 ELSE 1 END)::BIGINT AS points
         FROM (SELECT CASE event_type WHEN 'purchase' THEN '/api/agent' WHEN 'click' THEN '/api/answer' ELSE '/api/compile' END AS route FROM events) GROUP BY route""",
     "counters": "SELECT event_type AS name, count(*) AS total FROM events GROUP BY event_type",

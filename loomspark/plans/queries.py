@@ -16,9 +16,11 @@ from loomspark.functions import tokens as K
 from loomspark.operators import hints, ranking
 from loomspark.operators.chunking import blocks, chunk_markdown, lines, outline, sections
 from loomspark.plans import compile as C
-from loomspark.sources.files import cache_rows, cache_valid, html_to_markdown
+from loomspark.sources.files import cache_rows, cache_swept, cache_valid, catalog, guard, html_to_markdown
+from loomspark.sources.files import full_markdown as full_docs
 from loomspark.sources.shared import store
 from loomspark.streaming import state as S
+from loomspark.streaming import workspace as W
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,7 +91,7 @@ def clamp_budget(spark, sf_dir):
 def token_savings(spark, sf_dir):
     raw, used = K.token_count(F.col("text")), (F.col("n_chars") % 997).cast("int")
     return read(spark, sf_dir, "documents").select("doc_id", K.tokens_saved(raw, used).alias("saved"), K.reduction_pct(raw, used).alias("pct"), F.round(K.cost_usd(raw), 8).alias("usd"),
-                                                   K.budget_preset(raw, 0.25, 500, 4000).alias("preset"), K.packaging_gap(used, raw).alias("gap"))
+                                                   K.packaging_note(raw, used).isNotNull().alias("gap"))
 
 
 def tokenize_freq(spark, sf_dir):
@@ -104,9 +106,63 @@ def light_stem(spark, sf_dir):
     return words.groupBy("w").agg(F.count("*").alias("n")).groupBy(X.light_stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
+#: Letters and what stands for them in texts that have none.
+LATIN, HAN = "abcdefghijklmnopqrst", "保修条款雨飞行規則山川日月木水火土金人大"
+
+
 def cjk_ngrams(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "保修条款"), (2, "雨"), (3, "飞行 abc 規則")], "id int, text string")
-    return rows.select("id", F.array_join(X.tokenize(F.col("text")), " ").alias("tokens"))
+    """Documents whose letters but for u to z are written in Han."""
+    tokens = X.tokenize(F.translate(F.lower(F.coalesce("text", F.lit(""))), LATIN, HAN))
+    return read(spark, sf_dir, "documents").select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+def arabic_terms(spark, sf_dir):
+    """Documents with Arabic words, with and without their signs, behind them."""
+    tokens = X.tokenize(F.concat(F.coalesce("text", F.lit("")), F.lit(" كِتَابٌ ـالخبّاز cafés كتب")))
+    return read(spark, sf_dir, "documents").select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+def budget_presets(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 50 > 0, K.token_count(F.col("text")) * 3)
+    return read(spark, sf_dir, "documents").select("doc_id", K.budget_presets(raw).alias("p")).select("doc_id", "p.quick", "p.standard", "p.deep")
+
+
+def packaging_note(spark, sf_dir):
+    n = K.token_count(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", K.packaging_note(n, (n + F.col("n_chars") % 300).cast("int")).alias("note"))
+
+
+def settings(spark, sf_dir):
+    values = F.array(*map(F.lit, ("12.9", "", "abc", "-5", "1e3", " 70 ", "NaN", "Infinity")))
+    value = F.get(values, (F.col("doc_id") % 9).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", K.setting(value, 30, 2, 500).alias("whole"), K.setting(value, 0.5, 0, 80, whole=False).alias("number"))
+
+
+def query_terms(spark, sf_dir):
+    """Benchmark texts behind a name and a filler phrase."""
+    task = F.concat(F.lit("What did Jane Bennet say early on about Red Headed mr Smith "), F.lower(F.coalesce("text", F.lit(""))))
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(Q.terms(task), " ").alias("terms"))
+
+
+def _long_words(spark, sf_dir, least: int):
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{5,}"), F.lit(0))
+    return read(spark, sf_dir, "documents").select("doc_id", "text", w.alias("w")).filter(F.size("w") >= least)
+
+
+def split_aspects(spark, sf_dir):
+    """Tasks of a question, an ask behind a semicolon, and two asks that a comma and a joining word part."""
+    two = lambda i: F.array_join(F.slice("w", i, 2), " ")
+    task = F.concat(two(1), F.lit("? "), two(3), F.lit("; ¿"), two(5), F.lit(", and which "), two(7))
+    return _long_words(spark, sf_dir, 8).select("doc_id", F.array_join(Q.aspects(task), "|").alias("aspects"))
+
+
+def name_intent(spark, sf_dir):
+    """Tasks for a given name, and whether texts that end in different forms of the name tell it."""
+    name = F.initcap(F.element_at("w", 1))
+    task = F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("Who is Mr. "), name)).otherwise(F.concat(F.lit("What is Mr. "), name, F.lit("'s first name?")))
+    end = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" Anna "), name)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" Miss "), name)).otherwise(F.concat(F.lit(" ANNA "), F.upper(name)))
+    rows = _long_words(spark, sf_dir, 1).withColumn("surname", Q.surname(task))
+    return rows.select("doc_id", "surname", Q.given_name(F.concat("text", end), "surname").alias("named"))
 
 
 def names_and_ids(spark, sf_dir):
@@ -127,6 +183,28 @@ def chunk_conversations(spark, sf_dir):
     return chunk_markdown(conversation_docs(spark, sf_dir)).select("file_id", "id", "ord", "breadcrumb", F.md5("text").alias("text_md5"), "tokens")
 
 
+def chunk_oversize(spark, sf_dir):
+    """Each conversation as one section of all texts with a table behind them, which is cut at blocks where it is over the limit."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("t"))
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    texts = F.array_join(F.transform("t", lambda x: F.concat(x["text"], F.lit(" "), F.repeat(F.lit("word "), 60), x["turn"])), "\n\n")
+    rows = F.array_join(F.transform("t", lambda x: F.concat(F.lit("| "), x["role"], F.lit(" | "), x["turn"], F.lit(" |"))), "\n")
+    md = F.concat(F.lit("# All\n\n"), texts, F.lit("\n"), rows, F.lit("\nend"))
+    docs = grouped.select(F.col("conv_id").cast("string").alias("file_id"), md.alias("markdown"))
+    return chunk_markdown(docs).select("file_id", "id", "ord", "breadcrumb", F.md5("text").alias("text_md5"), "tokens")
+
+
+def full_markdown(spark, sf_dir):
+    docs = full_docs(conversation_docs(spark, sf_dir))
+    return docs.select("file_id", "name", F.md5("markdown").alias("text_md5"), F.length("markdown").alias("n_chars"))
+
+
+def sample_catalog(spark, sf_dir):
+    """Conversations as samples, of which those with an even number of letters in their name are measured."""
+    samples = conversation_docs(spark, sf_dir).select("name", F.upper("file_id").alias("title"))
+    return catalog(samples, C.measure(conversation_docs(spark, sf_dir)).filter(F.length("name") % 2 == 0))
+
+
 def section_outline(spark, sf_dir):
     return outline(chunk_markdown(conversation_docs(spark, sf_dir))).groupBy("file_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.max("section").alias("last_section"))
 
@@ -236,6 +314,13 @@ def next_hint(spark, sf_dir):
     return _picked(spark, sf_dir).withColumn("h", hint).select("task_id", "h.id", "h.tokens", "h.relevance", "h.suggested_budget")
 
 
+def bound_hint(spark, sf_dir):
+    """What a task is told about the section that its budget kept out."""
+    hint = hints.next_section_hint(F.col("budget"), F.col("used"), F.col("omitted"), F.col("selected"))
+    p = _picked(spark, sf_dir).withColumn("h", hint).withColumn("kind", hints.bound_hint_kind(F.col("h"), F.col("selected"), F.slice("omitted", 1, 1)))
+    return p.select("task_id", F.when(F.col("h").isNotNull(), F.col("kind")).alias("kind"), hints.bound_hint_text(F.col("h"), F.col("budget"), F.col("kind")).alias("text"))
+
+
 def omit_buckets(spark, sf_dir):
     p = _picked(spark, sf_dir).withColumn("h", hints.next_section_hint(F.col("budget"), F.col("used"), F.col("omitted"), F.col("selected")))
     b = hints.omit_buckets(F.col("budget"), F.col("used"), F.col("selected"), F.col("omitted"), F.col("h"), F.col("best"))
@@ -393,6 +478,19 @@ def prove_context(spark, sf_dir):
     return out.select("task_id", F.md5("markdown").alias("text_md5"), F.array_join("expanded_applied", ",").alias("expanded"), "expand_content_tokens")
 
 
+def parity_contexts(spark, sf_dir):
+    """Whole conversations up to 300 tokens beside what compile and prove make of them."""
+    docs, tasks = conversation_docs(spark, sf_dir), _two_questions(spark, sf_dir)
+    chunks = store(chunk_markdown(docs), "chunks")
+    proved = C.prove_context(C.compile_context(docs, tasks, chunks), chunks, tasks.select("task_id", F.lit("s1").alias("section_id"))).join(tasks.select("task_id", "file_id"), "task_id")
+    out = C.parity_contexts(proved, docs, cap=300)
+    return out.select("task_id", F.md5("full").alias("full_md5"), F.md5("context").alias("context_md5"), "full_tokens", "context_tokens", "reduction_pct")
+
+
+def responses(spark, sf_dir):
+    return C.responses(C.compile_context(conversation_docs(spark, sf_dir), _two_questions(spark, sf_dir)))
+
+
 def measure(spark, sf_dir):
     return C.measure(conversation_docs(spark, sf_dir))
 
@@ -438,6 +536,26 @@ def cache_lookup(spark, sf_dir):
     return cache_valid(cache_rows(docs)).select("key", K.token_count(F.col("markdown")).alias("tokens"))
 
 
+def cache_damage(spark, sf_dir):
+    """Two entries a text, the newer one of every tenth document damaged; what is older than twenty days goes."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"), F.col("text").alias("markdown"))
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    old = docs.select("key", "markdown", F.sha2("markdown", 256).alias("md_sha"), (now - F.make_dt_interval(days=(F.col("doc_id") % 40).cast("int"), hours=F.lit(1))).alias("stored_at"))
+    new = docs.select("key", F.concat("markdown", F.when(F.col("doc_id") % 10 == 0, "!").otherwise("")).alias("markdown"), F.sha2("markdown", 256).alias("md_sha"), (now - F.make_dt_interval(days=(F.col("doc_id") % 40).cast("int"))).alias("stored_at"))
+    kept = cache_valid(cache_swept(old.unionByName(new), now, days=20))
+    return kept.select("key", F.md5("markdown").alias("text_md5"), F.date_format("stored_at", "yyyy-MM-dd HH").alias("stored"))
+
+
+def upload_guard(spark, sf_dir):
+    """Documents as uploads under ten endings, with signatures, zero bytes and nothing in some of them."""
+    ends = F.array(*map(F.lit, (".md", ".txt", ".PDF", ".docx", ".exe", "", ".csv", ".html", ".pdf", ".xlsx")))
+    k = F.col("doc_id") % 10
+    text = F.coalesce("text", F.lit(""))
+    content = F.when(k == 8, F.concat(F.lit("%PDF-"), text)).when(k == 1, F.concat(F.substring(text, 1, 100), F.lit("\x00"), text)).when(k == 6, "").when(k == 9, F.concat(F.lit("PK"), text)).otherwise(text)
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), F.get(ends, k.cast("int"))).alias("name"), content.cast("binary").alias("content"))
+    return rows.select("doc_id", guard(F.col("name"), F.col("content")).alias("g")).select("doc_id", "g.ok", "g.status")
+
+
 def dedupe_by_hash(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
@@ -448,7 +566,42 @@ def _requests(spark, sf_dir):
 
 
 def rate_limit(spark, sf_dir):
-    return S.rate_limit(_requests(spark, sf_dir), points=20, window=3600).select("key", "ts", "route", "cost", "allowed", "used")
+    return S.rate_limit(_requests(spark, sf_dir), points=20, window=3600).select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "route", "cost", "allowed", "used")
+
+
+def one_shot(spark, sf_dir):
+    """Purchases store a handle, clicks use it; a handle lives for two days."""
+    kind = F.when(F.col("event_type") == "purchase", "store").when(F.col("event_type") == "click", "use")
+    rows = read(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("handle"), kind.alias("kind"), (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=(F.col("event_id") % 60).cast("decimal(18,6)"))).alias("ts")).filter("kind is not null")
+    once = rows.groupBy("handle", "ts").agg(F.min("kind").alias("kind"))
+    out = S.one_shot(once, most=1_000_000, seconds=2 * 86400)
+    return out.groupBy("handle", "outcome").agg(F.count("*").alias("n"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+WORKSPACE_TYPES = ("WORKSPACE_HYDRATED", "DOCUMENT_SELECTED", "DOCUMENT_RESTORED", "TASK_CHANGED", "BUDGET_CHANGED", "PRESETS_CHANGED", "DOC_SIZE_NOTE_CHANGED", "COMPILE_SUCCEEDED", "COMPILE_CLEARED", "COMPILE_FAILED",
+                   "PROVE_INCLUDE_CHANGED", "PROVE_INCLUDE_CHANGED", "PROVE_INCLUDE_CHANGED", "PROVE_INCLUDE_CLEARED", "RUN_INTENT_CREATED", "RUN_INTENT_CLAIMED", "COMPILE_SUCCEEDED", "TASK_CHANGED", "PROVE_INCLUDE_CHANGED")
+
+
+def workspace_events(spark, sf_dir):
+    """The events table read as events of workspaces."""
+    i = F.col("event_id")
+    return read(spark, sf_dir, "events").select(
+        (F.col("user_id") % 200).cast("string").alias("session"), i.alias("at"), F.get(F.array(*map(F.lit, WORKSPACE_TYPES)), (i % 19).cast("int")).alias("type"), F.concat("event_type", i % 3).alias("task"), (i % 7 * 100).cast("int").alias("budget"),
+        F.when(i % 2 == 0, F.concat(F.lit("f"), i % 4)).alias("file"), F.when(i % 5 == 0, F.concat(F.lit("k"), i % 3)).alias("sample_key"), F.get(F.array(F.lit("quick"), F.lit("standard"), F.lit("deep")), (i % 4).cast("int")).alias("tier"),
+        F.struct(F.lit(200).alias("quick"), F.lit(400).alias("standard"), (i % 10 + 800).cast("int").alias("deep")).alias("presets"), F.concat(F.lit("s"), i % 4).alias("id"), F.when(F.floor(i / 4) % 2 == 0, "agent").otherwise("prove").alias("kind"),
+        (i % 3 != 0).alias("included"), (i % 100).cast("int").alias("tokens"), (F.floor("value") - 20).cast("long").alias("tokens_saved"), F.round(F.floor("value") / 1000 - 0.02, 4).alias("usd_saved"), F.concat(F.lit("n"), i % 11).alias("note"))
+
+
+def workspace_states(spark, sf_dir):
+    out = W.workspace_states(workspace_events(spark, sf_dir))
+    return out.withColumn("expanded", F.array_join("expanded", ",")).withColumn("saved_usd", F.round("saved_usd", 4))
+
+
+def workspace_status(spark, sf_dir):
+    s = W.workspace_states(workspace_events(spark, sf_dir))
+    live = F.col("compiled_task").isNotNull()
+    status = W.workspace_status(F.col("compiled_task"), F.col("task"), F.col("compiled_budget"), F.col("budget"), live, F.col("file").isNotNull(), F.length("task") % 2 == 0, F.col("revision") % 5 == 0)
+    return s.select("session", status.alias("x")).select("session", "x.*")
 
 
 def request_costs(spark, sf_dir):
@@ -476,10 +629,10 @@ def event_windows(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    bm25_single, token_count, content_tokens, clamp_budget, token_savings, tokenize_freq, light_stem, cjk_ngrams, names_and_ids, section_labels, chunk_conversations, section_outline, block_split,
+    bm25_single, token_count, content_tokens, clamp_budget, token_savings, tokenize_freq, light_stem, cjk_ngrams, arabic_terms, budget_presets, packaging_note, settings, query_terms, split_aspects, name_intent, names_and_ids, section_labels, chunk_conversations, chunk_oversize, full_markdown, sample_catalog, section_outline, block_split,
     html_markdown, bm25_heading_boost, per_query_norm, multi_score, relevance_pct, topk_sections, best_id, attribution, round_robin, score_shape, relevance_floor, top_cluster, discriminative_terms,
-    next_hint, omit_buckets, compile_hints, omitted_sections, select_sections, select_forced, select_vague, select_partial, truncate_prefix, truncate_around, assemble_files, manifest_lines,
-    compile_context, compile_tight, expand_section, expand_query, prove_context, measure, recall_at_budget, pack_matrix, cache_lookup, dedupe_by_hash, rate_limit,
+    next_hint, bound_hint, omit_buckets, compile_hints, omitted_sections, select_sections, select_forced, select_vague, select_partial, truncate_prefix, truncate_around, assemble_files, manifest_lines,
+    compile_context, compile_tight, expand_section, expand_query, prove_context, parity_contexts, responses, measure, recall_at_budget, pack_matrix, cache_lookup, cache_damage, upload_guard, dedupe_by_hash, rate_limit, one_shot, workspace_states, workspace_status,
     request_costs, counters, session_totals, live_handles, event_windows,
 )}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 POINTS, WINDOW_SECONDS = 100, 300
 COSTS = {"agent": 12, "answer": 4, "agent-parity": 4}
 COUNTERS = ("compiles", "expands", "parity_runs", "agent_runs", "rate_limited", "conversion_failed", "llm_failover", "llm_all_failed")
-HANDLE_SECONDS, PARITY_SECONDS, MOST_PARITY = 30 * 60, 15 * 60, 200
+HANDLE_SECONDS, PARITY_SECONDS, MOST_PARITY, MOST_KEYS = 30 * 60, 15 * 60, 200, 10_000
 
 
 def request_cost(route: Column) -> Column:
@@ -39,22 +39,44 @@ class SlidingLog:
         return True, used + cost
 
 
+def walked(rows: DataFrame, by: list[str], order: list[str], schema, start: Callable[[], Callable[[dict], dict]]) -> DataFrame:
+    """rows with what start()'s function adds to each, called in order within a key.
+
+    A key's rows come sorted and in batches, so a task holds a batch and one key's state, however many rows the key has.
+    """
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, step = object(), None
+        for pdf in parts:
+            added = []
+            for row in pdf.to_dict("records"):
+                key = tuple(row[c] for c in by)
+                if key != at:
+                    at, step = key, start()
+                added.append(step(row))
+            yield pd.concat([pdf, pd.DataFrame(added, index=pdf.index)], axis=1) if added else pdf.iloc[:0]
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(walk, schema)
+
+
 def rate_limit(requests: DataFrame, points: int = POINTS, window: int = WINDOW_SECONDS) -> DataFrame:
     """requests (key, ts, route) with cost, allowed and used; a key's requests are judged by time, one after the other.
 
-    A refusal changes what follows it, so a key is one sequential walk.
+    A refusal changes what follows it, so a key is one sequential walk over sorted rows; its log holds at most `points` entries.
     """
     rows = requests.withColumn("cost", request_cost(F.col("route")))
     schema = T.StructType([*rows.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("used", T.IntegerType())])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "route"], kind="stable")
+    def start() -> Callable[[dict], dict]:
         log = SlidingLog(points=points, window=window)
-        seconds = (pdf["ts"] - pd.Timestamp(0)).dt.total_seconds()
-        got = [log.ask(t, int(c)) for t, c in zip(seconds, pdf["cost"], strict=True)]
-        return pdf.assign(allowed=[a for a, _ in got], used=pd.array([u for _, u in got], "int32"))
 
-    return rows.groupBy("key").applyInPandas(walk, schema)
+        def step(r: dict) -> dict:
+            allowed, used = log.ask(pd.Timestamp(r["ts"]).timestamp(), int(r["cost"]))
+            return {"allowed": allowed, "used": used}
+
+        return step
+
+    return walked(rows, ["key"], ["ts", "route"], schema, start)
 
 
 def rate_limit_stream(requests: DataFrame, points: int = POINTS, window: int = WINDOW_SECONDS, late: str = "1 hour") -> DataFrame:
@@ -88,19 +110,83 @@ def live_handles(events: DataFrame, now: Column, seconds: int = HANDLE_SECONDS)
     return last.filter(F.col("ts") > now - F.expr(f"INTERVAL {seconds} SECONDS"))
 
 
-def one_shot(events: DataFrame, most: int = MOST_PARITY, seconds: int = PARITY_SECONDS) -> DataFrame:
-    """Uses of handles with their outcome: ok once, gone after that, after the time, or when `most` newer ones were stored.
+class OneShot:
+    """Entries that are handed out once: they go when they are used, after a time, or when there are too many, the oldest first."""
+
+    def __init__(self, most: int, seconds: float):
+        self.most, self.seconds, self.stored = most, seconds, {}
+
+    def store(self, handle, now: float) -> None:
+        self.stored = {h: t for h, t in self.stored.items() if now - t <= self.seconds and h != handle}
+        while len(self.stored) >= self.most:
+            del self.stored[min(self.stored, key=self.stored.__getitem__)]
+        self.stored[handle] = now
+
+    def use(self, handle, now: float) -> bool:
+        at = self.stored.pop(handle, None)
+        return at is not None and now - at <= self.seconds
 
-    events: (handle, kind 'store' or 'use', ts).
+
+def one_shot(events: DataFrame, most: int = MOST_PARITY, seconds: int = PARITY_SECONDS, pool: str | None = None) -> DataFrame:
+    """Uses of handles with their outcome: ok once after a store, gone before it, after that use, after the time, or when `most` others were stored since.
+
+    events: (handle, kind 'store' or 'use', ts).  The bound holds for a pool (a column, such as the server that keeps the
+    entries), whose events are one walk in order of time over at most `most` entries; without a pool all events are one.
     """
-    stores = events.filter("kind = 'store'").groupBy("handle").agg(F.min("ts").alias("stored"))
-    # How many were stored up to a moment: ranks over all stores; of handles there are few, of any one only a row.
-    ranked = stores.withColumn("n", F.row_number().over(Window.orderBy("stored", "handle")))
-    uses = events.filter("kind = 'use'").withColumn("turn", F.row_number().over(Window.partitionBy("handle").orderBy("ts")))
-    newer = uses.select("handle", "ts").distinct().join(ranked.select(F.col("stored").alias("s"), F.col("n").alias("k")), F.col("s") <= F.col("ts"), "left").groupBy("handle", "ts").agg(F.max("k").alias("k"))
-    out = uses.join(ranked, "handle", "left").join(newer, ["handle", "ts"], "left")
-    ok = F.col("stored").isNotNull() & (F.col("ts") >= F.col("stored")) & (F.col("turn") == 1) & (F.col("ts") < F.col("stored") + F.expr(f"INTERVAL {seconds} SECONDS")) & (F.col("k") - F.col("n") < most)
-    return out.select("handle", "ts", F.when(F.coalesce(ok, F.lit(False)), "ok").otherwise("gone").alias("outcome"))
+    name = pool or "pool"
+    rows = (events if pool else events.withColumn("pool", F.lit(0))).select(name, "handle", "kind", "ts")
+    schema = T.StructType([*rows.schema.fields, T.StructField("outcome", T.StringType())])
+
+    def start() -> Callable[[dict], dict]:
+        held = OneShot(most, seconds)
+
+        def step(r: dict) -> dict:
+            now = pd.Timestamp(r["ts"]).timestamp()
+            if r["kind"] == "store":
+                held.store(r["handle"], now)
+                return {"outcome": None}
+            return {"outcome": "ok" if held.use(r["handle"], now) else "gone"}
+
+        return step
+
+    done = walked(rows, [name], ["ts", "kind", "handle"], schema, start).filter("kind = 'use'")
+    return done.select(*([pool] if pool else []), "handle", "ts", "outcome")
+
+
+def live_handles_stream(events: DataFrame, seconds: int = HANDLE_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """Lookups of a stream of handles (handle, kind 'store' or 'use', ts) with found; a handle's state goes `seconds` after its last store."""
+    rows = events.select("handle", "kind", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at = state.get[0] if state.exists else None
+        out = []
+        for r in pd.concat(list(parts)).sort_values(["ts", "kind"], kind="stable").itertuples(index=False):
+            now = r.ts.timestamp()
+            if r.kind == "store":
+                at = now
+            else:
+                out.append((str(key[0]), r.ts, at is not None and now - at <= seconds))
+        if at is not None:
+            state.update((at,))
+            state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs()) + seconds * 1000 + 1)
+        yield pd.DataFrame(out, columns=["handle", "ts", "found"])
+
+    return rows.groupBy("handle").applyInPandasWithState(step, "handle string, ts timestamp, found boolean", "at double", "append", "EventTimeTimeout")
+
+
+class BoundedKeys:
+    """A map of keys to state with a bound: a new key drops the one that came first."""
+
+    def __init__(self, most: int = MOST_KEYS):
+        self.most, self.held = most, {}
+
+    def put(self, key, value) -> None:
+        if key not in self.held and len(self.held) >= self.most:
+            del self.held[next(iter(self.held))]
+        self.held[key] = value
 
 
 def counters(events: DataFrame, name: str = "name", by: str | None = None) -> DataFrame:

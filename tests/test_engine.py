@@ -157,6 +157,9 @@ def test_convert_and_cache(spark, tmp_path):
     cache = str(tmp_path / "cache")
     S.cache_put(cache, S.convert(files))
     hits, todo = S.cache_lookup(files, spark.read.parquet(cache))
+    assert S.full_markdown(S.convert(files)).count() == 3
+    S.cache_sweep(spark, cache)
+    assert spark.read.parquet(cache).count() == 3
     assert hits.count() == 3 and {r.name for r in todo.collect()} == {"d.pdf", "e.txt"}
     bad = spark.read.parquet(cache).withColumn("markdown", F.lit("changed"))
     assert S.cache_valid(bad).count() == 0 and S.cache_swept(spark.read.parquet(cache), F.current_timestamp() + F.expr("INTERVAL 31 DAYS")).count() == 0
@@ -164,6 +167,46 @@ def test_convert_and_cache(spark, tmp_path):
         S.inside(str(tmp_path / "cache"), str(tmp_path / "in" / "a.md"))
 
 
+def test_large_files_are_listed_without_their_bytes(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"# x")
+    (tmp_path / "b.md").write_bytes(b"x" * 100)
+    got = {r.name: r for r in S.read_files(spark, str(tmp_path), most_bytes=50).collect()}
+    assert got["a.md"].content is not None and got["b.md"].content is None and got["b.md"].size == 100
+
+
+def test_office_files_and_endless_conversions(spark):
+    import time
+
+    def packed(parts):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            for name, text in parts.items():
+                z.writestr(name, text)
+        return buf.getvalue()
+
+    w = 'xmlns:w="w"'
+    docx = packed({"word/document.xml": f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>Some </w:t></w:r><w:r><w:t>text</w:t></w:r></w:p>'
+                   '<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'})
+    pptx = packed({f"ppt/slides/slide{i}.xml": f'<p:s xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>point {i}</a:t></a:r></a:p></p:s>' for i in (10, 2)})
+    xlsx = packed({"xl/workbook.xml": '<workbook><sheets><sheet name="One"/></sheets></workbook>', "xl/sharedStrings.xml": "<sst><si><t>k</t></si><si><t>v|w</t></si></sst>",
+                   "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2"><v>3.5</v></c></row></sheetData></worksheet>'})
+    bomb = packed({"word/document.xml": '<!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>'})
+    rows = [("a.docx", docx), ("b.pptx", pptx), ("c.xlsx", xlsx), ("d.docx", bomb), ("e.slow.txt", b"x"), ("f.md", None)]
+    files = spark.createDataFrame([(n, None if b is None else len(b), b) for n, b in rows], "name string, size long, content binary").withColumn("size", F.when(F.col("name") == "f.md", 10**9).otherwise(F.col("size")))
+    got = {r.name: r for r in S.convert(files, {".txt": lambda raw: time.sleep(30) or "x"}, seconds=0.3).collect()}
+    assert got["a.docx"].markdown == "## Head\n\nSome text\n\n| a | b |\n| --- | --- |" and got["b.pptx"].markdown == "## Slide 1\n\npoint 2\n\n## Slide 2\n\npoint 10"
+    assert got["c.xlsx"].markdown == "## One\n\n| k |  | v\\|w |\n| --- | --- | --- |\n| 3.5 |  |  |"
+    assert "ValueError" in got["d.docx"].error and "TimeoutError" in got["e.slow.txt"].error and "20 MB" in got["f.md"].error
+
+
+def test_a_probe_asks_once_in_a_while():
+    asked, now = [], [0.0]
+    probe = S.Probe(lambda: asked.append(1) or (1 / 0 if len(asked) > 1 else 1), clock=lambda: now[0])
+    assert probe() and probe() and len(asked) == 1
+    now[0] = 31
+    assert not probe() and len(asked) == 2
+
+
 def _requests():
     start = datetime(2024, 1, 1)
     return [("k", start + timedelta(seconds=20 * i), "/api/agent" if i % 3 == 0 else "/api/compile") for i in range(60)] + [("other", start, "/api/answer")]
@@ -194,13 +237,6 @@ def test_rate_limit_stream(spark, tmp_path):
     assert sorted((r.key, r.ts, r.allowed) for r in spark.table("limits").collect()) == _plain_limit(_requests())
 
 
-def test_one_shot(spark):
-    t = datetime(2024, 1, 1)
-    rows = [("a", "store", t), ("a", "use", t + timedelta(minutes=1)), ("a", "use", t + timedelta(minutes=2)), ("b", "store", t), ("b", "use", t + timedelta(minutes=16)), ("c", "use", t)]
-    got = {(r.handle, r.ts): r.outcome for r in T.one_shot(spark.createDataFrame(rows, "handle string, kind string, ts timestamp")).collect()}
-    assert [got[h, t + timedelta(minutes=m)] for h, m in (("a", 1), ("a", 2), ("b", 16), ("c", 0))] == ["ok", "gone", "gone", "gone"]
-
-
 def _same(p: pd.DataFrame) -> list:
     # Integers with nulls come as floats from one side only.
     number = lambda v: isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_))

@@ -33,7 +33,7 @@ def test_buckets_of_all_sections(spark):
 
 
 def test_recall_of_packed_texts(spark, data):
-    got = QUERIES["recall_cases"](spark, data).toPandas()
+    got = QUERIES["recall_at_budget"](spark, data).toPandas()
     n = duckdb.sql(f"SELECT count(DISTINCT conv_id) AS n FROM read_parquet('{data}/conversations.parquet') WHERE trim(text) <> ''").fetchall()[0][0]
     assert 0 < len(got) <= 3 * n and got.task_id.is_unique and set(got.token_budget) == {40, 250, 1000}
     assert got.found.any() and (got.expand_ok.isna() == got.found).all() and (got.ok == (got.found | (got.expand_ok == True))).all()  # noqa: E712
@@ -41,7 +41,7 @@ def test_recall_of_packed_texts(spark, data):
 
 
 def test_packs_by_question_and_budget(spark, data):
-    got = QUERIES["pack_cases"](spark, data).toPandas()
+    got = QUERIES["pack_matrix"](spark, data).toPandas()
     n = duckdb.sql(f"SELECT count(DISTINCT conv_id) FROM read_parquet('{data}/conversations.parquet')").fetchall()[0][0]
     assert len(got) == n * 2 * 4 and (got.whole_doc == (got.selected == got.total_sections)).all() and (got.tokens_used <= got.token_budget).all()
     for _, cells in got.groupby(["file_id", "kind"]):
