@@ -158,11 +158,12 @@ def test_convert_and_cache(spark, tmp_path):
     S.cache_put(cache, S.convert(files))
     hits, todo = S.cache_lookup(files, spark.read.parquet(cache))
     assert S.full_markdown(S.convert(files)).count() == 3
-    S.cache_sweep(spark, cache)
-    assert spark.read.parquet(cache).count() == 3
     assert hits.count() == 3 and {r.name for r in todo.collect()} == {"d.pdf", "e.txt"}
     bad = spark.read.parquet(cache).withColumn("markdown", F.lit("changed"))
     assert S.cache_valid(bad).count() == 0 and S.cache_swept(spark.read.parquet(cache), F.current_timestamp() + F.expr("INTERVAL 31 DAYS")).count() == 0
+    S.cache_put(cache, S.convert(files))
+    S.cache_sweep(spark, cache)
+    assert spark.read.parquet(cache).count() == 3 and not [p for p in tmp_path.iterdir() if "-new-" in p.name or "-old-" in p.name]
     with pytest.raises(PermissionError):
         S.inside(str(tmp_path / "cache"), str(tmp_path / "in" / "a.md"))
 
