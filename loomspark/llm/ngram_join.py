@@ -57,6 +57,10 @@ class Parameters:
     #: Lists of up to so many sets are compared in one task, longer ones by a join of their rows; and entries of such a task.
     most_listed: int = 4096
     entries_a_task: int = 100_000
+    #: A list or a set with more rows than this in a join is hot: lists are met where their rows are, sets are dealt out in lots of
+    #: that many; and hot lists that every task knows at most.
+    hot: int = 5000
+    most_hot: int = 100_000
 
 
 # --- sets ------------------------------------------------------------------------------------------------------------
@@ -376,29 +380,55 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Paramete
 
         return pd.Series([any(one(x, y) for x in xs for y in ys) for xs, ys in zip(a, b, strict=True)], dtype=bool)
 
-    at = lambda x: texts.select(F.col("rep").alias(f"rep_{x}"), F.col("texts").alias(f"t_{x}"))
+    def with_text(pairs: DataFrame, x: str, other: str) -> DataFrame:
+        """pairs with the text of one side; a set with very many pairs is dealt out in lots, each with a copy of its text."""
+        rep, lot = f"rep_{x}", f"lot_{x}"
+        lots = checked_broadcast(left.groupBy(rep).agg(F.ceil(F.count("*") / p.hot).alias("lots")).filter("lots > 1"), p.most_broadcast)
+        text = texts.select(F.col("rep").alias(rep), F.col("texts").alias(f"t_{x}")).join(lots, rep, "left")
+        text = text.withColumn(lot, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1).cast("long")) - 1))).drop("lots")
+        dealt = pairs.join(lots, rep, "left").withColumn(lot, F.coalesce(F.pmod(F.xxhash64(other), F.col("lots")), F.lit(0).cast("long"))).drop("lots")
+        return dealt.join(text, [rep, lot]).drop(lot)
+
     # Sorted by one side within a partition, so that its set is built once for all its pairs.
-    out = store(left.join(at("b"), "rep_b").join(at("a"), "rep_a").filter(linked("t_a", "t_b")).select("a", "b"), "linked")
+    out = store(with_text(with_text(left, "b", "a"), "a", "b").filter(linked("t_a", "t_b")).select("a", "b"), "linked")
     drop_stored(docs.sparkSession, left, texts)
     return out
 
 
-def _stars(listed: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _by_list(rows: DataFrame, facts: DataFrame, p: Parameters) -> DataFrame:
+    """rows joined by key to facts (key, k, …), of which k says how many rows a list has.
+
+    The rows of hot lists stay where they are: these lists are few, so all tasks know their facts.  The others are dealt by key.
+    """
+    hot = F.broadcast(most_frequent(facts.filter(F.col("k") > p.hot), "k", p.most_hot))
+    rest = facts.join(hot.select("key"), "key", "left_anti")
+    return rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
+
+
+def _stars(listed: DataFrame, labels: DataFrame | None, p: Parameters) -> DataFrame:
     """Pairs of each list's middle with its others; given labels, of the middle of all but the first's component with the others.
 
     The middle is the set with the fewest rare shingles: copies are changed here and there, which makes new shingles, and what
     they were made from has none of these.
     """
     if labels is None:
-        middle = listed.groupBy("key").agg(F.min(F.struct("rare", "a")).alias("m")).select("key", F.col("m.a").alias("b"))
-        other = listed.join(middle, "key").filter("a != b")
+        middle = store(listed.groupBy("key").agg(F.min(F.struct("rare", "a")).alias("m"), F.count("*").alias("k")).select("key", "k", F.col("m.a").alias("b")), "middles")
+        other = _by_list(listed, middle, p).filter("a != b")
+        held = [middle]
     else:
-        rows = listed.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-        first = rows.groupBy("key").agg(F.min(F.struct("rare", "a", "label")).alias("m")).select("key", F.col("m.label").alias("l0"))
-        apart = rows.join(first, "key").filter("label != l0")
-        middle = apart.groupBy("key").agg(F.min(F.struct("rare", "a", "label")).alias("m")).select("key", F.col("m.a").alias("b"), F.col("m.label").alias("l1"))
-        other = rows.join(middle, "key").filter("label != l1")
-    return other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rows = store(_labelled(listed, labels), "labelled")
+        first = store(rows.groupBy("key").agg(F.min(F.struct("rare", "a", "label")).alias("m"), F.count("*").alias("k")).select("key", "k", F.col("m.label").alias("l0")), "firsts")
+        apart = _by_list(rows, first, p).filter("label != l0").drop("k")
+        middle = store(apart.groupBy("key").agg(F.min(F.struct("rare", "a", "label")).alias("m")).join(first.select("key", "k"), "key").select("key", "k", F.col("m.a").alias("b"), F.col("m.label").alias("l1")), "middles")
+        other = _by_list(rows, middle, p).filter("label != l1")
+        held = [rows, first, middle]
+    out = store(other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    drop_stored(listed.sparkSession, *held)
+    return out
+
+
+def _labelled(listed: DataFrame, labels: DataFrame) -> DataFrame:
+    return listed.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
 
 
 def _members(listed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -450,23 +480,32 @@ def _pairs_of_lists(pdf: pd.DataFrame, p: Parameters) -> pd.DataFrame:
 
 def _rest(listed: DataFrame, labels: DataFrame, members: DataFrame, p: Parameters) -> DataFrame:
     """All pairs of a list's sets that are in different components, but for those that sizes or sketches rule out."""
-    rows = listed.select("key", "a").join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key", "k")
-    full = rows.join(sizes, "key").join(members, "a")
+    rows = store(_labelled(listed.select("key", "a"), labels), "labelled")
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    # Of each list that is in several components yet, its size and its largest component.
+    sizes = store(parts.groupBy("key").agg(F.sum("n").alias("k"), F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("key", "k", F.col("m.label").alias("most")), "apart")
+    full = _by_list(rows, sizes, p).join(members, "a")
     n_tasks = 1 + listed.count() // p.entries_a_task
     short = full.filter(F.col("k") <= p.most_listed).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(n_tasks)))
     pairs = short.groupBy("g").applyInPandas(lambda pdf: _pairs_of_lists(pdf, p), "a long, b long")
-    # A list without end is never brought together: its rows are joined, and large partitions of a join can be split.
+    # A list without end is never brought together.  The sets outside of its largest component meet all others of about their
+    # size, in bands a factor of the similarity wide: what is linked is in the same band or in neighbouring ones.
     words = [F.call_function("conv", F.hex(F.substring("sketch", 8 * i + 1, 8)), F.lit(16), F.lit(-10)).cast("long").alias(f"x{i}") for i in range(SKETCH)]
-    long = full.filter(F.col("k") > p.most_listed).select("key", "a", "label", "n", *words)
-    other = long.select("key", *[F.col(c).alias(f"{c}_b") for c in long.columns if c != "key"])
+    band = F.floor(F.log(F.col("n")) / math.log(100 / p.percent) + 1e-9).alias("band")
+    long = full.filter(F.col("k") > p.most_listed).select("key", "a", "label", "most", "n", band, *words)
+    outer = long.filter("label != most").select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near_band")).drop("band", "most")
+    inner = long.select("key", F.col("band").alias("near_band"), *[F.col(c).alias(f"{c}_b") for c in ("a", "label", "most", "n", *(f"x{i}" for i in range(SKETCH)))])
     differ = F.lit(0)
     for i in range(SKETCH):
         differ = differ + F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"x{i}_b")))
     may = (100 + p.percent) * differ <= (100 - p.percent) * (F.col("n") + F.col("n_b"))
     near = 100 * F.least("n", "n_b") >= p.percent * F.greatest("n", "n_b")
-    joined = long.join(other, (long["key"] == other["key"]) & (F.col("label") < F.col("label_b")) & near & may)
-    return pairs.union(joined.select(F.least("a", "a_b").alias("a"), F.greatest("a", "a_b").alias("b"))).distinct()
+    # Two sets outside of the largest component meet once.
+    apart = (F.col("label_b") == F.col("most_b")) | (F.col("label") < F.col("label_b"))
+    joined = outer.join(inner, ["key", "near_band"]).filter(apart & near & may)
+    out = store(pairs.union(joined.select(F.least("a", "a_b").alias("a"), F.greatest("a", "a_b").alias("b"))).distinct(), "rest")
+    drop_stored(listed.sparkSession, rows, sizes)
+    return out
 
 
 def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: Parameters = Parameters()) -> DataFrame:
@@ -502,14 +541,15 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: P
     keys = keys.repartition(n_buckets, "bucket")
     found = store(keys.groupBy("bucket").applyInPandas(lambda pdf: candidates(pdf, p), FOUND), "candidates")
     listed = found.filter(F.col("kind") == LISTED).select("key", "a", F.col("b").alias("rare"))
-    linked = [_verified(found.filter(F.col("kind") == PAIR).select("a", "b").union(_stars(listed, None)), classes, docs, p)]
+    linked = [_verified(found.filter(F.col("kind") == PAIR).select("a", "b").union(stars := _stars(listed, None, p)), classes, docs, p)]
+    drop_stored(spark, stars)
     labels = components(linked[0])
     held = [sets, classes, found]
     if not listed.isEmpty():
         members = store(_members(listed, classes), "members")
         held.append(members)
         for step in range(p.star_rounds + 1):
-            more = store(_stars(listed, labels) if step < p.star_rounds else _rest(listed, labels, members, p), "more")
+            more = _stars(listed, labels, p) if step < p.star_rounds else _rest(listed, labels, members, p)
             new = _verified(more, classes, docs, p)
             drop_stored(spark, more)
             linked.append(new)

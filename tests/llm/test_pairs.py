@@ -59,7 +59,7 @@ def brute(rows):
     return {i: (len(sets[i]), root(i)) for i, _ in rows}
 
 
-@pytest.mark.parametrize("p", [Parameters(), Parameters(frequent=4, most_pairs_of=2), Parameters(frequent=4, most_pairs_of=2, most_listed=5, star_rounds=0)])
+@pytest.mark.parametrize("p", [Parameters(), Parameters(frequent=4, most_pairs_of=2), Parameters(frequent=4, most_pairs_of=2, most_listed=5, star_rounds=0), Parameters(frequent=4, most_pairs_of=2, most_listed=3, hot=4), Parameters(frequent=4, most_pairs_of=2, most_listed=3, hot=6, most_hot=3, star_rounds=0)])
 def test_ngram_join(spark, p):
     rows = corpus()
     frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int")
