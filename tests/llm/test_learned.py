@@ -1,6 +1,8 @@
 """Toxicity and HTML extraction: gradients, held-out accuracy and odd rows."""
 
+import re
 import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -81,6 +83,43 @@ def test_scores_equal_windows_one_by_one(scorer):
     assert abs(max(one) - scorer.score([text])[0]) < 1e-4
 
 
+def plain_score(network, text):
+    """The highest window's probability, word by word and window by window, without batches, padding or tables."""
+    w, n, enc = network.w, network.p.hidden, network.encoder
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    words = [t for t in re.findall(r"[a-z0-9]+", text.lower())]
+    if not words:
+        return 0.0
+
+    def vector(word):
+        marked = f"<{word}>"
+        grams = [enc.ngrams[g] for k in (3, 4) for i in range(len(marked) - k + 1) if (g := marked[i : i + k]) in enc.ngrams]
+        return np.concatenate([w["word"][enc.words.get(word, 0)], np.mean([w["char"][g] for g in grams], axis=0) if grams else np.zeros(network.p.char_size)])
+
+    def states(seen, way):
+        h, out = np.zeros(n), []
+        for x in seen:
+            a, b = x @ w[f"in_{way}"] + w[f"b_{way}"], h @ w[f"u_{way}"]
+            z, r = sigmoid(a[:n] + b[:n]), sigmoid(a[n : 2 * n] + b[n : 2 * n])
+            h = h + (1 - z) * (np.tanh(a[2 * n :] + r * b[2 * n :]) - h)
+            out.append(h)
+        return out
+
+    best = 0.0
+    for s in windows(len(words), network.p):
+        seen = [vector(x) for x in words[s : s + network.p.window]]
+        h = np.array([np.concatenate(x) for x in zip(states(seen, "f"), states(seen[::-1], "b")[::-1], strict=True)])
+        e = np.tanh(h @ w["att"]) @ w["att_v"]
+        weight = np.exp(e - e.max())
+        best = max(best, sigmoid((weight / weight.sum()) @ h @ w["out"] + w["out_b"][0]))
+    return best
+
+
+def test_scores_equal_a_plain_network(scorer):
+    texts = [t for _, t, _ in _rows(12)] + ["", "unseen wordings scumlet", "mo " * 200]
+    assert np.allclose(scorer.score(texts), [plain_score(scorer.network, t) for t in texts], atol=1e-4)
+
+
 def test_toxicity_on_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in _rows()] + [(900, None, 1.0), (901, "", 1.0), (902, "scumlet scumvar scumdor", 1.0), (902, "scumlet scumvar scumdor", 1.0), (None, "molen", 1.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, y) for i, _, y in _rows()] + [(900, 1), (None, 1), (5, None), (7, 1)], "doc_id long, toxic int")
@@ -144,6 +183,55 @@ def test_labels_of_unseen_pages():
     assert right / sum(len(y) for _, y in pages) >= 0.98
 
 
+class Article(HTMLParser):
+    """The texts of a page's article by the standard library's parser: a block ends where an element that is no inline one begins or ends."""
+
+    INLINE = frozenset({"a", "b", "i", "em", "strong", "span", "u", "small", "code", "sup", "sub"})
+    UNSEEN = frozenset({"script", "style", "template", "noscript"})
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth = self.unseen = 0
+        self.held, self.out = [], []
+
+    def cut(self):
+        text = " ".join("".join(self.held).split())
+        self.out += [text] if text else []
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.held.append(" ")
+        elif tag not in self.INLINE:
+            self.cut()
+        self.depth += tag == "article"
+        self.unseen += tag in self.UNSEEN
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.cut()
+        self.depth -= tag == "article"
+        self.unseen -= tag in self.UNSEEN
+
+    def handle_data(self, data):
+        if self.depth > 0 and not self.unseen:
+            self.held.append(data)
+
+
+def test_pages_against_another_parser(spark, data):
+    from loomspark.llm.queries import op8_html_extract
+
+    pages = op8_html_extract(spark, data).join(spark.read.parquet(f"{data}/pages.parquet").select("page_id", "html"), "page_id").toPandas()
+    hits = []
+    for text, page in zip(pages.text, pages.html, strict=True):
+        parser = Article()
+        parser.feed(page)
+        parser.close()
+        parser.cut()
+        hits.append(text == "\n".join(parser.out))
+    assert len(hits) >= 50 and np.mean(hits) >= 0.95
+
+
 def test_pages_of_the_tables(spark, data):
     from loomspark.llm.queries import op8_html_extract
 

@@ -211,6 +211,10 @@ def test_pipeline_against_plain_stages(spark, data, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         now = {r.doc_id for r in docs.select("doc_id").collect()}
         assert now <= kept
+        if plain == "toxicity":
+            from loomspark.llm.queries import op1_toxicity
+
+            assert now == {r.doc_id for r in op1_toxicity(spark, data).filter("predicted = 0").collect()}
         if plain == "quality":
             from tests.llm.test_text_operators import plain_quality
 

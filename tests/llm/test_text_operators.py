@@ -115,6 +115,24 @@ def test_packing(odd, p):
     assert packing(odd.limit(0)).count() == 0
 
 
+def test_packing_of_a_table(spark, data):
+    """Every id of every document in exactly one piece, windows gapless and full but for a few."""
+    from loomspark.llm.queries import op5_packing
+
+    tokenizer = load("word_bpe_49k.json")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    got = op5_packing(spark, data).toPandas()
+    assert set(got.doc_id) == set(texts)
+    for doc_id, pieces in got.groupby("doc_id"):
+        ids = np.array([*tokenizer.encode(texts[doc_id], add_special_tokens=False).ids, 1], "<u4")
+        pieces = pieces.sort_values("start")
+        assert (pieces.doc_tokens == len(ids)).all() and pieces.start.tolist() == [0, *pieces.length.cumsum().tolist()[:-1]] and pieces.length.sum() == len(ids)
+        assert [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in pieces.itertuples()] == pieces.ids_crc32.tolist()
+    windows = got.sort_values("offset").groupby("sequence_id").agg(n=("length", "sum"), offsets=("offset", list), lengths=("length", list))
+    assert (windows.n <= 2048).all() and all(o == [0, *np.cumsum(k)[:-1].tolist()] for o, k in zip(windows.offsets, windows.lengths, strict=True))
+    assert 1 - windows.n.sum() / (2048 * len(windows)) < 0.05
+
+
 def test_packer_keeps_its_bound():
     packer = Packer(10, 3)
     seen = []
