@@ -24,19 +24,37 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Tables that store() made for this driver and nobody has deleted yet.
+_MADE: dict[str, None] = {}
+
+
 def store(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read back."""
+    """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE[path] = None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables made by store() that no later step reads."""
     for df in frames:
         for f in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, spark._jvm.org.apache.hadoop.fs.Path(f).getParent().toString())
+
+
+def sweep_stored(spark: SparkSession) -> int:
+    """Delete all tables that store() has made for this driver; their number.  For the end of a job, when its results are written."""
+    n = 0
+    while _MADE:
+        _delete(spark, _MADE.popitem()[0])
+        n += 1
+    return n
 
 
 def fits_broadcast(df: DataFrame, most_bytes: int = MOST_BROADCAST) -> bool:

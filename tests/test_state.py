@@ -138,3 +138,11 @@ def test_events_of_a_run():
 def test_models_from_settings():
     made = models_from({"A": " key ", "B": ""}, [("A", ["m1", "m2"], lambda k, n: (k, n)), ("B", ["m3"], lambda k, n: (k, n))])
     assert made == [("m1", ("key", "m1")), ("m2", ("key", "m2"))]
+
+
+def test_stored_tables_are_swept(spark):
+    from loomspark.sources.shared import drop_stored, store, sweep_stored
+
+    a, b = store(spark.range(3), "a"), store(spark.range(4), "b")
+    drop_stored(spark, a)
+    assert b.count() == 4 and sweep_stored(spark) >= 2 and sweep_stored(spark) == 0
