@@ -54,7 +54,7 @@ class Rule:
         if self.high is not None:
             bad = bad | (value > self.high)
         if self.known_scripts:
-            bad = bad & (m["n_other_script"] * 2 <= m["word_chars"])
+            bad = bad & ~m["other_script"]
         return F.coalesce(bad, F.lit(False)) & (m["n_words"] >= self.least_words)
 
 
@@ -98,6 +98,13 @@ def repeated_words(w: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))).cast("long")
 
 
+def other_script(text: Column, word_chars: Column) -> Column:
+    """Whether more than half of the characters of the words are in OTHER_SCRIPTS; each of these takes a second byte at least, so
+    most texts are told by their bytes."""
+    counted = F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{x}}}" for x in OTHER_SCRIPTS) + "]"))
+    return F.when((F.octet_length(text) - F.length(text)) * 2 > word_chars, counted * 2 > word_chars).otherwise(F.lit(False))
+
+
 def measures(text: Column) -> Column:
     """All base counts of a text as one struct."""
     text = F.coalesce(text, F.lit(""))
@@ -105,17 +112,18 @@ def measures(text: Column) -> Column:
 
     def counted(w: Column) -> Column:
         stop = sorted(set(STOP_WORDS))
-        return let(lines, lambda found: F.struct(
+        word_chars = F.length(text) - F.regexp_count(text, F.lit(f"[{BLANKS}]"))
+        return let(lines, lambda found: let(word_chars, lambda chars: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            (F.length(text) - F.regexp_count(text, F.lit(f"[{BLANKS}]"))).cast("long").alias("word_chars"),
+            chars.cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
             repeated_words(w).alias("n_repeat_words"),
             F.size(found).cast("long").alias("n_lines"),
             F.size(F.filter(found, lambda x: F.regexp_count(x, F.lit(SYMBOLS)) * 10 > F.length(x))).cast("long").alias("n_symbol_lines"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop_words"),
-            F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{x}}}" for x in OTHER_SCRIPTS) + "]")).cast("long").alias("n_other_script"),
-        ))
+            other_script(text, chars).alias("other_script"),
+        )))
 
     return let(words(text), counted)
 
@@ -133,7 +141,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
         base_failed = TOO_SHORT.failed(m) | too_repeated
         broken = {"repeats": too_repeated} | {r.name: r.failed(m) for r in rules}
         names = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in broken.items()]), lambda x: x.isNotNull())
-        counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_symbol_lines", "n_stop_words", "n_other_script")
+        counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_symbol_lines", "n_stop_words", "other_script")
         return let(names, lambda found: F.struct(*[m[c].alias(c) for c in counts], base_failed.alias("base_failed"), found.alias("failed"), ((F.size(found) == 0) & ~base_failed).alias("kept")))
 
     return docs.withColumn("quality", let(measures(docs[text]), judged))
