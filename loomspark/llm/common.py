@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.sources.shared import checked_broadcast, drop_stored, shared_dir, store
+
+__all__ = ["checked_broadcast", "drop_stored", "shared_dir", "store"]  # re-exported
+
 #: A word is a run of anything but ASCII blanks; the same set in Python and Java patterns.
 BLANKS = r" \t-\r"
 WORD = f"[^{BLANKS}]+"
@@ -63,26 +65,6 @@ def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
     return rows.filter(F.lit(False)) if least is None else rows.filter(step >= least)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where it is unset (local runs and tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomspark-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def store(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of texts that are handed to a Python worker at once.
 BATCH_ROWS = 1000
 
@@ -101,17 +83,3 @@ def release_memory() -> None:
     pyarrow.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
-
-
-def checked_broadcast(df: DataFrame, most_bytes: int = 64_000_000) -> DataFrame:
-    """df with a broadcast hint if its rows, written as JSON, have at most so many bytes; else as it is, to be joined by a shuffle."""
-    size = F.octet_length(F.to_json(F.struct("*"))) + 16
-    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most_bytes else df
-
-
-def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables made by store() that no later step reads."""
-    for df in frames:
-        for f in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import free_name, release_memory, small_batches, store
+from loomspark.llm.common import drop_stored, free_name, release_memory, small_batches, store
 
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -113,7 +113,9 @@ def word_counts(rows: DataFrame, most_held: int = 200_000) -> DataFrame:
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", p: Parameters = Parameters()) -> Model:
     """A model of every language that labels a row; Spark counts the sample's words, and those seen often enough come to the driver."""
-    found = word_counts(store(sample(docs, lang, text, p), "sample")).filter(F.col("n") >= p.least_count).toPandas()
+    rows = store(sample(docs, lang, text, p), "sample")
+    found = word_counts(rows).filter(F.col("n") >= p.least_count).toPandas()
+    drop_stored(docs.sparkSession, rows)
     languages = sorted(found["lang"].unique())
     place = {x: i for i, x in enumerate(languages)}
     words: dict[str, dict[int, int]] = defaultdict(dict)

@@ -164,6 +164,8 @@ def token_counts(docs: DataFrame, path: str = "byte_bpe_50k.json", limit: int =
     if pieces.count() > len(known):
         other = rows.select(row, F.explode(counted).alias("o")).select(row, "o.piece", "o.f")
         sums = other.join(pieces.select("piece", "n"), "piece").groupBy(row).agg(F.sum(F.col("f") * F.col("n")).alias(counted))
+        first = rows
         rows = store(rows.drop(counted).join(sums, row, "left").withColumn("n_tokens", F.col("n_tokens") + F.coalesce(counted, F.lit(0))).drop(*drop), "summed")
+        drop_stored(spark, first)
     drop_stored(spark, pieces)
     return rows.drop(*drop).withColumn("over_limit", F.col("n_tokens") > limit)
