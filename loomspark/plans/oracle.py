@@ -22,7 +22,7 @@ _CHUNKS = """ch AS (SELECT source AS file_id, doc_id AS ord, source || ' > ' ||
 #: Tasks are whole texts in up to six aspects, of eight words or of a sixth of a longer text; each on one of the sources that occur.
 _ASPECTS = f"""fl AS (SELECT list(source ORDER BY length(source), source) AS files FROM (SELECT DISTINCT coalesce(source, '') AS source FROM documents)),
 bw AS (SELECT item_id AS task_id, files[1 + item_id % len(files)] AS file_id, string_split(lower(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', ' ', 'g')), ' ') AS w, greatest(8, (len(w) + 5) // 6) AS k FROM benchmark, fl),
-aq AS (SELECT task_id, file_id, qi, array_to_string(w[qi * k + 1:qi * k + k], ' ') AS query FROM bw, range(6) r(qi) WHERE qi * k < len(w)),
+aq AS (SELECT task_id, file_id, qi::INT AS qi, array_to_string(w[qi * k + 1:qi * k + k], ' ') AS query FROM bw, range(6) r(qi) WHERE qi * k < len(w)),
 asp AS (SELECT task_id, file_id, qi, list_filter({_tokens('query')}, lambda t: length(t) > 1 AND t NOT IN ({_STOP})) AS terms FROM aq)"""
 
 
