@@ -65,15 +65,15 @@ def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
     return rows.filter(F.lit(False)) if least is None else rows.filter(step >= least)
 
 
-#: Rows of texts that are handed to a Python worker at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of texts that are handed to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 * 2**20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds of long texts, unless the session asks for its own batch size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
 def release_memory() -> None:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import small_batches, store
+from loomspark.llm.common import release_memory, small_batches, store
 from loomspark.llm.token_counts import SPACE, in_chunks, load
 
 #: The id goes through Python as text, so that nulls don't turn whole numbers into floats.
@@ -27,8 +27,8 @@ _MARKS = ".,!#*$%&|?:;()"
 CUT = re.compile(f"[{_LETTERS}]+(?=[ \n{_MARKS}]|$)|[{_MARKS}]+(?=[ \n{_LETTERS}]|$)|[^{SPACE}]+")
 _BEYOND = re.compile("[^\x00-įı-ɏ]")
 _PLAIN = re.compile(f"[{_LETTERS}]+").fullmatch
-#: Distinct pieces that a worker remembers.
-MOST_KNOWN = 1_000_000
+#: Letters and bytes of ids of the distinct pieces that a worker remembers, a fixed share for each piece included.
+MOST_KNOWN, A_PIECE = 48_000_000, 100
 
 
 def cuts(text: str) -> list[str]:
@@ -55,6 +55,7 @@ class Ids:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.known: dict[str, bytes] = {}
+        self.size = 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -87,9 +88,13 @@ class Ids:
     def of(self, texts: list[str]) -> list[bytes]:
         rows = [cuts(t) for t in texts]
         words = set().union(*rows)
-        if len(self.known) > MOST_KNOWN:
+        new = [w for w in words if w not in self.known]
+        self.size += sum(map(len, new)) + len(new) * A_PIECE
+        if self.size > MOST_KNOWN:
+            # What these texts have in common with earlier ones stays.
             self.known = {w: self.known[w] for w in words if w in self.known}
-        self.learn([w for w in words if w not in self.known])
+            self.size = sum(map(len, words)) + len(words) * A_PIECE
+        self.learn(new)
         look = self.known.__getitem__
         return [b"".join(map(look, r)) for r in rows]
 
@@ -169,6 +174,9 @@ def pack_partition(parts: Iterator[pd.DataFrame], path: str, p: Parameters, numb
         out += [(doc_id, start, len(ids) // 4, None, total, None, k, ids, number) for doc_id, start, ids, total in packer.held[k]]
     if out:
         yield pd.DataFrame(out, columns=columns)
+    out = []
+    packer.held.clear()
+    release_memory()
 
 
 def merge(group: tuple, left: pd.DataFrame, p: Parameters) -> pd.DataFrame:
