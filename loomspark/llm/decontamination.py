@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import checked_broadcast, drop_stored, free_name, let, store, words
 
 
+#: Sums of weights are known so far; what reaches the similarity up to that has reached it.
+ROUNDING = 1e-9
+
+
 @dataclass(frozen=True)
 class Parameters:
     words: int = 5
@@ -189,7 +193,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", d
         return weight / (F.col("total") + F.lit(rare) * (F.size(g) - F.size(shared)))
 
     own = F.array_distinct(shingle_hashes(F.col("ww"), k))
-    judged = pairs.join(checked_broadcast(listed, p.most_broadcast), "item_id").withColumn("similarity", let(own, similarity)).filter(F.col("similarity") >= p.similarity)
+    judged = pairs.join(checked_broadcast(listed, p.most_broadcast), "item_id").withColumn("similarity", let(own, similarity)).filter(F.col("similarity") >= p.similarity - ROUNDING)
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     out = store(best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.similarity").alias("similarity")), "hits")
     drop_stored(spark, items, weighed, runs, windows)

@@ -171,7 +171,7 @@ ws AS (SELECT DISTINCT doc_id, item_id, start, array_to_string(w[q:least(q + 4,
 wn AS (SELECT doc_id, item_id, start, count(*) AS n FROM ws GROUP BY ALL),
 sh AS (SELECT doc_id, item_id, start, count(*) AS k, sum(weight) AS shared FROM ws JOIN iw USING (item_id, g) GROUP BY ALL),
 sim AS (SELECT doc_id, item_id, start, shared / (total + ln(1 + n_items) * (n - k)) AS similarity FROM sh JOIN wn USING (doc_id, item_id, start) JOIN it USING (item_id), nn),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(similarity, 9) DESC, start) AS k FROM sim WHERE similarity >= 0.75)
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(similarity, 9) DESC, start) AS k FROM sim WHERE similarity >= 0.75 - 1e-9)
 SELECT doc_id, item_id, start::BIGINT AS start, round(similarity, 6) AS similarity FROM r WHERE k = 1
 """
 

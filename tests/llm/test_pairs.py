@@ -116,7 +116,7 @@ def plain_hits(docs, items):
                 own = set(shingle(w[s : s + m]))
                 shared = sum(weight[g] for g in own & sets[i])
                 sim = shared / (sum(weight[g] for g in sets[i]) + math.log(1 + len(items)) * len(own - sets[i]))
-                if sim >= 0.75:
+                if sim >= 0.75 - 1e-9:
                     out[d, i] = max(out.get((d, i), (0, 0)), (round(sim, 9), -s))
     return {k: (v[0], -v[1]) for k, v in out.items()}
 
