@@ -8,8 +8,11 @@ All of it is DataFrame expressions.
 2. Around an anchor, each shingle of the item that is found says where its window would start.  These starts and all between
    neighbouring ones are fingerprinted.
 3. Fingerprints are cut into blocks.  Two of them within the radius differ in one block at least by no more than
-   radius / blocks bits, so all near values of the items' blocks are listed and a join on blocks misses none.
-4. What is left is verified by the exact weighted similarity, and of each pair the best window is kept.
+   radius / blocks bits, so all near values of the items' blocks are listed and a join on blocks misses none.  The search
+   asks all items as long as the window, not only those whose anchor it stands at.
+4. A similar window may still differ in more bits than the radius: weights decide bits, and these can be nearly even.  So the
+   windows around an item's anchors whose fingerprints are farther from the item's are candidates of it too.
+5. All candidates are verified by the exact weighted similarity, and of each pair the best window is kept.
 
 An item of fewer than five words is one shingle of its own length and is looked for as such in texts of any length.
 """
@@ -35,7 +38,7 @@ class Parameters:
     words: int = 5
     similarity: float = 0.75
     bits: int = 64
-    #: Fingerprints that differ in more bits are no candidates.
+    #: Fingerprints that differ in more bits are not found by the search.
     radius: int = 15
     #: Blocks of a fingerprint; bits must be a multiple of it.
     blocks: int = 8
@@ -169,20 +172,22 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", d
     starts = window_starts(F.col("region"), F.col("first"), F.col("n"), F.col("m"), F.col("hs"), F.col("run"), p)
     cut = near.select("doc_id", "item_id", "m", "region", "first", F.explode(starts).alias("start"))
     # The region ends behind the last window that starts in it, so that a slice is the window.
-    windows = cut.select("doc_id", "item_id", "start", F.slice("region", F.greatest(F.col("start") - F.col("first"), F.lit(0)) + 1, F.col("m")).alias("ww")).filter(F.size("ww") > 0)
+    windows = cut.select("doc_id", "item_id", "m", "start", F.slice("region", F.greatest(F.col("start") - F.col("first"), F.lit(0)) + 1, F.col("m")).alias("ww")).filter(F.size("ww") > 0)
     windows = store(windows.withColumn("fp", fingerprint(F.col("ww"), p)), "windows")
 
     # Hamming search on the items' blocks and their near values.
     changed = F.array(*[F.lit(v).cast("long") for v in near_values(p)])
     cells = lambda fp, also: F.flatten(F.array(*[also(F.lit(i), block(fp, i, p)) for i in range(p.blocks)]))
     cell = lambda i, v: F.struct(i.alias("block"), v.alias("value"))
-    known = items.select("item_id", fingerprint(F.col("iw"), p).alias("item_fp"))
-    known = known.select("item_id", "item_fp", F.explode(cells(F.col("item_fp"), lambda i, v: F.transform(changed, lambda c: cell(i, v.bitwiseXOR(c))))).alias("c")).select("item_id", "item_fp", "c.*")
-    left = windows.select("doc_id", "item_id", "start", "ww", "fp", F.explode(cells(F.col("fp"), lambda i, v: F.array(cell(i, v)))).alias("c")).select("doc_id", "item_id", "start", "ww", "fp", "c.*")
+    prints = store(items.select("item_id", "m", fingerprint(F.col("iw"), p).alias("item_fp")).distinct(), "prints")
+    known = prints.select("item_id", "m", "item_fp", F.explode(cells(F.col("item_fp"), lambda i, v: F.transform(changed, lambda c: cell(i, v.bitwiseXOR(c))))).alias("c")).select("item_id", "m", "item_fp", "c.*")
+    left = windows.select("doc_id", "m", "start", "ww", "fp", F.explode(cells(F.col("fp"), lambda i, v: F.array(cell(i, v)))).alias("c")).select("doc_id", "m", "start", "ww", "fp", "c.*")
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    pairs = left.join(checked_broadcast(known, p.most_broadcast), ["item_id", "block", "value"]).filter(F.bit_count(differ) <= p.radius)
+    pairs = left.join(checked_broadcast(known, p.most_broadcast), ["m", "block", "value"]).filter(F.bit_count(differ) <= p.radius)
     # A pair that agrees in several blocks counts at the first of them.
     pairs = pairs.filter(F.forall(F.sequence(F.lit(0), F.lit(p.blocks - 1)), lambda i: (i >= F.col("block")) | (F.bit_count(block(differ, i, p)) > p.radius // p.blocks)))
+    beyond = windows.join(checked_broadcast(prints.drop("m"), p.most_broadcast), "item_id").filter(F.bit_count(differ) > p.radius)
+    pairs = pairs.select("doc_id", "item_id", "start", "ww").unionByName(beyond.select("doc_id", "item_id", "start", "ww"))
 
     listed = weighed.groupBy("item_id").agg(F.collect_list(F.struct("h", "weight")).alias("shingles"), F.sum("weight").alias("total"))
     rare = math.log(1 + n_items)
@@ -194,9 +199,10 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", d
 
     own = F.array_distinct(shingle_hashes(F.col("ww"), k))
     judged = pairs.join(checked_broadcast(listed, p.most_broadcast), "item_id").withColumn("similarity", let(own, similarity)).filter(F.col("similarity") >= p.similarity - ROUNDING)
-    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
-    out = store(best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.similarity").alias("similarity")), "hits")
-    drop_stored(spark, items, weighed, runs, windows)
+    # Equal similarities are sums in different orders: the first of those that round alike.
+    best = judged.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.round("similarity", 9)).alias("r"), "start", "similarity")).alias("best"))
+    out = store(best.select("doc_id", "item_id", F.col("best.start").cast("long").alias("start"), F.col("best.similarity").alias("similarity")), "hits")
+    drop_stored(spark, items, weighed, runs, windows, prints)
     return out
 
 
