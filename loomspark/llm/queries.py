@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm.centroids import centroid_clusters
 from loomspark.llm.chat_format import canonical, chat_format, learned_text, read_back
 from loomspark.llm.common import held_out, table
 from loomspark.llm.decontamination import decontamination
+from loomspark.llm.divergence import divergence
+from loomspark.llm.embedding_dedup import embedding_dedup
 from loomspark.llm.html_extract import html_extract
 from loomspark.llm.language_id import language_id
 from loomspark.llm.ngram_join import ngram_join
@@ -181,6 +184,73 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, path="byte_bpe_50k.json", limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+tot AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n, 1 + (1000000000 * (coalesce(n.n, 0) + 2)::HUGEINT) // (coalesce(total, 0) + 2 * v)::HUGEINT AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source, term) LEFT JOIN tot USING (lang, source)),
+q AS (SELECT lang, term, 1 + (1000000000 * (sum(n) + 2)::HUGEINT) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * any_value(v))::HUGEINT AS q FROM p JOIN v USING (lang) GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+_OP12_ROUND = """
+m{n} AS (SELECT i, v, d // 100 AS distance, (d % 100)::INT AS cluster FROM (
+  SELECT i, any_value(v.v) AS v, min(list_sum(list_transform(list_zip(v.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::HUGEINT * 100 + c.j) AS d FROM v, c{n} c GROUP BY i)),
+"""
+_OP12_MEAN = """
+s{n} AS (SELECT cluster, x, sum(y) AS s, count(*) AS k FROM (SELECT cluster, unnest(v) AS y, unnest(range(64)) AS x FROM m{n}) GROUP BY ALL),
+c{m} AS (SELECT c{n}.j, coalesce(f.v, c{n}.v) AS v FROM c{n} LEFT JOIN (SELECT cluster AS j, list(((s - (((s % k) + k) % k)) // k)::BIGINT ORDER BY x) AS v FROM s{n} GROUP BY cluster) f USING (j)),
+"""
+OP12_SQL = (
+    """
+WITH v AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1)::INT AS j, v FROM v WHERE vec_id IS NOT NULL QUALIFY j < 16),"""
+    + "".join(_OP12_ROUND.format(n=n) + (_OP12_MEAN.format(n=n, m=n + 1) if n < 3 else "") for n in range(4))
+    + """
+h AS (SELECT j AS cluster, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM c3)
+SELECT vec_id, cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM m3 JOIN (SELECT i, vec_id FROM v) USING (i) JOIN h USING (cluster)
+"""
+)
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT a AS vec_id, a AS r FROM l UNION SELECT l.b, r.r FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(r) AS c FROM r GROUP BY vec_id)
+SELECT d.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, d.vec_id) AS component_id, coalesce(c.c, d.vec_id) = d.vec_id AS kept
+FROM embeddings d LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -190,4 +260,4 @@ def oracle_sql() -> dict[str, str]:
 
     from loomspark.llm.url_filters import TWO_LABEL_SUFFIXES
 
-    return {"op4_url_filters": OP4_SQL.replace("{two}", " ".join(TWO_LABEL_SUFFIXES)), "op3_ngram_join": OP3_SQL, "op9_decontamination": OP9_SQL, "op7_chat_format": OP7_SQL, "op2_quality_rules": OP2_SQL.replace("{stop}", " ".join(sorted(set(STOP_WORDS)))).replace("{scripts}", "".join(rf"\p{{{x}}}" for x in OTHER_SCRIPTS))}
+    return {"op11_source_divergence": OP11_SQL, "op12_centroid_clusters": OP12_SQL, "op13_embedding_dedup": OP13_SQL, "op4_url_filters": OP4_SQL.replace("{two}", " ".join(TWO_LABEL_SUFFIXES)), "op3_ngram_join": OP3_SQL, "op9_decontamination": OP9_SQL, "op7_chat_format": OP7_SQL, "op2_quality_rules": OP2_SQL.replace("{stop}", " ".join(sorted(set(STOP_WORDS)))).replace("{scripts}", "".join(rf"\p{{{x}}}" for x in OTHER_SCRIPTS))}
