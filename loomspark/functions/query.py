@@ -186,13 +186,14 @@ def terms(task: Column) -> Column:
 
 
 def given_name(text: Column, name: Column) -> Column:
-    """Whether a text has the surname behind a given name; false for null."""
-
-    @F.pandas_udf("boolean")
-    def read(texts: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([bool(t and n) and has_given_name(t, n) for t, n in zip(texts, names, strict=True)], dtype=bool)
-
-    return read(text, name)
+    """Whether a text has the surname behind a given name, as has_given_name; false for null."""
+    edge = r"(?![A-Za-z0-9_])"
+    quoted = lambda x: F.concat(F.lit(r"\s+\Q"), x, F.lit(r"\E" + edge))
+    capitals = F.regexp_like(text, F.concat(F.lit(r"(?<![A-Za-z0-9_])[A-Z]{2,30}"), quoted(F.upper(name))))
+    titled = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
+    before = F.regexp_extract_all(text, F.concat(F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]{1,30})"), quoted(titled)), F.lit(1))
+    given = F.exists(before, lambda w: ~F.lower(w).isin(*sorted(_NOT_GIVEN)))
+    return F.coalesce((F.length(name) > 0) & (capitals | given), F.lit(False))
 
 
 def surname(task: Column) -> Column:

@@ -70,12 +70,21 @@ def leaf(breadcrumb: Column) -> Column:
     return F.element_at(F.split(breadcrumb, " > "), -1)
 
 
-def section_label(breadcrumb: Column, text: Column) -> Column:
-    """What a manifest calls a section: its heading, a preview of the text, or both."""
-    heading = F.when(trim_all(leaf(breadcrumb)) != NO_HEADING, trim_all(leaf(breadcrumb))).otherwise(F.lit(""))
+def section_heading(breadcrumb: Column) -> Column:
+    """The last part of a breadcrumb, empty where it says that there is none."""
+    return F.when(trim_all(leaf(breadcrumb)) != NO_HEADING, trim_all(leaf(breadcrumb))).otherwise(F.lit(""))
+
+
+def section_preview(text: Column) -> Column:
+    """The first letters of a text without marks, in quotes; empty where nothing is left."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?m)^#+(?U)\s*", ""), r"[`*_>#|]", "")
     preview = F.substring(trim_all(F.regexp_replace(plain, r"(?U)\s+", " ")), 1, 44)
-    quoted = F.when(preview != "", F.concat(F.lit("“"), preview, F.lit("…”"))).otherwise(F.lit(""))
+    return F.when(preview != "", F.concat(F.lit("“"), preview, F.lit("…”"))).otherwise(F.lit(""))
+
+
+def section_label(breadcrumb: Column, text: Column) -> Column:
+    """What a manifest calls a section: its heading, a preview of the text, or both."""
+    heading, quoted = section_heading(breadcrumb), section_preview(text)
     short = F.when(F.length(heading) > 36, F.concat(F.substring(heading, 1, 35), F.lit("…"))).otherwise(heading)
     return F.when((heading != "") & (quoted != ""), F.concat_ws(" — ", short, quoted)).when(heading != "", heading).when(quoted != "", quoted).otherwise("(untitled section)")
 

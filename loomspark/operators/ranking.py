@@ -137,11 +137,3 @@ def top_cluster(scores: DataFrame, ratio: float = CLUSTER_RATIO) -> DataFrame:
     """The sections close to the best score; the first one alone where scores are flat, none without a score."""
     shaped = ranked(scores).join(score_shape(scores), "task_id").filter("top > 0")
     return shaped.filter(F.when(F.col("flat"), F.col("pos") == 0).otherwise(F.col("score") >= F.col("top") * ratio))
-
-
-def discriminative(text: Column, terms: Column, most_lines: int = 3) -> Column:
-    """Terms found in 1 to 3 lines of a text; where there are none, all terms of two letters and more."""
-    lines = F.split(F.lower(text), "\n")
-    long = F.filter(terms, lambda t: F.length(t) > 1)
-    rare = F.filter(long, lambda t: F.size(F.filter(lines, lambda x: F.contains(x, t))).between(1, most_lines))
-    return F.when(F.size(rare) > 0, rare).otherwise(long)

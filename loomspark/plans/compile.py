@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import query as Q
-from loomspark.functions.text import source_name
-from loomspark.functions.tokens import PRICE_PER_MILLION, content_tokens, cost_usd, reduction_pct, token_count, tokens_saved
+from loomspark.functions.text import id_span, section_heading, section_label, section_preview, source_name
+from loomspark.functions.tokens import PRICE_PER_MILLION, content_tokens, cost_usd, reduction_pct, token_count, tokens_saved, utf16_length
 from loomspark.operators import hints, ranking
 from loomspark.operators.chunking import chunk_markdown
-from loomspark.operators.selection import CAP_MARK, END, NOTE, Section, assemble, content_count, count_tokens, found, rare_terms, select, truncate
+from loomspark.operators.fold import folded, ranked_facts
+from loomspark.operators.selection import CAP_MARK, END, NOTE
+from loomspark.operators.sizes import crumb_line, cut, header_length, let
 from loomspark.sources.shared import store
 
 _SECTION = "id string, ord int, section string, tokens int, relevance int, truncated boolean, full_tokens int, matched_queries array<int>, text string"
@@ -41,73 +42,67 @@ def scored_sections(chunks: DataFrame, aspects: DataFrame) -> DataFrame:
     return out.join(multi.select("task_id", "multi"), "task_id")
 
 
-def _named(sections: list[dict], task: str) -> list[dict]:
-    """Scores and order for tasks that ask for a name: sections with one gain, and follow-ups with one come before what they follow."""
-    surname = Q.asked_surname(task)
-    if surname is None:
-        return sections
-    top = max([0.0, *(s["score"] for s in sections)])
-    hit = {s["ord"]: Q.has_given_name(s["text"], surname) for s in sections}
-    for s in sections:
-        s["score"] += ranking.NAME_BOOST * top if top > 0 and hit[s["ord"]] else 0.0
-    if not any(s["multi"] for s in sections):
-        sections = sorted(sections, key=lambda s: (-s["score"], s["ord"]))
-    by_ord = {s["ord"]: s for s in sections}
-    order = [s["ord"] for s in sections]
-    for at in order[:20]:
-        after = at + 1
-        if after in by_ord and by_ord[after]["breadcrumb"] == by_ord[at]["breadcrumb"] and hit[after] and not hit[at] and order.index(after) > order.index(at):
-            order.remove(after)
-            order.insert(order.index(at), after)
-    return [by_ord[o] for o in order]
-
-
-#: Tasks on one file that are packed together; the file's sections are brought to each such lot once.
-TASKS_A_LOT = 200
-
-
-def pack_task(rows: list[dict], of: dict[int, dict], task: dict) -> tuple:
-    """One task's ranked sections to its selection.  rows: score and order of the sections; of: the sections by ord."""
-    rows = [r | of[r["ord"]] for r in rows]
-    # One aspect: by score; several: in turns.
-    rows.sort(key=lambda r: (r["turn"], r["ord"]) if r["multi"] else (-r["score"], r["ord"]))
-    rows = _named(rows, task["task"])
-    lists = lambda x: tuple(int(q) for q in x) if x is not None and not isinstance(x, float) else ()
-    ranked = [Section(r["id"], int(r["ord"]), r["breadcrumb"], r["text"], int(r["tokens"]), float(r["score"]), lists(r["matched_queries"])) for r in rows]
-    texts = lambda x: list(x) if x is not None and not isinstance(x, float) else []
-    best, forced = texts(rows[0]["best"]), texts(task.get("forced"))
-    top = max([0.0, *(s.score for s in ranked)])
-    done = select(ranked, int(task["token_budget"]), task["name"], Q.query_terms(task["task"]), best, task["task"], forced, content=True)
-    rel = lambda s: int(100 * s.score / top + 0.5) if top > 0 else None
-    info = lambda s, text: {"id": s.id, "ord": s.ord, "section": s.breadcrumb, "tokens": s.tokens, "relevance": rel(s), "truncated": s.truncated, "full_tokens": s.full_tokens,
-                            "matched_queries": list(s.matched) if rows[0]["multi"] else None, "text": s.text if text else None}
-    used = content_count(assemble(task["name"], done.selected))
-    return str(task["task_id"]), task["file_id"], done.text, used, done.stopped_early, [info(s, True) for s in done.selected], [info(s, False) for s in done.omitted], best
+#: Lines of a manifest, and what else of the omitted sections can be among them.
+MOST_LISTED = hints.MANIFEST_STEPS[0]
 
 
-def packed(scored: DataFrame, chunks: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The selection of each task (PACKED).  scored: as scored_sections gives it; tasks: (task_id, file_id, task, token_budget,
-    name of the source, and optionally forced, an array of section ids).
+def selections(scored: DataFrame, chunks: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, done): the ranked sections of each task as ranked_facts gives them, and each task's selection as folded gives it.
 
-    A file's sections, at most some tens of MB, meet a lot of its tasks in one group, so texts move once a lot and not once a
-    task; many tasks on one file make many lots.
+    scored: as scored_sections gives it; tasks: (task_id, file_id, task, token_budget, name of the source, and optionally forced,
+    an array of section ids).
     """
-    sizes = tasks.groupBy("file_id").agg(F.count("*").alias("k"))
-    lot = F.pmod(F.xxhash64("task_id"), F.ceil(F.col("k") / TASKS_A_LOT)).alias("lot")
-    dealt = tasks.join(sizes, "file_id").select(*tasks.columns, lot)
-    texts = chunks.select(*[F.col(c).alias(c) for c in ("file_id", "id", "ord", "breadcrumb", "text", "tokens")]).join(dealt.select("file_id", F.col("lot").alias("of_lot")).distinct(), "file_id")
-    rows = scored.drop("file_id").join(dealt, "task_id")
-    extra = [c for c in ("forced",) if c in tasks.columns]
+    facts = store(ranked_facts(scored, chunks, tasks), "facts")
+    return facts, store(folded(facts, chunks, tasks.select("task_id", "name", Q.terms(F.col("task")).alias("terms"))), "folded")
+
+
+def selected_texts(done: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(task_id, file_id, ord, id, breadcrumb, tokens, full, text): the sections of selections, with what is left of their texts."""
+    rows = done.select("task_id", "file_id", F.explode("selected").alias("s")).select("task_id", "file_id", "s.ord", "s.tokens", "s.full", F.col("s.text").alias("part"))
+    texts = chunks.select("file_id", "ord", "id", "breadcrumb", F.col("text").alias("whole"))
+    return rows.join(texts, ["file_id", "ord"]).select("task_id", "file_id", "ord", "id", "breadcrumb", "tokens", "full", F.coalesce("part", "whole").alias("text"))
 
-    def pack_lot(sections: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        of = {r["ord"]: r for r in sections[["id", "ord", "breadcrumb", "text", "tokens"]].to_dict("records")}
-        out = []
-        for _, pdf in found.groupby("task_id", sort=True):
-            task = pdf.iloc[0][["task_id", "file_id", "task", "token_budget", "name", *extra]].to_dict()
-            out.append(pack_task(pdf[["ord", "score", "turn", "matched_queries", "best", "multi"]].to_dict("records"), of, task))
-        return pd.DataFrame(out, columns=["task_id", "file_id", "markdown", "tokens_used", "stopped_early", "selected_sections", "omitted_sections", "best"])
 
-    return texts.groupBy("file_id", "of_lot").cogroup(rows.groupBy("file_id", "lot")).applyInPandas(pack_lot, PACKED)
+def packed(scored: DataFrame, chunks: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The selection of each task with its artifact (PACKED); scored and tasks as selections takes them.
+
+    Texts meet a task only where they are selected, and as labels where they are listed.
+    """
+    facts, done = selections(scored, chunks, tasks)
+    relevance = ranking.relevance(F.col("score"), F.col("top"))
+    matched = F.when(F.col("multi"), F.col("matched"))
+    texts = selected_texts(done, chunks).select("task_id", "ord", F.col("tokens").alias("kept_tokens"), "full", F.col("text").alias("kept"))
+    rows = facts.select("task_id", "ord", "id", "pos", "score", "top", "multi", "matched", "tokens", "breadcrumb").join(texts, ["task_id", "ord"], "left")
+    entry = F.struct("id", F.col("ord").cast("int").alias("ord"), F.col("breadcrumb").alias("section"), F.coalesce("kept_tokens", "tokens").alias("tokens"), relevance.alias("relevance"), F.col("full").isNotNull().alias("truncated"),
+                     F.col("full").alias("full_tokens"), matched.alias("matched_queries"), F.col("kept").alias("text"))
+    chosen = F.collect_list(F.when(F.col("kept").isNotNull(), F.struct("ord", entry.alias("s"))))
+    left = F.collect_list(F.when(F.col("kept").isNull(), F.struct("pos", entry.alias("s"))))
+    bare = lambda l: F.transform(F.array_sort(l), lambda x: x["s"])
+    peak = F.max(F.when(F.col("kept").isNotNull(), F.col("score"))).alias("peak")
+    lists = rows.groupBy("task_id").agg(bare(chosen).alias("selected_sections"), bare(left).alias("omitted_sections"), peak)
+
+    # What the manifest calls the first of the omitted ones.  As many as are selected may stand between them.
+    near = facts.select("task_id", "file_id", "ord", "pos").join(done.select("task_id", F.size("selected").alias("k")), "task_id").filter(F.col("pos") <= F.col("k") + MOST_LISTED)
+    head, preview = section_heading(F.col("breadcrumb")), section_preview(F.col("text"))
+    name = F.when(head != "", head).when(preview != "", preview).otherwise(F.col("id"))
+    size = F.struct(utf16_length(F.col("text")).alias("u"), utf16_length(crumb_line(F.col("breadcrumb"))).alias("cu"))
+    calls = near.join(chunks, ["file_id", "ord"]).select("task_id", "pos", F.struct("id", section_label(F.col("breadcrumb"), F.col("text")).alias("label"), "tokens", name.alias("name"), size.alias("size")).alias("x"))
+    called = calls.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("called"))
+    out = done.drop("selected").join(lists, "task_id").join(called, "task_id")
+    omitted = F.size("omitted_sections")
+    span = id_span(hints.ids(F.col("omitted_sections")))
+    first = F.get("called", F.lit(0))
+    # The first of the ranking is told to be too large if it is left out, wouldn't fit alone, and nothing as good is in.
+    others = F.when(F.col("n_sections") > 1, utf16_length(hints.manifest(F.array(), F.col("n_sections") - 1, id_span(F.filter(F.transform("omitted_sections", lambda s: s["id"]), lambda i: i != first["id"])), 0)) + 1).otherwise(0)
+    alone = F.floor((header_length(F.col("name")) + first["size"]["cu"] + first["size"]["u"] + 2 + others + len(END)) / 4) <= F.col("budget")
+    peer = (F.col("top") > 0) & F.coalesce(F.col("peak") >= F.col("top"), F.lit(False))
+    shut = F.exists("omitted_sections", lambda s: s["id"] == first["id"]) & ~alone & ~peer
+    big = F.when(shut, F.struct(first["id"].alias("id"), first["name"].alias("name"), first["tokens"].alias("tokens")))
+    listed = F.filter("called", lambda c: ~F.array_contains(hints.ids(F.col("selected_sections")), c["id"]))
+    lines = F.coalesce(F.concat(hints.manifest(listed, omitted, span, MOST_LISTED, big), F.lit("\n")), F.lit(""))
+    body = artifact_body(F.transform("selected_sections", lambda s: F.struct(s["section"].alias("breadcrumb"), s["text"].alias("text"))))
+    markdown = F.concat(F.lit("<!-- Compiled context from: "), "name", F.lit(f" -->\n{NOTE}\n\n"), body, lines, F.lit(END))
+    return out.select("task_id", "file_id", markdown.alias("markdown"), F.col("used").alias("tokens_used"), F.col("stopped").alias("stopped_early"), F.col("selected_sections").cast(f"array<{_STRUCT}>"), F.col("omitted_sections").cast(f"array<{_STRUCT}>"), "best")
 
 
 def compile_context(docs: DataFrame, tasks: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
@@ -134,15 +129,14 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.select("file_id", "name", token_count(F.col("markdown")).alias("raw_tokens"))
 
 
-def truncated(text: Column, most: Column, terms: Column) -> Column:
-    """struct<text, tokens>: a text in at most so many tokens, around terms if there are any; nulls where nothing useful is left."""
-
-    @F.pandas_udf("text string, tokens int")
-    def cut(texts: pd.Series, sizes: pd.Series, asked: pd.Series) -> pd.DataFrame:
-        rows = [truncate(t, count_tokens(t), int(n), list(q)) or (None, None) for t, n, q in zip(texts, sizes, asked, strict=True)]
-        return pd.DataFrame(rows, columns=["text", "tokens"]).astype({"tokens": "Int32"})
+def artifact_body(sections: Column) -> Column:
+    """What stands between an artifact's first lines and its manifest: sections (array of struct<breadcrumb, text>), a breadcrumb
+    where it changes."""
+    def one(s: Column, i: Column) -> Column:
+        same = F.get(sections, i - 1)["breadcrumb"].eqNullSafe(s["breadcrumb"]) & (i > 0)
+        return F.concat(F.when(same, "").otherwise(F.concat(F.lit("<!-- section: "), s["breadcrumb"], F.lit(" -->\n"))), s["text"], F.lit("\n\n"))
 
-    return cut(text, most, terms)
+    return F.array_join(F.transform(sections, one), "")
 
 
 def assembled(sections: DataFrame) -> DataFrame:
@@ -152,12 +146,7 @@ def assembled(sections: DataFrame) -> DataFrame:
     """
     listed = sections.groupBy("key", "name").agg(F.array_sort(F.collect_list(F.struct("ord", "breadcrumb", "text"))).alias("l"))
     head = F.concat(F.lit("<!-- Compiled context from: "), "name", F.lit(f" -->\n{NOTE}\n\n"))
-
-    def one(s: Column, i: Column) -> Column:
-        same = F.get("l", i - 1)["breadcrumb"].eqNullSafe(s["breadcrumb"]) & (i > 0)
-        return F.concat(F.when(same, "").otherwise(F.concat(F.lit("<!-- section: "), s["breadcrumb"], F.lit(" -->\n"))), s["text"], F.lit("\n\n"))
-
-    return listed.select("key", F.concat(head, F.array_join(F.transform("l", one), ""), F.lit(END)).alias("markdown"))
+    return listed.select("key", F.concat(head, artifact_body(F.col("l")), F.lit(END)).alias("markdown"))
 
 
 def parity_contexts(proved: DataFrame, docs: DataFrame, cap: int = 60_000) -> DataFrame:
@@ -183,7 +172,21 @@ def responses(compiled: DataFrame, texts: bool = False, price: float = PRICE_PER
     return out.select("task_id", F.to_json(F.struct(*[c for c in out.columns if c != "best"])).alias("json"))
 
 
-EXPANDED = "text string, tokens int, truncated boolean, query_miss boolean"
+def expanded(text: Column, tokens: Column, budget: Column, terms: Column) -> Column:
+    """struct<text, tokens, truncated, query_miss>: a section as it is, or cut to a budget around terms; query_miss where terms
+    that the whole section has in few lines are in none of what is left."""
+    asked = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.length(t) > 1)
+    holds = lambda x, ts: F.exists(ts, lambda t: F.contains(F.lower(x), t))
+
+    def judged(p: Column) -> Column:
+        lines = F.transform(F.split(text, "\n"), lambda x: F.lower(x))
+        few = lambda low: F.filter(asked, lambda t: F.size(F.filter(low, lambda x: F.contains(x, t))).between(1, 3))
+        rare = let(lines, lambda low: let(few(low), lambda r: F.when(F.size(r) > 0, r).otherwise(asked)))
+        miss = let(rare, lambda r: holds(text, r) & ~holds(p["text"], r))
+        return F.struct(p["text"].alias("text"), p["tokens"].alias("tokens"), F.lit(True).alias("truncated"), F.coalesce(p.isNotNull() & miss, F.lit(False)).alias("query_miss"))
+
+    whole = F.struct(text.alias("text"), tokens.cast("int").alias("tokens"), F.lit(False).alias("truncated"), F.lit(False).alias("query_miss"))
+    return F.when(text.isNull() | (tokens <= budget), whole).otherwise(let(cut(text, tokens, budget, terms), judged))
 
 
 def expand_sections(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -191,24 +194,9 @@ def expand_sections(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A section over the budget is cut, around the task's terms if there is a task.
     """
-
-    @F.pandas_udf(EXPANDED)
-    def cut(text: pd.Series, tokens: pd.Series, budget: pd.Series, task: pd.Series) -> pd.DataFrame:
-        def one(text, tokens, budget, task):
-            if text is None or tokens <= budget:
-                return text, tokens, False, False
-            terms = Q.query_terms(task) if task else []
-            part = truncate(text, int(tokens), int(budget), terms)
-            if part is None:
-                return None, None, True, False
-            rare = rare_terms(text, terms)
-            return part[0], part[1], True, bool(terms and found(text, rare) and not found(part[0], rare))
-
-        return pd.DataFrame([one(*r) for r in zip(text, tokens, budget, task, strict=True)], columns=["text", "tokens", "truncated", "query_miss"]).astype({"tokens": "Int32"})
-
     listed = chunks.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "breadcrumb", "tokens"))), lambda c: F.struct(c["id"].alias("id"), c["breadcrumb"].alias("section"), c["tokens"].alias("tokens"))).alias("outline"))
     matched = wanted.join(chunks.select("file_id", F.col("id").alias("section_id"), "breadcrumb", "text", "tokens"), ["file_id", "section_id"], "left")
-    done = matched.withColumn("x", cut("text", F.coalesce("tokens", F.lit(0)), "token_budget", "task"))
+    done = matched.withColumn("terms", Q.terms(F.col("task"))).withColumn("x", expanded(F.col("text"), F.coalesce("tokens", F.lit(0)), F.col("token_budget"), F.col("terms")))
     missing = F.when(F.col("breadcrumb").isNull(), F.concat(F.lit("No section with id '"), "section_id", F.lit("'"))).when(
         F.col("x.text").isNull(), F.concat(F.lit("Section '"), "section_id", F.lit("' needs at least "), "token_budget", F.lit(" tokens"))
     )
@@ -225,19 +213,11 @@ def prove_context(compiled: DataFrame, chunks: DataFrame, expanded: DataFrame, m
     asked = expanded.join(compiled.select("task_id", "file_id"), "task_id").select("task_id", "file_id", F.col("section_id").alias("id")).distinct().withColumn("asked", F.lit(True))
     both = chosen.join(asked, ["task_id", "file_id", "id"], "full").join(chunks.select("file_id", "id", "ord", "breadcrumb", "text", "tokens"), ["file_id", "id"])
     fresh = F.col("has").isNull() | (F.coalesce("asked", F.lit(False)) & F.col("cut"))
-
-    def put(pdf: pd.DataFrame) -> pd.DataFrame:
-        sections, applied, more = [], [], 0
-        for r in pdf.sort_values("ord").itertuples(index=False):
-            text, tokens = r.has, r.has_tokens
-            if r.fresh:
-                part = truncate(r.text, int(r.tokens), most)
-                if part:
-                    applied.append(r.id)
-                    more += max(0, content_count(part[0]) - (content_count(r.has) if r.has is not None else 0))
-                    text, tokens = part
-            if text is not None:
-                sections.append(Section(r.id, int(r.ord), r.breadcrumb, text, int(tokens)))
-        return pd.DataFrame([(pdf["task_id"].iloc[0], assemble(pdf["file_id"].iloc[0], sections), applied, more)], columns=["task_id", "markdown", "expanded_applied", "expand_content_tokens"])
-
-    return both.withColumn("fresh", fresh).groupBy("task_id").applyInPandas(put, "task_id string, markdown string, expanded_applied array<string>, expand_content_tokens int")
+    part = F.when(fresh, cut(F.col("text"), F.col("tokens"), F.lit(most), F.array().cast("array<string>")))
+    read = both.withColumn("part", part).withColumn("now", F.coalesce("part.text", "has"))
+    more = F.when(F.col("part").isNotNull(), F.greatest(F.lit(0), content_tokens(F.col("part.text")) - F.when(F.col("has").isNotNull(), content_tokens(F.col("has"))).otherwise(0)))
+    rows = read.select("task_id", "file_id", "ord", "id", "breadcrumb", F.col("now").alias("text"), F.col("part").isNotNull().alias("applied"), more.alias("more"))
+    kept = F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "breadcrumb", "text")))
+    out = rows.groupBy("task_id").agg(F.first("file_id").alias("name"), F.array_sort(kept).alias("l"), F.array_sort(F.collect_list(F.when(F.col("applied"), F.struct("ord", "id")))).alias("applied"), F.coalesce(F.sum("more"), F.lit(0)).cast("int").alias("expand_content_tokens"))
+    markdown = F.concat(F.lit("<!-- Compiled context from: "), "name", F.lit(f" -->\n{NOTE}\n\n"), artifact_body(F.col("l")), F.lit(END))
+    return out.select("task_id", markdown.alias("markdown"), F.transform("applied", lambda x: x["id"]).alias("expanded_applied"), "expand_content_tokens")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from loomspark.functions import query as Q
 from loomspark.functions import text as X
 from loomspark.functions import tokens as K
-from loomspark.operators import hints, ranking
+from loomspark.operators import hints, matching, ranking
+from loomspark.operators.sizes import cut
 from loomspark.operators.chunking import blocks, chunk_markdown, lines, outline, sections
 from loomspark.plans import compile as C
 from loomspark.sources.files import cache_rows, cache_swept, cache_valid, catalog, guard, html_to_markdown
@@ -284,9 +285,13 @@ def top_cluster(spark, sf_dir):
 
 
 def discriminative_terms(spark, sf_dir):
-    asked = benchmark_aspects(spark, sf_dir).groupBy("file_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
-    texts = document_chunks(spark, sf_dir).join(asked, "file_id")
-    return texts.select("file_id", "ord", F.array_join(ranking.discriminative(F.col("text"), F.col("terms")), ",").alias("terms"))
+    """Terms in one to three lines of a section; all that its file is asked for where there are none."""
+    chunks = document_chunks(spark, sf_dir)
+    asked = store(benchmark_aspects(spark, sf_dir).select("file_id", F.explode("terms").alias("term")).filter("length(term) > 1").distinct(), "asked")
+    few = matching.term_lines(chunks, asked).filter(F.col("lines") <= matching.MOST_LINES).groupBy("file_id", "ord").agg(F.array_sort(F.collect_list("term")).alias("rare"))
+    every = asked.groupBy("file_id").agg(F.array_sort(F.collect_list("term")).alias("every"))
+    out = chunks.select("file_id", "ord").join(every, "file_id").join(few, ["file_id", "ord"], "left")
+    return out.select("file_id", "ord", F.array_join(F.coalesce("rare", "every"), ",").alias("terms"))
 
 
 # --- selection -------------------------------------------------------------------------------------------------------
@@ -352,6 +357,12 @@ def _benchmark_tasks(spark, sf_dir):
     return store(aspects.join(tasks, ["task_id", "file_id"]), "aspects"), tasks.withColumns({"token_budget": F.lit(1_000_000), "name": F.lit("corpus")})
 
 
+def _folded(done: DataFrame, *more) -> DataFrame:
+    """The same of a selection as the fold gives it."""
+    picked = F.array_join(F.transform("selected", lambda x: F.concat(F.lit("s"), x["ord"])), ",").alias("selected")
+    return done.select("task_id", picked, F.col("used").alias("tokens_used"), F.col("stopped").alias("stopped_early"), (F.col("n_sections") - F.size("selected")).cast("int").alias("n_omitted"), *more)
+
+
 def _select(spark, sf_dir, forced: bool):
     chunks = document_chunks(spark, sf_dir)
     aspects, tasks = _benchmark_tasks(spark, sf_dir)
@@ -360,7 +371,7 @@ def _select(spark, sf_dir, forced: bool):
         # The section that ranks last for every second task.
         last = scored.groupBy("task_id").agg(F.max_by("ord", F.when(F.col("multi"), F.col("turn") * 1.0).otherwise(-F.col("score") + F.col("ord") / 1e9)).alias("ord"))
         tasks = tasks.join(last, "task_id").withColumn("forced", F.when(F.col("task_id").cast("long") % 2 == 0, F.array(F.concat(F.lit("s"), "ord")))).drop("ord")
-    return _selected(C.packed(scored, chunks, tasks)).withColumn("task_id", F.col("task_id").cast("long"))
+    return _folded(C.selections(scored, chunks, tasks)[1]).withColumn("task_id", F.col("task_id").cast("long"))
 
 
 def select_sections(spark, sf_dir):
@@ -383,18 +394,24 @@ def _vague(spark, sf_dir, budgets: tuple[int, ...]):
     tasks = store(asked.select("task_id", "file_id", F.lit("").alias("task"), "token_budget", F.lit("corpus").alias("name")), "tasks")
     scored = chunks.join(first, "file_id").join(tasks.select("file_id", "task_id"), "file_id").select(
         "task_id", "file_id", "ord", F.round(score, 6).alias("score"), F.lit(None).cast("int").alias("turn"), F.lit(None).cast("array<int>").alias("matched_queries"), F.lit(None).cast("array<string>").alias("best"), F.lit(False).alias("multi"))
-    return C.packed(scored, chunks, tasks)
+    return C.selections(scored, chunks, tasks)[1], chunks
 
 
 def select_vague(spark, sf_dir):
     """Of the sections on top of the ranking two at most; one where all scores are alike."""
-    return _selected(_vague(spark, sf_dir, (1_000_000,)))
+    return _folded(_vague(spark, sf_dir, (1_000_000,))[0])
 
 
 def select_partial(spark, sf_dir):
     """The same under ceilings that the best section mostly exceeds: what of it fits, and another only if it fits as well."""
-    cut = F.array_join(F.transform("selected_sections", lambda x: F.concat_ws(":", x["tokens"], F.coalesce(x["full_tokens"], F.lit(0)), F.md5(x["text"]))), ",").alias("parts")
-    return _selected(_vague(spark, sf_dir, (60, 150, 400, 900)), cut)
+    done, chunks = _vague(spark, sf_dir, (60, 150, 400, 900))
+    return _folded(done).join(_parts(done, chunks), "task_id", "left").withColumn("parts", F.coalesce("parts", F.lit("")))
+
+
+def _parts(done: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(task_id, parts): tokens, tokens of the whole section where it is cut, and hash of each text that is selected."""
+    part = F.concat_ws(":", "tokens", F.coalesce("full", F.lit(0)), F.md5("text"))
+    return C.selected_texts(done, chunks).groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", part.alias("p")))), lambda x: x["p"]), ",").alias("parts"))
 
 
 def truncate_prefix(spark, sf_dir):
@@ -410,7 +427,7 @@ def truncate_around(spark, sf_dir):
 
 
 def _cuts(rows: DataFrame) -> DataFrame:
-    part = C.truncated(F.col("text"), F.col("most"), F.col("terms"))
+    part = cut(F.col("text"), K.token_count(F.col("text")), F.col("most"), F.col("terms"))
     return rows.withColumn("x", part).select("doc_id", "most", F.col("x.tokens").alias("tokens"), F.md5("x.text").alias("text_md5"))
 
 
