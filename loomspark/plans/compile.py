@@ -42,7 +42,7 @@ def scored_sections(chunks: DataFrame, aspects: DataFrame) -> DataFrame:
     return out.join(multi.select("task_id", "multi"), "task_id")
 
 
-#: Lines of a manifest, and what else of the omitted sections can be among them.
+#: Lines of a manifest.
 MOST_LISTED = hints.MANIFEST_STEPS[0]
 
 
@@ -93,7 +93,7 @@ def packed(scored: DataFrame, chunks: DataFrame, tasks: DataFrame) -> DataFrame:
     span = id_span(hints.ids(F.col("omitted_sections")))
     first = F.get("called", F.lit(0))
     # The first of the ranking is told to be too large if it is left out, wouldn't fit alone, and nothing as good is in.
-    others = F.when(F.col("n_sections") > 1, utf16_length(hints.manifest(F.array(), F.col("n_sections") - 1, id_span(F.filter(F.transform("omitted_sections", lambda s: s["id"]), lambda i: i != first["id"])), 0)) + 1).otherwise(0)
+    others = F.when(F.col("n_sections") > 1, utf16_length(hints.manifest(F.array(), F.col("n_sections") - 1, id_span(F.filter(F.concat(hints.ids(F.col("selected_sections")), hints.ids(F.col("omitted_sections"))), lambda i: i != first["id"])), 0)) + 1).otherwise(0)
     alone = F.floor((header_length(F.col("name")) + first["size"]["cu"] + first["size"]["u"] + 2 + others + len(END)) / 4) <= F.col("budget")
     peer = (F.col("top") > 0) & F.coalesce(F.col("peak") >= F.col("top"), F.lit(False))
     shut = F.exists("omitted_sections", lambda s: s["id"] == first["id"]) & ~alone & ~peer
