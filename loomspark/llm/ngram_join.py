@@ -166,8 +166,9 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(_ONES[x ^ y].sum())
 
 
-#: The id goes through Python as text, so that nulls don't turn whole numbers into floats.
-SETS = "doc_id string, n long, node long, bitmap binary, shingle long, found long"
+#: The id goes through Python as text, so that nulls don't turn whole numbers into floats.  copy is a hash of the text, by which
+#: a class finds a text of its own, whatever the ids of its rows are.
+SETS = "doc_id string, copy long, n long, node long, bitmap binary, shingle long, found long"
 
 
 def sets_of(parts: Iterator[pd.DataFrame], p: Parameters) -> Iterator[pd.DataFrame]:
@@ -181,7 +182,7 @@ def sets_of(parts: Iterator[pd.DataFrame], p: Parameters) -> Iterator[pd.DataFra
             # Nullable integers from the start: through floats the hashes would lose bits.
             node = pd.array([xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63) if len(s) else None for s in sets], dtype="Int64")
             none = pd.array([None] * len(sets), dtype="Int64")
-            yield pd.DataFrame({"doc_id": list(part["doc_id"]), "n": [len(s) for s in sets], "node": node, "bitmap": [parity(s) if len(s) else None for s in sets], "shingle": none, "found": none}, columns=names)
+            yield pd.DataFrame({"doc_id": list(part["doc_id"]), "copy": part["copy"].to_numpy(np.int64), "n": [len(s) for s in sets], "node": node, "bitmap": [parity(s) if len(s) else None for s in sets], "shingle": none, "found": none}, columns=names)
             seen, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, _U), return_counts=True)
             many = n > 1
             for h, k in zip(seen[many].tolist(), n[many].tolist(), strict=True):
@@ -192,7 +193,7 @@ def sets_of(parts: Iterator[pd.DataFrame], p: Parameters) -> Iterator[pd.DataFra
     if counts:
         order = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: p.most_frequent]
         none = pd.array([None] * len(order), dtype="Int64")
-        yield pd.DataFrame({"doc_id": None, "n": 0, "node": none, "bitmap": None, "shingle": pd.array([h - (1 << 63) for h, _ in order], dtype="Int64"), "found": pd.array([k for _, k in order], dtype="Int64")}, columns=names)
+        yield pd.DataFrame({"doc_id": None, "copy": 0, "n": 0, "node": none, "bitmap": None, "shingle": pd.array([h - (1 << 63) for h, _ in order], dtype="Int64"), "found": pd.array([k for _, k in order], dtype="Int64")}, columns=names)
     counts.clear()
     release_memory()
 
@@ -356,7 +357,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Paramete
 
     left = store(sized.filter(may_link("n_a", "n_b", "m_a", "m_b")).select("a", "b", "rep_a", "rep_b"), "pairs")
     ids = checked_broadcast(left.select(F.col("rep_a").alias("rep")).union(left.select("rep_b")).distinct(), p.most_broadcast)
-    texts = store(docs.join(ids, docs["doc_id"] == ids["rep"]).groupBy("rep").agg(F.collect_set("text").alias("texts")), "texts")
+    texts = store(docs.join(ids, F.xxhash64(docs["text"]) == ids["rep"]).groupBy("rep").agg(F.array_min(F.collect_set("text")).alias("text")), "texts")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -378,13 +379,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Paramete
             o = len(s & t)
             return 100 * o >= p.percent * (len(s) + len(t) - o)
 
-        return pd.Series([any(one(x, y) for x in xs for y in ys) for xs, ys in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     def with_text(pairs: DataFrame, x: str, other: str) -> DataFrame:
         """pairs with the text of one side; a set with very many pairs is dealt out in lots, each with a copy of its text."""
         rep, lot = f"rep_{x}", f"lot_{x}"
         lots = checked_broadcast(left.groupBy(rep).agg(F.ceil(F.count("*") / p.hot).alias("lots")).filter("lots > 1"), p.most_broadcast)
-        text = texts.select(F.col("rep").alias(rep), F.col("texts").alias(f"t_{x}")).join(lots, rep, "left")
+        text = texts.select(F.col("rep").alias(rep), F.col("text").alias(f"t_{x}")).join(lots, rep, "left")
         text = text.withColumn(lot, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1).cast("long")) - 1))).drop("lots")
         dealt = pairs.join(lots, rep, "left").withColumn(lot, F.coalesce(F.pmod(F.xxhash64(other), F.col("lots")), F.lit(0).cast("long"))).drop("lots")
         return dealt.join(text, [rep, lot]).drop(lot)
@@ -513,16 +514,17 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: P
 
     Sets are compared by 64-bit hashes until the last step, which compares shingles.  A null, empty or blank text has no
     shingle and is linked with nothing; fewer than five words are one shingle.  Rows that repeat, even under one doc_id,
-    are copies and stay; a null doc_id is left out of the minimum.  Other columns don't matter.
+    are copies and stay; different texts under one doc_id, or under none, are linked by what each of them holds.  A null doc_id is
+    left out of the minimum, but its links count.  Other columns don't matter.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
     sets = store(named.mapInPandas(lambda parts: sets_of(parts, p), SETS).withColumn("doc_id", F.col("doc_id").cast(kind)), "sets")
     rows = sets.filter("shingle is null")
-    classes = store(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "classes")
+    classes = store(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("copy").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "classes")
     often = sets.filter("shingle is not null").groupBy("shingle").agg(F.sum("found").alias("found")).filter(F.col("found") >= p.frequent)
     hot = most_frequent(often, "found", p.most_frequent).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
     frequent = Frequent(hot.view(_U) + _U(1 << 63) if len(hot) else np.zeros(0, _U))
@@ -556,8 +558,8 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: P
             if not new.isEmpty():
                 drop_stored(spark, labels)
                 labels = components(reduce(DataFrame.union, linked))
-    reached = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = reached.groupBy("label").agg(F.min("rep").alias("component_id"))
+    reached = classes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = reached.groupBy("label").agg(F.min("least").alias("component_id"))
     of = reached.join(smallest, "label").select("node", "component_id")
     out = rows.join(of, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

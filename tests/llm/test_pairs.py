@@ -75,6 +75,22 @@ def test_ngram_join_on_odd_tables(spark):
     assert sorted((r.doc_id, r.lang) for r in near_duplicates(twice).collect()) == [(3, "x"), (4, "y"), (5, "z")]
 
 
+def test_links_by_each_rows_own_text(spark):
+    """A row without an id links two others; an id with two texts is linked by each of them."""
+    a = text(40)
+    w = a.split()
+    new = ["xa", "xb", "xc", "xd"]
+    b = " ".join([*w[:36], *new])
+    c = " ".join([*reversed(new), *w[4:36], *new])
+    assert 100 * len(exact_shingles(a) & exact_shingles(c)) < 75 * len(exact_shingles(a) | exact_shingles(c))
+    got = ngram_join(spark.createDataFrame([(5, a), (None, b), (9, c)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (None, 5), (9, 5)}
+    other, alone = text(30), text(25)
+    rows = [(1, a), (1, other), (2, b), (3, other + " q"), (4, alone), (None, alone + " q"), (None, text(12))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(1, 36, 1), (1, 26, 1), (2, 36, 1), (3, 27, 1), (4, 21, 4), (None, 22, 4), (None, 8, None)], key=repr)
+
+
 def test_bitmaps_bound_the_difference():
     for _ in range(50):
         a, b = shingles(text(R.randint(1, 900))), shingles(text(R.randint(1, 900)))
