@@ -31,8 +31,10 @@ class Parameters:
     #: the text, and of a language with fewer than its share all.
     most_documents: int = 12_000
     longest_ngram: int = 4
-    #: A word, or an n-gram of a distinct word, counts as seen from so many on.
+    #: A word, or an n-gram of a distinct word, counts as seen from so many on; of a language with fewer such words than
+    #: few_words every word counts, so that none is lost.
     least_count: int = 2
+    few_words: int = 1
     smooth: float = 0.5
 
 
@@ -112,10 +114,14 @@ def word_counts(rows: DataFrame, most_held: int = 200_000) -> DataFrame:
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", p: Parameters = Parameters()) -> Model:
-    """A model of every language that labels a row; Spark counts the sample's words, and those seen often enough come to the driver."""
+    """A model of every language that labels a row with a word; Spark counts the sample's words, and those seen often enough, or
+    all of a language with few, come to the driver."""
     rows = store(sample(docs, lang, text, p), "sample")
-    found = word_counts(rows).filter(F.col("n") >= p.least_count).toPandas()
-    drop_stored(docs.sparkSession, rows)
+    counts = store(word_counts(rows), "word-counts")
+    # One row a language that occurs.
+    seen = counts.groupBy("lang").agg(F.sum((F.col("n") >= p.least_count).cast("long")).alias("seen"))
+    found = counts.join(F.broadcast(seen), "lang").filter((F.col("n") >= p.least_count) | (F.col("seen") < p.few_words)).select("lang", "word", "n").toPandas()
+    drop_stored(docs.sparkSession, rows, counts)
     languages = sorted(found["lang"].unique())
     place = {x: i for i, x in enumerate(languages)}
     words: dict[str, dict[int, int]] = defaultdict(dict)
