@@ -35,9 +35,10 @@ PRE_TOKEN = re.compile(
 
 @dataclass(frozen=True)
 class Parameters:
-    #: Pre-tokens that every task knows, and their greatest length.
+    #: Pre-tokens that every task knows: so many of up to 64 characters, and of longer ones as many as are this many bytes.
     most_known: int = 200_000
     longest_known: int = 64
+    long_bytes: int = 16_000_000
     #: What a task keeps of distinct pre-tokens, and of texts, at once: pre-tokens and characters.
     most_held: int = 200_000
     most_chars: int = 2_000_000
@@ -134,7 +135,18 @@ def token_counts(docs: DataFrame, path: str = "byte_bpe_50k.json", limit: int =
     spark = docs.sparkSession
     small_batches(spark)
     pieces = piece_table(docs, path, text, p)
-    known = most_frequent(pieces.filter(F.length("piece") <= p.longest_known), "runs", p.most_known).select("piece", "n").toArrow()
+    # Long ones in steps of doubled length, so that a few very long ones don't keep out what is as frequent.
+    size = F.length("piece")
+    tiers = [(p.longest_known, p.most_known)]
+    while tiers[-1][0] < p.long_bytes // 64:
+        tiers.append((2 * tiers[-1][0], p.long_bytes // (128 * tiers[-1][0])))
+    lengths = {r.k for r in pieces.select(F.ceil(F.log2(F.greatest(size, F.lit(p.longest_known)) / p.longest_known)).alias("k")).distinct().collect()}
+    known = pieces.filter(F.lit(False)).select("piece", "n")
+    for k, (most, n) in enumerate(tiers):
+        if k in lengths:
+            least = tiers[k - 1][0] if k else -1
+            known = known.unionByName(most_frequent(pieces.filter((size > least) & (size <= most)), "runs", n).select("piece", "n"))
+    known = known.toArrow()
     shared = spark.sparkContext.broadcast(dict(zip(known["piece"].to_pylist(), known["n"].to_pylist(), strict=True)))
 
     @F.pandas_udf("n long, others array<struct<piece:string,f:long>>")

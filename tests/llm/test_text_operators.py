@@ -74,6 +74,17 @@ def test_token_counts(odd, p):
     assert token_counts(odd.limit(0)).count() == 0
 
 
+def test_frequent_long_pieces_are_known(spark):
+    """Rulers and encoded data over 64 characters, in most of the texts, are counted like the library does, whatever is known."""
+    tokenizer = load("byte_bpe_50k.json")
+    ruler, data = "=" * 500, "QUJD" * 900
+    rows = [(i, f"{ruler} {i} {data if i % 3 else ''} tail" + "y" * (70 + i % 7)) for i in range(60)]
+    want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    for p in (CountParameters(), CountParameters(long_bytes=30_000), CountParameters(most_known=2, long_bytes=0)):
+        got = token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), p=p)
+        assert {r.doc_id: r.n_tokens for r in got.collect()} == want
+
+
 def test_pre_tokens_keep_the_library_counts():
     tokenizer, r = load("byte_bpe_50k.json"), np.random.default_rng(3)
     parts = ["a", "Don't", "it's,", "...", "x.", ",,", "é", "ﬁn.", "你好,", "12.5,", "#,", "\n", "  ", "\t", "\u3000", "ab!?", "'s", "'", "_x_.", "!", "<|endoftext|>", "\u0301"]
@@ -149,6 +160,12 @@ def test_ids_equal_the_library():
     assert ids.of(texts) == [np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_language_whose_words_are_seen_once(spark):
+    train = spark.createDataFrame([("the cat sat on the mat and the dog ran to the cat", "en"), ("zyxo quarp blivet", "xx")], "text string, lang string")
+    rows = spark.createDataFrame([(1, "zyxo quarp blivet"), (2, "the cat and the dog"), (3, "quarpo blive")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id(rows, train).collect()} == {1: "xx", 2: "en", 3: "xx"}
+
+
 def test_language_id(spark, odd):
     train = spark.createDataFrame([(i, t, lang) for i in range(4) for t, lang in (("the cat and the dog", "en"), ("der hund und die katze", "de"), ("nothing", None), (None, "fr"))], "doc_id long, text string, lang string")
     rows = spark.createDataFrame([(1, "the dog"), (2, "die Hunde"), (3, None), (4, "123 ..."), (5, ""), (6, "the dog"), (7, "katzen " * 5000)], "doc_id long, text string")
