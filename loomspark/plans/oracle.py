@@ -332,6 +332,18 @@ ORACLE = {
         u AS (SELECT *, row_number() OVER (PARTITION BY handle, stored ORDER BY ts) AS k FROM s WHERE kind = 'use'),
         x AS (SELECT handle, ts, CASE WHEN stored IS NOT NULL AND k = 1 AND ts - stored <= INTERVAL 2 DAY THEN 'ok' ELSE 'gone' END AS outcome FROM u)
         SELECT handle, outcome, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM x GROUP BY ALL""",
+    "one_shot_bounded": """WITH RECURSIVE e AS (SELECT user_id % 7 AS pool, user_id % 100 AS handle, CASE event_type WHEN 'purchase' THEN 'store' WHEN 'click' THEN 'use' END AS kind, ts + to_seconds(event_id % 60) AS ts FROM events),
+        o AS (SELECT pool, handle, ts, min(kind) AS kind FROM e WHERE kind IS NOT NULL GROUP BY ALL),
+        n AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY ts, kind, handle) AS i FROM o),
+        w AS (SELECT pool, 0::BIGINT AS i, []::STRUCT(h BIGINT, t TIMESTAMP)[] AS held, NULL::BIGINT AS handle, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS outcome FROM (SELECT DISTINCT pool FROM o)
+          UNION ALL SELECT pool, i, CASE kind WHEN 'store' THEN list_append(live[greatest(1, len(live) - 8):], {'h': handle, 't': ts}) ELSE list_filter(held, lambda x: x.h <> handle) END, handle, ts,
+            CASE WHEN kind = 'use' THEN CASE WHEN len(list_filter(held, lambda x: x.h = handle AND ts - x.t <= INTERVAL 2 DAY)) > 0 THEN 'ok' ELSE 'gone' END END
+          FROM (SELECT n.*, held, list_filter(held, lambda x: x.h <> n.handle AND n.ts - x.t <= INTERVAL 2 DAY) AS live FROM w JOIN n ON n.pool = w.pool AND n.i = w.i + 1))
+        SELECT pool, handle, outcome, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM w WHERE outcome IS NOT NULL GROUP BY ALL""",
+    "handle_look_ups": """WITH s AS (SELECT user_id % 100 AS handle, ts, max(event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+        u AS (SELECT event_id, user_id % 100 AS handle, ts FROM events WHERE event_type = 'click'),
+        j AS (SELECT u.*, s.value, epoch_us(u.ts) - epoch_us(s.ts) AS us FROM u ASOF LEFT JOIN s ON u.handle = s.handle AND u.ts >= s.ts)
+        SELECT event_id, handle, coalesce(us <= 21600000000, false) AS found, CASE WHEN us <= 21600000000 THEN round(us / 1e6, 3) END AS age, CASE WHEN us <= 21600000000 THEN value END AS value FROM j""",
     "workspace_states": _WORKSPACE + """ SELECT session, task, budget, file, sample_key, compiled_task, compiled_budget, source, expanded, saved_tokens, round(saved_usd, 4) AS saved_usd, intent, note, hydrated, revision FROM ws""",
     "workspace_status": _WORKSPACE + """, st AS (SELECT *, compiled_task IS NOT NULL AND compiled_task <> task AS q, compiled_task IS NOT NULL AND compiled_budget <> budget AS b FROM ws)
         SELECT session, q AS question_stale, b AS budget_stale, q OR b AS prove_stale, q AS agent_stale, file IS NULL AS source_unavailable, file IS NOT NULL AND length(task) % 2 = 0 AND revision % 5 <> 0 AS compile_available FROM st""",

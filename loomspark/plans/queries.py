@@ -595,6 +595,26 @@ def one_shot(spark, sf_dir):
     return out.groupBy("handle", "outcome").agg(F.count("*").alias("n"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
+def _handles(spark, sf_dir):
+    """Events as stores (purchases) and uses (clicks) of handles."""
+    kind = F.when(F.col("event_type") == "purchase", "store").when(F.col("event_type") == "click", "use")
+    return read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 100).alias("handle"), (F.col("user_id") % 7).alias("pool"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts")).filter("kind is not null")
+
+
+def one_shot_bounded(spark, sf_dir):
+    """Seven pools that hold ten handles each: newer ones push older ones out."""
+    rows = _handles(spark, sf_dir).select("pool", "handle", (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 60).cast("decimal(18,6)"))).alias("ts"), "kind")
+    once = rows.groupBy("pool", "handle", "ts").agg(F.min("kind").alias("kind"))
+    out = S.one_shot(once, most=10, seconds=2 * 86400, pool="pool")
+    return out.groupBy("pool", "handle", "outcome").agg(F.count("*").alias("n"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+def handle_look_ups(spark, sf_dir):
+    """Each click looks its handle up: whether the last purchase was stored within six hours, how old it is, and which it was."""
+    rows = _handles(spark, sf_dir).drop("pool").withColumn("value", F.col("event_id"))
+    return S.look_ups(rows, 6 * 3600).select("event_id", "handle", "found", F.round("age", 3).alias("age"), "value")
+
+
 WORKSPACE_TYPES = ("WORKSPACE_HYDRATED", "DOCUMENT_SELECTED", "DOCUMENT_RESTORED", "TASK_CHANGED", "BUDGET_CHANGED", "PRESETS_CHANGED", "DOC_SIZE_NOTE_CHANGED", "COMPILE_SUCCEEDED", "COMPILE_CLEARED", "COMPILE_FAILED",
                    "PROVE_INCLUDE_CHANGED", "PROVE_INCLUDE_CHANGED", "PROVE_INCLUDE_CHANGED", "PROVE_INCLUDE_CLEARED", "RUN_INTENT_CREATED", "RUN_INTENT_CLAIMED", "COMPILE_SUCCEEDED", "TASK_CHANGED", "PROVE_INCLUDE_CHANGED")
 
@@ -649,7 +669,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     bm25_single, token_count, content_tokens, clamp_budget, token_savings, tokenize_freq, light_stem, cjk_ngrams, arabic_terms, budget_presets, packaging_note, settings, query_terms, split_aspects, name_intent, names_and_ids, section_labels, chunk_conversations, chunk_oversize, full_markdown, sample_catalog, section_outline, block_split,
     html_markdown, bm25_heading_boost, per_query_norm, multi_score, relevance_pct, topk_sections, best_id, attribution, round_robin, score_shape, relevance_floor, top_cluster, discriminative_terms,
     next_hint, bound_hint, omit_buckets, compile_hints, omitted_sections, select_sections, select_forced, select_vague, select_partial, truncate_prefix, truncate_around, assemble_files, manifest_lines,
-    compile_context, compile_tight, expand_section, expand_query, prove_context, parity_contexts, responses, measure, recall_at_budget, pack_matrix, cache_lookup, cache_damage, upload_guard, dedupe_by_hash, rate_limit, one_shot, workspace_states, workspace_status,
+    compile_context, compile_tight, expand_section, expand_query, prove_context, parity_contexts, responses, measure, recall_at_budget, pack_matrix, cache_lookup, cache_damage, upload_guard, dedupe_by_hash, rate_limit, one_shot, one_shot_bounded, handle_look_ups, workspace_states, workspace_status,
     request_costs, counters, session_totals, live_handles, event_windows,
 )}
 

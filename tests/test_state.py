@@ -33,6 +33,73 @@ def test_one_shot_bound_counts_what_is_held(spark):
     assert T.one_shot(frame.limit(0)).count() == 0
 
 
+def plain_one_shot(rows, most, seconds):
+    """One walk over all events of a pool."""
+    held, out = {}, []
+    for h, kind, t in sorted(rows, key=lambda x: (x[2], x[1], x[0])):
+        if kind == "store":
+            held = {k: v for k, v in held.items() if t - v <= timedelta(seconds=seconds) and k != h}
+            while len(held) >= most:
+                del held[min(held, key=held.__getitem__)]
+            held[h] = t
+        else:
+            at_ = held.pop(h, None)
+            out.append((h, t, "ok" if at_ is not None and t - at_ <= timedelta(seconds=seconds) else "gone"))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("most", "seconds", "handles"), [(3, 600, 12), (1, 90, 4), (8, 2000, 30), (1000, 100, 5)])
+def test_one_shot_in_slices_equals_one_walk(spark, most, seconds, handles):
+    """Entries that are used make room, bursts push others out, and slices begin in the middle of it."""
+    r = random.Random(most)
+    pools = {p: [(f"h{r.randrange(handles)}", r.choice(("store", "store", "use")), T0 + timedelta(seconds=r.randrange(3000) if r.random() < 0.8 else 1500 + r.randrange(40))) for _ in range(400)] for p in "pq"}
+    frame = spark.createDataFrame([(*e, p) for p, es in pools.items() for e in set(es)], "handle string, kind string, ts timestamp, pool string")
+    got = T.one_shot(frame, most, seconds, pool="pool", slice_rows=45).collect()
+    for p, es in pools.items():
+        assert sorted((x.handle, x.ts, x.outcome) for x in got if x.pool == p) == plain_one_shot(set(es), most, seconds)
+    one = T.one_shot(frame.filter("pool = 'p'").drop("pool"), most, seconds, slice_rows=45).collect()
+    assert sorted((x.handle, x.ts, x.outcome) for x in one) == plain_one_shot(set(pools["p"]), most, seconds)
+
+
+def test_look_ups_as_of_their_time(spark):
+    r = random.Random(3)
+    rows = [(i, f"h{r.randrange(4) if r.random() < 0.7 else 0}", r.choice(("store", "use")), r.choice(("v", "w")), T0 + timedelta(seconds=r.randrange(4000))) for i in range(600)]
+    rows.append((600, "none", "use", "x", at(1)))
+    got = {x.id: (x.found, x.age, x.value) for x in T.look_ups(spark.createDataFrame(rows, "id int, handle string, kind string, value string, ts timestamp"), 300).collect()}
+    stores = [x for x in rows if x[2] == "store"]
+    for i, h, kind, _, t in rows:
+        if kind == "use":
+            last = max(((s[4], s[3]) for s in stores if s[1] == h and s[4] <= t), default=None)
+            age = (t - last[0]).total_seconds() if last else None
+            assert got[i] == ((True, age, last[1]) if last and age <= 300 else (False, None, None))
+    assert len(got) == sum(x[2] == "use" for x in rows) and T.look_ups(spark.createDataFrame(rows[:0], "id int, handle string, kind string, value string, ts timestamp"), 300).count() == 0
+
+
+def streamed(spark, tmp_path, name, frame, make):
+    """What a stream gives of a table in two runs, the second from the checkpoint of the first."""
+    rows = frame.orderBy("ts").collect()
+    for k, part in enumerate((rows[: len(rows) // 2], rows[len(rows) // 2 :])):
+        spark.createDataFrame(part, frame.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = make(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120), k
+    return spark.read.parquet(str(tmp_path / "out")).collect()
+
+
+def test_streams_equal_batches_over_a_restart(spark, tmp_path):
+    r = random.Random(9)
+    asked = spark.createDataFrame([(f"k{r.randrange(3)}", T0 + timedelta(seconds=i), r.choice(("/api/agent", "/api/answer", "/api/compile"))) for i in range(200)], "key string, ts timestamp, route string")
+    got = streamed(spark, tmp_path / "rate", "rate", asked, lambda x: T.rate_limit_stream(x, 20, 30))
+    want = T.rate_limit(asked, 20, 30).collect()
+    assert sorted((x.key, x.ts, x.allowed, x.used) for x in got) == sorted((x.key, x.ts, x.allowed, x.used) for x in want)
+    assert {x.allowed for x in want} == {True, False}
+    events = spark.createDataFrame([(r.choice("pq"), f"h{r.randrange(9)}", r.choice(("store", "use")), T0 + timedelta(seconds=i)) for i in range(300)], "pool string, handle string, kind string, ts timestamp")
+    got = streamed(spark, tmp_path / "once", "once", events, lambda x: T.one_shot_stream(x, 4, 60))
+    want = T.one_shot(events, 4, 60, pool="pool").collect()
+    assert sorted((x.pool, x.handle, x.ts, x.outcome) for x in got) == sorted((x.pool, x.handle, x.ts, x.outcome) for x in want)
+    assert {x.outcome for x in want} == {"ok", "gone"}
+
+
 def test_keys_are_bounded_by_their_first_coming():
     m = T.BoundedKeys(2)
     for k in "abac":
