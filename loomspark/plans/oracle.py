@@ -146,6 +146,45 @@ fo AS (SELECT file_id, budget::INT AS budget, 0::BIGINT AS i, []::STRUCT(ord BIG
 _VAGUE_OUT = f""" SELECT file_id || '@' || budget AS task_id, array_to_string(list_transform(sel, lambda x: 's' || x.ord), ',') AS selected,
   {_METER.format("(" + _OPEN.format("'corpus'") + " || array_to_string(list_transform(sel, lambda x, j: CASE WHEN j > 1 AND sel[j - 1].breadcrumb = x.breadcrumb THEN '' ELSE '<!-- s -->' || chr(10) END || x.text || chr(10) || chr(10)), '') || " + _END + ")")} AS tokens_used, st AS stopped_early, (n - len(sel))::INT AS n_omitted @MORE@
   FROM fo JOIN (SELECT DISTINCT file_id, n FROM rk) r USING (file_id) WHERE i = n"""
+
+
+def _artifact(sections: str, name: str) -> str:
+    """The artifact of a list of sections in the order of the file."""
+    return "(" + _OPEN.format(name) + f" || array_to_string(list_transform({sections}, lambda x, j: CASE WHEN j > 1 AND ({sections})[j - 1].breadcrumb = x.breadcrumb THEN '' ELSE '<!-- s -->' || chr(10) END || x.text || chr(10) || chr(10)), '') || " + _END + ")"
+
+
+def _tight(budgets: str) -> str:
+    """Selections of tasks of several aspects under ceilings that bind, over sections of one line each."""
+    flat = _CHUNKS.replace("breadcrumb, text,", "breadcrumb, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS text,").replace("length(text) // 4", "length(regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g')) // 4")
+    facts = _fold(f"WITH {flat}, {_ASPECTS}", "'corpus'", 6).split(",\nfo AS (")[0]
+    serves = "len(list_intersect(op, list_concat({0}.near, {0}.bestfor))) > 0"
+    gains = "(" + serves + " OR (len(op) = 0 AND len(list_filter({0}.rare, lambda t: NOT list_contains(cov, t))) > 0))"
+    with_ = lambda x: f"list_sort(list_append(sel, {x}))"
+    entry = lambda text, tokens, full: f"{{'ord': c.ord, 'breadcrumb': c.breadcrumb, 'text': {text}, 'tokens': {tokens}, 'full_': {full}}}"
+    rival = "{'ord': x.ord, 'breadcrumb': x.breadcrumb, 'text': x.text, 'tokens': x.tokens, 'full_': NULL::INT}"
+    body = "CASE WHEN len(list_filter(terms, lambda t: contains(lower(c.text), t))) > 0 THEN c.text ELSE " + _head("c.text", "c.tokens", "part") + " END"
+    return facts + f""",
+tt AS (SELECT task_id, list(t) FILTER (length(t) > 1) AS terms FROM tw GROUP BY task_id),
+lists AS (SELECT fs.task_id, any_value(top) AS top, list({{'pos': pos, 'ord': fs.ord, 'breadcrumb': ch.breadcrumb, 'text': ch.text, 'tokens': ch.tokens, 'score': score, 'near': near, 'bestfor': bestfor, 'rare': rare, 'want': want}} ORDER BY pos) AS cands
+  FROM fs JOIN (SELECT DISTINCT task_id, file_id FROM rk) k USING (task_id) JOIN ch ON ch.file_id = k.file_id AND ch.ord = fs.ord GROUP BY fs.task_id),
+fo AS (SELECT task_id, budget::INT AS budget, 0::BIGINT AS i, []::STRUCT(ord BIGINT, breadcrumb VARCHAR, text VARCHAR, tokens INT, full_ INT)[] AS sel, 0::BIGINT AS used, false AS cut, op0::BIGINT[] AS op, []::VARCHAR[] AS cov, false AS st FROM tg, (VALUES {budgets}) b(budget) WHERE multi
+  UNION ALL SELECT task_id, budget, i + 1, CASE WHEN put THEN {with_('new')} ELSE sel END, CASE WHEN put THEN used + new.tokens ELSE used END, cut OR (put AND new.full_ IS NOT NULL),
+    CASE WHEN put THEN list_filter(op, lambda q: NOT list_contains(c.bestfor, q)) ELSE op END,
+    CASE WHEN put THEN list_distinct(list_concat(cov, CASE WHEN new.full_ IS NULL THEN c.want ELSE list_filter(wanted, lambda t: contains(lower(new.text), t)) END)) ELSE cov END, st OR mark
+  FROM (SELECT *, coalesce(new IS NOT NULL AND {_METER.format(_artifact(with_('new'), "'corpus'"))} <= budget, false) AS put
+    FROM (SELECT *, CASE WHEN refused THEN NULL WHEN fits THEN {entry('c.text', 'c.tokens', 'NULL::INT')} WHEN (cut AND NOT serves) OR better OR part < 40 THEN NULL
+        ELSE (SELECT CASE WHEN k IS NULL THEN NULL ELSE {entry('k.text', 'k.tokens', 'c.tokens')} END FROM (SELECT {_cut(body, 'c.text', 'c.tokens', 'part')} AS k)) END AS new
+      FROM (SELECT *, coalesce(whole IS NOT NULL AND len(list_filter(c.near, lambda q: NOT list_contains(whole.near, q))) = 0, false) AS better, (budget - used - coalesce(rivals[1].tokens, 0))::INT AS part
+        FROM (SELECT *, list_filter(rivals, lambda x: {_METER.format(_artifact(with_(rival), "'corpus'").replace('lambda x, j: CASE WHEN j > 1', 'lambda y, j: CASE WHEN j > 1').replace('.breadcrumb = x.breadcrumb', '.breadcrumb = y.breadcrumb').replace('END || x.text', 'END || y.text'))} <= budget)[1] AS whole
+          FROM (SELECT *, CASE WHEN refused OR fits OR (cut AND NOT serves) THEN [] ELSE list_filter(later, lambda x: used + x.tokens <= budget AND (top <= 0 OR x.score >= 0.4 * top) AND {gains.format('x')} AND ((len(op) > 0 AND {serves.format('x')} AND NOT serves) OR x.score >= c.score)) END AS rivals
+            FROM (SELECT *, zero OR enough OR NOT gains OR NOT relevant AS refused, CASE WHEN zero THEN fits ELSE (enough OR NOT gains) AND len(sel) > 0 AND fits END AS mark
+              FROM (SELECT *, len(sel) > 0 AND top > 0 AND c.score <= 0 AS zero, top <= 0 OR c.score >= 0.4 * top AS relevant, len(sel) > 0 AND len(op) = 0 AND len(list_filter(wanted, lambda t: NOT list_contains(cov, t))) = 0 AS enough,
+                  {serves.format('c')} AS serves, {gains.format('c')} AS gains, used + c.tokens <= budget AS fits
+                FROM (SELECT f.*, lists.cands[i + 1] AS c, lists.cands[i + 2:] AS later, lists.top, tg.wanted, coalesce(tt.terms, []) AS terms FROM fo f JOIN lists ON lists.task_id = f.task_id AND f.i < len(lists.cands) JOIN tg ON tg.task_id = f.task_id LEFT JOIN tt ON tt.task_id = f.task_id)))))))))
+SELECT fo.task_id || '@' || budget AS task_id, array_to_string(list_transform(sel, lambda x: 's' || x.ord), ',') AS selected, {_METER.format(_artifact('sel', "'corpus'"))} AS tokens_used, st AS stopped_early, (len(cands) - len(sel))::INT AS n_omitted,
+  array_to_string(list_transform(sel, lambda x: x.tokens || ':' || coalesce(x.full_, 0) || ':' || md5(x.text)), ',') AS parts FROM fo JOIN lists USING (task_id) WHERE i = len(cands)"""
+
+
 _QUESTIONS = f"""cq AS (SELECT 'conv' || conv_id AS file_id, regexp_extract_all(lower(coalesce(arg_max(text, turn), '')), '[a-z]{{5,}}') AS w FROM conversations GROUP BY conv_id),
 asp AS (SELECT file_id AS task_id, file_id, qi, list_filter({_tokens('query')}, lambda t: length(t) > 1 AND t NOT IN ({_STOP})) AS terms
   FROM (SELECT file_id, 0 AS qi, 'What about ' || array_to_string(w[1:4], ' ') || '?' AS query FROM cq UNION ALL SELECT file_id, 1, 'Where is ' || array_to_string(w[-4:], ' ') || '?' FROM cq))"""
@@ -273,6 +312,7 @@ ORACLE = {
         SELECT 'conv' || conv_id AS file_id, 'conv' || conv_id || '.md' AS name, {_COUNT.format('md')} AS raw_tokens FROM m""",
     "select_sections": _fold(f"WITH {_CHUNKS}, {_ASPECTS}", "'corpus'", 6) + _SELECT,
     "select_forced": _fold(f"WITH {_CHUNKS}, {_ASPECTS}", "'corpus'", 6, "pos = n - 1 AND task_id % 2 = 0") + _SELECT,
+    "select_tight": _tight("(70), (250), (600), (1500)"),
     "select_vague": _VAGUE.replace("@BUDGETS@", "(1000000)") + _VAGUE_OUT.replace("@MORE@", ""),
     "select_partial": _VAGUE.replace("@BUDGETS@", "(60), (150), (400), (900)") + _VAGUE_OUT.replace("@MORE@", ", array_to_string(list_transform(sel, lambda x: x.tokens || ':' || coalesce(x.full_, 0) || ':' || md5(x.text)), ',') AS parts"),
     "truncate_prefix": f"""SELECT doc_id, most, c.tokens AS tokens, md5(c.text) AS text_md5 FROM (SELECT doc_id, most, {_cut(_head('text', 'full_', 'most'), 'text', 'full_', 'most')} AS c

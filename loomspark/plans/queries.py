@@ -384,6 +384,19 @@ def select_forced(spark, sf_dir):
     return _select(spark, sf_dir, True)
 
 
+def select_tight(spark, sf_dir):
+    """Tasks of several aspects under ceilings that bind: parts of needed sections, later whole ones in their place, an end of room.  Each section is one line."""
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")
+    chunks = document_chunks(spark, sf_dir).withColumn("text", flat).withColumn("tokens", K.token_count(F.col("text")))
+    aspects, tasks = _benchmark_tasks(spark, sf_dir)
+    scored = store(C.scored_sections(chunks, aspects).withColumn("score", F.round("score", 6)).filter("multi"), "scored")
+    ceilings = F.explode(F.array(*map(F.lit, (70, 250, 600, 1500)))).alias("token_budget")
+    named = lambda df: df.withColumn("task_id", F.concat_ws("@", "task_id", "token_budget"))
+    asked = named(tasks.drop("token_budget").select("*", ceilings))
+    done, _ = C.selections(named(scored.select("*", ceilings)).drop("token_budget"), chunks, asked)[::-1]
+    return _folded(done).join(_parts(done, chunks), "task_id", "left").withColumn("parts", F.coalesce("parts", F.lit("")))
+
+
 def _vague(spark, sf_dir, budgets: tuple[int, ...]):
     """Tasks that say nothing, one a file and budget; scores come from the sections' numbers: all alike in every third file, one on top in the next, seven steps else."""
     chunks = document_chunks(spark, sf_dir)
@@ -668,7 +681,7 @@ def event_windows(spark, sf_dir):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     bm25_single, token_count, content_tokens, clamp_budget, token_savings, tokenize_freq, light_stem, cjk_ngrams, arabic_terms, budget_presets, packaging_note, settings, query_terms, split_aspects, name_intent, names_and_ids, section_labels, chunk_conversations, chunk_oversize, full_markdown, sample_catalog, section_outline, block_split,
     html_markdown, bm25_heading_boost, per_query_norm, multi_score, relevance_pct, topk_sections, best_id, attribution, round_robin, score_shape, relevance_floor, top_cluster, discriminative_terms,
-    next_hint, bound_hint, omit_buckets, compile_hints, omitted_sections, select_sections, select_forced, select_vague, select_partial, truncate_prefix, truncate_around, assemble_files, manifest_lines,
+    next_hint, bound_hint, omit_buckets, compile_hints, omitted_sections, select_sections, select_forced, select_tight, select_vague, select_partial, truncate_prefix, truncate_around, assemble_files, manifest_lines,
     compile_context, compile_tight, expand_section, expand_query, prove_context, parity_contexts, responses, measure, recall_at_budget, pack_matrix, cache_lookup, cache_damage, upload_guard, dedupe_by_hash, rate_limit, one_shot, one_shot_bounded, handle_look_ups, workspace_states, workspace_status,
     request_costs, counters, session_totals, live_handles, event_windows,
 )}
