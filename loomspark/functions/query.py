@@ -41,6 +41,7 @@ _NO_NAME = frozenset(
     """red blue black white green great little new old north south east west series annual quarterly total headed head king queen prince
     princess chapter section part book volume league union united federal national international addressable market""".split()
 )
+#: Fixed value: two capitalised words in a row, as a name.
 _NAME_PAIR = re.compile(r"\b([A-Z][a-z]{1,40})\s+([A-Z][a-z]{1,40})\b", re.A)
 
 
@@ -99,6 +100,7 @@ _ASKS = regex.compile(
     r"|ماذا|لماذا|أين|اين|كيف|هل|ما|من)(?![\p{L}\p{M}\p{N}])",
     regex.I,
 )
+#: Fixed value: a comma at the end, Latin or Arabic.
 _COMMA_END = regex.compile(r"[,،]\s*$")
 
 

@@ -9,6 +9,8 @@ from loomspark.functions.text import NO_HEADING
 from loomspark.functions.tokens import token_count, trim_all
 
 MOST_TOKENS = 800
+#: Lines that are scanned as one stretch.
+STRETCH = 10_000
 HEADING = r"^(#{1,6})\s+(.*)$"
 CHUNKS = "file_id, id, ord, breadcrumb, text, tokens"
 
@@ -28,23 +30,37 @@ def table_line(line: Column) -> Column:
     return s.startswith("|") & s.endswith("|") & (F.length(s) >= 2)
 
 
-def sections(found: DataFrame) -> DataFrame:
+def sections(found: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """lines with level and title of headings, the section's number (0: before the first heading) and its breadcrumb.
 
     A heading ends all open ones of its level or deeper.  Of the levels above it, one is open if its last heading stands behind
-    the last ones of all levels above that.
+    the last ones of all levels above that.  So what a line needs of those before it is, for each level, the last heading, and
+    their number: facts that add up.  A file is scanned in stretches of lines; each stretch is summed up, the sums are scanned,
+    and a stretch goes on from the sum of those before it, so one long file is the work of many tasks.
     """
-    by_line = Window.partitionBy("file_id").orderBy("pos")
-    marked = found.withColumn("level", F.length(F.regexp_extract("line", HEADING, 1)))
+    marked = found.withColumn("level", F.length(F.regexp_extract("line", HEADING, 1))).withColumn("stretch", F.floor(F.col("pos") / stretch).cast("int"))
     marked = marked.withColumn("title", F.when(F.col("level") > 0, trim_all(F.regexp_extract("line", HEADING, 2))))
-    last = lambda k, what: F.last(F.when(F.col("level") == k, F.col(what)), ignorenulls=True).over(by_line)
-    own = F.last(F.when(F.col("level") > 0, F.col("level")), ignorenulls=True).over(by_line)
-    wide = marked.select("*", F.sum((F.col("level") > 0).cast("int")).over(by_line).alias("section"), own.alias("own"),
-                         *[x for k in range(1, 7) for x in (last(k, "pos").alias(f"p{k}"), last(k, "title").alias(f"t{k}"))])
+    heading, at = F.col("level") > 0, F.struct("pos", "title")
+    levels = range(1, 7)
+    of = lambda k, x: F.when(F.col("level") == k, x)
+    sums = marked.filter(heading).groupBy("file_id", "stretch").agg(F.count("*").alias("n"), F.max(F.struct("pos", "level")).alias("own"), *[F.max(of(k, at)).alias(f"h{k}") for k in levels])
+    before = Window.partitionBy("file_id").orderBy("stretch")
+    last_of = lambda c: F.last(c, ignorenulls=True).over(before)
+    # What a stretch leaves is what those behind it begin with, up to the next one that has a heading.
+    left = sums.select("file_id", "stretch", F.lead("stretch").over(before).alias("next"), F.sum("n").over(before).alias("n0"), last_of(F.col("own"))["level"].alias("own0"), *[last_of(F.col(f"h{k}")).alias(f"s{k}") for k in levels])
+    ends = marked.groupBy("file_id").agg(F.max("stretch").alias("end"))
+    upto = F.coalesce("next", "end")
+    given = left.join(ends, "file_id").filter(F.col("stretch") < upto).withColumn("stretch", F.explode(F.sequence(F.col("stretch") + 1, upto))).drop("next", "end")
+    begun = marked.join(given, ["file_id", "stretch"], "left")
+
+    scan = Window.partitionBy("file_id", "stretch").orderBy("pos")
+    last = lambda x: F.last(x, ignorenulls=True).over(scan)
+    number = F.coalesce("n0", F.lit(0)) + F.sum(heading.cast("int")).over(scan)
+    wide = begun.select("*", number.alias("section"), F.coalesce(last(F.when(heading, F.col("level"))), "own0").alias("own"), *[F.coalesce(last(of(k, at)), f"s{k}").alias(f"l{k}") for k in levels])
     crumbs = []
-    for k in range(1, 7):
-        above = F.greatest(F.lit(-1), *[F.coalesce(f"p{j}", F.lit(-1)) for j in range(1, k)]) if k > 1 else F.lit(-1)
-        crumbs.append(F.when((F.col("own") >= k) & (F.col(f"p{k}") > above), F.col(f"t{k}")))
+    for k in levels:
+        above = F.greatest(F.lit(-1), *[F.coalesce(f"l{j}.pos", F.lit(-1)) for j in range(1, k)]) if k > 1 else F.lit(-1)
+        crumbs.append(F.when((F.col("own") >= k) & (F.col(f"l{k}.pos") > above), F.col(f"l{k}.title")))
     trail = F.concat_ws(" > ", *crumbs)
     return wide.select("file_id", "pos", "line", "level", "title", "section", F.when(F.col("own").isNull(), NO_HEADING).otherwise(trail).alias("breadcrumb"))
 

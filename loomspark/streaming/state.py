@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -341,6 +341,26 @@ def counters(events: DataFrame, name: str = "name", by: str | None = None) -> Da
     return events.groupBy(name).agg((F.sum(by) if by else F.count("*")).cast("long").alias("total"))
 
 
+class RunCounters:
+    """Counters of what jobs do, observed on their plans: rows are counted where they pass, and no event is written for them."""
+
+    def __init__(self) -> None:
+        self.seen: list[tuple[str, Observation]] = []
+
+    def watch(self, name: str, rows: DataFrame, by: Column | None = None) -> DataFrame:
+        """rows that are counted, or summed up by a column, under a name when an action runs them."""
+        seen = Observation()
+        self.seen.append((name, seen))
+        return rows.observe(seen, (F.count(F.lit(1)) if by is None else F.coalesce(F.sum(by), F.lit(0))).cast("long").alias(name))
+
+    def totals(self) -> dict[str, int]:
+        """Sums by name, of watched rows that an action has run; it waits for the last of them."""
+        out: dict[str, int] = {}
+        for name, seen in self.seen:
+            out[name] = out.get(name, 0) + seen.get[name]
+        return out
+
+
 def session_totals(runs: DataFrame, by: str = "session", order: str = "ts") -> DataFrame:
     """Running sums of saved tokens and of their price over a session."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -1,6 +1,7 @@
 """Columns, plans, sources and state on Spark against plain versions; every SQL twin on the smallest tables."""
 
 import io
+import random
 import zipfile
 from datetime import datetime, timedelta
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import query as Q
 from loomspark.functions import text as X
 from loomspark.functions import tokens as K
-from loomspark.operators.chunking import chunk_markdown
+from loomspark.operators.chunking import chunk_markdown, lines, sections
 from loomspark.operators.selection import content_count, count_tokens
 from loomspark.plans.compile import compile_context, expand_sections
 from loomspark.plans.oracle import ORACLE
@@ -88,6 +89,16 @@ def plain_chunks(md, most=800):
     return out
 
 
+def test_headings_over_stretches_of_lines(spark):
+    """A file that is scanned in stretches has the sections it has in one."""
+    r = random.Random(8)
+    docs = [(f"f{i}", "\n".join(r.choice(("text", "", "# A", "## B", "### C", "## D", "###### E", "more")) if i % 3 or r.random() < 0.1 else "plain" for _ in range(r.randint(0, 90)))) for i in range(30)]
+    found = lines(spark.createDataFrame(docs, "file_id string, markdown string"))
+    whole = sorted(map(tuple, sections(found).collect()))
+    for stretch in (1, 4, 25):
+        assert sorted(map(tuple, sections(found, stretch).collect())) == whole
+
+
 def test_chunks(spark):
     long = "# Long\n" + "\n\n".join(f"paragraph {i} " + "word " * 120 for i in range(12)) + "\n\n| a | b |\n| 1 | 2 |\n\ntail"
     import random

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspark.agent import AgentCompare, Busy, Gate, Reader, compare, models_from, run_agent, server_events
 from loomspark.operators.selection import Section, count_tokens
@@ -100,6 +101,24 @@ def test_streams_equal_batches_over_a_restart(spark, tmp_path):
     assert {x.outcome for x in want} == {"ok", "gone"}
 
 
+def test_counters_are_observed(spark, data):
+    from loomspark.plans.queries import conversation_docs
+    from loomspark.operators.chunking import chunk_markdown
+
+    seen = T.RunCounters()
+    docs = seen.watch("compiles", conversation_docs(spark, data))
+    chunks = seen.watch("tokens", seen.watch("sections", chunk_markdown(docs)), F.col("tokens"))
+    asked = spark.createDataFrame([("k", at(i), "/api/agent") for i in range(12)], "key string, ts timestamp, route string")
+    refused = seen.watch("rate_limited", T.rate_limit(asked).filter("not allowed"))
+    rows = chunks.collect()
+    n = refused.count()
+    assert seen.totals() == {"compiles": conversation_docs(spark, data).count(), "sections": len(rows), "tokens": sum(r.tokens for r in rows), "rate_limited": n} and n == 0
+    more = T.RunCounters()
+    none = more.watch("rate_limited", T.rate_limit(asked, points=24).filter("not allowed"))
+    none.collect()
+    assert more.totals() == {"rate_limited": none.count()} and none.count() > 0
+
+
 def test_keys_are_bounded_by_their_first_coming():
     m = T.BoundedKeys(2)
     for k in "abac":
