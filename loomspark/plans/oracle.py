@@ -252,6 +252,8 @@ ORACLE = {
     "split_aspects": """WITH l AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{5,}') AS w FROM documents),
         a AS (SELECT doc_id, [array_to_string(w[1:2], ' ') || '?', array_to_string(w[3:4], ' '), array_to_string(w[5:6], ' '), 'which ' || array_to_string(w[7:8], ' ')] AS a FROM l WHERE len(w) >= 8)
         SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|') AS aspects FROM a""",
+    "split_commas": """WITH l AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{5,}') AS w FROM documents)
+        SELECT doc_id, 'what is ' || array_to_string(w[1:2], ' ') || CASE WHEN doc_id % 3 = 0 THEN ', about ' ELSE '|who is ' END || array_to_string(w[3:4], ' ') || CASE WHEN doc_id % 3 = 0 THEN ', where is ' ELSE '|where is ' END || array_to_string(w[5:6], ' ') AS aspects FROM l WHERE len(w) >= 8""",
     "name_intent": """WITH l AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{5,}')[1] AS w FROM documents),
         n AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN w END AS surname, upper(w[1]) || w[2:] AS t, text || CASE doc_id % 3 WHEN 0 THEN ' Anna ' || upper(w[1]) || w[2:] WHEN 1 THEN ' Miss ' || upper(w[1]) || w[2:] ELSE ' ANNA ' || upper(w) END AS x FROM l WHERE w IS NOT NULL)
         SELECT doc_id, surname, surname IS NOT NULL AND (regexp_matches(x, '\\b[A-Z]{2,30}\\s+' || upper(surname) || '\\b') OR len(list_filter(regexp_extract_all(x, '\\b([A-Z][a-z]{1,30})\\s+' || t || '\\b', 1),
@@ -312,6 +314,15 @@ ORACLE = {
         SELECT 'conv' || conv_id AS file_id, 'conv' || conv_id || '.md' AS name, {_COUNT.format('md')} AS raw_tokens FROM m""",
     "select_sections": _fold(f"WITH {_CHUNKS}, {_ASPECTS}", "'corpus'", 6) + _SELECT,
     "select_forced": _fold(f"WITH {_CHUNKS}, {_ASPECTS}", "'corpus'", 6, "pos = n - 1 AND task_id % 2 = 0") + _SELECT,
+    "expand_miss": f"""WITH f AS (SELECT doc_id, source, lang, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS text FROM documents),
+        d AS (SELECT 's' || doc_id AS section_id, source || ' > ' || lang AS breadcrumb, text, greatest(1, length(text) // 4)::INT AS tokens, regexp_extract_all(lower(text), '[a-z]+') AS w, doc_id FROM f),
+        q AS (SELECT *, CASE WHEN len(w) >= 10 THEN w[-10] || CASE WHEN doc_id % 2 = 0 THEN ' ' || w[1] ELSE '' END ELSE '' END AS task FROM d),
+        t AS (SELECT *, list_filter({_tokens('task')}, lambda t: length(t) > 1 AND t NOT IN ({_STOP})) AS terms FROM q),
+        h AS (SELECT *, list_filter(terms, lambda t: contains(lower(text), t)) AS has FROM t),
+        b AS (SELECT *, CASE WHEN len(has) > 0 THEN text ELSE {_head('text', 'tokens', '60')} END AS body FROM h),
+        c AS (SELECT *, {_cut('body', 'text', 'tokens', '60')} AS c FROM b)
+        SELECT section_id, CASE WHEN c IS NOT NULL THEN md5('<!-- section: ' || breadcrumb || ' (UNTRUSTED CONTENT) -->' || chr(10) || c['text']) END AS text_md5, tokens > 60 AS truncated, CASE WHEN tokens > 60 THEN tokens END AS full_tokens,
+          coalesce(tokens > 60 AND c IS NOT NULL AND len(has) > 0 AND len(list_filter(has, lambda t: contains(lower(c['text']), t))) = 0, false) AS query_miss FROM c""",
     "select_tight": _tight("(70), (250), (600), (1500)"),
     "select_vague": _VAGUE.replace("@BUDGETS@", "(1000000)") + _VAGUE_OUT.replace("@MORE@", ""),
     "select_partial": _VAGUE.replace("@BUDGETS@", "(60), (150), (400), (900)") + _VAGUE_OUT.replace("@MORE@", ", array_to_string(list_transform(sel, lambda x: x.tokens || ':' || coalesce(x.full_, 0) || ':' || md5(x.text)), ',') AS parts"),

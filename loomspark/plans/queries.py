@@ -157,6 +157,13 @@ def split_aspects(spark, sf_dir):
     return _long_words(spark, sf_dir, 8).select("doc_id", F.array_join(Q.aspects(task), "|").alias("aspects"))
 
 
+def split_commas(spark, sf_dir):
+    """Tasks of three questions between commas; every third has one part that is no question and stays whole."""
+    two = lambda i: F.array_join(F.slice("w", i, 2), " ")
+    task = F.concat(F.lit("what is "), two(1), F.when(F.col("doc_id") % 3 == 0, ", about ").otherwise(", who is "), two(3), F.lit(", where is "), two(5))
+    return _long_words(spark, sf_dir, 8).select("doc_id", F.array_join(Q.aspects(task), "|").alias("aspects"))
+
+
 def name_intent(spark, sf_dir):
     """Tasks for a given name, and whether texts that end in different forms of the name tell it."""
     name = F.initcap(F.element_at("w", 1))
@@ -386,8 +393,7 @@ def select_forced(spark, sf_dir):
 
 def select_tight(spark, sf_dir):
     """Tasks of several aspects under ceilings that bind: parts of needed sections, later whole ones in their place, an end of room.  Each section is one line."""
-    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")
-    chunks = document_chunks(spark, sf_dir).withColumn("text", flat).withColumn("tokens", K.token_count(F.col("text")))
+    chunks = _one_line(document_chunks(spark, sf_dir))
     aspects, tasks = _benchmark_tasks(spark, sf_dir)
     scored = store(C.scored_sections(chunks, aspects).withColumn("score", F.round("score", 6)).filter("multi"), "scored")
     ceilings = F.explode(F.array(*map(F.lit, (70, 250, 600, 1500)))).alias("token_budget")
@@ -500,6 +506,20 @@ def expand_query(spark, sf_dir):
     return C.expand_sections(chunk_markdown(docs), wanted)
 
 
+def _one_line(chunks: DataFrame) -> DataFrame:
+    """Sections with their text on one line."""
+    return chunks.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")).withColumn("tokens", K.token_count(F.col("text")))
+
+
+def expand_miss(spark, sf_dir):
+    """Documents as sections of one line in 60 tokens, asked for by their tenth word from the end and their first: whether what is left has missed the question."""
+    chunks = _one_line(document_chunks(spark, sf_dir))
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    task = F.when(F.size(w) >= 10, F.concat_ws(" ", F.get(F.reverse(w), F.lit(9)), F.when(F.col("ord") % 2 == 0, F.get(w, F.lit(0)))))
+    out = C.expand_sections(chunks, chunks.select("file_id", F.col("id").alias("section_id"), F.lit(60).alias("token_budget"), task.alias("task")))
+    return out.select("section_id", F.md5("markdown").alias("text_md5"), "truncated", "full_tokens", "query_miss")
+
+
 def prove_context(spark, sf_dir):
     """The selections of compile_context with the second section of the file on top."""
     docs, tasks = conversation_docs(spark, sf_dir), _two_questions(spark, sf_dir)
@@ -679,10 +699,10 @@ def event_windows(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    bm25_single, token_count, content_tokens, clamp_budget, token_savings, tokenize_freq, light_stem, cjk_ngrams, arabic_terms, budget_presets, packaging_note, settings, query_terms, split_aspects, name_intent, names_and_ids, section_labels, chunk_conversations, chunk_oversize, full_markdown, sample_catalog, section_outline, block_split,
+    bm25_single, token_count, content_tokens, clamp_budget, token_savings, tokenize_freq, light_stem, cjk_ngrams, arabic_terms, budget_presets, packaging_note, settings, query_terms, split_aspects, split_commas, name_intent, names_and_ids, section_labels, chunk_conversations, chunk_oversize, full_markdown, sample_catalog, section_outline, block_split,
     html_markdown, bm25_heading_boost, per_query_norm, multi_score, relevance_pct, topk_sections, best_id, attribution, round_robin, score_shape, relevance_floor, top_cluster, discriminative_terms,
     next_hint, bound_hint, omit_buckets, compile_hints, omitted_sections, select_sections, select_forced, select_tight, select_vague, select_partial, truncate_prefix, truncate_around, assemble_files, manifest_lines,
-    compile_context, compile_tight, expand_section, expand_query, prove_context, parity_contexts, responses, measure, recall_at_budget, pack_matrix, cache_lookup, cache_damage, upload_guard, dedupe_by_hash, rate_limit, one_shot, one_shot_bounded, handle_look_ups, workspace_states, workspace_status,
+    compile_context, compile_tight, expand_section, expand_query, expand_miss, prove_context, parity_contexts, responses, measure, recall_at_budget, pack_matrix, cache_lookup, cache_damage, upload_guard, dedupe_by_hash, rate_limit, one_shot, one_shot_bounded, handle_look_ups, workspace_states, workspace_status,
     request_costs, counters, session_totals, live_handles, event_windows,
 )}
 
