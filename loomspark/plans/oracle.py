@@ -290,6 +290,7 @@ ORACLE = {
           FROM r6 JOIN be ON be.task_id = r6.task_id AND be.qi = r6.qi AND be.k = 1),
         fi AS (SELECT task_id, ord, min((r, qi)) AS place FROM ld GROUP BY ALL)
         SELECT task_id, (row_number() OVER (PARTITION BY task_id ORDER BY place) - 1)::INT AS pos, ord FROM fi""",
+    "indexed_topk": _bm25(boost=False) + " SELECT task_id, qi, pos, ord, round(s, 4) AS s FROM (SELECT *, (row_number() OVER (PARTITION BY task_id, qi ORDER BY round(s, 6) DESC, ord) - 1)::INT AS pos FROM sc WHERE s > 0) WHERE pos < 10",
     "score_shape": _ROWS + " SELECT task_id, round(greatest(0, max(score)), 4) AS top, max(score) <= 0 OR coalesce(min(score) FILTER (score > 0), 0) >= 0.95 * max(score) AS flat FROM me GROUP BY task_id",
     "relevance_floor": _ROWS + ", tp AS (SELECT task_id, max(score) AS top FROM me GROUP BY ALL) SELECT task_id, count(*) AS n FROM m6 JOIN tp USING (task_id) WHERE top <= 0 OR score >= 0.4 * top GROUP BY task_id",
     "top_cluster": _ROWS + """, sh AS (SELECT task_id, max(score) AS top, coalesce(min(score) FILTER (score > 0), 0) >= 0.95 * max(score) AS flat FROM m6 GROUP BY ALL)

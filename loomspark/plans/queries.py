@@ -14,8 +14,9 @@ from loomspark.functions import query as Q
 from loomspark.functions import text as X
 from loomspark.functions import tokens as K
 from loomspark.operators import hints, matching, ranking
-from loomspark.operators.sizes import cut
 from loomspark.operators.chunking import blocks, chunk_markdown, lines, outline, sections
+from loomspark.operators.index import build_index, top_sections
+from loomspark.operators.sizes import cut
 from loomspark.plans import compile as C
 from loomspark.sources.files import cache_rows, cache_swept, cache_valid, catalog, guard, html_to_markdown
 from loomspark.sources.files import full_markdown as full_docs
@@ -261,6 +262,12 @@ def topk_sections(spark, sf_dir):
     return ranking.ranked(_scores(spark, sf_dir).withColumn("score", F.round("score", 6))).filter("pos < 10").select("task_id", "pos", "ord")
 
 
+def indexed_topk(spark, sf_dir):
+    """The ten best sections of each aspect from a stored index, without what breadcrumbs add."""
+    found = top_sections(build_index(document_chunks(spark, sf_dir)), store(benchmark_aspects(spark, sf_dir), "aspects"))
+    return found.select("task_id", "qi", "pos", "ord", F.round("s", 4).alias("s"))
+
+
 def best_id(spark, sf_dir):
     rows = _stored_rows(spark, sf_dir)
     return ranking.best_ids(rows, document_chunks(spark, sf_dir), benchmark_aspects(spark, sf_dir))
@@ -700,7 +707,7 @@ def event_windows(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     bm25_single, token_count, content_tokens, clamp_budget, token_savings, tokenize_freq, light_stem, cjk_ngrams, arabic_terms, budget_presets, packaging_note, settings, query_terms, split_aspects, split_commas, name_intent, names_and_ids, section_labels, chunk_conversations, chunk_oversize, full_markdown, sample_catalog, section_outline, block_split,
-    html_markdown, bm25_heading_boost, per_query_norm, multi_score, relevance_pct, topk_sections, best_id, attribution, round_robin, score_shape, relevance_floor, top_cluster, discriminative_terms,
+    html_markdown, bm25_heading_boost, per_query_norm, multi_score, relevance_pct, topk_sections, indexed_topk, best_id, attribution, round_robin, score_shape, relevance_floor, top_cluster, discriminative_terms,
     next_hint, bound_hint, omit_buckets, compile_hints, omitted_sections, select_sections, select_forced, select_tight, select_vague, select_partial, truncate_prefix, truncate_around, assemble_files, manifest_lines,
     compile_context, compile_tight, expand_section, expand_query, expand_miss, prove_context, parity_contexts, responses, measure, recall_at_budget, pack_matrix, cache_lookup, cache_damage, upload_guard, dedupe_by_hash, rate_limit, one_shot, one_shot_bounded, handle_look_ups, workspace_states, workspace_status,
     request_costs, counters, session_totals, live_handles, event_windows,

@@ -127,3 +127,26 @@ def test_cuts(spark):
     df = spark.createDataFrame(rows, "i int, text string, full int, most int, terms array<string>, want struct<text:string,tokens:int>")
     wrong = df.withColumn("got", Z.cut(F.col("text"), F.col("full"), F.col("most"), F.col("terms"))).filter(~F.col("got").eqNullSafe(F.col("want")))
     assert wrong.count() == 0
+
+
+def test_index_finds_the_best_and_skips(spark):
+    """Top lists of two sets of questions from one index are those of all scores, and most blocks are not read."""
+    from loomspark.operators.index import build_index, top_blocks, top_sections, weights
+    from loomspark.operators.ranking import bm25
+
+    r = random.Random(6)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+    text = lambda: " ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(len(vocabulary))], k=r.choice((0, 4, 20, 60))))
+    rows = [("f", i, None if i % 97 == 0 else text() + (" zebra" if i % 150 == 3 else "")) for i in range(1200)] + [("g", i, text()) for i in range(7)]
+    chunks = spark.createDataFrame(rows, "file_id string, ord int, text string").withColumn("breadcrumb", F.lit("x"))
+    index = build_index(chunks, span=16)
+    for n in range(2):
+        tasks = [(i, "fg"[i % 5 == 0], q, [*r.sample(vocabulary, r.randint(1, 4)), *(["zebra"] if i % 2 else [])]) for i in range(12) for q in range(2)] + [(99, "f", 0, []), (98, "none", 0, ["bal"])]
+        asked = spark.createDataFrame(tasks, "task_id int, file_id string, qi int, terms array<string>")
+        got = sorted((x.task_id, x.qi, x.pos, x.ord, round(x.s, 6)) for x in top_sections(index, asked, 5).collect())
+        best = {}
+        for x in bm25(chunks, asked, boost=False, zeros=False).filter("s > 0").collect():
+            best.setdefault((x.task_id, x.qi), []).append((-round(x.s, 6), x.ord))
+        assert got == sorted((*key, pos, o, -s) for key, found in best.items() for pos, (s, o) in enumerate(sorted(found)[:5]))
+        every = weights(index, asked).join(index.blocks, ["file_id", "term"]).select("task_id", "qi", "block").distinct().count()
+        assert top_blocks(index, weights(index, asked), 5).count() < every
