@@ -150,6 +150,21 @@ def _zip(sizes):
     return buf.getvalue()
 
 
+def test_guard_as_columns(spark):
+    """Uploads in a table are judged as one by one."""
+    def zipped(n):
+        with zipfile.ZipFile(out := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("a", b"x" * n)
+        return out.getvalue()
+
+    contents = [None, b"", b"text", b"a\x00b", b"x" * 9000 + b"\x00", b"%PDF-1.4", b"PK\x03\x04", b"PK", b"PK\x09\x09", zipped(10), zipped(5_000_000), zipped(100)[:-4]]
+    names = [None, "", "a", "a.md", "b.TXT", ".csv", "x.y.docx", "p.pptx", "s.XLSX", "d.pdf", "e.exe", "h.html", "dot."]
+    rows = [(n, c) for n in names for c in contents]
+    got = spark.createDataFrame(rows, "name string, content binary").select("name", "content", S.guard(F.col("name"), F.col("content")).alias("g")).collect()
+    assert [(r.g.ok, r.g.status, r.g.reason) for r in got] == [S.check_upload(r.name, bytes(r.content) if r.content is not None else None) for r in got]
+    assert {r.g.status for r in got} == {200, 400, 413, 415}
+
+
 def test_guards():
     assert S.check_upload("a.md", b"# x")[0] and S.check_upload("a.docx", _zip([1000]))[0]
     assert S.check_upload("a.exe", b"x")[1] == 415 and S.check_upload("a.md", b"")[1] == 400 and S.check_upload("a.txt", b"a\x00b")[1] == 415
