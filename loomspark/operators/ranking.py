@@ -87,6 +87,22 @@ def ranked(scores: DataFrame, score: str = "score", by: str = "task_id") -> Data
     return scores.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), "ord")) - 1)
 
 
+def first_ranked(scores: DataFrame, sections: DataFrame, tasks: DataFrame, k: int) -> DataFrame:
+    """(task_id, file_id, ord, pos): the first k of what ranked gives for all sections of a task's file, with rows for those alone that score.
+
+    scores: (task_id, file_id, ord, score), other sections score 0; sections: (file_id, ord); tasks: (task_id, file_id).  A task with
+    fewer than k scores goes on in the order of its file, and finds enough among the first 2k sections there.
+    """
+    order = Window.partitionBy("task_id").orderBy(F.desc("score"), "ord")
+    best = scores.filter("score > 0").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    best = store(best.select("task_id", "file_id", "ord", (F.col("r") - 1).alias("pos")), "best")
+    heads = sections.select("file_id", "ord").distinct().withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy("ord"))).filter(F.col("r") <= 2 * k).drop("r")
+    few = tasks.select("task_id", "file_id").distinct().join(best.groupBy("task_id").agg(F.count("*").alias("n")), "task_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") < k)
+    rest = few.join(heads, "file_id").join(best, ["task_id", "ord"], "left_anti")
+    pos = F.row_number().over(Window.partitionBy("task_id").orderBy("ord")) - 1 + F.col("n")
+    return best.unionByName(rest.select("task_id", "file_id", "ord", pos.cast("int").alias("pos")).filter(F.col("pos") < k))
+
+
 def best_ids(rows: DataFrame, chunks: DataFrame, tasks: DataFrame) -> DataFrame:
     """(task_id, qi, ord): each aspect's best section.
 

@@ -311,6 +311,10 @@ def discriminative_terms(spark, sf_dir):
 # --- selection -------------------------------------------------------------------------------------------------------
 
 
+#: Sections of a task that count as selected where none is chosen by a budget.
+PICKED = 3
+
+
 def _picked(spark, sf_dir):
     """Task, budget 1000, the ranking's first three sections as selected and all others as left out, with the aspects they match and each aspect's best id."""
     scored, chunks = _stored_rows(spark, sf_dir), document_chunks(spark, sf_dir)
@@ -464,11 +468,30 @@ def assemble_files(spark, sf_dir):
 
 
 def manifest_lines(spark, sf_dir):
-    """The manifest of what each task leaves out, with as many lines as fit in 1,200 tokens."""
-    pos = ranking.ranked(_scores(spark, sf_dir).withColumn("score", F.round("score", 6))).filter("pos >= 3")
-    listed = pos.join(document_chunks(spark, sf_dir), ["file_id", "ord"]).withColumn("label", X.section_label(F.col("breadcrumb"), F.col("text")))
-    lines = listed.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", "label", "tokens"))), lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["tokens"].alias("tokens"))).alias("omitted"))
-    return lines.withColumn("m", hints.manifest_text(F.col("omitted"), F.lit(1200))).select("task_id", F.col("m.most").alias("most"), F.md5("m.text").alias("text_md5"))
+    """The manifest of what each task leaves out, with as many lines as fit in 1,200 tokens.
+
+    Only sections that can have a line meet their texts; of all others of a file their number and the outermost ids are enough.
+    """
+    chunks = document_chunks(spark, sf_dir)
+    aspects = store(benchmark_aspects(spark, sf_dir), "aspects")
+    rows = ranking.normalized(store(ranking.bm25(chunks, aspects, zeros=False), "scores"))
+    scores = ranking.merged(rows).withColumn("score", F.round("score", 6))
+    first = store(ranking.first_ranked(scores, chunks, aspects, PICKED + hints.MANIFEST_STEPS[0]), "first")
+    label = X.section_label(F.col("breadcrumb"), F.col("text"))
+    known = store(chunks.join(ranking.checked_broadcast(first.select("file_id", "ord").distinct()), ["file_id", "ord"]).select("file_id", "ord", "id", "tokens", label.alias("label")), "labels")
+    placed = first.join(known, ["file_id", "ord"])
+    listed = F.array_sort(F.collect_list(F.when(F.col("pos") >= PICKED, F.struct("pos", "id", "label", "tokens"))))
+    bare = F.transform(listed, lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["tokens"].alias("tokens")))
+    lines = placed.groupBy("task_id", "file_id").agg(bare.alias("omitted"), F.collect_list(F.when(F.col("pos") < PICKED, F.col("id"))).alias("picked")).filter(F.size("omitted") > 0)
+    # Of the outermost PICKED + 1 ids at either end one is left out, whichever are picked.
+    number = F.col("ord").try_cast("int").alias("number")
+    numbers = chunks.select("file_id", "id", number).distinct().filter("number is not null")
+    outer = lambda by: numbers.withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy(by))).filter(F.col("r") <= PICKED + 1)
+    ends = outer(F.asc("number")).unionByName(outer(F.desc("number"))).groupBy("file_id").agg(F.collect_list("id").alias("ends"))
+    sizes = chunks.groupBy("file_id").agg(F.count("ord").alias("n"))
+    out = lines.join(sizes, "file_id").join(ends, "file_id", "left")
+    span = X.id_span(F.array_except(F.coalesce("ends", F.array().cast("array<string>")), F.col("picked")))
+    return out.withColumn("m", hints.manifest_text(F.col("omitted"), F.lit(1200), F.col("n") - F.size("picked"), span)).select("task_id", F.col("m.most").alias("most"), F.md5("m.text").alias("text_md5"))
 
 
 def _compiled(spark, sf_dir, budget=1200):

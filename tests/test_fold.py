@@ -150,3 +150,18 @@ def test_index_finds_the_best_and_skips(spark):
         assert got == sorted((*key, pos, o, -s) for key, found in best.items() for pos, (s, o) in enumerate(sorted(found)[:5]))
         every = weights(index, asked).join(index.blocks, ["file_id", "term"]).select("task_id", "qi", "block").distinct().count()
         assert top_blocks(index, weights(index, asked), 5).count() < every
+
+
+def test_first_of_a_ranking_needs_no_zeros(spark):
+    """The first of each task's ranking from rows that score alone: tasks with many, few and no scores, files of few sections."""
+    from loomspark.operators import ranking
+
+    r = random.Random(7)
+    sections = [("f", o * 3) for o in range(90)] + [("g", o) for o in range(4)]
+    tasks = [(t, "g" if t % 5 == 4 else "f") for t in range(20)]
+    every = [(t, f, o, round(r.random(), 1) if r.random() < (0, 0.02, 0.2, 0.9, 0.5)[t % 5] else 0.0) for t, f in tasks for g, o in sections if f == g]
+    schema = "task_id int, file_id string, ord int, score double"
+    want = ranking.ranked(spark.createDataFrame(every, schema)).filter("pos < 12").select("task_id", "file_id", "ord", "pos")
+    some = spark.createDataFrame([x for x in every if x[3] > 0], schema)
+    got = ranking.first_ranked(some, spark.createDataFrame(sections, "file_id string, ord int"), spark.createDataFrame(tasks, "task_id int, file_id string"), 12)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
