@@ -165,3 +165,18 @@ def test_first_of_a_ranking_needs_no_zeros(spark):
     some = spark.createDataFrame([x for x in every if x[3] > 0], schema)
     got = ranking.first_ranked(some, spark.createDataFrame(sections, "file_id string, ord int"), spark.createDataFrame(tasks, "task_id int, file_id string"), 12)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_an_index_moves_texts_once(spark):
+    """Making the blocks of an index takes one exchange, of texts; their counts are made where the texts are."""
+    from loomspark.operators import index as ix
+
+    chunks = spark.createDataFrame([("f", i, f"w{i % 7} w{i % 3} other") for i in range(50)], "file_id string, ord int, text string")
+    plans, keep = [], ix.store
+    ix.store = lambda df, what: plans.append((what, df._jdf.queryExecution().executedPlan().toString())) or keep(df, what)
+    try:
+        ix.build_index(chunks, span=16)
+    finally:
+        ix.store = keep
+    blocks = "\n".join(p for what, p in plans if what == "index-blocks")
+    assert [what for what, _ in plans] == ["index-blocks", "index-files"] and blocks.count("Exchange ") == 1
