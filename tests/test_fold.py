@@ -180,3 +180,16 @@ def test_an_index_moves_texts_once(spark):
         ix.store = keep
     blocks = "\n".join(p for what, p in plans if what == "index-blocks")
     assert [what for what, _ in plans] == ["index-blocks", "index-files"] and blocks.count("Exchange ") == 1
+
+
+def test_terms_too_many_to_be_known_everywhere(spark, monkeypatch):
+    """Terms that meet the texts of their file find what terms known to every task find: small files, large ones in lots, null texts."""
+    from loomspark.operators import matching
+
+    rows = [(f"f{i % 9}", i, f"alpha beta w{i}\nalpha x" if i % 5 else None) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "file_id string, ord int, text string")
+    asked = spark.createDataFrame([(f"f{i % 8}", t) for i in range(10) for t in ("alpha", "w1", "x", "", None)] + [("none", "x"), (None, "x")], "file_id string, term string")
+    want = sorted(map(tuple, matching.term_lines(chunks, asked).collect()))
+    assert want and sorted(map(tuple, matching.term_lines(chunks, asked, most_bytes=0).collect())) == want
+    monkeypatch.setattr(matching, "LOT_BYTES", 100)
+    assert sorted(map(tuple, matching.term_lines(chunks, asked, most_bytes=0).collect())) == want
