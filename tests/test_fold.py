@@ -198,3 +198,13 @@ def test_terms_too_many_to_be_known_everywhere(spark, monkeypatch):
         assert sorted(map(tuple, matching.term_lines(chunks, asked, most_bytes=0).collect())) == want
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranked_rows_carry_no_lists_of_their_task(spark):
+    """What holds for a whole task is kept once a task, not with each of its sections."""
+    from loomspark.operators.fold import ranked_facts
+
+    of = lambda rows, schema: spark.createDataFrame([[r[c.split()[0]] for c in schema.split(", ")] for r in rows], schema)
+    chunks, tasks, scored = cases(3, 2)
+    facts, told = ranked_facts(of(scored, SCORED), of(chunks, CHUNKS), of(tasks, TASKS))
+    assert not {"best", "wanted"} & set(facts.columns) and told.columns == ["task_id", "best", "wanted"] and told.count() == len(tasks)
