@@ -208,3 +208,21 @@ def test_ranked_rows_carry_no_lists_of_their_task(spark):
     chunks, tasks, scored = cases(3, 2)
     facts, told = ranked_facts(of(scored, SCORED), of(chunks, CHUNKS), of(tasks, TASKS))
     assert not {"best", "wanted"} & set(facts.columns) and told.columns == ["task_id", "best", "wanted"] and told.count() == len(tasks)
+
+
+def test_ceilings_share_a_ranking(spark, monkeypatch):
+    """A task under several ceilings is ranked once, and selected as tasks of their own would be."""
+    of = lambda rows, schema: spark.createDataFrame([[r[c.split()[0]] for c in schema.split(", ")] for r in rows], schema)
+    chunks, tasks, scored = cases(11, 4)
+    made, keep = [], C.store
+    stored = lambda df, what: made.append((what, keep(df, what))) or made[-1][1]
+    for m in ("loomspark.operators.fold", "loomspark.plans.compile"):
+        monkeypatch.setattr(f"{m}.store", stored)
+    ceilings = (45, 100, 400)
+    shared = C.selections(of(scored, SCORED), of(chunks, CHUNKS), of(tasks, TASKS), ceilings)[1]
+    facts = [df.count() for what, df in made if what == "facts"]
+    assert facts == [len(scored)]
+    several = [t | {"task_id": f"{t['task_id']}@{n}", "token_budget": n} for t in tasks for n in ceilings]
+    alone = C.selections(of([s | {"task_id": f"{s['task_id']}@{n}"} for s in scored for n in ceilings], SCORED), of(chunks, CHUNKS), of(several, TASKS))[1]
+    rows = lambda df: sorted(map(str, df.select("task_id", "selected", "used", "stopped", "n_sections", "budget").collect()))
+    assert rows(shared) == rows(alone) and len(rows(alone)) == len(several)
